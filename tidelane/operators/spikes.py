@@ -229,11 +229,11 @@ def _flags(table: pa.Table, starts: np.ndarray, rules: SpikeRules) -> pa.Table:
             pa.table(
                 {
                     "event_id": event[rows], "vehicle_id": table["vehicle_id"].take(at), "pass_no": table["pass_no"].take(at),
-                    "field": pa.array([field] * len(rows), pa.string()), "value": raw[field][rows], "reason": reason[rows].astype(object), "innovation": z[rows],
+                    "field": pa.array([field] * len(rows), pa.string()), "value": raw[field][rows], "reason": pa.array(reason[rows].tolist(), pa.string()), "innovation": z[rows],
                 }
             )
         )
-    return pa.concat_tables([t.cast(found[0].schema) for t in found]).combine_chunks()
+    return pa.concat_tables(found).combine_chunks()
 
 
 def implausible_values(
