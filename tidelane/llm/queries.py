@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelane.llm.leaks import leaked_passages
 from tidelane.llm.stable_sample import vehicle_sample
 from tidelane.llm.stays import collapse_stays
 from tidelane.session import table
@@ -39,7 +40,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_sample": p1_sample, "p1_growth": p1_growth, "p3_found": p3_found, "p3_stays": p3_stays}
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "test_id").distinct()
+
+
+QUERIES = {"p7_found": p7_found, "p7_leaks": p7_leaks, "p1_sample": p1_sample, "p1_growth": p1_growth, "p3_found": p3_found, "p3_stays": p3_stays}
 
 _WEIGHTS = """
     SELECT vehicle_id, sum(CAST(coalesce(floor(b - a), 0) AS BIGINT) + 1)::BIGINT AS max_weight FROM (
