@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelane.llm.encoding import repair_documents
 from tidelane.llm.leaks import leaked_passages
 from tidelane.llm.stable_sample import vehicle_sample
 from tidelane.llm.stays import collapse_stays
@@ -48,7 +49,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "test_id").distinct()
 
 
-QUERIES = {"p7_found": p7_found, "p7_leaks": p7_leaks, "p1_sample": p1_sample, "p1_growth": p1_growth, "p3_found": p3_found, "p3_stays": p3_stays}
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_restored(spark, sf_dir).select("doc_id").distinct()
+
+
+QUERIES = {"p8_found": p8_found, "p8_restored": p8_restored, "p7_found": p7_found, "p7_leaks": p7_leaks, "p1_sample": p1_sample, "p1_growth": p1_growth, "p3_found": p3_found, "p3_stays": p3_stays}
 
 _WEIGHTS = """
     SELECT vehicle_id, sum(CAST(coalesce(floor(b - a), 0) AS BIGINT) + 1)::BIGINT AS max_weight FROM (
