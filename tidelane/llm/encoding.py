@@ -63,36 +63,53 @@ class PairModel:
         # Bits per million pairs that the pair carries of the corpus' mutual information. Pairs that carry much are
         # usual; a pair that hardly occurs, or only by chance, carries (next to) nothing and is improbable.
         self.score = np.clip(1.0 - np.log10(1.0 + np.maximum(information, 0) * 1e6 / 20.0), -1.0, 1.0).astype(np.float32)
-        self.log = np.log2((n + 0.5) / self.total).astype(np.float32)
+        self.n = n.reshape(-1)
+        self.log = np.log2((self.n + 0.5) / self.total).astype(np.float32)
 
-    def likelihood(self, text: str, own: dict[int, int]) -> float:
-        """Mean log2 frequency of the text's pairs in the rest of the corpus (own: the pairs of this document)."""
+    def pair_logs(self, text: str) -> np.ndarray:
+        """log2 frequency of each pair of the text in the rest of the corpus: this text's own pairs taken out."""
         s = symbols(_codes(text))
-        if len(s) < 2:
+        pairs, inverse, own = np.unique(s[:-1] * SYMBOLS + s[1:], return_inverse=True, return_counts=True)
+        return np.log2((np.maximum(self.n[pairs] - own, 0) + 0.5) / self.total)[inverse]
+
+    def likelihood(self, text: str, own: dict[int, float]) -> float:
+        """Mean log2 frequency of the pairs of a changed text (own: what this document's pairs have elsewhere)."""
+        codes = [ord(c) for c in text]
+        if len(codes) < 2:
             return -99.0
-        pairs = s[:-1] * SYMBOLS + s[1:]
-        value = self.log.reshape(-1)[pairs].astype(float)
-        for k, p in enumerate(pairs.tolist()):
-            if p in own and value[k] < -12:
-                value[k] = np.log2(max(2.0 ** value[k] * self.total - own[p], 0.5) / self.total)
-        return float(value.mean())
-
-
-def improbable_runs(score: np.ndarray) -> list[tuple[int, int]]:
-    """Maximum-scoring segments [first pair, last pair] of a sequence of pair scores, left to right."""
-    out, n, begin = [], len(score), 0
-    while begin < n:
-        rest = score[begin:]
-        positive = np.flatnonzero(rest > 0)
-        if not len(positive):
-            break
-        begin += int(positive[0])
-        total = np.cumsum(score[begin:], dtype=np.float64)
-        low = np.flatnonzero(total <= 0)
-        stop = int(low[0]) if len(low) else len(total)
-        peak = int(np.argmax(total[:stop]))
-        out.append((begin, begin + peak))
-        begin += peak + 1
+        s = [c if c < 1536 else 1536 + ((c - 0x2000) >> 5) if 0x2000 <= c < 0x2800 else 1600 + (c >> 11) for c in codes]
+        total, log = 0.0, self.log
+        for x, y in zip(s, s[1:]):
+            pair = x * SYMBOLS + y
+            value = own.get(pair)
+            total += log.item(pair) if value is None else value
+        return total / (len(s) - 1)
+
+
+def improbable_runs(at: list[int], score: list[float], other: float) -> list[tuple[int, int]]:
+    """Maximum-scoring segments [first pair, last pair], left to right.
+
+    score[k] is that of pair number at[k]; each pair not listed scores `other` (below 0).
+    """
+    out, n, k = [], len(at), 0
+    while k < n:
+        total = score[k]
+        if total <= 0:
+            k += 1
+            continue
+        best, peak, j = total, k, k + 1
+        while j < n:
+            total += other * (at[j] - at[j - 1] - 1)
+            if total <= 0:
+                break
+            total += score[j]
+            if total <= 0:
+                break
+            if total > best:
+                best, peak = total, j
+            j += 1
+        out.append((at[k], at[peak]))
+        k = peak + 1
     return out
 
 
@@ -144,21 +161,21 @@ class Repairer:
             return []
         beyond = codes > 127
         s = symbols(codes)
-        near = beyond[:-1] | beyond[1:]
-        score = np.where(near, self.model.score[s[:-1], s[1:]], np.float32(-0.3))
+        near = np.flatnonzero(beyond[:-1] | beyond[1:])
+        score = self.model.score[s[near], s[near + 1]]
         out: list[tuple[int, int]] = []
         spans = []  # a run of a rare script may hold many sentences, of which one is damaged
-        for a, b in improbable_runs(score):
+        for a, b in improbable_runs(near.tolist(), score.tolist(), -0.3):
             b += 2
+            while a > 0 and beyond[a - 1]:
+                a -= 1
+            while b < len(codes) and beyond[b]:
+                b += 1
             for m in SENTENCE_END.finditer(text, a, b):
                 spans.append((a, m.end()))
                 a = m.end()
             spans.append((a, b))
         for a, b in spans:
-            while a > 0 and beyond[a - 1]:
-                a -= 1
-            while b < len(codes) and beyond[b]:
-                b += 1
             if not beyond[a:b].any():
                 continue
             if out and a < out[-1][1]:
@@ -167,7 +184,7 @@ class Repairer:
                 out.append((a, b))
         return out
 
-    def _better(self, before: str, old: str, new: str, after: str, own: dict[int, int], bonus: float) -> bool:
+    def _better(self, before: str, old: str, new: str, after: str, own: dict[int, float], bonus: float) -> bool:
         if any(unicodedata.category(c) in ("Cc", "Cn", "Co", "Cs") and not 0x80 <= ord(c) < 0xA0 for c in new):
             return False
         if new.isspace() and (not before or before[-1].isspace()):
@@ -177,7 +194,7 @@ class Repairer:
         a, b = before[-1:], after[:1]
         return self.model.likelihood(a + new + b, own) + bonus > self.model.likelihood(a + old + b, own)
 
-    def _utf8(self, text: str, run: str, start: int, own: dict[int, int]) -> tuple[str, str] | None:
+    def _utf8(self, text: str, run: str, start: int, own: dict[int, float]) -> tuple[str, str] | None:
         """Byte sequences of UTF-8 inside the run, seen as single-byte characters."""
         best = None
         for name in SEEN_AS:
@@ -198,12 +215,15 @@ class Repairer:
                 best = (changed, "".join(out) + run[at:], name)
         return best and (best[1], f"utf-8 as {best[2]}")
 
-    def _other(self, text: str, a: int, b: int, own: dict[int, int]) -> tuple[str, str] | None:
+    def _other(self, text: str, a: int, b: int, own: dict[int, float], sums: np.ndarray, rare: np.ndarray) -> tuple[str, str] | None:
         """A stretch that belongs to another code page; the gain is summed, as single letters tell little."""
         run, before, after = text[a:b], text[max(0, a - 1) : a], text[b : b + 1]
         if sum(ord(c) > 127 for c in run) < 2:
             return None
-        base = self.model.likelihood(before + run + after, own) * (len(run) + 1)
+        lo, hi = a - len(before), b + len(after) - 1
+        base = float(sums[hi] - sums[lo]) * (len(run) + 1) / max(hi - lo, 1)
+        if rare[hi] - rare[lo] < 2:  # as usual as any text of a rarer language
+            return None
         best = None
         for seen, was in SINGLE + DOUBLE:
             table = TABLES[seen]
@@ -219,18 +239,20 @@ class Repairer:
                 best = (gain, new, f"{was} as {seen}")
         return best and best[1:]
 
-    def _pass(self, text: str, own: dict[int, int]) -> tuple[str, int, int, set[str]]:
+    def _pass(self, text: str, own: dict[int, float]) -> tuple[str, int, int, set[str]]:
         """One round over all runs: (text, runs, runs restored, mappings)."""
         runs = self.runs(text)
+        logs = self.model.pair_logs(text)
+        sums, rare = np.r_[0.0, np.cumsum(logs)], np.r_[0, np.cumsum(logs < -16.5)]
         out, at, changed, mappings, left = [], 0, 0, set(), 0
         k = 0
         while k < len(runs):
             a, b = runs[k]
             j = k  # runs of one sentence are wrongly decoded together
-            while j + 1 < len(runs) and runs[j + 1][0] - runs[j][1] <= 30 and not SENTENCE_END.search(text, max(a, runs[j][1] - 1), runs[j + 1][0]):
+            while j + 1 < len(runs) and runs[j + 1][0] - runs[j][1] <= 30 and not SENTENCE_END.search(text, max(a, runs[j][1] - 3), runs[j + 1][0]):
                 j += 1
             end = runs[j][1]
-            stretch = self._other(text, a, end, own)
+            stretch = self._other(text, a, end, own, sums, rare)
             pieces = [(x, y, self._utf8(text, text[x:y], x, own)) for x, y in runs[k : j + 1]]
             if stretch and any(p[2] for p in pieces):  # both fit: the likelier one
                 utf8, last = [], a
@@ -259,9 +281,10 @@ class Repairer:
         lost = REPLACEMENT in text
         if text.isascii():
             return None
-        pairs = symbols(_codes(text))
-        pairs, counts = np.unique(pairs[:-1] * SYMBOLS + pairs[1:], return_counts=True)
-        own = dict(zip(pairs.tolist(), counts.tolist()))
+        s = symbols(_codes(text))
+        pairs, counts = np.unique(s[:-1] * SYMBOLS + s[1:], return_counts=True)
+        elsewhere = np.log2((np.maximum(self.model.n[pairs] - counts, 0) + 0.5) / self.model.total)
+        own = dict(zip(pairs.tolist(), elsewhere.tolist()))
         mappings: set[str] = set()
         found = restored = 0
         for _ in range(3):  # wrongly decoded more than once

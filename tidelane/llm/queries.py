@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelane.llm.encoding import repair_documents
 from tidelane.llm.leaks import leaked_passages
+from tidelane.llm.packing import pack_documents
 from tidelane.llm.stable_sample import vehicle_sample
 from tidelane.llm.stays import collapse_stays
 from tidelane.session import table
@@ -57,7 +58,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_restored(spark, sf_dir).select("doc_id").distinct()
 
 
-QUERIES = {"p8_found": p8_found, "p8_restored": p8_restored, "p7_found": p7_found, "p7_leaks": p7_leaks, "p1_sample": p1_sample, "p1_growth": p1_growth, "p3_found": p3_found, "p3_stays": p3_stays}
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_targets"))
+
+
+QUERIES = {"p6_containers": p6_containers, "p8_found": p8_found, "p8_restored": p8_restored, "p7_found": p7_found, "p7_leaks": p7_leaks, "p1_sample": p1_sample, "p1_growth": p1_growth, "p3_found": p3_found, "p3_stays": p3_stays}
 
 _WEIGHTS = """
     SELECT vehicle_id, sum(CAST(coalesce(floor(b - a), 0) AS BIGINT) + 1)::BIGINT AS max_weight FROM (
