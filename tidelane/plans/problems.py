@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelane.operators.dependency_fill import fill_missing
 from tidelane.operators.regular_grid import empty_periods, regular_grid
 from tidelane.operators.spikes import implausible_values
 from tidelane.session import table
@@ -21,7 +22,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return implausible_values(table(spark, sf_dir, "trajectories")).select("event_id", "field").distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_grid": p2_grid, "p4_found": p4_found}
+def p4_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return implausible_values(table(spark, sf_dir, "trajectories"))
+
+
+def p5_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_missing(table(spark, sf_dir, "flow_data"), table(spark, sf_dir, "discretized_trajectories"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_filled(spark, sf_dir).select("table_name", "row_id", "field")
+
+
+QUERIES = {"p2_found": p2_found, "p2_grid": p2_grid, "p4_found": p4_found, "p4_flags": p4_flags, "p5_found": p5_found, "p5_filled": p5_filled}
 
 ORACLE = {
     "p2_found": """
@@ -37,4 +50,12 @@ ORACLE = {
         FROM periods LEFT JOIN readings USING (vehicle_id, pass_no, t_index)
         WHERE coalesce(usable, 0) = 0
     """,
+    "p5_found": """
+        SELECT DISTINCT 'flow_data' AS table_name, cell_id AS row_id, 'speed' AS field FROM flow_data
+        WHERE speed IS NULL OR isnan(speed) OR speed < 0 OR speed > 60 OR (speed = 0 AND flow > 0 AND NOT isnan(flow)) OR (speed > 1.5 AND flow = 0)
+        UNION ALL
+        SELECT DISTINCT 'discretized_trajectories', obs_id, 't_index' FROM discretized_trajectories WHERE t_index IS NULL OR t_index < 0
+        UNION ALL
+        SELECT DISTINCT 'discretized_trajectories', obs_id, 'x_index' FROM discretized_trajectories WHERE x_index IS NULL OR x_index NOT BETWEEN 0 AND 44
+    """,
 }
