@@ -1,0 +1,217 @@
+"""Filters, smoothers and variational estimates of the speed field from step measurements.
+
+All are recursions in time. A corridor's steps are cut into windows with `warm_up` steps before (and, for the
+smoothers, after) them, so windows and corridors run in parallel and none grows with the table.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidelane.functions import schemes
+from tidelane.functions.diagrams import ARRAYS as M
+from tidelane.functions.diagrams import Diagram
+
+FIELD_SCHEMA = "location string, t_index long, x_index long, speed double, std_speed double"
+
+
+@dataclass(frozen=True)
+class Setting:
+    diagram: Diagram
+    cells: int = 45
+    dt: float = 5.0
+    dx: float = 200.0
+    start: float = 25.0
+    spread: float = 25.0
+    model_variance: float = 1.0
+    measure_variance: float = 1.0
+    window: int = 360
+    warm_up: int = 60
+    particles: int = 100
+    seed: int = 0
+    trust: float = 0.5
+    iterations: int = 100
+    background_variance: float = 25.0
+
+
+def kalman_update(x: np.ndarray, p: np.ndarray, rows: np.ndarray, y: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Measurements y of the cells `rows` with variances r; Joseph form, so p stays symmetric and positive."""
+    if not len(rows):
+        return x, p
+    s = p[np.ix_(rows, rows)] + np.diag(r)
+    low = np.linalg.cholesky(s)
+    gain = np.linalg.solve(low.T, np.linalg.solve(low, p[rows])).T
+    keep = np.eye(len(x))
+    keep[:, rows] -= gain
+    return x + gain @ (y - x[rows]), keep @ p @ keep.T + (gain * r) @ gain.T
+
+
+def kalman_step(x, p, f, q, rows, y, r):
+    """One linear prediction and update."""
+    return kalman_update(f @ x, f @ p @ f.T + q, rows, y, r)
+
+
+def _advance(v: np.ndarray, s: Setting) -> np.ndarray:
+    d = s.diagram
+    return v if d.name == "zero" else d.velocity(schemes.godunov(d.density(v, M), d, s.dt, s.dx), M)
+
+
+def _bands(v: np.ndarray, s: Setting) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Diagonals of d advance / d v, by the chain rule through density."""
+    d = s.diagram
+    if d.name == "zero":
+        return np.zeros_like(v), np.ones_like(v), np.zeros_like(v)
+    r = d.density(v, M)
+    outer, inner = d.d_velocity(schemes.godunov(r, d, s.dt, s.dx), M), d.d_density(v, M)
+    outer, inner = outer * np.ones_like(v), inner * np.ones_like(v)
+    sub, main, sup = schemes.godunov_bands(r, d, s.dt, s.dx)
+    before, after = np.roll(inner, 1, -1), np.roll(inner, -1, -1)
+    return outer * sub * before, outer * main * inner, outer * sup * after
+
+
+def extended_filter(measured: dict, steps: int, s: Setting, smooth: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Speeds and their standard deviations; with smooth, the backward pass over the same forward results."""
+    n, top = s.cells, s.diagram.v_max
+    v, p = np.full(n, s.start), np.eye(n) * s.spread
+    speeds, stds = np.empty((steps, n)), np.empty((steps, n))
+    kept = []
+    for k in range(steps):
+        if k:
+            f = schemes.dense(*_bands(v, s))
+            v_pred, p_pred = _advance(v, s), f @ p @ f.T + np.eye(n) * s.model_variance
+            if smooth:
+                kept.append((v, p, f, v_pred, p_pred))
+        else:
+            v_pred, p_pred = v, p
+        rows, y, r = measured.get(k, (np.zeros(0, int), np.zeros(0), np.zeros(0)))
+        v, p = kalman_update(v_pred, p_pred, rows, y, r * s.measure_variance)
+        v = np.clip(v, 1e-6, 0.999 * top)
+        speeds[k], stds[k] = v, np.sqrt(np.diag(p))
+    if smooth:
+        for k in range(steps - 2, -1, -1):
+            v0, p0, f, v_pred, p_pred = kept[k]
+            gain = np.linalg.solve(p_pred, f @ p0).T
+            speeds[k] = np.clip(v0 + gain @ (v - v_pred), 1e-6, 0.999 * top)
+            p = p0 + gain @ (p - p_pred) @ gain.T
+            v = speeds[k]
+            stds[k] = np.sqrt(np.maximum(np.diag(p), 0))
+    return speeds, stds
+
+
+def ensemble_filter(measured: dict, steps: int, s: Setting) -> tuple[np.ndarray, np.ndarray]:
+    """Perturbed-observation ensemble; all particles advance as one batch."""
+    rng, n, top = np.random.default_rng(s.seed), s.cells, s.diagram.v_max
+    x = np.clip(s.start + np.sqrt(s.spread) * rng.standard_normal((s.particles, n)), 1e-6, 0.999 * top)
+    speeds, stds = np.empty((steps, n)), np.empty((steps, n))
+    for k in range(steps):
+        if k:
+            x = _advance(x, s) + np.sqrt(s.model_variance) * rng.standard_normal(x.shape)
+        rows, y, r = measured.get(k, (np.zeros(0, int), np.zeros(0), np.zeros(0)))
+        if len(rows):
+            away = x - x.mean(0)
+            cross = away.T @ away[:, rows] / (s.particles - 1)
+            gain = np.linalg.solve((cross[rows] + np.diag(r * s.measure_variance)).T, cross.T).T
+            seen = y + np.sqrt(r * s.measure_variance) * rng.standard_normal((s.particles, len(rows)))
+            x = x + (seen - x[:, rows]) @ gain.T
+        x = np.clip(x, 1e-6, 0.999 * top)
+        speeds[k], stds[k] = x.mean(0), x.std(0, ddof=1)
+    return speeds, stds
+
+
+def nudge(measured: dict, steps: int, s: Setting) -> tuple[np.ndarray, np.ndarray]:
+    """Pull measured cells towards the measurement, then let the flow move on."""
+    v = np.full(s.cells, s.start, float)
+    speeds = np.empty((steps, s.cells))
+    for k in range(steps):
+        rows, y, _ = measured.get(k, (np.zeros(0, int), np.zeros(0), np.zeros(0)))
+        v[rows] += s.trust * (np.clip(y, 0, s.diagram.v_max) - v[rows])
+        speeds[k] = v
+        v = np.clip(_advance(v, s), 0, s.diagram.v_max)
+    return speeds, np.full_like(speeds, np.nan)
+
+
+def variational_cost(v: np.ndarray, seen: np.ndarray, weight: np.ndarray, background: np.ndarray, s: Setting) -> tuple[float, np.ndarray]:
+    """Weak-constraint cost of a speed field [steps, cells] and its gradient, by the diagonals of each step's model."""
+    steps, cells = v.shape
+    first = v[0] - background
+    scale_b = s.background_variance / steps**2
+    gap = v[1:] - _advance(v[:-1], s)
+    sub, main, sup = _bands(v[:-1], s)
+    change = np.where(v[:-1] > s.diagram.v_max / 2, v[1:] - v[:-1], 0.0)
+    miss = np.where(weight > 0, v - seen, 0.0)
+    scale_r = s.measure_variance * (max(weight.sum(), 1) / (cells * steps)) ** 2
+    cost = (first**2).sum() / scale_b + (gap**2 + change**2).sum() / s.model_variance + (weight * miss**2).sum() / scale_r
+    g = np.zeros_like(v)
+    g[0] += 2 * first / scale_b
+    g[1:] += 2 * (gap + change) / s.model_variance
+    back = main * gap
+    back[:, :-1] += sub[:, 1:] * gap[:, 1:]
+    back[:, 1:] += sup[:, :-1] * gap[:, :-1]
+    g[:-1] -= 2 * (back + change) / s.model_variance
+    return float(cost), g + 2 * weight * miss / scale_r
+
+
+def variational(measured: dict, steps: int, s: Setting) -> tuple[np.ndarray, np.ndarray]:
+    """Adam on the whole window's field, from nudged speeds; returns the field."""
+    seen, weight = np.zeros((steps, s.cells)), np.zeros((steps, s.cells))
+    for k, (rows, y, _) in measured.items():
+        if 0 <= k < steps:
+            seen[k, rows], weight[k, rows] = y, 1.0
+    v, _ = nudge(measured, steps, s)
+    top = s.diagram.v_max
+    v = np.clip(v, 1e-6, 0.999 * top)
+    background, rate = v[0].copy(), 0.01 * top
+    m1, m2, best = np.zeros_like(v), np.zeros_like(v), (np.inf, v)
+    for k in range(1, s.iterations + 1):
+        cost, g = variational_cost(v, seen, weight, background, s)
+        if cost < best[0]:
+            best = (cost, v.copy())
+        m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
+        v = np.clip(v - rate * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.999**k)) + 1e-8), 1e-6, 0.999 * top)
+    return best[1], np.full_like(v, np.nan)
+
+
+METHODS = {
+    "ekf": extended_filter,
+    "rts": lambda measured, steps, s: extended_filter(measured, steps, s, smooth=True),
+    "enkf": ensemble_filter,
+    "nudging": nudge,
+    "variational": variational,
+}
+
+
+def estimate(measurements: DataFrame, s: Setting, method: str, by: list[str] | None = None) -> DataFrame:
+    """The estimated speed of every cell and step of each window that holds a measurement.
+
+    measurements: location, step, x_index, v_um, n. Unknown methods are refused. Both smoothers also see warm_up
+    steps after the window.
+    """
+    if method not in METHODS:
+        raise ValueError(f"no method {method!r}")
+    after = s.warm_up if method in ("rts", "variational") else 0
+    own = F.floor(F.col("step") / s.window)
+    served = F.array_distinct(F.array(own, F.floor((F.col("step") + s.warm_up) / s.window), F.floor((F.col("step") - after) / s.window)))
+    rows = measurements.select("location", "step", "x_index", "v_um", "n", F.explode(served).alias("_w"))
+
+    def run(pdf):
+        import pandas as pd
+
+        location, w = pdf["location"].iloc[0], int(pdf["_w"].iloc[0])
+        begin = w * s.window - s.warm_up
+        steps = s.warm_up + s.window + after
+        measured = {}
+        for step, g in pdf.sort_values(["step", "x_index"]).groupby("step"):
+            measured[int(step) - begin] = (g["x_index"].to_numpy(int), g["v_um"].to_numpy(float) / 1e6, 1.0 / g["n"].to_numpy(float))
+        if not any(s.warm_up <= k < s.warm_up + s.window for k in measured):
+            kinds = {"location": object, "t_index": "int64", "x_index": "int64", "speed": float, "std_speed": float}
+            return pd.DataFrame({c: pd.Series(dtype=k) for c, k in kinds.items()})
+        speeds, stds = METHODS[method](measured, steps, s)
+        kept = slice(s.warm_up, s.warm_up + s.window)
+        t = np.repeat(np.arange(w * s.window, (w + 1) * s.window), s.cells)
+        return pd.DataFrame({"location": location, "t_index": t, "x_index": np.tile(np.arange(s.cells), s.window), "speed": speeds[kept].ravel(), "std_speed": stds[kept].ravel()})
+
+    return rows.groupBy("location", "_w").applyInPandas(run, FIELD_SCHEMA)

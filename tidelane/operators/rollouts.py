@@ -1,0 +1,84 @@
+"""States carried forward many steps: one task per state, never one job per step."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidelane.functions import schemes
+from tidelane.functions.diagrams import COLUMNS as M
+from tidelane.functions.diagrams import Diagram, SecondOrder
+
+
+def as_arrays(states: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
+    """One row per state, its cells' values as arrays in order of x_index (a state has a fixed number of cells)."""
+    listed = F.array_sort(F.collect_list(F.struct("x_index", *columns)))
+    return states.groupBy(*key).agg(listed.alias("_c")).select(*key, *[F.col(f"_c.{c}").alias(c) for c in columns])
+
+
+def godunov_final(states: DataFrame, d: Diagram, dt: float, dx: float, steps: int) -> DataFrame:
+    """rho_final after `steps` steps of an array column rho, with higher-order functions only: no Python in the plan."""
+    top = d.flow(F.lit(float(d.rho_c)), M)
+
+    def step(u: Column, _: Column) -> Column:
+        demand = F.transform(u, lambda r: F.when(r <= d.rho_c, d.flow(r, M)).otherwise(top))
+        supply = F.transform(u, lambda r: F.when(r <= d.rho_c, top).otherwise(d.flow(r, M)))
+        flows = F.struct(u.alias("u"), demand.alias("d"), supply.alias("s"))
+
+        def moved(all_: Column) -> Column:
+            last = F.size(all_["u"]) - 1
+            return F.transform(
+                all_["u"],
+                lambda r, i: r
+                - dt / dx * (F.least(F.get(all_["d"], i), F.get(all_["s"], F.least(i + 1, last))) - F.least(F.get(all_["d"], F.greatest(i - 1, F.lit(0))), F.get(all_["s"], i))),
+            )
+
+        return F.element_at(F.transform(F.array(flows), moved), 1)
+
+    return states.withColumn("rho_final", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.col("rho"), step))
+
+
+def rollout(states: DataFrame, key: list[str], model: Diagram | SecondOrder, dt: float, dx: float, steps: int, solver: str, ramps: dict[int, float] | None = None, keep_every: int = 1) -> DataFrame:
+    """The history of each state: key, step, x_index, rho (and q). Step 0 is the start.
+
+    solver: godunov, lax_friedrichs for a Diagram; rusanov, lax_friedrichs, high_resolution for a SecondOrder model.
+    Another solver is refused here, not in the tasks.
+    """
+    second = isinstance(model, SecondOrder)
+    if solver not in (("rusanov", "lax_friedrichs", "high_resolution") if second else ("godunov", "lax_friedrichs")):
+        raise ValueError(f"no solver {solver!r} for {type(model).__name__}")
+    cells, ratios = np.array(sorted(ramps or {}), int), np.array([(ramps or {})[k] for k in sorted(ramps or {})])
+    columns = ["rho", "q"] if second else ["rho"]
+    arrays = as_arrays(states, key, columns)
+    types = ", ".join(f"{n} {t}" for n, t in arrays.select(*key).dtypes)
+
+    def one(r: np.ndarray, q: np.ndarray | None):
+        if not second:
+            if solver == "godunov":
+                return schemes.godunov(r, model, dt, dx), None
+            p = schemes.padded(r)
+            f = model.flow(p, schemes.M)
+            return 0.5 * (p[..., 2:] + p[..., :-2]) - dt / (2 * dx) * (f[..., 2:] - f[..., :-2]), None
+        if solver == "high_resolution":
+            return schemes.high_resolution(r, q, model, dt, dx)
+        r, q = schemes.second_order(r, q, model, dt, dx, solver, ramps=cells, ratios=ratios)
+        top, fast = model.diagram.rho_max, model.diagram.v_max
+        return np.clip(r, 1e-4, 0.999 * top), np.clip(q, 0, 2 * top * fast)
+
+    def carry(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                r = np.asarray(row.rho, float)
+                q = np.asarray(row.q, float) if second else None
+                frames = []
+                for k in range(steps + 1):
+                    if k % keep_every == 0:
+                        frames.append(pd.DataFrame({**{n: getattr(row, n) for n in key}, "step": k, "x_index": np.arange(len(r)), "rho": r, **({"q": q} if second else {})}))
+                    if k < steps:
+                        r, q = one(r, q)
+                yield pd.concat(frames)
+
+    return arrays.mapInPandas(carry, f"{types}, step int, x_index long, " + ", ".join(f"{c} double" for c in columns))

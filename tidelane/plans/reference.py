@@ -486,3 +486,89 @@ def weno_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def modified_hesitation(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, r = ModifiedSecondOrder(rho_max=0.2), F.col("rho")
     return _states(spark, sf_dir).select("location", "t_index", "x_index", _milli(m.h(r, M)).alias("h_e5"), _milli(m.r_dh(r, M)).alias("rdh_e5"), _milli(m.v_eq(r, M)).alias("v_e5"))
+
+
+# ---- recursions: rollouts and estimators (checked against independent numpy versions in the tests)
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ms.step_measurements(ms.observations(table(spark, sf_dir, "discretized_trajectories"), CELLS))
+
+
+def _estimator(method: str, family: str, **options):
+    from tidelane.operators.estimators import Setting, estimate
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return estimate(_measured(spark, sf_dir), Setting(diagram(family), **options), method)
+
+    run.__name__ = f"estimate_{method}_{family}"
+    return query()(run)
+
+
+_estimator("ekf", "zero")
+_estimator("ekf", "quadratic_linear")
+_estimator("rts", "quadratic_linear")
+_estimator("enkf", "quadratic_linear", particles=30)
+_estimator("nudging", "quadratic_linear")
+_estimator("variational", "quadratic_linear", iterations=30)
+
+
+@query()
+def godunov_rollout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelane.operators.rollouts import as_arrays, godunov_final
+
+    states = as_arrays(_states(spark, sf_dir), STATE, ["rho"])
+    return godunov_final(states, FAMILIES["greenshields"], DT, DX, 12).select(*STATE, "rho_final")
+
+
+def _rollout(name: str, second: bool, solver: str, ramps: dict | None = None):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tidelane.operators.rollouts import rollout
+
+        states = _arz_states(spark, sf_dir) if second else _states(spark, sf_dir)
+        return rollout(states, STATE, ARZ if second else FAMILIES["greenshields"], 1.0, DX, 12, solver, ramps, keep_every=12)
+
+    run.__name__ = name
+    query()(run)
+
+
+_rollout("lwr_godunov_history", False, "godunov")
+_rollout("lwr_lax_friedrichs_history", False, "lax_friedrichs")
+_rollout("arz_rusanov_history", True, "rusanov")
+_rollout("arz_ramps_history", True, "rusanov", {10: 1.1, 30: 0.9})
+_rollout("arz_high_resolution_history", True, "high_resolution")
+
+
+@query()
+def method_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The experiment: every method on the probes' measurements, its error against all vehicles and against hidden ones."""
+    from tidelane.operators.estimators import Setting, estimate
+
+    rows = readings(spark, sf_dir)
+    steps = tr.discretise(rows, DT, DX, CELLS)
+    located = rows.select("vehicle_id", "pass_no", "location").distinct()
+    steps = steps.join(located, ["vehicle_id", "pass_no"])
+    probes = tr.sample_vehicles(steps, 0.3).select(F.xxhash64("vehicle_id", "pass_no", "t_index").alias("obs_id"), "location", "t_index", "x_index", "v_um")
+    measured = ms.step_measurements(probes).persist()
+    hidden = metrics.hidden_vehicles(steps, tr.sample_vehicles(steps, 0.3)).withColumn("hidden", F.lit(True))
+    seen = tr.sample_vehicles(steps, 0.3).withColumn("hidden", F.lit(False))
+    truth = hidden.unionByName(seen)
+    out = None
+    for method, family in (("ekf", "zero"), ("ekf", "quadratic_linear"), ("nudging", "quadratic_linear")):
+        field = estimate(measured, Setting(diagram(family)), method).select("location", "t_index", "x_index", um(F.col("speed")).alias("field_um"))
+        part = metrics.root_mean_square(metrics.squared_errors(truth, field), ["hidden"]).withColumn("method", F.lit(f"{method}_{family}"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def step_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean negative log-likelihood of each corridor's speeds under a normal model of the step before: A12 on real states."""
+    f = _flow_field(spark, sf_dir).where("v_um is not null")
+    from tidelane.operators.rollouts import as_arrays
+
+    arrays = as_arrays(f.withColumn("v", F.col("v_um") / 1e6), STATE, ["v"]).where(F.size("v") == CELLS)
+    unit = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda j: F.when(i == j, 9.0).otherwise(0.0)))
+    before = arrays.select("location", (F.col("t_index") + 1).alias("t_index"), F.col("v").alias("mean"), unit.alias("covariance"))
+    out = metrics.negative_log_likelihood(arrays.withColumnRenamed("v", "values"), before, ["location"])
+    return out.select("location", F.round("mean_nll", 6).alias("mean_nll"))
