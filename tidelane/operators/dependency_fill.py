@@ -216,7 +216,8 @@ def fill_indices(discretized: DataFrame, cells: int = 45, step: float = 5.0, cel
     states = 2 * reach + 1
 
     def coded(name: str, width: float) -> list[Column]:
-        spot = F.greatest(F.col(f"{name}_guess"), F.lit(0.0)) / width
+        guessed = F.col(f"{name}_guess")
+        spot = F.when(guessed.isNotNull(), F.greatest(guessed, F.lit(0.0))) / width
         base = F.floor(spot)
         away = F.col(f"{name}_known") - base + reach
         return [
@@ -236,8 +237,9 @@ def fill_indices(discretized: DataFrame, cells: int = 45, step: float = 5.0, cel
         tree = fit_tree(table, fields)
         lacking = table.where(F.col(f"{name}_known").isNull()).drop(f"c_{name}").withColumn(f"c_{name}", F.lit(None).cast("long"))
         filled = fill_states(lacking, tree, f"c_{name}", ["row_id", f"{name}_base", own])
-        value = F.coalesce(F.floor(F.col(own) / width), F.greatest(F.col(f"{name}_base") + F.col("state") - reach, F.lit(0))).cast("double")
-        value = F.least(value, F.lit(float(cells - 1))) if name == "x" else value
+        base = F.col(f"{name}_base")
+        value = F.coalesce(F.floor(F.col(own) / width), F.when(base.isNotNull(), F.greatest(base + F.col("state") - reach, F.lit(0)))).cast("double")
+        value = F.when(value.isNotNull(), F.least(value, F.lit(float(cells - 1)))) if name == "x" else value
         part = filled.select(
             F.lit("discretized_trajectories").alias("table_name"), "row_id", F.lit(f"{name}_index").alias("field"), value.alias("value"),
             value.isNotNull().alias("filled"), F.when(F.col(own).isNotNull(), 1.0).otherwise(F.col("probability")).alias("probability"),
