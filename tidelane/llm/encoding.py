@@ -187,6 +187,8 @@ class Repairer:
     def _better(self, before: str, old: str, new: str, after: str, own: dict[int, float], bonus: float) -> bool:
         if any(unicodedata.category(c) in ("Cc", "Cn", "Co", "Cs") and not 0x80 <= ord(c) < 0xA0 for c in new):
             return False
+        if unicodedata.combining(new[0]):
+            return False
         if new.isspace() and (not before or before[-1].isspace()):
             return False
         if not _same_case(before, new, after):

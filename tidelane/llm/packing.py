@@ -91,7 +91,7 @@ def pack(
 
     Items are spread over tasks by a hash of doc_id and packed there online with open_windows containers per
     capacity. What is left open at the end (at most open_windows per task and capacity) is merged in rounds:
-    merge_ways tasks' leftovers go to one, are packed again whole and leave at most open_windows open, until one
+    merge_ways tasks' leftovers go to one, their items are packed anew and leave at most open_windows open, until one
     task's are left. So no task gets more than merge_ways * open_windows leftovers, whatever the input.
     """
     spark = sizes.sparkSession
@@ -170,20 +170,24 @@ class _Rows:
 
 
 def _merger(targets: list[tuple[int, int]], open_windows: int, level: int):
-    """Leftover containers of several tasks packed into one another, each staying whole, largest first."""
+    """Items of several tasks' leftover containers packed anew, largest first, each where it fits best."""
 
     def merge(left):
         import pandas as pd
 
         slot, rows = int(left["slot"].iloc[0]), []
         for target, capacity in targets:
-            own = left[left["target_id"] == target].sort_values(["bin", "position"])
-            leftovers = [(int(g["n_tokens"].sum()), b, list(zip(g["doc_id"], g["piece"], g["n_tokens"]))) for b, g in own.groupby("bin", sort=True)]
-            leftovers.sort(key=lambda x: (-x[0], x[1]))
-            windows, closed = Windows(capacity, len(leftovers) + 1), 0
-            for size, _, items in leftovers:
-                for items in _split(windows.put(size, items)):
-                    rows += [(target, f"{level}-{slot}-{closed}", p, *i, False, slot) for p, i in enumerate(items)]
+            own = left[left["target_id"] == target].sort_values(["bin", "n_tokens", "doc_id", "piece"], ascending=[True, False, True, True])
+            units: list[tuple[int, list]] = []
+            for _, g in own.groupby("bin", sort=True):
+                items = list(zip(g["doc_id"], g["piece"], g["n_tokens"]))
+                held = max(1, sum(i[2] > 0 for i in items))  # items without tokens stay with their container's last
+                units += [(int(items[k][2]), items[k : k + 1] if k < held - 1 else items[k:]) for k in range(held)]
+            units.sort(key=lambda u: (-u[0], u[1][0][0], u[1][0][1]))
+            windows, closed = Windows(capacity, len(units) + 1), 0
+            for size, items in units:
+                for full in _split(windows.put(size, items)):
+                    rows += [(target, f"{level}-{slot}-{closed}", p, *i, False, slot) for p, i in enumerate(full)]
                     closed += 1
             rest = windows.rest()  # fullest first: the emptiest stay open for the next round
             for k, items in enumerate(rest):

@@ -21,32 +21,25 @@ def segment(cells: list[int], sizes: list[int], penalty: float, dissimilarity: f
     """Split runs into segments of least total cost; returns the (first, last) run of each segment.
 
     A segment costs `penalty`, and each of its events in a cell next to the segment's costs `dissimilarity`.
-    A segment begins and ends in its own cell. Extending is given up (exactly, not as a shortcut) once the events
-    away from the cell since it was last seen cost more than the two boundaries that cutting them out would.
-    Of equally cheap splits the one with the longer earlier segment is taken.
+    A segment begins and ends in its own cell, and its cell stands directly before and after each run of a cell
+    next to it. Extending is given up (exactly, not as a shortcut) once such a run costs more than the two
+    boundaries that cutting it out would. Of equally cheap splits the one with the longer earlier segment is taken.
     """
     n = len(cells)
     best, step = [0.0] * (n + 1), [0] * n
     for i in range(n - 1, -1, -1):
-        cell = cells[i]
-        cost, away = penalty, 0.0
+        cell, cost = cells[i], penalty
         least, last = penalty + best[i + 1], i
-        k = i + 1
-        while k < n:
-            gap = cells[k] - cell
-            if gap == 0:
-                cost += away
-                away = 0.0
-                total = cost + best[k + 1]
-                if total <= least:
-                    least, last = total, k
-            elif gap == 1 or gap == -1:
-                away += dissimilarity * sizes[k]
-                if away > 2 * penalty:
-                    break
-            else:
+        k = i + 2  # runs of the cell lie two apart, with one run of another between them
+        while k < n and cells[k] == cell and abs(cells[k - 1] - cell) == 1:
+            away = dissimilarity * sizes[k - 1]
+            if away > 2 * penalty:
                 break
-            k += 1
+            cost += away
+            total = cost + best[k + 1]
+            if total <= least:
+                least, last = total, k
+            k += 2
         best[i], step[i] = least, last
     out, i = [], 0
     while i < n:
