@@ -38,3 +38,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str, per_core: int = 3) -> DataFrame:
+    """Rows spread by a hash of `key` over a few tasks per core, if the scan gives fewer.
+
+    For stages that work long on each row of a small table; a table with splits enough is left as it is, unshuffled.
+    """
+    wanted = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
