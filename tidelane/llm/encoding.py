@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelane.session import spread
+
 REPAIR_SCHEMA = "doc_id bigint, restored_text string, n_runs bigint, n_restored bigint, mappings string, restorable boolean"
 REPLACEMENT = "�"
 
@@ -315,8 +317,9 @@ def repair_documents(documents: DataFrame) -> DataFrame:
     ASCII texts are never cases; repeated rows each count; an empty table gives no rows; extra columns are ignored.
 
     The corpus is read twice: once for pair counts, added up per task, of which at most SYMBOLS^2 reach the
-    driver as one table of fixed size; once, without a shuffle, to repair.
+    driver as one table of fixed size; once to repair. Texts are shuffled only where a table has few splits.
     """
+    documents = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id")
     counts = pair_counts(documents).toPandas()
     pairs, n = counts["pair"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
 
@@ -332,4 +335,4 @@ def repair_documents(documents: DataFrame) -> DataFrame:
             columns = list(zip(*out)) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").where("length(text) > 0").mapInArrow(repair, REPAIR_SCHEMA)
+    return documents.where("length(text) > 0").mapInArrow(repair, REPAIR_SCHEMA)

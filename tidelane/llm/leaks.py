@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelane.session import spread
+
 #: Positions that a seed compares; the others may hold any word. Within 12 words of which 2 are altered, added or
 #: dropped, some 4 in a row are whole, so the first mask alone finds every passage; the others bridge alterations.
 MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 5))
@@ -193,17 +195,18 @@ def leaked_passages(
     than `least` words; repeated documents each count; a repeated test_id counts once. Extra columns are ignored.
 
     The items are taken in blocks of at most block_words words (one block, unless the evaluation set is huge),
-    each small enough for every task to hold; the documents are read once per block and never shuffled.
+    each small enough for every task to hold; the documents are read once per block, and shuffled only where a table has few splits.
     """
     size = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))
     sized = items.where(F.col("test_id").isNotNull()).select("test_id", "text", size.alias("n"))
     total = sized.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-total // block_words))
+    documents = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id")
     out = None
     for block in range(blocks):
         part = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("test_id"), F.lit(blocks)) == block)
         rows = [(r.test_id, r.text) for r in part.select("test_id", "text").dropDuplicates(["test_id"]).collect()]
-        found = documents.select(F.col("doc_id").cast("bigint"), "text").where("length(text) > 0").mapInArrow(_finder(rows, least, per_edit, edits), FOUND_SCHEMA)
+        found = documents.where("length(text) > 0").mapInArrow(_finder(rows, least, per_edit, edits), FOUND_SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 

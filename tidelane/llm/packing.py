@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelane.session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How that public vocabulary cuts text before merging (fixed value of the vocabulary).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -30,7 +32,7 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
             sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(count, "doc_id bigint, n_tokens bigint")
+    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id").mapInArrow(count, "doc_id bigint, n_tokens bigint")
 
 
 class Windows:
