@@ -203,9 +203,12 @@ def estimate(measurements: DataFrame, s: Setting, method: str, by: list[str] | N
         location, w = pdf["location"].iloc[0], int(pdf["_w"].iloc[0])
         begin = w * s.window - s.warm_up
         steps = s.warm_up + s.window + after
-        measured = {}
-        for step, g in pdf.sort_values(["step", "x_index"]).groupby("step"):
-            measured[int(step) - begin] = (g["x_index"].to_numpy(int), g["v_um"].to_numpy(float) / 1e6, 1.0 / g["n"].to_numpy(float))
+        order = np.lexsort((pdf["x_index"].to_numpy(), pdf["step"].to_numpy()))
+        step, cell = pdf["step"].to_numpy(int)[order] - begin, pdf["x_index"].to_numpy(int)[order]
+        speed, variance = pdf["v_um"].to_numpy(float)[order] / 1e6, 1.0 / pdf["n"].to_numpy(float)[order]
+        at, first = np.unique(step, return_index=True)
+        last = np.r_[first[1:], len(step)]
+        measured = {int(k): (cell[i:j], speed[i:j], variance[i:j]) for k, i, j in zip(at, first, last)}
         if not any(s.warm_up <= k < s.warm_up + s.window for k in measured):
             kinds = {"location": object, "t_index": "int64", "x_index": "int64", "speed": float, "std_speed": float}
             return pd.DataFrame({c: pd.Series(dtype=k) for c, k in kinds.items()})
@@ -214,4 +217,6 @@ def estimate(measurements: DataFrame, s: Setting, method: str, by: list[str] | N
         t = np.repeat(np.arange(w * s.window, (w + 1) * s.window), s.cells)
         return pd.DataFrame({"location": location, "t_index": t, "x_index": np.tile(np.arange(s.cells), s.window), "speed": speeds[kept].ravel(), "std_speed": stds[kept].ravel()})
 
-    return rows.groupBy("location", "_w").applyInPandas(run, FIELD_SCHEMA)
+    # A fixed number of partitions: little data, but long work for each window, so small ones must not be merged.
+    tasks = 3 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks, "location", "_w").groupBy("location", "_w").applyInPandas(run, FIELD_SCHEMA)

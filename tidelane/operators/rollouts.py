@@ -50,7 +50,8 @@ def rollout(states: DataFrame, key: list[str], model: Diagram | SecondOrder, dt:
         raise ValueError(f"no solver {solver!r} for {type(model).__name__}")
     cells, ratios = np.array(sorted(ramps or {}), int), np.array([(ramps or {})[k] for k in sorted(ramps or {})])
     columns = ["rho", "q"] if second else ["rho"]
-    arrays = as_arrays(states, key, columns)
+    tasks = 3 * states.sparkSession.sparkContext.defaultParallelism  # little data, long work: small partitions must not be merged
+    arrays = as_arrays(states.repartition(tasks, *key), key, columns)
     types = ", ".join(f"{n} {t}" for n, t in arrays.select(*key).dtypes)
 
     def one(r: np.ndarray, q: np.ndarray | None):
@@ -69,16 +70,16 @@ def rollout(states: DataFrame, key: list[str], model: Diagram | SecondOrder, dt:
     def carry(batches):
         import pandas as pd
 
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                r = np.asarray(row.rho, float)
-                q = np.asarray(row.q, float) if second else None
-                frames = []
+        for pdf in batches:  # states of equally many cells advance as one array
+            for n, same in pdf.groupby(pdf["rho"].map(len)):
+                r = np.stack(same["rho"].to_list()).astype(float)
+                q = np.stack(same["q"].to_list()).astype(float) if second else None
+                ids = {name: np.repeat(same[name].to_numpy(), n) for name in key}
                 for k in range(steps + 1):
                     if k % keep_every == 0:
-                        frames.append(pd.DataFrame({**{n: getattr(row, n) for n in key}, "step": k, "x_index": np.arange(len(r)), "rho": r, **({"q": q} if second else {})}))
+                        values = {"rho": r.ravel(), **({"q": q.ravel()} if second else {})}
+                        yield pd.DataFrame({**ids, "step": k, "x_index": np.tile(np.arange(n), len(r)), **values})
                     if k < steps:
                         r, q = one(r, q)
-                yield pd.concat(frames)
 
     return arrays.mapInPandas(carry, f"{types}, step int, x_index long, " + ", ".join(f"{c} double" for c in columns))
