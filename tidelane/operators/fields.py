@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidelane.operators.grouped import time_blocks
 from tidelane.operators.trajectory import mean_micro, micro, with_cells
+from tidelane.session import cut_lineage
 
 CELL = ["location", "t_index", "x_index"]
 
@@ -54,10 +55,12 @@ def weighted_fields(rows: DataFrame, dt: float, dx: float) -> DataFrame:
     return cells.join(step, ["location", "t_index"]).withColumn("share_um", F.floor(F.col("n_readings") * 1e6 / F.col("_all") + 0.5).cast("long")).drop("_all")
 
 
-def dense_grid(field: DataFrame, cells: int, value: str) -> DataFrame:
+def dense_grid(field: DataFrame, cells: int, value: str, block: int = 1000) -> DataFrame:
     """Every cell of every step from a location's first observed step to its last; null where nothing was seen."""
     extent = field.groupBy("location").agg(F.min("t_index").alias("a"), F.max("t_index").alias("b"))
-    steps = extent.select("location", F.explode(F.sequence("a", "b")).alias("t_index"))
+    blocks = extent.withColumn("_s", F.explode(F.sequence(F.floor(F.col("a") / block), F.floor(F.col("b") / block)))).repartition("location", "_s")
+    ends = F.sequence(F.greatest("a", F.col("_s") * block), F.least("b", (F.col("_s") + 1) * block - 1))
+    steps = blocks.select("location", F.explode(ends).alias("t_index"))
     grid = steps.withColumn("x_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
     return grid.join(field.select(*CELL, value), CELL, "left")
 
@@ -88,7 +91,6 @@ def nearest_fill(grid: DataFrame, value: str, reach: int = 16) -> DataFrame:
     """
     known = grid.where(F.col(value).isNotNull()).select("location", F.col("t_index").alias("ot"), F.col("x_index").alias("ox"), F.col(value).alias("ov"))
     missing = grid.where(F.col(value).isNull()).select(*CELL)
-    spark = grid.sparkSession
     done, size = grid.where(F.col(value).isNotNull()).select(*CELL, value), reach
     while not missing.isEmpty():
         near = known.withColumn("_b", F.explode(F.array(*[F.floor(F.col("ot") / size) + k for k in (-1, 0, 1)])))
@@ -96,15 +98,12 @@ def nearest_fill(grid: DataFrame, value: str, reach: int = 16) -> DataFrame:
         dt, dx = F.col("ot") - F.col("t_index"), F.col("ox") - F.col("x_index")
         best = met.groupBy(*CELL).agg(F.min(F.when(F.col("ot").isNotNull(), F.struct((dt * dt + dx * dx).alias("d"), "ot", "ox", "ov"))).alias("m"))
         sure = F.col("m").isNotNull() & (F.col("m.d") <= size * size)
-        from tidelane.session import cut_lineage
-
         best = cut_lineage(best)
         done = done.unionByName(best.where(sure).select(*CELL, F.col("m.ov").alias(value)))
         left = best.where(~sure).select(*CELL)
         if size > 10_000_000:  # a location without any observation
             return done.unionByName(left.withColumn(value, F.lit(None).cast("long")))
         missing, size = left, size * 4
-    del spark
     return done
 
 
@@ -159,3 +158,16 @@ def adaptive_smoothing(
     sums = met.groupBy(*CELL).agg((F.sum(F.col("wc") * F.col("v")) / F.sum("wc")).alias("vc"), (F.sum(F.col("wf") * F.col("v")) / F.sum("wf")).alias("vf"))
     w = 0.5 * (1 + F.tanh((v_threshold - F.least("vc", "vf")) / width))
     return sums.select(*CELL, (w * F.col("vc") + (1 - w) * F.col("vf")).alias("speed"))
+
+
+def moving_average(field: DataFrame, value: str, around: int, block: int = 2000) -> DataFrame:
+    """Mean over `around` steps before and after in each cell; beyond a cell's ends its end value counts again."""
+    blocks = time_blocks(field.select(*CELL, value), F.col("t_index"), block, around, "_b", "_own")
+    by = Window.partitionBy("location", "x_index", "_b").orderBy("t_index")
+    near = by.rowsBetween(-around, around)
+    ahead, behind = F.row_number().over(by) - 1, F.count("*").over(by.rowsBetween(0, Window.unboundedFollowing)) - 1
+    inside = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    lacking_before, lacking_after = F.greatest(around - ahead, F.lit(0)), F.greatest(around - behind, F.lit(0))
+    total = F.sum(value).over(near) + lacking_before * F.first(value).over(inside) + lacking_after * F.last(value).over(inside)
+    mean = F.floor(total / F.lit(2 * around + 1).cast("double") + 0.5).cast("long")
+    return blocks.withColumn("smooth_um", mean).where("_own").select(*CELL, "smooth_um")

@@ -14,13 +14,25 @@ def relative_time(rows: DataFrame, milliseconds: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(start)).withColumn("time_seconds", seconds).withColumn("time_minutes", seconds / 60.0).drop("_start")
 
 
-def unique_trips(rows: DataFrame, vehicle: str, order: list[str], place: str, drop: float) -> DataFrame:
-    """Ids used again: a vehicle whose place falls by more than `drop` starts a new trip (id_0, id_1, ...)."""
-    by = Window.partitionBy(vehicle).orderBy(*order)
-    back = F.coalesce(F.col(place) - F.lag(place).over(by) < -drop, F.lit(False))
-    rows = rows.withColumn("_back", back.cast("int"))
-    trips = F.sum("_back").over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn(vehicle, F.concat(F.col(vehicle), F.lit("_"), trips.cast("string"))).drop("_back")
+def unique_trips(rows: DataFrame, vehicle: str, order: list[str], place: str, drop: float, block: int = 3_600_000) -> DataFrame:
+    """Ids used again: a vehicle whose place falls by more than `drop` starts a new trip (id_0, id_1, ...).
+
+    order[0] is a number (milliseconds). A vehicle's rows are cut into blocks of it; only one row per block, with its
+    ends and its number of new trips, is brought together by vehicle, so a vehicle with many rows isn't one task's.
+    """
+    rows = rows.withColumn("_b", F.floor(F.col(order[0]) / block))
+    by = Window.partitionBy(vehicle, "_b").orderBy(*order)
+    back = lambda now, before: F.coalesce(now - before < -drop, F.lit(False)).cast("int")
+    rows = rows.withColumn("_back", back(F.col(place), F.lag(place).over(by)))
+    key = F.struct(*order)
+    ends = rows.groupBy(vehicle, "_b").agg(F.min_by(place, key).alias("_first"), F.max_by(place, key).alias("_last"), F.sum("_back").alias("_inside"))
+    over = Window.partitionBy(vehicle).orderBy("_b")
+    ends = ends.withColumn("_edge", back(F.col("_first"), F.lag("_last").over(over)))
+    before = F.sum(F.col("_inside") + F.col("_edge")).over(over.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_inside")
+    rows = rows.withColumn("_trips", F.sum("_back").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(ends.select(F.col(vehicle).alias("_v"), F.col("_b").alias("_w"), before.alias("_before")), (F.col(vehicle) == F.col("_v")) & (F.col("_b") == F.col("_w")))
+    trip = F.concat(F.col(vehicle), F.lit("_"), (F.col("_trips") + F.col("_before")).cast("string"))
+    return rows.withColumn(vehicle, trip).drop("_b", "_back", "_trips", "_before", "_v", "_w")
 
 
 def clip(rows: DataFrame, x_limits: tuple[float, float] | None = None, t_limits: tuple[float, float] | None = None) -> DataFrame:

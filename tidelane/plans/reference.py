@@ -215,6 +215,15 @@ def coarse_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.coarsen(_flow_field(spark, sf_dir), "v_um", 4, 2, CELLS).withColumn("v_um", F.col("v_um").cast("double"))
 
 
+@query(f"""WITH {_READ}, {_MINUTE}, filled AS (SELECT location, t_index, x_index, coalesce(last_value(v_um IGNORE NULLS) OVER (PARTITION BY location, x_index ORDER BY t_index ROWS UNBOUNDED PRECEDING), 25000000) AS v FROM dense),
+    n AS (SELECT *, row_number() OVER w - 1 AS a, count(*) OVER (PARTITION BY location, x_index) - row_number() OVER w AS z, first_value(v) OVER p AS f, last_value(v) OVER p AS l,
+      sum(v) OVER (PARTITION BY location, x_index ORDER BY t_index ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS s FROM filled
+      WINDOW w AS (PARTITION BY location, x_index ORDER BY t_index), p AS (PARTITION BY location, x_index ORDER BY t_index ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+    SELECT location, t_index, x_index, CAST(floor((s + greatest(3 - a, 0) * f + greatest(3 - z, 0) * l) / 7e0 + 0.5e0) AS BIGINT) AS smooth_um FROM n""")
+def moving_average_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.moving_average(fields.forward_fill(_dense(spark, sf_dir), "v_um", 25_000_000), "v_um", 3)
+
+
 _ASM = """
     met AS (SELECT g.location, g.t_index, g.x_index, o.v_um / 1e6 AS v, (g.t_index - o.t_index) * 60e0 AS a, (g.x_index - o.x_index) * 200e0 AS b
       FROM flow_field g JOIN flow_field o ON g.location = o.location AND abs(g.t_index - o.t_index) <= 4 AND abs(g.x_index - o.x_index) <= 4 AND o.v_um IS NOT NULL),
@@ -415,6 +424,18 @@ def affine_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(stencils.affine_coefficients(_states(spark, sf_dir), STATE, triangular(0.1, 1.8, 0.2), DT, DX), "sub", "diag", "super", "bias")
 
 
+_VV = "({v}) * (({v}) - 30e0)"
+
+
+@query(f"""WITH {_FLOW}, ds AS (SELECT location, t_index, x_index, coalesce(speed, 15e0) AS v FROM flow_field),
+    f AS (SELECT *, {_VV.format(v="greatest(v, 15e0)")} AS d, {_VV.format(v="least(v, 15e0)")} AS s FROM ds),
+    n AS (SELECT *, coalesce(lead(s) OVER w, s) AS s_r, coalesce(lag(d) OVER w, d) AS d_l FROM f WINDOW w AS (PARTITION BY location, t_index ORDER BY x_index))
+    SELECT location, t_index, x_index, {_UM.format(c="(v - 5e0 / 200e0 * (greatest(d, s_r) - greatest(d_l, s)))")} AS v_next FROM n""")
+def convex_speed_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _flow_field(spark, sf_dir).select("location", "t_index", "x_index", F.coalesce("speed", F.lit(15.0)).alias("v"))
+    return _whole(stencils.convex_godunov_step(rows, STATE, lambda v, m: v * (v - 30.0), 15.0, DT, DX), "v_next")
+
+
 @query(f"WITH {_ARZ_STATE.format(sides=_EDGE)} {_ARZ_OUT.format(ao='greatest(a, a_r)', ai='greatest(a_l, a)')}")
 def rusanov_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(stencils.second_order_step(_arz_states(spark, sf_dir), STATE, ARZ, DT, DX), "rho_next", "q_next")
