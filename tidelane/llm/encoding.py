@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -304,6 +305,17 @@ class Repairer:
         return text, found, restored, sorted(mappings), not lost
 
 
+_REPAIRERS: dict[str, Repairer] = {}
+
+
+def _repairer(version: str, pairs: np.ndarray, counts: np.ndarray) -> Repairer:
+    """Built once per Python worker, which keeps the last one only."""
+    if version not in _REPAIRERS:
+        _REPAIRERS.clear()
+        _REPAIRERS[version] = Repairer(PairModel(pairs, counts))
+    return _REPAIRERS[version]
+
+
 def repair_documents(documents: DataFrame) -> DataFrame:
     """One row for each document whose text holds characters that came about by wrong decoding.
 
@@ -322,9 +334,10 @@ def repair_documents(documents: DataFrame) -> DataFrame:
     documents = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id")
     counts = pair_counts(documents).toPandas()
     pairs, n = counts["pair"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
+    version = uuid4().hex
 
     def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker = Repairer(PairModel(pairs, n))
+        worker = _repairer(version, pairs, n)
         names = [c.split()[0] for c in REPAIR_SCHEMA.split(", ")]
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
         for batch in batches:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,15 +20,21 @@ PIECE_SCHEMA = "target_id bigint, bin string, position int, doc_id bigint, piece
 CONTAINER_SCHEMA = "target_id bigint, capacity_tokens bigint, container_id string, position int, doc_id bigint, piece int, n_tokens bigint"
 
 
+@lru_cache(maxsize=1)
+def load_vocabulary(path: str):
+    """The vocabulary, read once per Python worker."""
+    import tiktoken
+
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    return tiktoken.Encoding("texts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) of each text in tokens of a public byte-level vocabulary; null and empty texts have 0."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        with open(vocabulary, "rb") as file:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        encoding = tiktoken.Encoding("texts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoding = load_vocabulary(vocabulary)
         for batch in batches:
             sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
