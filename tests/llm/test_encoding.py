@@ -39,6 +39,18 @@ def test_part_of_a_text_and_lost_bytes(spark):
     assert not got[1].restorable and set(got) == {0, 1, 2}
 
 
+def test_copies_of_a_damaged_text_are_all_restored(spark):
+    for original, wrong in ((CLEAN[0], CLEAN[0].encode().decode("cp1252", "ignore")), (CLEAN[4], CLEAN[4].encode("cp1251").decode("latin-1"))):
+        got = repaired(spark, [wrong] * 200)
+        assert len(got) == 200 and {r.restored_text for r in got.values()} == {original}
+
+
+def test_near_copies_of_a_damaged_text_are_all_restored(spark):
+    wrong = CLEAN[0].encode().decode("cp1252", "ignore")
+    got = repaired(spark, [f"{wrong} {i}" for i in range(200)])
+    assert {i: r.restored_text for i, r in got.items()} == {i: f"{CLEAN[0]} {i}" for i in range(200)}
+
+
 def test_genuine_text_is_no_case(spark):
     genuine = [
         *CLEAN, "Modelo IRMÃ® em preto.", "a versão «MANHÃ» e não a outra", "NÃO GOSTEI DA AVALIAÇÃO", "La taille « Â » est plus étroite que la « Ê ».",

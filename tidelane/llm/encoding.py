@@ -61,19 +61,39 @@ class PairModel:
         self.total = max(float(n.sum()), 1.0)
         joint = n / self.total
         first, second = joint.sum(1, keepdims=True), joint.sum(0, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            information = np.where(n > 0, joint * np.log2(joint / (first * second)), 0.0)
-        # Bits per million pairs that the pair carries of the corpus' mutual information. Pairs that carry much are
-        # usual; a pair that hardly occurs, or only by chance, carries (next to) nothing and is improbable.
-        self.score = np.clip(1.0 - np.log10(1.0 + np.maximum(information, 0) * 1e6 / 20.0), -1.0, 1.0).astype(np.float32)
+        self.score = self._scores(joint, first, second).astype(np.float32)
+        self.first, self.second = first.reshape(-1) * self.total, second.reshape(-1) * self.total
         self.n = n.reshape(-1)
         self.log = np.log2((self.n + 0.5) / self.total).astype(np.float32)
 
-    def pair_logs(self, text: str) -> np.ndarray:
-        """log2 frequency of each pair of the text in the rest of the corpus: this text's own pairs taken out."""
+    @staticmethod
+    def _scores(joint: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Bits per million pairs that a pair carries of the corpus' mutual information, as a score.
+
+        Pairs that carry much are usual; a pair that hardly occurs, or only by chance, carries (next to) nothing and
+        is improbable.
+        """
+        with np.errstate(divide="ignore", invalid="ignore"):
+            information = np.where(joint > 0, joint * np.log2(joint / (first * second)), 0.0)
+        return np.clip(1.0 - np.log10(1.0 + np.maximum(information, 0) * 1e6 / 20.0), -1.0, 1.0)
+
+    def elsewhere(self, text: str, copies: int) -> tuple[dict[int, float], dict[int, float]]:
+        """Of each pair of the text, log2 frequency and score in the rest of the corpus: all its copies taken out."""
         s = symbols(_codes(text))
-        pairs, inverse, own = np.unique(s[:-1] * SYMBOLS + s[1:], return_inverse=True, return_counts=True)
-        return np.log2((np.maximum(self.n[pairs] - own, 0) + 0.5) / self.total)[inverse]
+        pairs, own = np.unique(s[:-1] * SYMBOLS + s[1:], return_counts=True)
+        n = np.maximum(self.n[pairs] - copies * own, 0)
+        total = max(self.total - copies * (len(s) - 1), 1.0)
+        first = np.maximum(self.first[pairs // SYMBOLS] - copies * np.bincount(s[:-1], minlength=SYMBOLS)[pairs // SYMBOLS], 0)
+        second = np.maximum(self.second[pairs % SYMBOLS] - copies * np.bincount(s[1:], minlength=SYMBOLS)[pairs % SYMBOLS], 0)
+        logs, scores = np.log2((n + 0.5) / self.total), self._scores(n / total, first / total, second / total)
+        keys = pairs.tolist()
+        return dict(zip(keys, logs.tolist())), dict(zip(keys, scores.tolist()))
+
+    def pair_logs(self, text: str, own: dict[int, float]) -> np.ndarray:
+        """log2 frequency of each pair of a changed text (own: what this document's pairs have elsewhere)."""
+        s = symbols(_codes(text))
+        pairs, inverse = np.unique(s[:-1] * SYMBOLS + s[1:], return_inverse=True)
+        return np.array([own[p] if p in own else self.log.item(p) for p in pairs.tolist()])[inverse]
 
     def likelihood(self, text: str, own: dict[int, float]) -> float:
         """Mean log2 frequency of the pairs of a changed text (own: what this document's pairs have elsewhere)."""
@@ -138,6 +158,17 @@ for _page in ("cp1252", "cp1250", "cp1251", "cp1253"):  # text that passed throu
 LEAD = {name: "".join(c for c, b in t.items() if 0xC2 <= b <= 0xF4) for name, t in TABLES.items()}
 FOLLOW = {name: "".join(c for c, b in t.items() if 0x80 <= b <= 0xBF) for name, t in TABLES.items()}
 SEQUENCE = {name: re.compile(f"(?:[{re.escape(LEAD[name])}][{re.escape(FOLLOW[name])}]{{1,3}})+") for name in SEEN_AS}
+ANY_SEQUENCE = re.compile(f"[{re.escape(''.join(LEAD[n] for n in SEEN_AS))}][{re.escape(''.join(FOLLOW[n] for n in SEEN_AS))}]")
+
+
+def _decoded(piece: str, page: str) -> str | None:
+    """What the bytes of the piece, as that page has them, are in UTF-8; None if they aren't UTF-8."""
+    try:
+        return bytes(TABLES[page][c] for c in piece).decode("utf-8")
+    except UnicodeDecodeError:
+        return None
+
+
 SENTENCE_END = re.compile(r"[.!?:]\s+|\n+|。")
 #: A control character U+0080-9F beside a letter is a byte that no mapping explains.
 CONTROL = re.compile(r"[^\W\d_][\x80-\x84\x86-\x9f]|[\x80-\x84\x86-\x9f][^\W\d_]")
@@ -157,18 +188,22 @@ class Repairer:
     def __init__(self, model: PairModel):
         self.model = model
 
-    def runs(self, text: str) -> list[tuple[int, int]]:
-        """Character ranges of improbable runs, widened to whole stretches beyond ASCII, merged where they touch."""
+    def runs(self, text: str, scores: dict[int, float]) -> list[tuple[int, int]]:
+        """Character ranges of improbable runs, widened to whole stretches beyond ASCII, merged where they touch.
+
+        scores: those of the document's own pairs without its copies.
+        """
         codes = _codes(text)
         if len(codes) < 2:
             return []
         beyond = codes > 127
         s = symbols(codes)
         near = np.flatnonzero(beyond[:-1] | beyond[1:])
-        score = self.model.score[s[near], s[near + 1]]
+        pairs, score = (s[near] * SYMBOLS + s[near + 1]).tolist(), self.model.score[s[near], s[near + 1]].tolist()
+        score = [scores.get(p, x) for p, x in zip(pairs, score)]
         out: list[tuple[int, int]] = []
         spans = []  # a run of a rare script may hold many sentences, of which one is damaged
-        for a, b in improbable_runs(near.tolist(), score.tolist(), -0.3):
+        for a, b in improbable_runs(near.tolist(), score, -0.3):
             b += 2
             while a > 0 and beyond[a - 1]:
                 a -= 1
@@ -178,7 +213,11 @@ class Repairer:
                 spans.append((a, m.end()))
                 a = m.end()
             spans.append((a, b))
-        for a, b in spans:
+        for name in SEEN_AS if ANY_SEQUENCE.search(text) else ():  # usual or not: near copies make damage usual
+            for m in SEQUENCE[name].finditer(text):
+                if _decoded(m.group(), name):
+                    spans.append(m.span())
+        for a, b in sorted(spans):
             if not beyond[a:b].any():
                 continue
             if out and a < out[-1][1]:
@@ -203,12 +242,10 @@ class Repairer:
         """Byte sequences of UTF-8 inside the run, seen as single-byte characters."""
         best = None
         for name in SEEN_AS:
-            table, changed, done, out, at = TABLES[name], 0, "", [], 0
+            changed, out, at = 0, [], 0
             for m in SEQUENCE[name].finditer(run):
-                piece = m.group()
-                try:
-                    new = bytes(table[c] for c in piece).decode("utf-8")
-                except UnicodeDecodeError:
+                piece, new = m.group(), _decoded(m.group(), name)
+                if new is None:
                     continue
                 before, after = text[max(0, start + m.start() - 12) : start + m.start()], text[start + m.end() : start + m.end() + 12]
                 common = all(ord(c) < 0x180 or 0x2010 <= ord(c) < 0x20C0 or c == "\u2122" for c in new)
@@ -244,10 +281,12 @@ class Repairer:
                 best = (gain, new, f"{was} as {seen}")
         return best and best[1:]
 
-    def _pass(self, text: str, own: dict[int, float]) -> tuple[str, int, int, set[str]]:
+    def _pass(self, text: str, own: dict[int, float], scores: dict[int, float]) -> tuple[str, int, int, set[str]]:
         """One round over all runs: (text, runs, runs restored, mappings)."""
-        runs = self.runs(text)
-        logs = self.model.pair_logs(text)
+        runs = self.runs(text, scores)
+        if not runs:
+            return text, 0, 0, set()
+        logs = self.model.pair_logs(text, own)
         sums, rare = np.r_[0.0, np.cumsum(logs)], np.r_[0, np.cumsum(logs < -16.5)]
         out, at, changed, mappings, left = [], 0, 0, set(), 0
         k = 0
@@ -281,19 +320,19 @@ class Repairer:
             k = j + 1
         return "".join(out) + text[at:], len(runs), changed, mappings
 
-    def repair(self, text: str) -> tuple[str, int, int, list[str], bool] | None:
-        """(restored text, improbable runs, runs restored, mappings, nothing lost), or None for an unharmed text."""
+    def repair(self, text: str, copies: int = 1) -> tuple[str, int, int, list[str], bool] | None:
+        """(restored text, improbable runs, runs restored, mappings, nothing lost), or None for an unharmed text.
+
+        copies: how many documents of the corpus have exactly this text.
+        """
         lost = REPLACEMENT in text
         if text.isascii():
             return None
-        s = symbols(_codes(text))
-        pairs, counts = np.unique(s[:-1] * SYMBOLS + s[1:], return_counts=True)
-        elsewhere = np.log2((np.maximum(self.model.n[pairs] - counts, 0) + 0.5) / self.model.total)
-        own = dict(zip(pairs.tolist(), elsewhere.tolist()))
+        own, scores = self.model.elsewhere(text, copies)
         mappings: set[str] = set()
         found = restored = 0
         for _ in range(3):  # wrongly decoded more than once
-            text, runs, changed, how = self._pass(text, own)
+            text, runs, changed, how = self._pass(text, own, scores)
             found = found or runs
             restored += changed
             mappings |= how
@@ -316,23 +355,37 @@ def _repairer(version: str, pairs: np.ndarray, counts: np.ndarray) -> Repairer:
     return _REPAIRERS[version]
 
 
+SALTS = 32
+
+
+def _with_copies(documents: DataFrame, tasks: int) -> DataFrame:
+    """Each document with the number of documents of the same text; those of one text are spread over SALTS keys."""
+    keyed = documents.withColumns({"_text": F.xxhash64("text"), "_salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))})
+    often = keyed.groupBy("_text").agg(F.count("*").alias("copies")).where("copies > 1")
+    often = often.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    met = keyed.repartition(tasks, "_text", "_salt").join(often.repartition(tasks, "_text", "_salt"), ["_text", "_salt"], "left")
+    return met.select("doc_id", "text", F.coalesce("copies", F.lit(1)).alias("copies"))
+
+
 def repair_documents(documents: DataFrame) -> DataFrame:
     """One row for each document whose text holds characters that came about by wrong decoding.
 
     Adjacent characters are scored by the mutual information they carry in the whole corpus; maximum-scoring
-    segments of improbable pairs give the runs in which inverse mappings are tried: UTF-8 seen as a single-byte
-    page, and one page seen as another, up to three times over. A mapping holds if its result is likelier in the
-    corpus (leaving this document out) and keeps the case of its word. U+FFFD shows a decoding whose bytes are
+    segments of improbable pairs, and whatever is UTF-8 by its structure, give the runs in which inverse mappings are
+    tried: UTF-8 seen as a single-byte page, and one page seen as another, up to three times over. A mapping holds if its result is likelier in the
+    corpus (leaving this document and its copies out) and keeps the case of its word. U+FFFD shows a decoding whose bytes are
     lost: such a text counts, restorable is false, and only its other runs are restored.
 
     restored_text holds the text with all accepted mappings undone; mappings names them. Null, empty and pure
     ASCII texts are never cases; repeated rows each count; an empty table gives no rows; extra columns are ignored.
 
-    The corpus is read twice: once for pair counts, added up per task, of which at most SYMBOLS^2 reach the
-    driver as one table of fixed size; once to repair. Texts are shuffled only where a table has few splits.
+    The corpus is read three times: for pair counts, added up per task, of which at most SYMBOLS^2 reach the driver as
+    one table of fixed size; for the hashes of texts that occur more than once; and to repair. Texts are shuffled once
+    to meet their number of copies, a hot text by SALTS keys; to count, only where a table has few splits.
     """
-    documents = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id")
-    counts = pair_counts(documents).toPandas()
+    documents = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("length(text) > 0")
+    counts = pair_counts(spread(documents, "doc_id")).toPandas()
+    tasks = max(3 * documents.sparkSession.sparkContext.defaultParallelism, documents.rdd.getNumPartitions())
     pairs, n = counts["pair"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
     version = uuid4().hex
 
@@ -342,10 +395,10 @@ def repair_documents(documents: DataFrame) -> DataFrame:
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                if got := worker.repair(text):
+            for doc_id, text, copies in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "copies"))):
+                if got := worker.repair(text, copies):
                     out.append((doc_id, got[0], got[1], got[2], ", ".join(got[3]), got[4]))
             columns = list(zip(*out)) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return documents.where("length(text) > 0").mapInArrow(repair, REPAIR_SCHEMA)
+    return _with_copies(documents, tasks).mapInArrow(repair, REPAIR_SCHEMA)
