@@ -199,3 +199,22 @@ def test_metrics(spark):
     assert metrics.parameter_sweep(spark, {"a": [1, 2], "b": ["x", "y", "z"]}).count() == 6
     logs = metrics.unlogged(spark.createDataFrame([(0.0, 5)], "log_rho double, n int"))
     assert logs.columns == ["rho", "n"] and logs.first().rho == 1.0
+
+
+def test_likelihood_counts_steps_with_missing_cells(spark):
+    nan = float("nan")
+    truth = spark.createDataFrame([("l", 0, [1.0, None]), ("l", 1, [nan, 3.0]), ("l", 2, [None, None]), ("m", 0, [None, 1.0])], "location string, t_index bigint, values array<double>")
+    model = spark.createDataFrame([("l", t, [0.0, 1.0], [[2.0, 0.5], [0.5, 1.0]]) for t in range(3)] + [("m", 0, [1.0, None], [[2.0, 0.5], [0.5, 1.0]])], "location string, t_index bigint, mean array<double>, covariance array<array<double>>")
+    got = {r.location: r for r in metrics.negative_log_likelihood(truth, model, ["location"]).collect()}
+    each = [0.5 * (1.0 / 2.0 + np.log(2 * np.pi * 2.0)), 0.5 * (4.0 / 1.0 + np.log(2 * np.pi * 1.0))]
+    assert got["l"].mean_nll == pytest.approx(np.mean(each)) and (got["l"].n_steps, got["l"].n_cells) == (2, 2)
+    assert got["m"].mean_nll is None and (got["m"].n_steps, got["m"].n_cells) == (0, 0)
+
+
+def test_step_likelihood_scores_every_pair_of_steps_with_a_common_cell(spark, small):
+    from tidelane.plans import reference
+
+    field = reference._flow_field(spark, small).where("v_um is not null")
+    pairs = field.alias("a").join(field.alias("b"), F.expr("a.location = b.location and a.x_index = b.x_index and a.t_index = b.t_index + 1"))
+    want = {r.location: (r.s, r.c) for r in pairs.groupBy("a.location").agg(F.count_distinct("a.t_index").alias("s"), F.count("*").alias("c")).collect()}
+    assert {r.location: (r.n_steps, r.n_cells) for r in reference.step_likelihood(spark, small).collect()} == want

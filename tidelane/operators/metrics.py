@@ -27,24 +27,33 @@ def root_mean_square(errors: DataFrame, by: list[str]) -> DataFrame:
 
 
 def negative_log_likelihood(truth: DataFrame, predicted: DataFrame, key: list[str]) -> DataFrame:
-    """Mean negative log-likelihood per key of truth (t_index, values array) under predicted (mean array, covariance
-    array of arrays)."""
+    """Mean negative log-likelihood a step per key of truth (t_index, values array) under predicted (mean array,
+    covariance array of arrays), with the steps and cells it is over.
+
+    A step is scored over the cells known in both arrays, by the marginal normal of these; null and NaN are unknown. A
+    step without such a cell isn't scored; a key without such a step has no steps and a null mean.
+    """
 
     def score(pdf):
         import pandas as pd
 
-        total = []
+        total, cells = [], 0
         for values, mean, cov in zip(pdf["values"], pdf["mean"], pdf["covariance"]):
-            gap = np.asarray(values) - np.asarray(mean)
-            chol = np.linalg.cholesky(np.stack(cov))
+            gap = np.asarray(values, float) - np.asarray(mean, float)
+            known = np.flatnonzero(~np.isnan(gap))
+            if not len(known):
+                continue
+            gap, cells = gap[known], cells + len(known)
+            chol = np.linalg.cholesky(np.stack(cov)[np.ix_(known, known)])
             z = np.linalg.solve(chol, gap)
             total.append(0.5 * (z @ z + len(gap) * np.log(2 * np.pi)) + np.log(np.diag(chol)).sum())
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in key), len(total), float(np.sum(total))]], columns=[*key, "n", "nll"])
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in key), len(total), cells, float(np.sum(total))]], columns=[*key, "n", "cells", "nll"])
 
     joined = truth.join(predicted, [*key, "t_index"]).withColumn("_block", F.floor(F.col("t_index") / 1000))
     types = ", ".join(f"{n} {t}" for n, t in joined.select(*key).dtypes)
-    parts = joined.groupBy(*key, "_block").applyInPandas(score, f"{types}, n long, nll double")
-    return parts.groupBy(*key).agg((F.sum("nll") / F.sum("n")).alias("mean_nll"))
+    parts = joined.groupBy(*key, "_block").applyInPandas(score, f"{types}, n long, cells long, nll double")
+    steps = F.sum("n")
+    return parts.groupBy(*key).agg((F.sum("nll") / F.nullif(steps, F.lit(0))).alias("mean_nll"), steps.alias("n_steps"), F.sum("cells").alias("n_cells"))
 
 
 def run_report(runs: DataFrame) -> DataFrame:

@@ -584,12 +584,15 @@ def method_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def step_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean negative log-likelihood of each corridor's speeds under a normal model of the step before: A12 on real states."""
-    f = _flow_field(spark, sf_dir).where("v_um is not null")
-    from tidelane.operators.rollouts import as_arrays
-
-    arrays = as_arrays(f.withColumn("v", F.col("v_um") / 1e6), STATE, ["v"]).where(F.size("v") == CELLS)
+    """Mean negative log-likelihood of each corridor's speeds under a normal model of the step before: A12 on real states.
+
+    Over the cells known in both steps; n_steps and n_cells say how many pairs of steps and cells that are.
+    """
+    f = _flow_field(spark, sf_dir).where(F.col("x_index").between(0, CELLS - 1))
+    speeds = F.map_from_entries(F.collect_list(F.struct("x_index", F.col("v_um") / 1e6)))
+    cells = F.sequence(F.lit(0), F.lit(CELLS - 1)).cast("array<bigint>")
+    arrays = f.groupBy(*STATE).agg(speeds.alias("_v")).select(*STATE, F.transform(cells, lambda i: F.try_element_at("_v", i)).alias("v"))
     unit = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda j: F.when(i == j, 9.0).otherwise(0.0)))
     before = arrays.select("location", (F.col("t_index") + 1).alias("t_index"), F.col("v").alias("mean"), unit.alias("covariance"))
     out = metrics.negative_log_likelihood(arrays.withColumnRenamed("v", "values"), before, ["location"])
-    return out.select("location", F.round("mean_nll", 6).alias("mean_nll"))
+    return out.select("location", F.round("mean_nll", 6).alias("mean_nll"), "n_steps", "n_cells")
