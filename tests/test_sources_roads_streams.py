@@ -110,3 +110,21 @@ def test_streamed_cells_equal_the_batch(spark, tmp_path, small):
     q.stop()
     out = spark.table("states").toPandas()
     assert len(out) == 45 * cells.select("location").distinct().count() and out["speed"].between(0, 30).all()
+
+
+def test_camera_load_of_every_site_and_lane(spark, small):
+    from tidelane.plans import reference
+
+    small = small.replace("sf0.001", "sf0.01")  # the smallest with both sites
+    got = reference.QUERIES["camera_load_all"](spark, small).persist()
+    raw = spark.read.parquet(f"{small}/ngsim_raw.parquet").distinct()
+    site = F.regexp_replace(F.lower(F.trim("location")), "[ _]+", "-")
+    x, limits = F.col("local_y") / 3.28084, {"us-101": (20.0, 620.0), "i-80": (30.0, 480.0)}
+    rows = None
+    for name, (low, high) in limits.items():
+        part = raw.where((site == name) & F.col("lane_id").between(1, 8) & (x > low) & (x < high)).select(F.lit(name).alias("location"), F.col("lane_id").cast("int").alias("lane_id"))
+        rows = part if rows is None else rows.union(part)
+    count = lambda df: {(r.location, r.lane_id): r["count"] for r in df.groupBy("location", "lane_id").count().collect()}
+    assert count(got) == count(rows) and {k[0] for k in count(got)} == set(limits) and max(k[1] for k in count(got)) > 3
+    known = ["global_ms", "x_meters", "velocity", "lane_id"]
+    assert reference.camera_load(spark, small).select(*known).exceptAll(got.where("location = 'us-101'").select(*known)).count() == 0

@@ -11,7 +11,7 @@ from tidelane.operators import fields, metrics, stencils
 from tidelane.operators import measurements as ms
 from tidelane.operators import trajectory as tr
 from tidelane.session import table
-from tidelane.sources.traffic import camera_trajectories
+from tidelane.sources.traffic import SITE_LIMITS, camera_trajectories
 
 DT, DX, CELLS = 5.0, 200.0, 45
 STATE = ["location", "t_index"]
@@ -75,6 +75,21 @@ def camera_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def camera_load_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The load of every site with study limits, lanes 1 to 8 (camera_load: one site and three lanes, as its SQL has it).
+
+    time_seconds begins at each site's first record, and vehicle_id is one trip within its site.
+    """
+    raw, out = table(spark, sf_dir, "ngsim_raw"), None
+    for location in SITE_LIMITS:
+        part = camera_trajectories(raw, location, list(range(1, 9))).select(
+            F.lit(location).alias("location"), "vehicle_id", "global_ms", "x_meters", "y_meters", "velocity", "space_headway", "time_headway", "lane_id", "time_seconds"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(f"""
     WITH {_READ}, w AS (SELECT *, CAST(floor({_SHARE.format(seed=1)} / 4294967296e0 * 3000) AS BIGINT) AS s, CAST(floor(time_seconds * 1000 + 0.5e0) AS BIGINT) AS ms
       FROM readings WHERE {_SHARE.format(seed=0)} < 429496729)
