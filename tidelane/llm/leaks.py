@@ -3,23 +3,32 @@
 from __future__ import annotations
 
 import html
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.session import spread
+from tidelane.session import cut_lineage, spread
 
-#: Positions that a seed compares; the others may hold any word. Within 12 words of which 2 are altered, added or
-#: dropped, some 4 in a row are whole, so the first mask alone finds every passage; the others bridge alterations.
-MASKS = ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 5))
+#: Positions that a seed compares; the one left out may hold any word.
+MASKS = ((0, 1, 3), (0, 2, 3))
+SPAN = 4
 FOUND_SCHEMA = "doc_id bigint, test_id bigint, n_words bigint, n_edits bigint, doc_word bigint, item_word bigint"
-
-_TAG = re.compile(r"<[^<>]{1,200}>")
+SEGMENT_SCHEMA = "doc_id bigint, segment bigint, first bigint, bare binary, left binary, seed array<bigint>"
+ITEM_SCHEMA = "test_id bigint, item bigint, bare binary, left binary, seed array<bigint>"
+#: Words of a text that are searched as one; longer texts are cut, with what a passage may reach around.
+SEGMENT_WORDS = 4096
+#: Bits for each seed in the filter, and the most bits it has (32 MB): beyond that it lets more through.
+FILTER_BITS, MOST_BITS = 16, 1 << 28
+SALTS = 16
+
+_TAG = re.compile(r"<[a-zA-Z/!][^<>]*>")
 _SPACE = re.compile("[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u2013\u2014\u2026]")
 _WORD = re.compile(r"[^\W_]+", re.ASCII)
 _OTHER_WORD = re.compile(r"[^\W_]+")
@@ -54,83 +63,74 @@ def words(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def seeds(ids: np.ndarray, mask: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Positions at which all words of the mask are known, and their hashes."""
-    n = len(ids) - mask[-1]
+class WordHashes:
+    """Hashes of words, looked up once; given up when there are many, so that a worker's memory stays bounded."""
+
+    def __init__(self, most: int = 1_000_000):
+        self.known: dict[str, int] = {}
+        self.most = most
+
+    def forms(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The two forms' hashes of all words of all texts, and where each text begins (one more than texts)."""
+        if len(self.known) > self.most:
+            self.known.clear()
+        known, bare, left, begin = self.known, [], [], [0]
+        for text in texts:
+            for b, f in words(text or ""):
+                h = known.get(b)
+                if h is None:
+                    h = known[b] = xxhash.xxh3_64_intdigest(b)
+                bare.append(h)
+                if f is not b:
+                    h = known.get(f)
+                    if h is None:
+                        h = known[f] = xxhash.xxh3_64_intdigest(f)
+                left.append(h)
+            begin.append(len(bare))
+        return np.array(bare, np.uint64), np.array(left, np.uint64), np.array(begin, np.int64)
+
+
+def _mix(parts: list[np.ndarray], number: int) -> np.ndarray:
+    total = np.full(len(parts[0]), number + 1, np.uint64)
+    for part in parts:
+        total = (total ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(29)
+    return total
+
+
+def seeds(bare: np.ndarray, left: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(position of the first word, hash) of every seed within one text, in every choice of its words' forms.
+
+    Two stretches of words that each agree in one form or the other so have a hash in common.
+    """
+    n = len(bare) - SPAN + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    known = np.ones(n, bool)
-    total = np.zeros(n, np.uint64)
-    for k in mask:
-        part = ids[k : k + n]
-        known &= part >= 0
-        total = (total ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        total ^= total >> np.uint64(29)
-    at = np.flatnonzero(known)
-    return at, total[at] + np.uint64(mask[-1])
-
-
-class TestIndex:
-    """Seeds of a block of evaluation items, and the words that occur in them."""
-
-    __test__ = False
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.items: list[tuple[int, np.ndarray]] = []
-        forms = [(test_id, words(text or "")) for test_id, text in items]
-        bare, left = {}, {}  # two forms of a word, and words that share either, are one word
-        parent: list[int] = []
-
-        def root(a: int) -> int:
-            while parent[a] != a:
-                a = parent[a]
-            return a
-
-        for _, pairs in forms:
-            for b, f in pairs:
-                a, c = bare.get(b), left.get(f)
-                if a is None and c is None:
-                    parent.append(len(parent))
-                    a = c = len(parent) - 1
-                elif a is None:
-                    a = c
-                elif c is None:
-                    c = a
-                parent[root(a)] = root(c)
-                bare[b], left[f] = a, c
-        self.bare = {w: root(a) for w, a in bare.items()}
-        self.left = {w: root(a) for w, a in left.items()}
-        hashes, owner, place = [], [], []
-        for test_id, pairs in forms:
-            ids = np.array([self.bare[b] for b, _ in pairs], np.int64)
-            for mask in MASKS:
-                at, h = seeds(ids, mask)
-                hashes.append(h)
-                owner.append(np.full(len(at), len(self.items)))
-                place.append(at)
-            self.items.append((test_id, ids))
-        order = np.argsort(np.concatenate(hashes), kind="stable") if hashes else np.zeros(0, np.int64)
-        self.hashes = np.concatenate(hashes)[order] if hashes else np.zeros(0, np.uint64)
-        self.owner = np.concatenate(owner)[order] if hashes else order
-        self.place = np.concatenate(place)[order] if hashes else order
-
-    def encode(self, text: str) -> np.ndarray:
-        bare, left = self.bare, self.left
-        pairs = words(text)
-        out = [bare.get(b, -1) for b, _ in pairs]
-        if not text.isascii():
-            out = [left.get(f, -1) if i < 0 else i for i, (_, f) in zip(out, pairs)]
-        return np.array(out, np.int64)
-
-    def hits(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, position in the text, position in the item) of every seed in common."""
-        found = []
-        for mask in MASKS:
-            at, h = seeds(ids, mask)
-            lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-            for k in np.flatnonzero(hi > lo):
-                found += [(int(self.owner[j]), int(at[k]), int(self.place[j])) for j in range(lo[k], hi[k])]
-        return sorted(set(found))
+    owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    inside = np.flatnonzero(owner[:n] == owner[SPAN - 1 :])
+    two = bare != left
+    at, out = [], []
+    for number, mask in enumerate(MASKS):
+        for choice in itertools.product((0, 1), repeat=len(mask)):
+            rows = inside
+            for k, c in zip(mask, choice):  # the second form only of words that have two
+                rows = rows[two[rows + k]] if c else rows
+            if len(rows):
+                at.append(rows)
+                out.append(_mix([(left if c else bare)[rows + k] for k, c in zip(mask, choice)], number))
+    return (np.concatenate(at), np.concatenate(out)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def longest_needed(least: int, per_edit: int) -> tuple[int, int]:
+    """(item words, edits) within which every passage holds a passage.
+
+    Take a passage without a shorter one inside, of more than `least` words. Its first `least` words (with the edited
+    words after them) aren't one, so they have more than their share of edits, and what follows has less than its
+    share; being no passage either, that is shorter than `least`. With d = item words - per_edit * edits, d is at most
+    least - 1 behind, at least 1 - least before: so the edited words in between are few, too.
+    """
+    span = 2 * least - 1 + (3 * least - 3) // max(per_edit - 1, 1)
+    return span, span // per_edit
 
 
 def _reach(text: list[int], item: list[int], p: int, i: int, way: int, edits: int) -> list[int]:
@@ -163,90 +163,185 @@ def _reach(text: list[int], item: list[int], p: int, i: int, way: int, edits: in
 
 
 def passage(text: list[int], item: list[int], p: int, i: int, least: int, per_edit: int, edits: int) -> tuple[int, int] | None:
-    """Length and edits of a passage through (p, i) that meets the rule, or None.
+    """Length and edits of the passage through (p, i) with the fewest edits that meets the rule, or None."""
+    right = _reach(text, item, p, i, 1, edits)
+    left = _reach(text, item, p - 1, i - 1, -1, edits)
+    for e in range(edits + 1):
+        span = max(left[a] + right[e - a] for a in range(e + 1))
+        if span >= max(least, per_edit * e):
+            return span, e
+    return None
+
+
+def _codes(bare: list[int], left: list[int]) -> tuple[dict[int, int], dict[int, int]]:
+    """Numbers of an item's words by either form; words that share a form have the same number."""
+    by_bare: dict[int, int] = {}
+    by_left: dict[int, int] = {}
+    for b, f in zip(bare, left):
+        a, c = by_bare.get(b), by_left.get(f)
+        if a is not None and c is not None and a != c:
+            for known in (by_bare, by_left):
+                for w, x in known.items():
+                    if x == c:
+                        known[w] = a
+        number = a if a is not None else c if c is not None else len(by_bare) + len(by_left)
+        by_bare[b] = by_left[f] = number
+    return by_bare, by_left
+
+
+def item_seeds(items: DataFrame, least: int) -> DataFrame:
+    """Every distinct item of at least `least` words, with its words' hashes and those of its seeds."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            bare, left, begin = hashes.forms(batch["text"].to_pylist())
+            rows = []
+            for test_id, item, a, b in zip(batch["test_id"].to_pylist(), batch["item"].to_pylist(), begin[:-1].tolist(), begin[1:].tolist()):
+                if b - a >= least:
+                    _, seed = seeds(bare[a:b], left[a:b], np.array([0, b - a]))
+                    rows.append((test_id, item, bare[a:b].tobytes(), left[a:b].tobytes(), np.unique(seed.view(np.int64)).tolist()))
+            yield _batch(rows, ITEM_SCHEMA)
+
+    known = items.where("test_id IS NOT NULL AND length(text) > 0").select(F.col("test_id").cast("bigint").alias("test_id"), "text").distinct()
+    return known.withColumn("item", F.xxhash64("test_id", "text")).mapInArrow(hashed, ITEM_SCHEMA)
+
 
-    A passage with more edits than `least` words may have still has a stretch of about `least` words with no more
-    than its share; so seeds around which even that share doesn't reach three quarters of `least` are given up.
+_TYPES = {"bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def seed_filter(places: DataFrame) -> np.ndarray:
+    """One bit for each seed of the items, in a table of bounded size: what has no bit set is no seed of theirs.
+
+    Its size follows the number of seeds, up to MOST_BITS; only its words that aren't 0 reach the driver.
     """
-    few = min(edits, least // per_edit)
-    for limit in sorted({few, edits}):
-        right = _reach(text, item, p, i, 1, limit)
-        left = _reach(text, item, p - 1, i - 1, -1, limit)
-        for e in range(limit + 1):
-            span = max(left[a] + right[e - a] for a in range(e + 1))
-            if span >= max(least, per_edit * e):
-                return span, e
-        if limit == few and span < least * 3 // 4:
-            return None
+    n, bits = places.count(), 1 << 16
+    while bits < min(FILTER_BITS * n, MOST_BITS):
+        bits *= 2
+    rows = places.selectExpr(f"(seed & {bits - 1}L) >> 6 AS word", "shiftleft(1L, int(seed & 63L)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    table = np.zeros(bits // 64, np.int64)
+    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    return table.view(np.uint64)
+
+
+def candidate_segments(documents: DataFrame, table: np.ndarray, halo: int) -> DataFrame:
+    """The segments of texts that may share a seed with an item: their words' hashes, with `halo` words around."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, last = WordHashes(), np.uint64(64 * len(table) - 1)
+        for batch in batches:
+            bare, left, begin = hashes.forms(batch["text"].to_pylist())
+            at, seed = seeds(bare, left, begin)
+            near = seed & last
+            hit = (table[(near >> np.uint64(6)).astype(np.int64)] >> (near & np.uint64(63)) & np.uint64(1)).astype(bool)
+            at, seed = at[hit], seed[hit].view(np.int64)
+            order = np.argsort(at, kind="stable")
+            at, seed = at[order], seed[order]
+            text = np.searchsorted(begin, at, "right") - 1
+            segment = (at - begin[text]) // SEGMENT_WORDS
+            new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (segment[1:] != segment[:-1])]) if len(at) else at
+            ids, rows = batch["doc_id"].to_pylist(), []
+            for a, b in zip(new.tolist(), np.r_[new[1:], len(at)].tolist()):
+                k, s = int(text[a]), int(segment[a])
+                low = max(int(begin[k]), int(begin[k]) + s * SEGMENT_WORDS - halo)
+                high = min(int(begin[k + 1]), int(begin[k]) + (s + 1) * SEGMENT_WORDS + halo)
+                rows.append((ids[k], s, low - int(begin[k]), bare[low:high].tobytes(), left[low:high].tobytes(), np.unique(seed[a:b]).tolist()))
+            yield _batch(rows, SEGMENT_SCHEMA)
+
+    return documents.mapInArrow(search, SEGMENT_SCHEMA)
+
+
+class _Item:
+    """An item's words as small numbers, and its seeds in order."""
+
+    def __init__(self, bare: bytes, left: bytes):
+        b, f = np.frombuffer(bare, np.uint64), np.frombuffer(left, np.uint64)
+        self.bare, self.left = _codes(b.tolist(), f.tolist())
+        self.codes = [self.bare[x] for x in b.tolist()]
+        at, seed = seeds(b, f, np.array([0, len(b)]))
+        order = np.argsort(seed, kind="stable")
+        self.at, self.seed = at[order], seed[order]
+
+
+def _first_passage(item: _Item, bare: np.ndarray, left: np.ndarray, at: np.ndarray, seed: np.ndarray, least: int, per_edit: int, edits: int):
+    """(words, edits, place in the text, place in the item) of the first passage around a common seed, or None."""
+    low, high = np.searchsorted(item.seed, seed, "left"), np.searchsorted(item.seed, seed, "right")
+    hits = np.flatnonzero(high > low)
+    by_bare, by_left = item.bare, item.left
+    text = [c if (c := by_bare.get(b)) is not None else by_left.get(f, -1) for b, f in zip(bare.tolist(), left.tolist())]
+    tried: dict[int, int] = {}  # diagonal: end of the unbroken stretch whose seeds have been tried
+    for k in hits[np.argsort(at[hits], kind="stable")].tolist():
+        p = int(at[k])
+        for i in item.at[low[k] : high[k]].tolist():
+            if p < tried.get(p - i, 0):
+                continue
+            if got := passage(text, item.codes, p, i, least, per_edit, edits):
+                return *got, p, i
+            end = p
+            while end < len(text) and i + end - p < len(item.codes) and text[end] == item.codes[i + end - p]:
+                end += 1
+            tried[p - i] = end
     return None
 
 
-def leaked_passages(
-    documents: DataFrame, items: DataFrame, least: int = 12, per_edit: int = 6, edits: int = 6, block_words: int = 500_000
-) -> DataFrame:
-    """One row for each document and evaluation item where the document holds a passage of the item.
+def verified(pairs: DataFrame, least: int, per_edit: int, edits: int) -> DataFrame:
+    """The pairs of a segment and an item (both with their words) that do hold a passage."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items: dict[int, _Item] = {}
+        for batch in batches:
+            rows, key = [], None
+            for doc_id, segment, first, bare, left, item, test_id, item_bare, item_left in zip(*(c.to_pylist() for c in batch.columns)):
+                if item not in items:
+                    if len(items) > 10_000:
+                        items.clear()
+                    items[item] = _Item(item_bare, item_left)
+                if key != (doc_id, segment, bare):
+                    key, b, f = (doc_id, segment, bare), np.frombuffer(bare, np.uint64), np.frombuffer(left, np.uint64)
+                    at, seed = seeds(b, f, np.array([0, len(b)]))
+                if got := _first_passage(items[item], b, f, at, seed, least, per_edit, edits):
+                    rows.append((doc_id, test_id, got[0], got[1], first + got[2], got[3]))
+            yield _batch(rows, FOUND_SCHEMA)
+
+    columns = ("doc_id", "segment", "first", "bare", "left", "item", "test_id", "item_bare", "item_left")
+    return pairs.select(*columns).mapInArrow(verify, FOUND_SCHEMA)
+
+
+def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 12, per_edit: int = 6) -> DataFrame:
+    """One row for each document (or segment of a very long one) and evaluation item where it holds a passage of the item.
 
     A passage is at least `least` consecutive words of the item, in order, of which up to one in `per_edit` is
     altered, added or dropped, beginning and ending with words in common. Case, accents, punctuation, spacing,
     markup, invisible characters and wrong decoding don't matter. n_words and n_edits describe the first passage
-    found; doc_word and item_word are positions (in words) of the seed that led to it.
+    found, with the fewest edits; doc_word and item_word are positions (in words) of the seed that led to it.
 
     documents: doc_id, text. items: test_id, text. Null or empty texts are never cases, nor are items of fewer
-    than `least` words; repeated documents each count; a repeated test_id counts once. Extra columns are ignored.
-
-    The items are taken in blocks of at most block_words words (one block, unless the evaluation set is huge),
-    each small enough for every task to hold; the documents are read once per block, and shuffled only where a table has few splits.
+    than `least` words; repeated documents each count; a repeated test_id counts once, unless its texts differ. Extra
+    columns are ignored.
+
+    Every passage has SPAN words in a row unaltered somewhere, if `least` and `per_edit` leave that many (else they
+    are refused), so it shares a seed of each mask with its item. The documents are read once; segments with a seed
+    that a bit table of the items' seeds lets through are kept in the checkpoint folder. Their seeds are joined with
+    the items' on the hash, the documents' side spread over SALTS keys and the items' repeated for them, as a seed of
+    a copied passage may be in a third of all documents. Pairs of segment and item are then verified around the
+    seeds they share; items meet them by SALTS keys, too.
     """
-    size = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))
-    sized = items.where(F.col("test_id").isNotNull()).select("test_id", "text", size.alias("n"))
-    total = sized.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-total // block_words))
-    documents = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id")
-    out = None
-    for block in range(blocks):
-        part = sized if blocks == 1 else sized.where(F.pmod(F.xxhash64("test_id"), F.lit(blocks)) == block)
-        rows = [(r.test_id, r.text) for r in part.select("test_id", "text").dropDuplicates(["test_id"]).collect()]
-        found = documents.where("length(text) > 0").mapInArrow(_finder(rows, least, per_edit, edits), FOUND_SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _finder(rows: list[tuple[int, str]], least: int, per_edit: int, edits: int):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = TestIndex(rows)
-        items = [ids.tolist() for _, ids in index.items]
-        vocabulary = max(index.bare.values(), default=0) + 1
-        member = np.zeros((len(items), vocabulary + 1), bool)
-        for k, (_, ids) in enumerate(index.items):
-            member[k, ids] = True  # the last column is for words of no item: position -1
-        around, needed = least + least // per_edit, least - least // per_edit - 1
-        for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids = index.encode(text)
-                hits = index.hits(ids)
-                if not hits:
-                    continue
-                plain, done, last = ids.tolist(), -1, -1
-                for item, p, i in hits:
-                    if item == done:
-                        continue
-                    if item != last:
-                        last, tried = item, {}
-                        near = np.r_[0, np.cumsum(member[item][ids])]
-                    # Near a passage, at least this many words of the text occur in the item at all.
-                    if near[min(p + around, len(ids))] - near[max(p - around, 0)] < needed or p < tried.get(p - i, 0):
-                        continue
-                    if got := passage(plain, items[item], p, i, least, per_edit, edits):
-                        out.append((doc_id, index.items[item][0], *got, p, i))
-                        done = item
-                    else:  # other seeds in the same unbroken stretch lead to the same
-                        end = p
-                        while end < len(plain) and i + end - p < len(items[item]) and plain[end] == items[item][i + end - p]:
-                            end += 1
-                        tried[p - i] = end
-            columns = list(zip(*out)) if out else [[]] * 6
-            names = ("doc_id", "test_id", "n_words", "n_edits", "doc_word", "item_word")
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(names))
-
-    return find
+    if any(-(-(n - n // per_edit) // (n // per_edit + 1)) < SPAN for n in range(least, 4 * least + 4 * per_edit)):
+        raise ValueError("a passage needn't hold a seed under this rule")
+    span, edits = longest_needed(least, per_edit)
+    texts = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("length(text) > 0"), "doc_id")
+    known = item_seeds(items, least)
+    places = known.select("item", F.explode("seed").alias("seed"))
+    segments = cut_lineage(candidate_segments(texts, seed_filter(places), span + edits + SPAN))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salt = F.pmod(F.xxhash64("doc_id", "segment"), F.lit(SALTS)).cast("int").alias("salt")
+    met = segments.select("doc_id", "segment", salt, F.explode("seed").alias("seed")).join(places.select("*", salts), ["seed", "salt"])
+    pairs = met.select("doc_id", "segment", "salt", "item").distinct()
+    full = known.select("item", "test_id", F.col("bare").alias("item_bare"), F.col("left").alias("item_left"), salts)
+    return verified(pairs.join(full, ["item", "salt"]).join(segments.drop("seed"), ["doc_id", "segment"]), least, per_edit, edits)
