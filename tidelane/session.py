@@ -19,19 +19,27 @@ def local_session(cpus: int = 8, partitions: int | None = None) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("TIDELANE_DRIVER_MEMORY", "12g"))
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; only where it is unset (tests) take a temporary one."""
+    """Use the shared folder of spark.checkpoint.dir. Where it is unset, a session of one machine takes a temporary one; a
+    cluster is refused, as a folder of the driver's machine isn't there for its executors."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidelane-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidelane-"))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder, so that a lost executor costs no recomputation of what lies before."""
+    """Checkpoint into the shared folder, so that what lies before is computed once, even if executors are lost.
+
+    The files go with the DataFrame where spark.cleaner.referenceTracking.cleanCheckpoints is set.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -43,7 +51,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame, key: str, per_core: int = 3) -> DataFrame:
     """Rows spread by a hash of `key` over a few tasks per core, if the scan gives fewer.
 
-    For stages that work long on each row of a small table; a table with splits enough is left as it is, unshuffled.
+    For stages that work long on each row of a small table; a table with splits enough is left as it is, unshuffled. The rows
+    are the same either way.
     """
     wanted = per_core * df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
