@@ -24,8 +24,8 @@ SEGMENT_SCHEMA = "doc_id bigint, segment bigint, first bigint, bare binary, left
 ITEM_SCHEMA = "test_id bigint, item bigint, bare binary, left binary, seed array<bigint>"
 #: Words of a text that are searched as one; longer texts are cut, with what a passage may reach around.
 SEGMENT_WORDS = 4096
-#: Bits for each seed in the filter, and the most bits it has (32 MB): beyond that it lets more through.
-FILTER_BITS, MOST_BITS = 16, 1 << 28
+#: Bits for each seed in the filter, how many are set, and the most bits it has (32 MB): beyond that it lets more through.
+FILTER_BITS, PROBES, MOST_BITS = 32, 4, 1 << 28
 SALTS = 16
 
 _TAG = re.compile(r"<[a-zA-Z/!][^<>]*>")
@@ -63,6 +63,11 @@ def words(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def _packed(bare: np.ndarray, left: np.ndarray) -> tuple[bytes, bytes]:
+    """Both forms' hashes as bytes; none for the second if all are the first's."""
+    return bare.tobytes(), b"" if np.array_equal(bare, left) else left.tobytes()
+
+
 class WordHashes:
     """Hashes of words, looked up once; given up when there are many, so that a worker's memory stays bounded."""
 
@@ -79,21 +84,21 @@ class WordHashes:
             for b, f in words(text or ""):
                 h = known.get(b)
                 if h is None:
-                    h = known[b] = xxhash.xxh3_64_intdigest(b)
+                    h = known[b] = xxhash.xxh32_intdigest(b)
                 bare.append(h)
                 if f is not b:
                     h = known.get(f)
                     if h is None:
-                        h = known[f] = xxhash.xxh3_64_intdigest(f)
+                        h = known[f] = xxhash.xxh32_intdigest(f)
                 left.append(h)
             begin.append(len(bare))
-        return np.array(bare, np.uint64), np.array(left, np.uint64), np.array(begin, np.int64)
+        return np.array(bare, np.uint32), np.array(left, np.uint32), np.array(begin, np.int64)
 
 
 def _mix(parts: list[np.ndarray], number: int) -> np.ndarray:
     total = np.full(len(parts[0]), number + 1, np.uint64)
     for part in parts:
-        total = (total ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        total = (total ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         total ^= total >> np.uint64(29)
     return total
 
@@ -135,28 +140,31 @@ def longest_needed(least: int, per_edit: int) -> tuple[int, int]:
 
 def _reach(text: list[int], item: list[int], p: int, i: int, way: int, edits: int) -> list[int]:
     """Item words spanned from (p, i) on, up to the last that agrees, with 0, 1, ... edits; furthest reaching."""
-    n, m = len(text), len(item)
-
-    def slide(p: int, i: int) -> int:
-        k = 0
-        while 0 <= p < n and 0 <= i < m and text[p] == item[i]:
-            p, i, k = p + way, i + way, k + 1
-        return k
-
-    first = slide(p, i)
-    front, spans = {0: first}, [first]  # diagonal: item words passed
+    if way < 0:  # the same, seen backwards
+        text, item, p, i = text[p::-1] if p >= 0 else [], item[i::-1] if i >= 0 else [], 0, 0
+    n, m, x, y = len(text), len(item), p, i
+    while x < n and y < m and text[x] == item[y]:
+        x, y = x + 1, y + 1
+    best = y - i
+    front, spans = {0: best}, [best]  # diagonal: item words passed
     for _ in range(edits):
         ahead: dict[int, int] = {}
         for d, used in front.items():
-            for step, more in ((0, 1), (1, 0), (-1, 1)):  # altered, added to the text, dropped from it
-                if ahead.get(d + step, -1) < used + more:
-                    ahead[d + step] = used + more
-        best = spans[-1]
+            if ahead.get(d, -1) <= used:  # altered
+                ahead[d] = used + 1
+            if ahead.get(d + 1, -1) < used:  # added to the text
+                ahead[d + 1] = used
+            if ahead.get(d - 1, -1) <= used:  # dropped from it
+                ahead[d - 1] = used + 1
         for d, used in ahead.items():
-            k = slide(p + way * (used + d), i + way * used) if used < m else 0
-            ahead[d] = used + k
-            if k:
-                best = max(best, used + k)
+            x, y = p + used + d, i + used
+            if 0 <= x < n and y < m and text[x] == item[y]:
+                x, y = x + 1, y + 1
+                while x < n and y < m and text[x] == item[y]:
+                    x, y = x + 1, y + 1
+                ahead[d] = y - i
+                if y - i > best:
+                    best = y - i
         front = ahead
         spans.append(best)
     return spans
@@ -165,7 +173,8 @@ def _reach(text: list[int], item: list[int], p: int, i: int, way: int, edits: in
 def passage(text: list[int], item: list[int], p: int, i: int, least: int, per_edit: int, edits: int) -> tuple[int, int] | None:
     """Length and edits of the passage through (p, i) with the fewest edits that meets the rule, or None."""
     right = _reach(text, item, p, i, 1, edits)
-    left = _reach(text, item, p - 1, i - 1, -1, edits)
+    near = text[max(0, p - 2 * (least + per_edit * edits)) : p], item[max(0, i - 2 * (least + per_edit * edits)) : i]
+    left = _reach(*near, len(near[0]) - 1, len(near[1]) - 1, -1, edits)
     for e in range(edits + 1):
         span = max(left[a] + right[e - a] for a in range(e + 1))
         if span >= max(least, per_edit * e):
@@ -200,7 +209,7 @@ def item_seeds(items: DataFrame, least: int) -> DataFrame:
             for test_id, item, a, b in zip(batch["test_id"].to_pylist(), batch["item"].to_pylist(), begin[:-1].tolist(), begin[1:].tolist()):
                 if b - a >= least:
                     _, seed = seeds(bare[a:b], left[a:b], np.array([0, b - a]))
-                    rows.append((test_id, item, bare[a:b].tobytes(), left[a:b].tobytes(), np.unique(seed.view(np.int64)).tolist()))
+                    rows.append((test_id, item, *_packed(bare[a:b], left[a:b]), np.unique(seed.view(np.int64)).tolist()))
             yield _batch(rows, ITEM_SCHEMA)
 
     known = items.where("test_id IS NOT NULL AND length(text) > 0").select(F.col("test_id").cast("bigint").alias("test_id"), "text").distinct()
@@ -217,29 +226,42 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def seed_filter(places: DataFrame) -> np.ndarray:
-    """One bit for each seed of the items, in a table of bounded size: what has no bit set is no seed of theirs.
+    """A few bits for each seed of the items, in a table of bounded size: where one isn't set, it is no seed of theirs.
 
     Its size follows the number of seeds, up to MOST_BITS; only its words that aren't 0 reach the driver.
     """
     n, bits = places.count(), 1 << 16
     while bits < min(FILTER_BITS * n, MOST_BITS):
         bits *= 2
-    rows = places.selectExpr(f"(seed & {bits - 1}L) >> 6 AS word", "shiftleft(1L, int(seed & 63L)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    place = f"((seed & {bits - 1}L) + k * ((shiftrightunsigned(seed, 32) & {bits - 1}L) | 1L)) & {bits - 1}L"
+    probes = places.select("seed", F.explode(F.sequence(F.lit(0), F.lit(PROBES - 1)).cast("array<bigint>")).alias("k")).selectExpr(f"{place} AS place")
+    rows = probes.selectExpr("place >> 6 AS word", "shiftleft(1L, int(place & 63L)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     table = np.zeros(bits // 64, np.int64)
     table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return table.view(np.uint64)
 
 
+def may_hold(table: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Whether each seed may be one of those the table was made of."""
+    last = np.uint64(64 * len(table) - 1)
+    step = ((seed >> np.uint64(32)) & last) | np.uint64(1)
+    found = np.ones(len(seed), bool)
+    for k in range(PROBES):
+        rows = np.flatnonzero(found)
+        place = ((seed[rows] & last) + np.uint64(k) * step[rows]) & last
+        found[rows] = (table[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return found
+
+
 def candidate_segments(documents: DataFrame, table: np.ndarray, halo: int) -> DataFrame:
     """The segments of texts that may share a seed with an item: their words' hashes, with `halo` words around."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last = WordHashes(), np.uint64(64 * len(table) - 1)
+        hashes = WordHashes()
         for batch in batches:
             bare, left, begin = hashes.forms(batch["text"].to_pylist())
             at, seed = seeds(bare, left, begin)
-            near = seed & last
-            hit = (table[(near >> np.uint64(6)).astype(np.int64)] >> (near & np.uint64(63)) & np.uint64(1)).astype(bool)
+            hit = may_hold(table, seed)
             at, seed = at[hit], seed[hit].view(np.int64)
             order = np.argsort(at, kind="stable")
             at, seed = at[order], seed[order]
@@ -251,65 +273,89 @@ def candidate_segments(documents: DataFrame, table: np.ndarray, halo: int) -> Da
                 k, s = int(text[a]), int(segment[a])
                 low = max(int(begin[k]), int(begin[k]) + s * SEGMENT_WORDS - halo)
                 high = min(int(begin[k + 1]), int(begin[k]) + (s + 1) * SEGMENT_WORDS + halo)
-                rows.append((ids[k], s, low - int(begin[k]), bare[low:high].tobytes(), left[low:high].tobytes(), np.unique(seed[a:b]).tolist()))
+                rows.append((ids[k], s, low - int(begin[k]), *_packed(bare[low:high], left[low:high]), np.unique(seed[a:b]).tolist()))
             yield _batch(rows, SEGMENT_SCHEMA)
 
     return documents.mapInArrow(search, SEGMENT_SCHEMA)
 
 
-class _Item:
-    """An item's words as small numbers, and its seeds in order."""
+class _Words:
+    """An item's or a segment's words and the places of its seeds."""
 
     def __init__(self, bare: bytes, left: bytes):
-        b, f = np.frombuffer(bare, np.uint64), np.frombuffer(left, np.uint64)
-        self.bare, self.left = _codes(b.tolist(), f.tolist())
-        self.codes = [self.bare[x] for x in b.tolist()]
+        b = np.frombuffer(bare, np.uint32)
+        f = np.frombuffer(left, np.uint32) if left else b
+        self.bare = b.tolist()
+        self.left = f.tolist() if left else self.bare
+        self.places: dict[int, list[int]] = {}
         at, seed = seeds(b, f, np.array([0, len(b)]))
-        order = np.argsort(seed, kind="stable")
-        self.at, self.seed = at[order], seed[order]
+        for p, h in zip(at.tolist(), seed.view(np.int64).tolist()):
+            self.places.setdefault(h, []).append(p)
+
 
+class _Item(_Words):
+    """Its words as small numbers, too."""
 
-def _first_passage(item: _Item, bare: np.ndarray, left: np.ndarray, at: np.ndarray, seed: np.ndarray, least: int, per_edit: int, edits: int):
-    """(words, edits, place in the text, place in the item) of the first passage around a common seed, or None."""
-    low, high = np.searchsorted(item.seed, seed, "left"), np.searchsorted(item.seed, seed, "right")
-    hits = np.flatnonzero(high > low)
-    by_bare, by_left = item.bare, item.left
-    text = [c if (c := by_bare.get(b)) is not None else by_left.get(f, -1) for b, f in zip(bare.tolist(), left.tolist())]
+    def __init__(self, bare: bytes, left: bytes):
+        super().__init__(bare, left)
+        self.by_bare, self.by_left = _codes(self.bare, self.left)
+        self.codes = [self.by_bare[b] for b in self.bare]
+
+    def encode(self, text: _Words) -> list[int]:
+        """The numbers of a text's words, -1 for words of others."""
+        by_bare, by_left = self.by_bare, self.by_left
+        if text.left is text.bare and self.left is self.bare:
+            return [by_bare.get(b, -1) for b in text.bare]
+        return [c if (c := by_bare.get(b)) is not None else by_left.get(f, -1) for b, f in zip(text.bare, text.left)]
+
+
+def _first_passage(item: _Item, text: _Words, shared: list[int], least: int, per_edit: int, edits: int, reach: int):
+    """(words, edits, place in the text, place in the item) of the first passage around a shared seed, or None.
+
+    A passage has an unbroken stretch of SPAN words, and with e edits at least per_edit * e - e (and no fewer than for `least`
+    words) words of the item within `reach` words of it; so other seeds need no closer look, or not with as many edits.
+    """
+    codes, of_item = item.encode(text), item.codes
+    known = list(itertools.accumulate((c >= 0 for c in codes), initial=0))
+    near, few = least + edits, least // per_edit
     tried: dict[int, int] = {}  # diagonal: end of the unbroken stretch whose seeds have been tried
-    for k in hits[np.argsort(at[hits], kind="stable")].tolist():
-        p = int(at[k])
-        for i in item.at[low[k] : high[k]].tolist():
-            if p < tried.get(p - i, 0):
+    for p, h in sorted((p, h) for h in shared for p in text.places.get(h, ())):
+        if known[min(p + near, len(codes))] - known[max(0, p - near)] < least - few:
+            continue
+        around, limit = known[min(p + reach, len(codes))] - known[max(0, p - reach)], few
+        while limit < edits and around >= (per_edit - 1) * (limit + 1):
+            limit += 1
+        for i in item.places[h]:
+            if p < tried.get(p - i, 0) or codes[p : p + SPAN] != of_item[i : i + SPAN]:
                 continue
-            if got := passage(text, item.codes, p, i, least, per_edit, edits):
+            if got := passage(codes, of_item, p, i, least, per_edit, limit):
                 return *got, p, i
             end = p
-            while end < len(text) and i + end - p < len(item.codes) and text[end] == item.codes[i + end - p]:
+            while end < len(codes) and i + end - p < len(of_item) and codes[end] == of_item[i + end - p]:
                 end += 1
             tried[p - i] = end
     return None
 
 
-def verified(pairs: DataFrame, least: int, per_edit: int, edits: int) -> DataFrame:
-    """The pairs of a segment and an item (both with their words) that do hold a passage."""
+def verified(pairs: DataFrame, least: int, per_edit: int, edits: int, reach: int) -> DataFrame:
+    """The pairs of a segment and an item (both with their words, and the seeds they share) that do hold a passage."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: dict[int, _Item] = {}
         for batch in batches:
             rows, key = [], None
-            for doc_id, segment, first, bare, left, item, test_id, item_bare, item_left in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, segment, first, bare, left, shared, item, test_id, item_bare, item_left in zip(*(c.to_pylist() for c in batch.columns)):
                 if item not in items:
                     if len(items) > 10_000:
                         items.clear()
                     items[item] = _Item(item_bare, item_left)
                 if key != (doc_id, segment, bare):
-                    key, b, f = (doc_id, segment, bare), np.frombuffer(bare, np.uint64), np.frombuffer(left, np.uint64)
-                    at, seed = seeds(b, f, np.array([0, len(b)]))
-                if got := _first_passage(items[item], b, f, at, seed, least, per_edit, edits):
+                    key, text = (doc_id, segment, bare), _Words(bare, left)
+                if got := _first_passage(items[item], text, shared, least, per_edit, edits, reach):
                     rows.append((doc_id, test_id, got[0], got[1], first + got[2], got[3]))
             yield _batch(rows, FOUND_SCHEMA)
 
-    columns = ("doc_id", "segment", "first", "bare", "left", "item", "test_id", "item_bare", "item_left")
+    columns = ("doc_id", "segment", "first", "bare", "left", "shared", "item", "test_id", "item_bare", "item_left")
     return pairs.select(*columns).mapInArrow(verify, FOUND_SCHEMA)
 
 
@@ -329,8 +375,8 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 12, per
     are refused), so it shares a seed of each mask with its item. The documents are read once; segments with a seed
     that a bit table of the items' seeds lets through are kept in the checkpoint folder. Their seeds are joined with
     the items' on the hash, the documents' side spread over SALTS keys and the items' repeated for them, as a seed of
-    a copied passage may be in a third of all documents. Pairs of segment and item are then verified around the
-    seeds they share; items meet them by SALTS keys, too.
+    a copied passage may be in a third of all documents. Pairs of segment and item that share a seed of each mask are then
+    verified around the seeds they share; items meet them by SALTS keys, too.
     """
     if any(-(-(n - n // per_edit) // (n // per_edit + 1)) < SPAN for n in range(least, 4 * least + 4 * per_edit)):
         raise ValueError("a passage needn't hold a seed under this rule")
@@ -342,6 +388,6 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 12, per
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     salt = F.pmod(F.xxhash64("doc_id", "segment"), F.lit(SALTS)).cast("int").alias("salt")
     met = segments.select("doc_id", "segment", salt, F.explode("seed").alias("seed")).join(places.select("*", salts), ["seed", "salt"])
-    pairs = met.select("doc_id", "segment", "salt", "item").distinct()
+    pairs = met.groupBy("doc_id", "segment", "salt", "item").agg(F.collect_set("seed").alias("shared")).where(F.size("shared") >= len(MASKS))
     full = known.select("item", "test_id", F.col("bare").alias("item_bare"), F.col("left").alias("item_left"), salts)
-    return verified(pairs.join(full, ["item", "salt"]).join(segments.drop("seed"), ["doc_id", "segment"]), least, per_edit, edits)
+    return verified(pairs.join(full, ["item", "salt"]).join(segments.drop("seed").hint("merge"), ["doc_id", "segment"]), least, per_edit, edits, span + edits)
