@@ -36,31 +36,30 @@ _INSIDE = re.compile("['`\u2019\u2018]")
 _BEYOND = re.compile(r"[^\x00-\x7f]+")
 
 
+def _plain(text: str) -> str:
+    """Without markup, entities and marks inside words, in lower case."""
+    return _INSIDE.sub("", _SPACE.sub(" ", _TAG.sub(" ", html.unescape(text)))).lower()
+
+
+def _words_of(piece: str) -> list[tuple[str, str]]:
+    """The words of a piece without blanks, in both forms."""
+    if piece.isascii():
+        return [(w, w) for w in _WORD.findall(piece)]
+    left = _WORD.findall(_BEYOND.sub("", piece))
+    plain = unicodedata.normalize("NFKD", piece)
+    bare = _WORD.findall(_BEYOND.sub("", plain))
+    if left:
+        return list(zip(bare, left)) if len(bare) == len(left) else [(w, w) for w in left]
+    return [(w, w) for w in _OTHER_WORD.findall("".join(c for c in plain if not unicodedata.combining(c)))]
+
+
 def words(text: str) -> list[tuple[str, str]]:
     """Each word twice: with its accents taken off, and with every character beyond ASCII left out.
 
     Wrong decoding turns an accented letter into other characters beyond ASCII, so the second form survives it,
     as the first survives the loss of accents. Words of scripts without ASCII letters keep their letters.
     """
-    text = _INSIDE.sub("", _SPACE.sub(" ", _TAG.sub(" ", html.unescape(text)))).lower()
-    if text.isascii():
-        return [(w, w) for w in _WORD.findall(text)]
-    out = []
-    for piece in text.split():
-        if piece.isascii():
-            out += [(w, w) for w in _WORD.findall(piece)]
-            continue
-        left = _WORD.findall(_BEYOND.sub("", piece))
-        plain = unicodedata.normalize("NFKD", piece)
-        bare = [w for w in _WORD.findall(_BEYOND.sub("", plain))]
-        if len(bare) == len(left) and left:
-            out += list(zip(bare, left))
-        elif left:
-            out += [(w, w) for w in left]
-        else:
-            plain = "".join(c for c in plain if not unicodedata.combining(c))
-            out += [(w, w) for w in _OTHER_WORD.findall(plain)]
-    return out
+    return [pair for piece in _plain(text).split() for pair in _words_of(piece)]
 
 
 def _packed(bare: np.ndarray, left: np.ndarray) -> tuple[bytes, bytes]:
@@ -68,31 +67,42 @@ def _packed(bare: np.ndarray, left: np.ndarray) -> tuple[bytes, bytes]:
     return bare.tobytes(), b"" if np.array_equal(bare, left) else left.tobytes()
 
 
-class WordHashes:
-    """Hashes of words, looked up once; given up when there are many, so that a worker's memory stays bounded."""
+class WordHashes(dict):
+    """Pieces without blanks, numbered as they are met, and the hashes of their words in both forms.
+
+    Given up when there are many, so that a worker's memory stays bounded.
+    """
 
-    def __init__(self, most: int = 1_000_000):
-        self.known: dict[str, int] = {}
+    def __init__(self, most: int = 500_000):
+        super().__init__()
         self.most = most
+        self.bare: list[int] = []
+        self.left: list[int] = []
+        self.ends: list[int] = []
+
+    def __missing__(self, piece: str) -> int:
+        for b, f in _words_of(piece):
+            self.bare.append(xxhash.xxh32_intdigest(b))
+            self.left.append(xxhash.xxh32_intdigest(f))
+        self.ends.append(len(self.bare))
+        number = self[piece] = len(self)
+        return number
 
     def forms(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The two forms' hashes of all words of all texts, and where each text begins (one more than texts)."""
-        if len(self.known) > self.most:
-            self.known.clear()
-        known, bare, left, begin = self.known, [], [], [0]
+        if len(self) > self.most:
+            self.clear()
+            self.bare, self.left, self.ends = [], [], []
+        numbers: list[int] = []
+        cuts, number = [0], self.__getitem__
         for text in texts:
-            for b, f in words(text or ""):
-                h = known.get(b)
-                if h is None:
-                    h = known[b] = xxhash.xxh32_intdigest(b)
-                bare.append(h)
-                if f is not b:
-                    h = known.get(f)
-                    if h is None:
-                        h = known[f] = xxhash.xxh32_intdigest(f)
-                left.append(h)
-            begin.append(len(bare))
-        return np.array(bare, np.uint32), np.array(left, np.uint32), np.array(begin, np.int64)
+            numbers += map(number, _plain(text or "").split())
+            cuts.append(len(numbers))
+        piece, ends = np.array(numbers, np.int64), np.array([0, *self.ends], np.int64)
+        count = ends[piece + 1] - ends[piece]
+        total = np.r_[0, np.cumsum(count)]
+        at = np.repeat(ends[piece] - total[:-1], count) + np.arange(total[-1])
+        return np.array(self.bare, np.uint32)[at], np.array(self.left, np.uint32)[at], total[np.array(cuts)]
 
 
 def _mix(parts: list[np.ndarray], number: int) -> np.ndarray:
