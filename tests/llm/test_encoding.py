@@ -51,6 +51,46 @@ def test_near_copies_of_a_damaged_text_are_all_restored(spark):
     assert {i: r.restored_text for i, r in got.items()} == {i: f"{CLEAN[0]} {i}" for i in range(200)}
 
 
+def seen_as(text, page, times=1):
+    for _ in range(times):
+        text = "".join(bytes([b]).decode(page, "ignore") or chr(b) for b in text.encode())
+    return text
+
+
+def test_many_fold_damage_is_restored_or_marked(spark):
+    wrong = [seen_as(CLEAN[k], page, times) for k in (0, 1, 2) for page in ("latin-1", "cp1252") for times in (2, 3, 4, 5)]
+    got = repaired(spark, wrong)
+    assert set(got) == set(range(len(wrong)))
+    for i, row in got.items():
+        assert (row.restored_text == CLEAN[i // 8]) == row.restorable
+    assert sum(r.restorable for r in got.values()) >= len(wrong) - 3
+
+
+def test_frequent_damage_is_not_learnt_as_usual(spark, small):
+    folder = small.replace("sf0.001", "sf0.01")
+    texts = [r.text for r in spark.read.parquet(f"{folder}/documents.parquet").where("length(text) > 0").select("text").collect()]
+    damaged = set(repair_ids(spark, texts))
+    whole = [t for i, t in enumerate(texts) if i not in damaged]
+    accented = [i for i, t in enumerate(whole) if any("\u00c0" <= c <= "\u024f" for c in t)]
+    for every in (5, 2):  # a fifth, then half of the texts that can be damaged
+        chosen = set(accented[::every])
+        mixed = [seen_as(t, "cp1252") if i in chosen else t for i, t in enumerate(whole)]
+        got = repair_ids(spark, mixed)
+        assert chosen <= set(got)
+        assert sum(got[i].restored_text == whole[i] for i in chosen) >= 0.95 * len(chosen)
+
+
+def repair_ids(spark, texts):
+    return {r.doc_id: r for r in repair_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+
+
+def test_a_small_corpus(spark):
+    texts = [f"{CLEAN[k % 4]} {k}" for k in range(300)]
+    wrong = {k: texts[k].encode().decode("cp1252", "ignore") for k in (0, 51, 102, 153, 204)}
+    got = repair_ids(spark, [wrong.get(k, t) for k, t in enumerate(texts)])
+    assert {k: got[k].restored_text for k in got} == {k: texts[k] for k in wrong}
+
+
 def test_genuine_text_is_no_case(spark):
     genuine = [
         *CLEAN, "Modelo IRMÃ® em preto.", "a versão «MANHÃ» e não a outra", "NÃO GOSTEI DA AVALIAÇÃO", "La taille « Â » est plus étroite que la « Ê ».",

@@ -65,6 +65,8 @@ class PairModel:
         self.first, self.second = first.reshape(-1) * self.total, second.reshape(-1) * self.total
         self.n = n.reshape(-1)
         self.log = np.log2((self.n + 0.5) / self.total).astype(np.float32)
+        #: Pairs met no oftener are rare; where the corpus is small, those met nowhere.
+        self.rare = max(self.total * 2.0**-16.5 - 0.5, 0.0)
 
     @staticmethod
     def _scores(joint: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -157,7 +159,16 @@ for _page in ("cp1252", "cp1250", "cp1251", "cp1253"):  # text that passed throu
         TABLES[_page].setdefault(chr(_b), _b)
 LEAD = {name: "".join(c for c, b in t.items() if 0xC2 <= b <= 0xF4) for name, t in TABLES.items()}
 FOLLOW = {name: "".join(c for c, b in t.items() if 0x80 <= b <= 0xBF) for name, t in TABLES.items()}
-SEQUENCE = {name: re.compile(f"(?:[{re.escape(LEAD[name])}][{re.escape(FOLLOW[name])}]{{1,3}})+") for name in SEEN_AS}
+
+
+def _sequence(page: str) -> re.Pattern:
+    """Characters whose bytes on that page are whole UTF-8 characters beyond ASCII, one after another."""
+    lead = {n: re.escape("".join(c for c, b in TABLES[page].items() if low <= b <= high)) for n, low, high in ((1, 0xC2, 0xDF), (2, 0xE0, 0xEF), (3, 0xF0, 0xF4))}
+    follow = re.escape(FOLLOW[page])
+    return re.compile("(?:" + "|".join(f"[{lead[n]}][{follow}]{{{n}}}" for n in lead) + ")+")
+
+
+SEQUENCE = {name: _sequence(name) for name in SEEN_AS}
 ANY_SEQUENCE = re.compile(f"[{re.escape(''.join(LEAD[n] for n in SEEN_AS))}][{re.escape(''.join(FOLLOW[n] for n in SEEN_AS))}]")
 
 
@@ -169,8 +180,16 @@ def _decoded(piece: str, page: str) -> str | None:
         return None
 
 
+def _structural(text: str) -> list[tuple[int, int]]:
+    """Where the text is UTF-8, seen as some page, by its structure."""
+    if not ANY_SEQUENCE.search(text):
+        return []
+    return [m.span() for name in SEEN_AS for m in SEQUENCE[name].finditer(text) if _decoded(m.group(), name)]
+
+
 SENTENCE_END = re.compile(r"[.!?:]\s+|\n+|。")
 #: A control character U+0080-9F beside a letter is a byte that no mapping explains.
+LOST = re.compile(f"[^{REPLACEMENT}]?{REPLACEMENT}+.?", re.DOTALL)
 CONTROL = re.compile(r"[^\W\d_][\x80-\x84\x86-\x9f]|[\x80-\x84\x86-\x9f][^\W\d_]")
 
 
@@ -188,22 +207,49 @@ class Repairer:
     def __init__(self, model: PairModel):
         self.model = model
 
+    def suspects(self, texts: list[str], copies: list[int]) -> list[int]:
+        """The texts that may hold a case, without looking closer: no other one has a run that any mapping fits.
+
+        A mapping needs a sequence of bytes that may be UTF-8, or two rare pairs beyond ASCII (counted here as if every
+        such pair of the text were the same one); what is lost shows by U+FFFD or a control character.
+        """
+        codes = _codes("\x00".join(texts) + "\x00")
+        beyond = codes > 127
+        at = np.flatnonzero(beyond[:-1] | beyond[1:])
+        s = symbols(codes[np.r_[at, at + 1]]) if len(at) else np.zeros(0, np.int64)
+        n = self.model.n[s[: len(at)] * SYMBOLS + s[len(at) :]]
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        text = np.searchsorted(ends, at, "right")
+        own = np.bincount(text, minlength=len(texts)) * np.asarray(copies)
+        rare = np.bincount(text, n - own[text] <= self.model.rare, minlength=len(texts))
+        return [
+            k for k, t in enumerate(texts)
+            if not t.isascii() and (rare[k] >= 2 or REPLACEMENT in t or _structural(t) or CONTROL.search(t))
+        ]
+
     def runs(self, text: str, scores: dict[int, float]) -> list[tuple[int, int]]:
         """Character ranges of improbable runs, widened to whole stretches beyond ASCII, merged where they touch.
 
-        scores: those of the document's own pairs without its copies.
+        scores: those of the document's own pairs without its copies. Pairs inside what is UTF-8 by its structure, and
+        pairs with a lost or control character, count as improbable however often they occur: near copies and
+        frequent damage make them usual.
         """
         codes = _codes(text)
         if len(codes) < 2:
             return []
         beyond = codes > 127
-        s = symbols(codes)
         near = np.flatnonzero(beyond[:-1] | beyond[1:])
-        pairs, score = (s[near] * SYMBOLS + s[near + 1]).tolist(), self.model.score[s[near], s[near + 1]].tolist()
-        score = [scores.get(p, x) for p, x in zip(pairs, score)]
+        s = symbols(codes[np.r_[near, near + 1]])
+        pairs = (s[: len(near)] * SYMBOLS + s[len(near) :]).tolist()
+        score, common = [scores.get(p) for p in pairs], self.model.score.reshape(-1)
+        score = np.array([common.item(p) if x is None else x for p, x in zip(pairs, score)])
+        spans = [m.span() for m in CONTROL.finditer(text)] + [m.span() for m in LOST.finditer(text)]
+        spans += _structural(text)
+        for a, b in spans:
+            score[np.searchsorted(near, a) : np.searchsorted(near, max(b - 1, a + 1))] = 1.0
         out: list[tuple[int, int]] = []
         spans = []  # a run of a rare script may hold many sentences, of which one is damaged
-        for a, b in improbable_runs(near.tolist(), score, -0.3):
+        for a, b in improbable_runs(near.tolist(), score.tolist(), -0.3):
             b += 2
             while a > 0 and beyond[a - 1]:
                 a -= 1
@@ -213,10 +259,6 @@ class Repairer:
                 spans.append((a, m.end()))
                 a = m.end()
             spans.append((a, b))
-        for name in SEEN_AS if ANY_SEQUENCE.search(text) else ():  # usual or not: near copies make damage usual
-            for m in SEQUENCE[name].finditer(text):
-                if _decoded(m.group(), name):
-                    spans.append(m.span())
         for a, b in sorted(spans):
             if not beyond[a:b].any():
                 continue
@@ -241,7 +283,7 @@ class Repairer:
     def _utf8(self, text: str, run: str, start: int, own: dict[int, float]) -> tuple[str, str] | None:
         """Byte sequences of UTF-8 inside the run, seen as single-byte characters."""
         best = None
-        for name in SEEN_AS:
+        for name in SEEN_AS if ANY_SEQUENCE.search(run) else ():
             changed, out, at = 0, [], 0
             for m in SEQUENCE[name].finditer(run):
                 piece, new = m.group(), _decoded(m.group(), name)
@@ -259,13 +301,13 @@ class Repairer:
 
     def _other(self, text: str, a: int, b: int, own: dict[int, float], sums: np.ndarray, rare: np.ndarray) -> tuple[str, str] | None:
         """A stretch that belongs to another code page; the gain is summed, as single letters tell little."""
-        run, before, after = text[a:b], text[max(0, a - 1) : a], text[b : b + 1]
+        lo, hi = max(0, a - 1), min(b, len(text) - 1)
+        if rare[hi] - rare[lo] < 2:  # as usual as any text of a rarer language
+            return None
+        run, before, after = text[a:b], text[lo:a], text[b : b + 1]
         if sum(ord(c) > 127 for c in run) < 2:
             return None
-        lo, hi = a - len(before), b + len(after) - 1
         base = float(sums[hi] - sums[lo]) * (len(run) + 1) / max(hi - lo, 1)
-        if rare[hi] - rare[lo] < 2:  # as usual as any text of a rarer language
-            return None
         best = None
         for seen, was in SINGLE + DOUBLE:
             table = TABLES[seen]
@@ -281,14 +323,17 @@ class Repairer:
                 best = (gain, new, f"{was} as {seen}")
         return best and best[1:]
 
-    def _pass(self, text: str, own: dict[int, float], scores: dict[int, float]) -> tuple[str, int, int, set[str]]:
-        """One round over all runs: (text, runs, runs restored, mappings)."""
+    def _pass(self, text: str, own: dict[int, float], scores: dict[int, float]) -> tuple[str, int, int, set[str], bool]:
+        """One round over all runs: (text, runs, runs restored, mappings, does a run hold lost characters)."""
         runs = self.runs(text, scores)
         if not runs:
-            return text, 0, 0, set()
+            return text, 0, 0, set(), False
+        lost = any(REPLACEMENT in text[a:b] or CONTROL.search(text, max(a - 1, 0), b + 1) for a, b in runs)
+        codes = _codes(text) > 127
         logs = self.model.pair_logs(text, own)
-        sums, rare = np.r_[0.0, np.cumsum(logs)], np.r_[0, np.cumsum(logs < -16.5)]
-        out, at, changed, mappings, left = [], 0, 0, set(), 0
+        few = np.log2((self.model.rare + 0.5) / self.model.total) + 1e-5
+        sums, rare = np.r_[0.0, np.cumsum(logs)], np.r_[0, np.cumsum((logs <= few) & (codes[:-1] | codes[1:]))]
+        out, at, changed, mappings = [], 0, 0, set()
         k = 0
         while k < len(runs):
             a, b = runs[k]
@@ -318,30 +363,35 @@ class Repairer:
                         changed += 1
                         mappings.add(got[1])
             k = j + 1
-        return "".join(out) + text[at:], len(runs), changed, mappings
+        return "".join(out) + text[at:], len(runs), changed, mappings, lost
 
     def repair(self, text: str, copies: int = 1) -> tuple[str, int, int, list[str], bool] | None:
         """(restored text, improbable runs, runs restored, mappings, nothing lost), or None for an unharmed text.
 
         copies: how many documents of the corpus have exactly this text.
         """
-        lost = REPLACEMENT in text
         if text.isascii():
             return None
         own, scores = self.model.elsewhere(text, copies)
         mappings: set[str] = set()
-        found = restored = 0
-        for _ in range(3):  # wrongly decoded more than once
-            text, runs, changed, how = self._pass(text, own, scores)
+        met, found, restored, lost, changed = {text}, 0, 0, False, 1
+        while changed:  # wrongly decoded any number of times
+            text, runs, changed, how, lost = self._pass(text, own, scores)
             found = found or runs
+            if changed and text in met:  # one mapping takes back another
+                lost = True
+                break
+            met.add(text)
             restored += changed
             mappings |= how
-            if not changed:
-                break
-        lost = lost or bool(CONTROL.search(text))
         if not restored and not lost:
             return None
-        return text, found, restored, sorted(mappings), not lost
+        return text, found, restored, sorted(mappings), not lost and not self._left(text)
+
+    @staticmethod
+    def _left(text: str) -> bool:
+        """Is there a sequence left that is a letter or sign of Western text in UTF-8, seen as a Western page?"""
+        return any((new := _decoded(m.group(), name)) and any(0xC0 <= ord(c) < 0x180 or 0x2010 <= ord(c) < 0x2030 for c in new) for name in ("cp1252", "latin-1") for m in SEQUENCE[name].finditer(text))
 
 
 _REPAIRERS: dict[str, Repairer] = {}
@@ -370,11 +420,13 @@ def _with_copies(documents: DataFrame, tasks: int) -> DataFrame:
 def repair_documents(documents: DataFrame) -> DataFrame:
     """One row for each document whose text holds characters that came about by wrong decoding.
 
-    Adjacent characters are scored by the mutual information they carry in the whole corpus; maximum-scoring
-    segments of improbable pairs, and whatever is UTF-8 by its structure, give the runs in which inverse mappings are
-    tried: UTF-8 seen as a single-byte page, and one page seen as another, up to three times over. A mapping holds if its result is likelier in the
-    corpus (leaving this document and its copies out) and keeps the case of its word. U+FFFD shows a decoding whose bytes are
-    lost: such a text counts, restorable is false, and only its other runs are restored.
+    Adjacent characters are scored by the mutual information they carry in the whole corpus; pairs inside what is UTF-8 by
+    its structure, and pairs with U+FFFD or a control character, score as improbable whatever their number. Maximum-scoring
+    segments give the runs in which inverse mappings are tried: UTF-8 seen as a single-byte page, and one page seen as
+    another, again and again until none holds. A mapping holds if its result is likelier in the corpus (leaving this document
+    and its copies out) and keeps the case of its word. U+FFFD shows a decoding whose bytes are lost: such a text counts,
+    restorable is false, and only its other runs are restored. restorable is false, too, where a Western letter is still
+    seen as its bytes, or where mappings lead in a circle.
 
     restored_text holds the text with all accepted mappings undone; mappings names them. Null, empty and pure
     ASCII texts are never cases; repeated rows each count; an empty table gives no rows; extra columns are ignored.
@@ -394,10 +446,13 @@ def repair_documents(documents: DataFrame) -> DataFrame:
         names = [c.split()[0] for c in REPAIR_SCHEMA.split(", ")]
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
         for batch in batches:
-            out = []
-            for doc_id, text, copies in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "copies"))):
-                if got := worker.repair(text, copies):
-                    out.append((doc_id, got[0], got[1], got[2], ", ".join(got[3]), got[4]))
+            ids, texts, copies = (batch[c].to_pylist() for c in ("doc_id", "text", "copies"))
+            out, done = [], {}  # exact copies in a batch are repaired once
+            for k in worker.suspects(texts, copies):
+                if texts[k] not in done:
+                    done[texts[k]] = worker.repair(texts[k], copies[k])
+                if got := done[texts[k]]:
+                    out.append((ids[k], got[0], got[1], got[2], ", ".join(got[3]), got[4]))
             columns = list(zip(*out)) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
