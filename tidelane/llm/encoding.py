@@ -157,6 +157,7 @@ TABLES = {name: _bytes_as(name) for name in {*SEEN_AS, *(a for a, _ in SINGLE +
 for _page in ("cp1252", "cp1250", "cp1251", "cp1253"):  # text that passed through two decoders mixes both
     for _b in range(0x80, 0xA0):
         TABLES[_page].setdefault(chr(_b), _b)
+BYTES = {name: {ord(c): b for c, b in t.items()} for name, t in TABLES.items()}
 LEAD = {name: "".join(c for c, b in t.items() if 0xC2 <= b <= 0xF4) for name, t in TABLES.items()}
 FOLLOW = {name: "".join(c for c, b in t.items() if 0x80 <= b <= 0xBF) for name, t in TABLES.items()}
 
@@ -175,7 +176,7 @@ ANY_SEQUENCE = re.compile(f"[{re.escape(''.join(LEAD[n] for n in SEEN_AS))}][{re
 def _decoded(piece: str, page: str) -> str | None:
     """What the bytes of the piece, as that page has them, are in UTF-8; None if they aren't UTF-8."""
     try:
-        return bytes(TABLES[page][c] for c in piece).decode("utf-8")
+        return piece.translate(BYTES[page]).encode("latin-1").decode("utf-8")
     except UnicodeDecodeError:
         return None
 
@@ -227,11 +228,11 @@ class Repairer:
             if not t.isascii() and (rare[k] >= 2 or REPLACEMENT in t or _structural(t) or CONTROL.search(t))
         ]
 
-    def runs(self, text: str, scores: dict[int, float]) -> list[tuple[int, int]]:
+    def runs(self, text: str, scores: dict[int, float], whole: list[tuple[int, int]]) -> list[tuple[int, int]]:
         """Character ranges of improbable runs, widened to whole stretches beyond ASCII, merged where they touch.
 
-        scores: those of the document's own pairs without its copies. Pairs inside what is UTF-8 by its structure, and
-        pairs with a lost or control character, count as improbable however often they occur: near copies and
+        scores: those of the document's own pairs without its copies. Pairs inside `whole`, what is UTF-8 by its structure,
+        and pairs with a lost or control character count as improbable however often they occur: near copies and
         frequent damage make them usual.
         """
         codes = _codes(text)
@@ -244,7 +245,7 @@ class Repairer:
         score, common = [scores.get(p) for p in pairs], self.model.score.reshape(-1)
         score = np.array([common.item(p) if x is None else x for p, x in zip(pairs, score)])
         spans = [m.span() for m in CONTROL.finditer(text)] + [m.span() for m in LOST.finditer(text)]
-        spans += _structural(text)
+        spans += whole
         for a, b in spans:
             score[np.searchsorted(near, a) : np.searchsorted(near, max(b - 1, a + 1))] = 1.0
         out: list[tuple[int, int]] = []
@@ -309,12 +310,12 @@ class Repairer:
             return None
         base = float(sums[hi] - sums[lo]) * (len(run) + 1) / max(hi - lo, 1)
         best = None
+        chars = set(map(ord, run))
         for seen, was in SINGLE + DOUBLE:
-            table = TABLES[seen]
-            if not all(c in table for c in run):
+            if not chars <= BYTES[seen].keys():
                 continue
             try:
-                new = bytes(table[c] for c in run).decode(was)
+                new = run.translate(BYTES[seen]).encode("latin-1").decode(was)
             except UnicodeDecodeError:
                 continue
             # Two bytes to a character give fewer pairs: the mean is taken over as many as the run had.
@@ -325,14 +326,15 @@ class Repairer:
 
     def _pass(self, text: str, own: dict[int, float], scores: dict[int, float]) -> tuple[str, int, int, set[str], bool]:
         """One round over all runs: (text, runs, runs restored, mappings, does a run hold lost characters)."""
-        runs = self.runs(text, scores)
-        if not runs:
-            return text, 0, 0, set(), False
-        lost = any(REPLACEMENT in text[a:b] or CONTROL.search(text, max(a - 1, 0), b + 1) for a, b in runs)
-        codes = _codes(text) > 127
+        beyond = _codes(text) > 127
         logs = self.model.pair_logs(text, own)
         few = np.log2((self.model.rare + 0.5) / self.model.total) + 1e-5
-        sums, rare = np.r_[0.0, np.cumsum(logs)], np.r_[0, np.cumsum((logs <= few) & (codes[:-1] | codes[1:]))]
+        sums, rare = np.r_[0.0, np.cumsum(logs)], np.r_[0, np.cumsum((logs <= few) & (beyond[:-1] | beyond[1:]))]
+        whole, lost = _structural(text), REPLACEMENT in text or CONTROL.search(text)
+        if not whole and not lost and rare[-1] < 2:
+            return text, 0, 0, set(), False
+        runs = self.runs(text, scores, whole)
+        lost = bool(lost) and any(REPLACEMENT in text[a:b] or CONTROL.search(text, max(a - 1, 0), b + 1) for a, b in runs)
         out, at, changed, mappings = [], 0, 0, set()
         k = 0
         while k < len(runs):
