@@ -1,8 +1,10 @@
 import math
+import tracemalloc
 
+import numpy as np
 from conftest import trajectory_rows
 
-from tidelane.operators.spikes import implausible_values
+from tidelane.operators.spikes import SpikeRules, filter_groups, implausible_values, kalman_innovations
 
 
 def drive(n=80, v=lambda i: 20 + 0.3 * math.sin(i * 1.7), sh=lambda i: 40 + 0.4 * math.sin(i * 1.3), vehicle="a", first=0):
@@ -68,3 +70,44 @@ def test_blocks_don_t_change_the_result(spark):
     one = {(r.event_id, r.field) for r in implausible_values(df).collect()}
     cut = {(r.event_id, r.field) for r in implausible_values(df, block_seconds=200.0).collect()}
     assert one == cut and (250, "velocity") in one
+
+
+def test_long_and_short_groups_give_what_each_gives_alone_within_little_memory():
+    rules, rng = SpikeRules(), np.random.default_rng(1)
+    lengths = np.array([3000, *rng.integers(0, 40, 400)])
+    group = np.repeat(np.arange(len(lengths)), lengths)
+    y = rng.normal(20, 1, len(group)).round(1)
+    y[rng.random(len(y)) < 0.05] = np.nan
+    wait, fresh = np.full(len(y), 2.0), np.zeros(len(y), bool)
+    noise, drift = np.full(len(lengths), 0.5), np.full(len(lengths), 0.1)
+    tracemalloc.start()
+    (ahead, behind) = filter_groups([y, y], [wait, wait], [fresh, fresh], [noise, noise], [drift, drift], [False, True], group, len(lengths), rules)
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.stop()
+    for k in (0, 1, 7, 100):
+        rows = np.flatnonzero(group == k)
+        if len(rows):
+            args = wait[rows][:, None], fresh[rows][:, None], noise[:1], drift[:1], rules
+            for got, want in zip(ahead, kalman_innovations(y[rows][:, None], *args)):
+                assert np.array_equal(got[rows], want[:, 0])
+            for got, want in zip(behind, kalman_innovations(y[rows][::-1][:, None], *args)):
+                assert np.array_equal(got[rows], want[::-1, 0])
+
+
+def test_innovations_vanish_exactly_where_values_repeat():
+    rng = np.random.default_rng(2)
+    y = np.repeat(rng.normal(20, 3, 300).round(2), rng.integers(1, 12, 300))
+    y[rng.random(len(y)) < 0.1] = np.nan
+    column = lambda a: np.asarray(a)[:, None]
+    still = kalman_innovations(column(y), column(np.full(len(y), 1.0)), column(np.zeros(len(y), bool)), np.array([0.02]), np.array([0.01]), SpikeRules())[2][:, 0]
+    at = np.flatnonzero(~np.isnan(y))
+    assert np.array_equal(still[at[1:]] > 0, y[at[1:]] == y[at[:-1]])
+
+
+def test_frozen_values_don_t_hide_a_spike_after_them(spark):
+    rows = drive(120, sh=lambda i: 40 + 8 * math.sin(i / 12))
+    for k in range(40, 60):
+        rows[k][6] = rows[40][6]
+    rows[64][6] = 90.0
+    got = found(spark, rows)
+    assert {(k, "space_headway", "frozen") for k in range(41, 60)} | {(64, "space_headway", "spike")} == {g for g in got if g[1] == "space_headway"}

@@ -20,13 +20,15 @@ FLAG_SCHEMA = "event_id bigint, vehicle_id string, pass_no bigint, field string,
 class SpikeRules:
     """threshold: standardised innovation from which a reading is withheld, in both directions of time.
 
-    max_spike: readings after which a new level is accepted. min_frozen: equal readings in a row that count as
-    frozen. limits: the largest value that can occur on a road; below 0 none can. standing: the headway code.
+    max_spike: readings after which a new level is accepted. min_frozen: readings in a row without any innovation of
+    their own that count as frozen; vanishing: the variance, as a share of the measurement's, below which there is none.
+    limits: the largest value that can occur on a road; below 0 none can. standing: the headway code.
     """
 
     threshold: float = 4.0
     max_spike: int = 3
     min_frozen: int = 6
+    vanishing: float = 1e-12
     max_velocity: float = 60.0
     max_space_headway: float = 1000.0
     max_time_headway: float = 100.0
@@ -45,39 +47,76 @@ def group_median(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarr
     return found
 
 
-def kalman_innovations(y: np.ndarray, dt: np.ndarray, fresh: np.ndarray, noise: np.ndarray, drift: np.ndarray, threshold: float, max_spike: int):
+def kalman_innovations(y: np.ndarray, dt: np.ndarray, fresh: np.ndarray, noise: np.ndarray, drift: np.ndarray, rules: SpikeRules):
     """Level filter over many series side by side; arrays are [time, series], NaN for no reading.
 
-    Returns innovations and their scales. A reading with |innovation| > threshold * scale doesn't update the
-    level; after max_spike such readings in a row the next is taken as the new level. `fresh` marks rows at
-    which a series starts anew. The scale is at least the recent innovations', so a changing course widens it.
+    Returns innovations, their scales, and for how many readings in a row the variance of what is new in the innovations
+    has vanished. A reading with |innovation| > threshold * scale doesn't update the level; after max_spike such
+    readings in a row the next is taken as the new level. `fresh` marks rows at which a series starts anew. The scale is at
+    least the recent innovations', so a changing course widens it. A part 1 - gain of an innovation stays in the next one
+    whatever is read; what is new is the rest, and a reading that merely repeats the last has none.
     """
     steps, series = y.shape
     level, spread = np.full(series, np.nan), np.zeros(series)
     withheld, recent, gap = np.zeros(series), np.zeros(series), np.zeros(series)
-    innovations, scales = np.zeros((steps, series)), np.ones((steps, series))
+    remains, still = np.zeros(series), np.zeros(series, np.int64)
+    innovations, scales, stills = np.zeros((steps, series)), np.ones((steps, series)), np.zeros((steps, series), np.int32)
     for t in range(steps):
-        level = np.where(fresh[t], np.nan, level)
+        begun = np.isnan(level) | fresh[t]
         value = y[t]
         gap = gap + dt[t]
         here = ~np.isnan(value)
-        start = here & np.isnan(level)
-        update = here & ~start
+        start = here & begun
+        update = here & ~begun
         expected = spread + drift * np.minimum(gap, 60.0)
         error = np.where(update, value - level, 0.0)
         scale = np.sqrt(np.maximum(expected + noise, recent))
         innovations[t], scales[t] = error, scale
-        far = update & (np.abs(error) > threshold * scale)
+        new = error - remains
+        still = np.where(update & (new * new <= rules.vanishing * noise), still + 1, np.where(here | begun, 0, still))
+        stills[t] = np.where(here, still, 0)
+        far = update & (np.abs(error) > rules.threshold * scale)
         withheld = np.where(far, withheld + 1, np.where(here, 0, withheld))
-        anew = start | (far & (withheld > max_spike))
+        anew = start | (far & (withheld > rules.max_spike))
         good = update & ~far
-        gain = expected / (expected + noise)
-        level = np.where(anew, value, np.where(good, level + gain * error, level))
+        gain = np.where(good, expected / (expected + noise), 0.0)
+        level = np.where(anew, value, np.where(good, level + gain * error, np.where(fresh[t] & ~here, np.nan, level)))
         spread = np.where(anew, noise, np.where(good, (1 - gain) * expected, spread))
         recent = np.where(good, 0.6 * recent + 0.4 * error * error, np.where(start, 0.0, recent))
         withheld = np.where(anew, 0, withheld)
+        remains = np.where(anew, 0.0, np.where(update, (1 - gain) * error, remains))
         gap = np.where(anew | good, 0.0, gap)
-    return innovations, scales
+    return innovations, scales, stills
+
+
+def filter_groups(y: list[np.ndarray], wait: list[np.ndarray], fresh: list[np.ndarray], noise: list[np.ndarray], drift: list[np.ndarray], backwards: list[bool], group: np.ndarray, groups: int, rules: SpikeRules):
+    """kalman_innovations over series of rows in order of group: for each series its innovations, scales and stills by row.
+
+    noise and drift are by group. Groups of like length (within a factor of 2) are laid side by side, so that one long group
+    among short ones doesn't take its length times their number.
+    """
+    length = np.bincount(group, minlength=groups)
+    begin = np.cumsum(length) - length
+    row = np.arange(len(group)) - begin[group]
+    place = [length[group] - 1 - row if b else row for b in backwards]
+    out = [(np.zeros(len(group)), np.ones(len(group)), np.zeros(len(group), np.int32)) for _ in y]
+    kind = np.frexp(length)[1]
+    for k in np.unique(kind[length > 0]):
+        members = np.flatnonzero((kind == k) & (length > 0))
+        at = np.flatnonzero(kind[group] == k)
+        column, deep = np.searchsorted(members, group[at]), int(length[members].max())
+
+        def laid(columns: list[np.ndarray], empty: float | bool) -> np.ndarray:
+            grid = np.full((deep, len(columns), len(members)), empty)
+            for n, c in enumerate(columns):
+                grid[place[n][at], n, column] = c[at]
+            return grid.reshape(deep, -1)
+
+        got = kalman_innovations(laid(y, np.nan), laid(wait, 0.0), laid(fresh, False), np.concatenate([n[members] for n in noise]), np.concatenate([d[members] for d in drift]), rules)
+        for n in range(len(y)):
+            for into, grid in zip(out[n], got):
+                into[at] = grid.reshape(deep, len(y), -1)[place[n][at], n, column]
+    return out
 
 
 def coarse_step(value: np.ndarray, group: np.ndarray, groups: int, unit: float) -> np.ndarray:
@@ -108,14 +147,17 @@ def source_noise(y: np.ndarray, time: np.ndarray, group: np.ndarray, groups: int
     return np.maximum(noise, floor**2), np.maximum(drift, floor**2 / 4)
 
 
-def frozen(value: np.ndarray, group: np.ndarray, time: np.ndarray, x: np.ndarray, v: np.ndarray, rules: SpikeRules, unit: float) -> np.ndarray:
-    """Rows that repeat the value before in a long run of a moving vehicle, unless its recorder repeats so anyway."""
+def frozen(still: np.ndarray, value: np.ndarray, group: np.ndarray, time: np.ndarray, x: np.ndarray, v: np.ndarray, rules: SpikeRules, unit: float) -> np.ndarray:
+    """Rows of a moving vehicle in a long stretch of vanished innovations, unless they vanish so for its recorder anyway.
+
+    still: for how many readings they have, at each row; the reading before the first of these opens the stretch.
+    """
     found = np.zeros(len(value), bool)
     at = np.flatnonzero(~np.isnan(value))
     if len(at) < rules.min_frozen:
         return found
     y, g = value[at], group[at]
-    new = np.r_[True, (g[1:] != g[:-1]) | (y[1:] != y[:-1])]
+    new = still[at] == 0
     first = np.flatnonzero(new)
     length = np.diff(np.r_[first, len(at)])
     long = np.repeat(length >= rules.min_frozen, length)
@@ -171,24 +213,12 @@ def _flags(table: pa.Table, starts: np.ndarray, rules: SpikeRules) -> pa.Table:
             "time_headway": (np.where(standing, 0.0, inverse(th)), inverse(sh / speed), 0.012),
         }
 
-    length = np.diff(np.r_[np.searchsorted(group, np.arange(groups)), len(group)])
-    begin = np.searchsorted(group, np.arange(groups))
-    row = np.arange(len(group)) - np.repeat(begin, length)
-    back = np.repeat(length, length) - 1 - row
-    deep, names = int(length.max(initial=0)), list(series)
+    names, length = list(series), np.bincount(group, minlength=groups)
+    begin = np.cumsum(length) - length
     wait = np.diff(time, prepend=time[:1])
     wait[begin[length > 0]] = 0
     wait_back = np.r_[wait[1:], 0.0]
-    last = begin[length > 0] + length[length > 0] - 1
-    wait_back[last] = 0
-
-    def laid(columns: list[np.ndarray], empty: float | bool) -> np.ndarray:
-        """[time, 2 * fields * groups]: every field of every group, forwards and backwards."""
-        grid = np.full((deep, 2, len(names), groups), empty)
-        for way, at in enumerate((row, back)):
-            for k in range(len(names)):
-                grid[at, way, k, group] = columns[way * len(names) + k]
-        return grid.reshape(deep, -1)
+    wait_back[(begin + length - 1)[length > 0]] = 0
 
     unit = {f: 0.001 if f == "time_headway" else 0.01 for f in names}
     noise = []
@@ -199,31 +229,32 @@ def _flags(table: pa.Table, starts: np.ndarray, rules: SpikeRules) -> pa.Table:
             known = ~np.isnan(fine[f])
             step = step / np.maximum(np.nan_to_num(group_median(fine[f][known], group[known], groups), nan=1.0), 1.0)
         noise.append(source_noise(y, time, group, groups, np.maximum(floor, 0.5 * step)))
-    fresh = [np.zeros(len(time), bool), alone, alone] * 2
-    y = [series[f][0] for f in names] * 2
-    errors, scales = kalman_innovations(
-        laid(y, np.nan), laid([wait] * 3 + [wait_back] * 3, 0.0), laid(fresh, False),
-        np.concatenate([n for n, _ in noise] * 2), np.concatenate([d for _, d in noise] * 2), rules.threshold, rules.max_spike,
+    fresh = [np.zeros(len(time), bool), alone, alone]
+    spread, drift = [n for n, _ in noise], [d for _, d in noise]
+    ahead_of = filter_groups([series[f][0] for f in names], [wait] * 3, fresh, spread, drift, [False] * 3, group, groups, rules)
+    stuck = {f: frozen(ahead_of[k][2], fine[f], group, time, x, fine["velocity"], rules, unit[f]) for k, f in enumerate(names)}
+    # Frozen readings tell nothing, so they are withheld, too; the fields without any keep what was found above.
+    y = [np.where(stuck[f], np.nan, series[f][0]) for f in names]
+    again = [k for k, f in enumerate(names) if stuck[f].any()]
+    ways = [(k, False) for k in again] + [(k, True) for k in range(len(names))]
+    got = filter_groups(
+        [y[k] for k, _ in ways], [wait_back if b else wait for _, b in ways], [fresh[k] for k, _ in ways],
+        [spread[k] for k, _ in ways], [drift[k] for k, _ in ways], [b for _, b in ways], group, groups, rules,
     )
-    errors, scales = (a.reshape(deep, 2, len(names), groups) for a in (errors, scales))
+    results = {(k, False): ahead_of[k] for k in range(len(names))} | dict(zip(ways, got))
 
     found = []
     for k, field in enumerate(names):
-        ahead, behind = errors[row, 0, k, group], errors[back, 1, k, group]
-        z = np.where(
-            np.sign(ahead) == np.sign(behind),
-            np.minimum(np.abs(ahead) / scales[row, 0, k, group], np.abs(behind) / scales[back, 1, k, group]),
-            0.0,
-        )
+        (ahead, scale, _), (behind, scale_behind, _) = results[k, False], results[k, True]
+        z = np.where(np.sign(ahead) == np.sign(behind), np.minimum(np.abs(ahead) / scale, np.abs(behind) / scale_behind), 0.0)
         # What another field says of the same reading: where it agrees, the vehicle did do that.
         y, other, _ = series[field]
         confirmed = np.abs(y - other) < 0.4 * np.minimum(np.abs(ahead), np.abs(behind))
         if field == "space_headway":  # closing up on the vehicle ahead while standing
             confirmed |= (standing | (v <= rules.moving)) & (ahead < 0)
-        spike = (z > rules.threshold) & ~confirmed & ~np.isnan(fine[field])
-        stuck = frozen(fine[field], group, time, x, fine["velocity"], rules, unit[field])
-        reason = np.where(impossible[field], "impossible", np.where(stuck, "frozen", "spike"))
-        rows = np.flatnonzero(own & (impossible[field] | spike | stuck))
+        spike = (z > rules.threshold) & ~confirmed & ~np.isnan(fine[field]) & ~stuck[field]
+        reason = np.where(impossible[field], "impossible", np.where(stuck[field], "frozen", "spike"))
+        rows = np.flatnonzero(own & (impossible[field] | spike | stuck[field]))
         at = pa.array(keep[rows])
         found.append(
             pa.table(
@@ -243,9 +274,10 @@ def implausible_values(
 
     Per pass of a vehicle, a Kalman filter follows each field forwards and backwards, with noise and drift from
     that pass' own readings. reason `spike`: the innovation exceeds the threshold, to the same side, seen from
-    before and from after, and no other field of the reading bears it out; `frozen`: the innovations vanish, for
-    at least min_frozen equal readings of a moving vehicle whose recorder doesn't otherwise repeat values;
-    `impossible`: negative or beyond what occurs on a road. Flagged values never update the filter.
+    before and from after, and no other field of the reading bears it out; `frozen`: the variance of what is new in the
+    innovations vanishes over min_frozen readings of a moving vehicle whose recorder doesn't otherwise repeat values;
+    `impossible`: negative or beyond what occurs on a road, which no state of the model gives. Flagged values don't
+    update the filter by which spikes are found: frozen ones are found first, and withheld when it runs again.
 
     Headway codes (both 0; standing), null and NaN are never flagged. Rows without vehicle_id, pass_no or time are
     left out; deliveries of one reading are one, with the values and id of the smallest event_id. A pass of one or
