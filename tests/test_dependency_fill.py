@@ -4,7 +4,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidelane.operators.dependency_fill import DependencyTree, fill_indices, fill_speeds, fit_tree
+from tidelane.operators.dependency_fill import DependencyTree, _guesses, fill_indices, fill_speeds, fit_trees
 
 FLOW = "cell_id bigint, location string, t_index bigint, x_index bigint, speed double, density double, flow double"
 STEPS = "obs_id bigint, t_index bigint, vehicle_id string, pass_no bigint, location string, time_seconds double, x_meters double, velocity double, x_index bigint"
@@ -16,7 +16,7 @@ def test_tree_and_posterior_against_brute_force(spark):
     b = np.where(rng.random(3000) < 0.8, a, rng.integers(0, 3, 3000))
     c = np.where(rng.random(3000) < 0.7, b, rng.integers(0, 3, 3000))
     df = spark.createDataFrame([tuple(map(int, r)) for r in zip(a, b, c)], "a long, b long, c long")
-    tree = fit_tree(df, {"a": 3, "b": 3, "c": 3})
+    (tree,) = fit_trees(df, {"a": 3, "b": 3, "c": 3})
     assert {frozenset(e) for e in tree.edges} == {frozenset((0, 1)), frozenset((1, 2))}
     got = tree.posterior(np.array([[-1, -1, 2], [-1, 1, 0], [-1, -1, -1]]), 0)
     ab, bc = tree.joint(0, 1) + 0.1, tree.joint(1, 2) + 0.1
@@ -64,3 +64,31 @@ def test_indices_are_filled_from_the_pass(spark):
         assert abs(got[k, "x_index"].value - (100 * k + 50) // 200) <= 1
     assert not got[100, "t_index"].filled and got[100, "t_index"].value is None
     assert fill_indices(spark.createDataFrame([], STEPS)).count() == 0
+
+
+def test_nearest_rows_of_a_pass_whatever_the_blocks(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, f"v{rng.integers(3)}" if rng.random() > 0.1 else None, 0, ("t", "x")[rng.integers(2)], float(rng.normal()) if rng.random() > 0.4 else None, float(rng.integers(0, 300)) if rng.random() > 0.1 else None) for k in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, vehicle_id string, pass_no long, kind string, y double, s double")
+    for width in (7.0, 1e6):
+        got = {r.row_id: (r.p and (r.p.s, r.p.y), r.n and (r.n.s, r.n.y)) for r in _guesses(df, {"t": width, "x": width}).collect()}
+        for k, v, _, kind, _, s in rows:
+            same = [] if v is None or s is None else [(r[5], r[0], r[4]) for r in rows if r[1] == v and r[3] == kind and r[4] is not None and r[5] is not None and r[0] != k]
+            low, high = max((r for r in same if r[:2] < (s, k)), default=None), min((r for r in same if r[:2] > (s, k)), default=None)
+            assert got[k] == (low and (low[0], low[2]), high and (high[0], high[2]))
+
+
+def test_far_indices_and_many_locations(spark):
+    # times run 100 steps behind the indices, so no index is near the row's own time
+    rows = [(i, 100 + i, "v", 0, f"l{i % 300}", 5.0 * i + 2, 100.0 * i + 50, 20.0, i // 2) for i in range(600)]
+    rows[40] = (40, None, *rows[40][2:])
+    got = fill_indices(spark.createDataFrame(rows, STEPS), cells=1000).collect()
+    assert [(r.row_id, r.value) for r in got] == [(40, 140.0)]
+
+
+def test_blocks_of_steps_don_t_show_in_speeds(spark):
+    rows = [(i, "l", i // 10, i % 10, float(5 + (i // 10) % 17), 0.05, None) for i in range(800)]
+    rows = [(*r[:4], None, *r[5:]) if r[0] % 7 == 0 else r for r in rows]
+    df = spark.createDataFrame(rows, FLOW)
+    one = {r.row_id: r.value for r in fill_speeds(df).collect()}
+    assert one == {r.row_id: r.value for r in fill_speeds(df, steps_per_block=3).collect()} and len(one) == sum(r[4] is None for r in rows)

@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FILL_SCHEMA = "table_name string, row_id bigint, field string, value double, filled boolean, probability double"
+from tidelane.operators.grouped import time_blocks
+from tidelane.session import cut_lineage
 
 
 @dataclass
@@ -50,7 +51,7 @@ class DependencyTree:
             # What lies behind a known field says nothing more about its parent.
             return out / out.sum(1, keepdims=True)
 
-        any_pair = next((k for k in self.tables if target in k), None)
+        any_pair = max((k for k in self.tables if target in k), key=lambda k: self.tables[k].sum(), default=None)  # that which most rows know
         prior = np.ones(self.states[target]) if any_pair is None else self.joint(target, any_pair[0] + any_pair[1] - target).sum(1) + 0.1
         belief = np.tile(prior / prior.sum(), (len(codes), 1))
         for k in near[target]:
@@ -58,39 +59,45 @@ class DependencyTree:
         return belief / belief.sum(1, keepdims=True)
 
 
-def fit_tree(rows: DataFrame, fields: dict[str, int]) -> DependencyTree:
-    """The spanning tree of most mutual information over coded fields (code column: number of states).
+def fit_trees(rows: DataFrame, fields: dict[str, int], group: str | None = None, groups: int = 1) -> list[DependencyTree]:
+    """The spanning tree of most mutual information over coded fields (code column: number of states), for each group.
 
-    All rows count, for each pair those in which both are known. Every task adds up its own tables; what reaches
-    the driver is sum(states_i * states_j) numbers at most, whatever the input.
+    group: a column 0 .. groups - 1. All rows count, for each pair those in which both are known. Every task adds up its
+    own tables; what reaches the driver is groups * sum(states_i * states_j) numbers at most, whatever the input.
     """
     names, states = list(fields), list(fields.values())
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {p: np.zeros(states[p[0]] * states[p[1]], np.int64) for p in pairs}
+        total = {p: np.zeros(groups * states[p[0]] * states[p[1]], np.int64) for p in pairs}
         for batch in batches:
             codes = [pa.compute.fill_null(batch[n], -1).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
+            g = batch[group].to_numpy(zero_copy_only=False).astype(np.int64) if group else np.zeros(batch.num_rows, np.int64)
             for i, j in pairs:
                 both = (codes[i] >= 0) & (codes[j] >= 0)
-                total[i, j] += np.bincount(codes[i][both] * states[j] + codes[j][both], minlength=states[i] * states[j])
+                total[i, j] += np.bincount((g[both] * states[i] + codes[i][both]) * states[j] + codes[j][both], minlength=len(total[i, j]))
         for k, p in enumerate(pairs):
             cells = np.flatnonzero(total[p])
             if len(cells):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), k)), pa.array(cells), pa.array(total[p][cells])], names=["pair", "cell", "n"])
 
-    counts = rows.select(*names).mapInArrow(count, "pair bigint, cell bigint, n bigint").groupBy("pair", "cell").agg(F.sum("n").alias("n")).toPandas()
-    tables, weight = {}, {}
+    columns = names + [group] if group else names
+    counts = rows.select(*columns).mapInArrow(count, "pair bigint, cell bigint, n bigint").groupBy("pair", "cell").agg(F.sum("n").alias("n")).toPandas()
+    all_tables = []
     for k, (i, j) in enumerate(pairs):
-        table = np.zeros(states[i] * states[j])
-        own = counts[counts["pair"] == k]
+        table, own = np.zeros(groups * states[i] * states[j]), counts[counts["pair"] == k]
         table[own["cell"].to_numpy(np.int64)] = own["n"].to_numpy()
-        table = table.reshape(states[i], states[j])
-        tables[i, j] = table
+        all_tables.append(table.reshape(groups, states[i], states[j]))
+    return [_spanning_tree(names, states, {p: t[g] for p, t in zip(pairs, all_tables)}) for g in range(groups)]
+
+
+def _spanning_tree(names: list[str], states: list[int], tables: dict[tuple[int, int], np.ndarray]) -> DependencyTree:
+    weight = {}
+    for pair, table in tables.items():
         joint = table / max(table.sum(), 1)
         product = joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)
         with np.errstate(divide="ignore", invalid="ignore"):
-            weight[i, j] = float(np.where(joint > 0, joint * np.log(joint / product), 0).sum())
+            weight[pair] = float(np.where(joint > 0, joint * np.log(joint / product), 0).sum())
     edges, inside = [], {0}
     while len(inside) < len(names):  # greatest spanning tree; ties by field order
         best = max(((weight[min(i, j), max(i, j)], -i, -j) for i in inside for j in range(len(names)) if j not in inside), default=None)
@@ -99,153 +106,199 @@ def fit_tree(rows: DataFrame, fields: dict[str, int]) -> DependencyTree:
     return DependencyTree(names, states, tables, edges)
 
 
-def fill_states(rows: DataFrame, tree: DependencyTree, target: str, keep: list[str]) -> DataFrame:
+def fill_states(rows: DataFrame, trees: list[DependencyTree], target: str, keep: list[str], group: str | None = None) -> DataFrame:
     """For rows whose target is missing: its likeliest state and that state's probability, beside columns `keep`."""
-    at = tree.fields.index(target)
-    kept = rows.where(F.coalesce(F.col(target), F.lit(-1)) < 0).select(*keep, *[F.col(f) for f in tree.fields])
+    fields = trees[0].fields
+    at = fields.index(target)
+    kept = rows.where(F.coalesce(F.col(target), F.lit(-1)) < 0).select(*dict.fromkeys([*keep, *([group] if group else []), *fields]))
     types = ", ".join(f"`{n}` {t}" for n, t in kept.select(*keep).dtypes)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = np.stack([pa.compute.fill_null(batch[f], -1).to_numpy(zero_copy_only=False).astype(np.int64) for f in tree.fields], axis=1)
-            belief = tree.posterior(codes, at) if len(codes) else np.zeros((0, tree.states[at]))
-            state = belief.argmax(1).astype(np.int64) if len(codes) else np.zeros(0, np.int64)
-            columns = [batch[k] for k in keep] + [pa.array(state), pa.array(belief.max(1, initial=0.0))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, "state", "probability"])
+            codes = np.stack([pa.compute.fill_null(batch[f], -1).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields], axis=1)
+            g = batch[group].to_numpy(zero_copy_only=False) if group else np.zeros(batch.num_rows, np.int64)
+            state, sure = np.zeros(len(codes), np.int64), np.zeros(len(codes))
+            for k, tree in enumerate(trees):
+                own = g == k
+                if own.any():
+                    belief = tree.posterior(codes[own], at)
+                    state[own], sure[own] = belief.argmax(1), belief.max(1)
+            yield pa.RecordBatch.from_arrays([*[batch[k] for k in keep], pa.array(state), pa.array(sure)], names=[*keep, "state", "probability"])
 
     return kept.mapInArrow(fill, f"{types}, state bigint, probability double")
 
 
-def _bin(value: Column, width: float, states: int) -> Column:
-    """0 .. states-1 by width, the ends open; null stays null."""
-    return F.when(value.isNotNull(), F.least(F.greatest(F.floor(value / width), F.lit(0)), F.lit(states - 1)))
-
-
 def _number(column: str) -> Column:
     return F.when(~F.isnan(F.col(column).cast("double")), F.col(column).cast("double"))
 
 
-def _label(column: str, states: int) -> Column:
-    """A code for a label: labels may share one if there are more than states."""
-    return F.when(F.col(column).isNotNull(), F.pmod(F.xxhash64(column), F.lit(states)))
+def _bin(value: Column, cuts: list[float]) -> Column:
+    """How many of the ascending cuts lie at or below the value; null stays null."""
+    return F.when(value.isNotNull(), F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= value)) if cuts else F.lit(0)).cast("long")
+
+
+def _quantiles(rows: DataFrame, columns: dict[str, Column], n: int = 24) -> dict[str, list[float]]:
+    """Ascending cuts between about equally many values of each column, from all rows."""
+    shares = [k / n for k in range(1, n)]
+    found = rows.agg(*[F.percentile_approx(c, shares, 1000).alias(name) for name, c in columns.items()]).first()
+    return {name: sorted(set(found[name] or [])) for name in columns}
+
+
+#: Labels that are states of their own, the most frequent first; any others share one more state.
+MOST_LABELS = 255
+
+
+def _labels(rows: DataFrame, column: str) -> list[str]:
+    counts = rows.where(F.col(column).isNotNull()).groupBy(column).count()
+    return [r[0] for r in counts.orderBy(F.desc("count"), column).limit(MOST_LABELS).collect()]
+
+
+def _label(column: str, known: list[str]) -> Column:
+    codes = F.create_map(*[F.lit(x) for k, name in enumerate(known) for x in (name, k)]) if known else F.create_map(F.lit(""), F.lit(0))
+    return F.when(F.col(column).isNotNull(), F.coalesce(F.try_element_at(codes, F.col(column)), F.lit(len(known)))).cast("long")
+
+
+def _medians(coded: DataFrame, code: str, value: str) -> Column | None:
+    """The median of the values of each state, as a map Column; None if nothing is known."""
+    rows = coded.where(F.col(code).isNotNull()).groupBy(code).agg(F.percentile_approx(value, 0.5).alias("m")).collect()
+    return F.create_map(*[F.lit(x) for r in rows for x in (int(r[code]), float(r["m"]))]) if rows else None
+
+
+def _distinct(rows: DataFrame, key: str) -> DataFrame:
+    """One row of each key; rows without key are all kept."""
+    return rows.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(rows.where(F.col(key).isNull()))
 
 
 def fill_speeds(flow_data: DataFrame, max_speed: float = 60.0, steps_per_block: int = 1440) -> DataFrame:
     """Every missing speed of flow_data, filled from records of the same location, cell and time.
 
     Missing: null, NaN, negative or beyond max_speed, 0 while the row's own flow is not, more than walking pace
-    while it is 0. Speed, density, flow, flow per density, the speeds before and after in the cell, location and
-    cell are coded; the tree gives the likeliest speed bin, whose median is the value. filled is always true: a
-    record without any known field gets the commonest bin. If no speed at all is known, value is null.
+    while it is 0. Speed (by metre per second), density, flow, flow per density (by quantiles), the speeds a step before and
+    after in the cell, location and cell are coded; the tree gives the likeliest speed bin, whose median is the value. filled
+    is always true: a record without any known field gets the commonest bin. If no speed at all is known, value is null.
 
     Duplicate rows (same cell_id) are one; a null cell_id is kept as its own row. Empty tables give no rows; extra
-    columns are ignored. A cell of a location is cut into blocks of time, so no task holds a whole location.
+    columns are ignored. A cell of a location is cut into blocks of time with a step of context, so no task holds a whole
+    location and the blocks don't show in the result.
     """
     s, q, k = _number("speed"), _number("flow"), _number("density")
     missing = s.isNull() | (s < 0) | (s > max_speed) | ((s == 0) & (q > 0)) | ((s > 1.5) & (q == 0))
     rows = flow_data.select(
         F.col("cell_id").alias("row_id"), "location", "t_index", "x_index",
         F.when(~F.coalesce(missing, F.lit(False)), s).alias("speed"), q.alias("flow"), k.alias("density"),
-    ).withColumn("block", F.floor(F.col("t_index") / steps_per_block))
+    )
+    ratio = F.try_divide("flow", "density")
+    cuts = _quantiles(rows, {"density": F.col("density"), "flow": F.col("flow"), "ratio": ratio, "cell": F.col("x_index").cast("double")}, 64)
+    known, by_metre = _labels(rows, "location"), [float(v) for v in range(1, int(max_speed) + 1)]
+    blocks = time_blocks(_distinct(rows, "row_id"), F.coalesce("t_index", F.lit(0)), steps_per_block, 1, "block", "own")
     near = Window.partitionBy("location", "x_index", "block").orderBy("t_index", "row_id")
-    rows = rows.withColumn("again", F.coalesce(F.lag("row_id").over(near) == F.col("row_id"), F.lit(False))).where("not again")
-    states = 42
-    coded = rows.select(
-        "row_id", "speed",
-        _bin(F.col("speed"), 1.0, states).cast("long").alias("c_speed"),
-        _bin(F.try_divide("flow", "density"), 1.0, states).cast("long").alias("c_ratio"),
-        _bin(F.col("density"), 0.01, 25).cast("long").alias("c_density"),
-        _bin(F.col("flow"), 0.1, 25).cast("long").alias("c_flow"),
-        _bin(F.lag("speed").over(near), 1.0, states).cast("long").alias("c_before"),
-        _bin(F.lead("speed").over(near), 1.0, states).cast("long").alias("c_after"),
-        _label("location", 16).cast("long").alias("c_location"),
-        _bin(F.col("x_index").cast("double"), 1.0, 64).cast("long").alias("c_cell"),
-    ).persist()
-    fields = {"c_speed": states, "c_ratio": states, "c_density": 25, "c_flow": 25, "c_before": states, "c_after": states, "c_location": 16, "c_cell": 64}
-    tree = fit_tree(coded, fields)
-    medians = coded.where("c_speed is not null").groupBy("c_speed").agg(F.percentile_approx("speed", 0.5).alias("m")).collect()
-    decode = F.create_map(*[F.lit(x) for r in medians for x in (int(r["c_speed"]), float(r["m"]))]) if medians else None
-    value = decode[F.col("state")] if medians else F.lit(None).cast("double")
-    return fill_states(coded, tree, "c_speed", ["row_id"]).select(
+    beside = lambda f, step: F.when(f("t_index").over(near) == F.col("t_index") + step, f("speed").over(near))
+    coded = cut_lineage(
+        blocks.withColumn("before", beside(F.lag, -1)).withColumn("after", beside(F.lead, 1)).where("own").select(
+            "row_id", "speed", _bin(F.col("speed"), by_metre).alias("c_speed"), _bin(ratio, cuts["ratio"]).alias("c_ratio"),
+            _bin(F.col("density"), cuts["density"]).alias("c_density"), _bin(F.col("flow"), cuts["flow"]).alias("c_flow"),
+            _bin(F.col("before"), by_metre).alias("c_before"), _bin(F.col("after"), by_metre).alias("c_after"),
+            _label("location", known).alias("c_location"), _bin(F.col("x_index").cast("double"), cuts["cell"]).alias("c_cell"),
+        )
+    )
+    speeds = len(by_metre) + 1
+    fields = {"c_speed": speeds, "c_ratio": len(cuts["ratio"]) + 1, "c_density": len(cuts["density"]) + 1, "c_flow": len(cuts["flow"]) + 1, "c_before": speeds, "c_after": speeds}
+    trees = fit_trees(coded, fields | {"c_location": len(known) + 1, "c_cell": len(cuts["cell"]) + 1})
+    decode = _medians(coded, "c_speed", "speed")
+    value = F.lit(None).cast("double") if decode is None else F.try_element_at(decode, F.col("state").cast("int"))
+    return fill_states(coded, trees, "c_speed", ["row_id"]).select(
         F.lit("flow_data").alias("table_name"), "row_id", F.lit("speed").alias("field"), value.alias("value"), F.lit(True).alias("filled"), "probability"
     )
 
 
-def fill_indices(discretized: DataFrame, cells: int = 45, step: float = 5.0, cell_metres: float = 200.0, reach: int = 8) -> DataFrame:
+#: Distances up to NEAR steps are states of their own, farther ones share a state with others up to twice as far.
+NEAR, FAR = 8, 24
+OFFSETS = 2 * (NEAR + FAR) + 1
+
+
+def _offset(d: Column) -> Column:
+    """The state of a distance in whole steps, to either side."""
+    m = F.abs(d)
+    far = NEAR + 1 + F.least(F.greatest(F.floor(F.log2(m.cast("double"))) - 3, F.lit(0)), F.lit(FAR - 1))
+    return (NEAR + FAR + F.when(m <= NEAR, d).otherwise(F.signum(d.cast("double")) * far)).cast("long")
+
+
+def _guesses(rows: DataFrame, blocks: dict[str, float]) -> DataFrame:
+    """y and s of the nearest other rows of the same pass and kind with a lower (p) and a higher (n) s that know y.
+
+    A pass is cut into blocks of s; what lies beyond a block's ends is carried over the blocks, of which only one row each
+    is brought together by pass. Rows without pass or s have neither, and no part in the windows.
+    """
+    placed = F.col("vehicle_id").isNotNull() & F.col("pass_no").isNotNull() & F.col("s").isNotNull()
+    width = F.when(F.col("kind") == "t", F.lit(blocks["t"])).otherwise(F.lit(blocks["x"]))
+    key, by_block = ["vehicle_id", "pass_no", "kind"], ["vehicle_id", "pass_no", "kind", "_b"]
+    inside = rows.where(placed).withColumn("_b", F.floor(F.col("s") / width))
+    known = F.when(F.col("y").isNotNull(), F.struct("y", "s"))
+    up = Window.partitionBy(*by_block).orderBy(F.col("s").asc(), F.col("row_id").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*by_block).orderBy(F.col("s").desc(), F.col("row_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("p", F.last(known, ignorenulls=True).over(up)).withColumn("n", F.last(known, ignorenulls=True).over(down))
+    order = F.when(F.col("y").isNotNull(), F.struct("s", "row_id"))
+    ends = inside.groupBy(*by_block).agg(F.min_by(known, order).alias("_first"), F.max_by(known, order).alias("_last"))
+    over = Window.partitionBy(*key)
+    before, after = (over.orderBy(b).rowsBetween(Window.unboundedPreceding, -1) for b in (F.col("_b").asc(), F.col("_b").desc()))
+    ends = ends.select(*by_block, F.last("_last", ignorenulls=True).over(before).alias("_p"), F.last("_first", ignorenulls=True).over(after).alias("_n"))
+    met = inside.join(ends, by_block).withColumn("p", F.coalesce("p", "_p")).withColumn("n", F.coalesce("n", "_n")).drop("_b", "_p", "_n")
+    none = F.lit(None).cast("struct<y: double, s: double>")
+    return met.unionByName(rows.where(~F.coalesce(placed, F.lit(False))).withColumn("p", none).withColumn("n", none))
+
+
+def fill_indices(discretized: DataFrame, cells: int = 45, step: float = 5.0, cell_metres: float = 200.0) -> DataFrame:
     """Every missing t_index and x_index of discretized_trajectories, filled from the pass and the row itself.
 
-    Missing: null, negative, or an x_index of no cell. A guess comes from the row's own time (or position), else
-    by interpolation between the nearest rows of the pass, by position for times and by time for positions. How
-    far the true index lies from the guess, with the width of the gap, the guess' place inside its step, speed and
-    location, are coded; the tree gives the likeliest distance. A row for which the pass gives no guess at all is
-    listed with filled = false and a null value.
+    Missing: null, negative, or an x_index of no cell. The index is coded by its distance from where the row's own time (or
+    position) would put it or, where that is unknown, from where the nearest rows of the pass do, times by position and
+    positions by time. Coded fields beside it: the distance between the two, which of them it counts from and the place
+    inside the step, the width of the gap, speed and location. Rows that know their own time count twice in the tree, with and
+    without it. The tree gives the likeliest distance, far ones as the median of their bin; a row with neither time nor
+    neighbours is listed with filled = false and a null value.
 
-    Duplicate rows (same obs_id) are one. Empty tables give no rows; extra columns are ignored. Windows run over a
-    pass, one row for each step of a drive; vehicles with many passes are spread by pass.
+    Duplicate rows (same obs_id) are one; rows without obs_id are kept; those without vehicle or pass have no neighbours.
+    Empty tables give no rows; extra columns are ignored. Passes of any length are cut into blocks.
     """
-    rows = discretized.select("obs_id", "t_index", "x_index", "vehicle_id", "pass_no", "location", _number("time_seconds").alias("time"), _number("x_meters").alias("x"), _number("velocity").alias("v"))
-    rows = rows.select(
-        F.col("obs_id").alias("row_id"), "vehicle_id", "pass_no", "location", "v",
-        F.when(F.col("t_index") >= 0, F.col("t_index")).alias("t_known"),
-        F.when((F.col("x_index") >= 0) & (F.col("x_index") < cells), F.col("x_index")).alias("x_known"),
-        "time", "x",
+    rows = _distinct(discretized.select("obs_id", "t_index", "x_index", "vehicle_id", "pass_no", "location", _number("time_seconds").alias("time"), _number("x_meters").alias("x"), _number("velocity").alias("v")), "obs_id")
+    t_known = F.when(F.col("t_index") >= 0, F.col("t_index"))
+    x_known = F.when((F.col("x_index") >= 0) & (F.col("x_index") < cells), F.col("x_index"))
+    at, place = F.coalesce("time", (t_known + 0.5) * step), F.coalesce("x", (x_known + 0.5) * cell_metres)
+    record = lambda kind, known, own, width, y, s: F.struct(F.lit(kind).alias("kind"), known.alias("known"), F.floor(F.col(own) / width).alias("own"), F.lit(width).alias("width"), y.alias("y"), s.alias("s"))
+    both = F.array(record("t", t_known, "time", step, at, place), record("x", x_known, "x", cell_metres, place, at))
+    stacked = rows.select(F.col("obs_id").alias("row_id"), "vehicle_id", "pass_no", "location", "v", F.explode(both).alias("r")).select("row_id", "vehicle_id", "pass_no", "location", "v", "r.*")
+    found = _guesses(stacked, {"t": 1000.0, "x": 3600.0})
+    p, n, s = F.col("p"), F.col("n"), F.col("s")
+    pace = F.greatest(F.coalesce("v", F.lit(15.0)), F.lit(2.0))
+    pace = F.when(F.col("kind") == "t", 1.0 / pace).otherwise(pace)
+    guess = F.coalesce(p["y"] + (s - p["s"]) * F.try_divide(n["y"] - p["y"], n["s"] - p["s"]), p["y"] + (s - p["s"]) * pace, n["y"] - (n["s"] - s) * pace)
+    found = found.withColumn("guess", F.when(guess.isNotNull(), F.greatest(guess, F.lit(0.0))) / F.col("width")).withColumn("gap", (n["y"] - p["y"]) / F.col("width")).drop("p", "n", "y", "s", "vehicle_id", "pass_no")
+    speeds, places = _quantiles(rows, {"v": F.col("v")})["v"], _labels(rows, "location")
+    shown = found.withColumn("hidden", F.explode(F.when(F.col("own").isNotNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))))
+    own, by_guess = F.when(~F.col("hidden"), F.col("own")), F.floor("guess")
+    base = F.coalesce(own, by_guess)
+    coded = cut_lineage(
+        shown.select(
+            "row_id", (F.when(F.col("kind") == "t", 0).otherwise(2) + F.col("hidden").cast("int")).cast("long").alias("tree"),
+            base.alias("base"), (F.col("hidden") == F.col("own").isNull()).alias("as_given"), (F.col("known") - base).cast("double").alias("d"),
+            _offset(F.col("known") - base).alias("c_target"), _offset(by_guess - own).alias("c_away"),
+            F.least(F.floor((F.col("guess") - by_guess) * 8), F.lit(7)).cast("long").alias("c_part"),
+            F.when(base.isNotNull(), F.coalesce(_bin(F.col("gap"), [float(k) for k in range(1, 12)]), F.lit(12))).cast("long").alias("c_gap"),
+            _bin(F.col("v"), speeds).alias("c_v"), _label("location", places).alias("c_location"),
+        )
     )
-    rows = rows.withColumn("at", F.coalesce("time", (F.col("t_known") + 0.5) * step)).withColumn("place", F.coalesce("x", (F.col("x_known") + 0.5) * cell_metres))
-    parts = ["vehicle_id", "pass_no"]
-    by_id = Window.partitionBy(*parts).orderBy("row_id")
-    rows = rows.withColumn("again", F.coalesce(F.lag("row_id").over(by_id) == F.col("row_id"), F.lit(False))).where("not again")
-
-    def guess(known: str, along: str, name: str) -> DataFrame:
-        """Interpolate `known` along `along` from the nearest other rows of the pass on both sides."""
-        both = F.when(F.col(known).isNotNull() & F.col(along).isNotNull(), F.struct(F.col(known).alias("y"), F.col(along).alias("s")))
-        nonlocal rows
-        up = Window.partitionBy(*parts).orderBy(F.col(along).asc(), "row_id").rowsBetween(Window.unboundedPreceding, -1)
-        down = Window.partitionBy(*parts).orderBy(F.col(along).desc(), F.col("row_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumn("_p", F.last(both, ignorenulls=True).over(up)).withColumn("_n", F.last(both, ignorenulls=True).over(down))
-        p, n, s = F.col("_p"), F.col("_n"), F.col(along)
-        slope = F.try_divide(n["y"] - p["y"], n["s"] - p["s"])
-        pace = F.greatest(F.coalesce("v", F.lit(15.0)), F.lit(2.0))
-        pace = F.lit(1.0) / pace if known == "at" else pace
-        value = F.when(s.isNotNull(), F.coalesce(p["y"] + (s - p["s"]) * slope, p["y"] + (s - p["s"]) * pace, n["y"] - (n["s"] - s) * pace))
-        gap = F.when(p.isNotNull() & n.isNotNull(), n["y"] - p["y"])
-        rows = rows.withColumn(f"{name}_guess", value).withColumn(f"{name}_gap", gap).drop("_p", "_n")
-        return rows
-
-    guess("at", "place", "t")
-    guess("place", "at", "x")
-    states = 2 * reach + 1
-
-    def coded(name: str, width: float) -> list[Column]:
-        guessed = F.col(f"{name}_guess")
-        spot = F.when(guessed.isNotNull(), F.greatest(guessed, F.lit(0.0))) / width
-        base = F.floor(spot)
-        away = F.col(f"{name}_known") - base + reach
-        return [
-            base.alias(f"{name}_base"),
-            F.when((away >= 0) & (away < states), away).cast("long").alias(f"c_{name}"),
-            F.when(base.isNotNull(), F.least(F.floor((spot - base) * 8), F.lit(7))).cast("long").alias(f"c_{name}_part"),
-            F.when(base.isNotNull(), F.coalesce(_bin(F.col(f"{name}_gap") / width, 1.0, 12), F.lit(12))).cast("long").alias(f"c_{name}_gap"),
-        ]
-
-    table = rows.select(
-        "row_id", "t_known", "x_known", "time", "x", *coded("t", step), *coded("x", cell_metres),
-        _bin(F.col("v"), 3.0, 12).cast("long").alias("c_v"), _label("location", 16).cast("long").alias("c_location"),
-    ).persist()
-    out = None
-    for name, own, width in (("t", "time", step), ("x", "x", cell_metres)):
-        fields = {f"c_{name}": states, f"c_{name}_part": 8, f"c_{name}_gap": 13, "c_v": 12, "c_location": 16}
-        tree = fit_tree(table, fields)
-        lacking = table.where(F.col(f"{name}_known").isNull()).drop(f"c_{name}").withColumn(f"c_{name}", F.lit(None).cast("long"))
-        filled = fill_states(lacking, tree, f"c_{name}", ["row_id", f"{name}_base", own])
-        base = F.col(f"{name}_base")
-        value = F.coalesce(F.floor(F.col(own) / width), F.when(base.isNotNull(), F.greatest(base + F.col("state") - reach, F.lit(0)))).cast("double")
-        value = F.when(value.isNotNull(), F.least(value, F.lit(float(cells - 1)))) if name == "x" else value
-        part = filled.select(
-            F.lit("discretized_trajectories").alias("table_name"), "row_id", F.lit(f"{name}_index").alias("field"), value.alias("value"),
-            value.isNotNull().alias("filled"), F.when(F.col(own).isNotNull(), 1.0).otherwise(F.col("probability")).alias("probability"),
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    fields = {"c_target": OFFSETS, "c_away": OFFSETS, "c_part": 8, "c_gap": 13, "c_v": len(speeds) + 1, "c_location": len(places) + 1}
+    trees = fit_trees(coded, fields, "tree", 4)
+    decode = _medians(coded.withColumn("_state", F.col("tree") * OFFSETS + F.col("c_target")), "_state", "d")
+    filled = fill_states(coded.where("as_given"), trees, "c_target", ["row_id", "base", "tree"], "tree")
+    state = (F.col("tree") * OFFSETS + F.col("state")).cast("int")
+    away = F.lit(0.0) if decode is None else F.coalesce(F.try_element_at(decode, state), F.lit(0.0))
+    value = F.when(F.col("base").isNotNull(), F.greatest(F.col("base") + F.round(away), F.lit(0.0)))
+    value = F.when((F.col("tree") >= 2) & value.isNotNull(), F.least(value, F.lit(float(cells - 1)))).otherwise(value)
+    field = F.when(F.col("tree") < 2, "t_index").otherwise("x_index")
+    return filled.select(
+        F.lit("discretized_trajectories").alias("table_name"), "row_id", field.alias("field"), value.alias("value"), value.isNotNull().alias("filled"), "probability"
+    )
 
 
 def fill_missing(flow_data: DataFrame, discretized: DataFrame) -> DataFrame:
