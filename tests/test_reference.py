@@ -1,14 +1,11 @@
-"""Diagrams, schemes, fields, estimators and reports against independent computations."""
+"""Diagrams, steps, fields and reports against independent computations."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelane.functions import schemes
-from tidelane.functions.diagrams import ARRAYS, COLUMNS, DEFAULTS, FAMILIES, SecondOrder, diagram, greenshields, power_law, triangular
-from tidelane.operators import estimators as es
+from tidelane.functions.diagrams import ARRAYS, COLUMNS, DEFAULTS, FAMILIES, SecondOrder, diagram, greenshields, triangular
 from tidelane.operators import fields, metrics, stencils
-from tidelane.operators.rollouts import as_arrays, godunov_final, rollout
 
 KEY = ["location", "t_index"]
 ARZ = SecondOrder(FAMILIES["greenshields"], 5.0)
@@ -52,35 +49,71 @@ def test_named_sets_and_unknown_names():
         diagram("none")
 
 
+def face_values(u, x):
+    """A cell and the one after it, end cells repeated, for the interface before cell x."""
+    n = len(u)
+    return u[max(x - 1, 0)], u[min(x, n - 1)]
+
+
+def godunov_by_cell(r, d, dt, dx):
+    flow, top = (lambda x: float(d.flow(np.float64(x), ARRAYS))), float(d.flow(np.float64(d.rho_c), ARRAYS))
+    face = []
+    for x in range(len(r) + 1):
+        a, b = face_values(r, x)
+        face.append(min(flow(a) if a <= d.rho_c else top, top if b <= d.rho_c else flow(b)))
+    return np.array([r[x] - dt / dx * (face[x + 1] - face[x]) for x in range(len(r))])
+
+
+def second_order_by_cell(r, q, dt, dx, solver, ramps=None):
+    out = np.zeros((2, len(r) + 1))
+    for x in range(len(r) + 1):
+        (a, b), (qa, qb) = face_values(r, x), face_values(q, x)
+        fa, fb = ARZ.flux(a, qa, ARRAYS), ARZ.flux(b, qb, ARRAYS)
+        alpha = max(abs(s) for u in ((a, qa), (b, qb)) for s in ARZ.speeds(*u, ARRAYS)) if solver == "rusanov" else dx / dt
+        out[:, x] = [(fa[k] + fb[k]) / 2 - alpha / 2 * (v - u) for k, (u, v) in enumerate(((a, b), (qa, qb)))]
+    into = out[:, :-1].copy()
+    for x, ratio in (ramps or {}).items():
+        into[0, x] = out[0, x] * ratio
+        into[1, x] = into[0, x] * (ARZ.v(r[x - 1], q[x - 1], ARRAYS) + ARZ.h(r[x - 1], ARRAYS))
+    return r - dt / dx * (out[0, 1:] - into[0]), q - dt / dx * (out[1, 1:] - into[1]) + dt * ARZ.source(r, q, ARRAYS)
+
+
 def test_steps_equal_numpy_and_conserve_mass(spark):
     df, rho, q = states(spark)
     d = FAMILIES["greenshields"]
-    assert np.allclose(grid_of(stencils.godunov_step(df, KEY, d, 5, 200), "rho_next"), schemes.godunov(rho, d, 5, 200), atol=1e-14)
-    sub, main, sup = schemes.godunov_bands(rho, d, 5, 200)
-    bands = stencils.godunov_jacobian(df, KEY, d, 5, 200)
-    for name, want in (("sub", sub), ("diag", main), ("super", sup)):
-        assert np.allclose(grid_of(bands, name), want, atol=1e-14)
-    for solver in ("rusanov", "lax_friedrichs"):
-        got = stencils.second_order_step(df, KEY, ARZ, 1.0, 200, solver)
-        r, p = schemes.second_order(rho, q, ARZ, 1.0, 200, solver)
-        assert np.allclose(grid_of(got, "rho_next"), r, atol=1e-13) and np.allclose(grid_of(got, "q_next"), p, atol=1e-12)
+    got = grid_of(stencils.godunov_step(df, KEY, d, 5, 200), "rho_next")
+    assert all(np.allclose(got[t], godunov_by_cell(rho[t], d, 5, 200), atol=1e-14) for t in range(3))
+    ramps = spark.createDataFrame([(4, 1.2), (8, 0.8)], "x_index bigint, ratio double")
+    for solver, entries in (("rusanov", None), ("lax_friedrichs", None), ("rusanov", {4: 1.2, 8: 0.8})):
+        got = stencils.second_order_step(df, KEY, ARZ, 1.0, 200, solver, ramps=ramps if entries else None)
+        for t in range(3):
+            r, p = second_order_by_cell(rho[t], q[t], 1.0, 200, solver, entries)
+            assert np.allclose(grid_of(got, "rho_next")[t], r, atol=1e-13) and np.allclose(grid_of(got, "q_next")[t], p, atol=1e-12)
     ring = stencils.second_order_step(df, KEY, ARZ, 1.0, 200, wrap=True)
     assert np.allclose(grid_of(ring, "rho_next").sum(1), rho.sum(1))
-    ramps = spark.createDataFrame([(4, 1.2), (8, 0.8)], "x_index bigint, ratio double")
-    got = stencils.second_order_step(df, KEY, ARZ, 1.0, 200, ramps=ramps)
-    r, p = schemes.second_order(rho, q, ARZ, 1.0, 200, ramps=np.array([4, 8]), ratios=np.array([1.2, 0.8]))
-    assert np.allclose(grid_of(got, "rho_next"), r, atol=1e-13) and np.allclose(grid_of(got, "q_next"), p, atol=1e-12)
     with pytest.raises(ValueError):
         stencils.second_order_step(df, KEY, ARZ, 1.0, 200, "upwind")
 
 
+def test_unknown_cells_make_their_neighbours_unknown_only(spark):
+    df, rho, _ = states(spark)
+    d = FAMILIES["greenshields"]
+    whole = grid_of(stencils.godunov_step(df, KEY, d, 5, 200), "rho_next")
+    holed = df.withColumn("rho", F.when(~((F.col("t_index") == 1) & F.col("x_index").isin(0, 6)), F.col("rho")))
+    got = grid_of(stencils.godunov_step(holed, KEY, d, 5, 200), "rho_next")
+    lost = np.zeros_like(whole, bool)
+    lost[1, [0, 1, 5, 6, 7]] = True
+    assert np.isnan(got[lost]).all() and np.array_equal(got[~lost], whole[~lost])
+
+
 def test_jacobian_is_the_derivative_and_affine_form_is_the_step(spark):
-    rng = np.random.default_rng(5)
-    r, d = rng.uniform(0.01, 0.19, 9), greenshields(30, 0.2)
-    numeric = np.stack([(schemes.godunov(r + 1e-7 * e, d, 5, 200) - schemes.godunov(r - 1e-7 * e, d, 5, 200)) / 2e-7 for e in np.eye(9)], 1)
-    assert np.allclose(schemes.dense(*schemes.godunov_bands(r, d, 5, 200)), numeric, atol=1e-6)
-    t = triangular(0.1, 1.8, 0.2)
     df, rho, _ = states(spark)
+    d = greenshields(30, 0.2)
+    bands = {c: grid_of(stencils.godunov_jacobian(df, KEY, d, 5, 200), c) for c in ("sub", "diag", "super")}
+    numeric = np.stack([(godunov_by_cell(rho[0] + 1e-7 * e, d, 5, 200) - godunov_by_cell(rho[0] - 1e-7 * e, d, 5, 200)) / 2e-7 for e in np.eye(12)], 1)
+    assert np.allclose(np.diag(numeric), bands["diag"][0], atol=1e-6)
+    assert np.allclose(np.diag(numeric, -1), bands["sub"][0, 1:], atol=1e-6) and np.allclose(np.diag(numeric, 1), bands["super"][0, :-1], atol=1e-6)
+    t = triangular(0.1, 1.8, 0.2)
     step = grid_of(stencils.lax_friedrichs_step(df, KEY, t, 5, 200), "rho_next")
     parts = {c: grid_of(stencils.affine_coefficients(df, KEY, t, 5, 200), c) for c in ("sub", "diag", "super", "bias")}
     left, right = np.roll(rho, 1, 1), np.roll(rho, -1, 1)
@@ -88,87 +121,66 @@ def test_jacobian_is_the_derivative_and_affine_form_is_the_step(spark):
     assert np.allclose(got[:, 1:-1], step[:, 1:-1], atol=1e-14) and np.allclose(got[:, [0, -1]], rho[:, [0, -1]])
 
 
-def test_weno_and_riemann(spark):
-    df, rho, q = states(spark)
-    right, left = schemes.weno(rho)
-    faces = stencils.weno_faces(df, KEY, "rho")
-    assert np.allclose(grid_of(faces, "face_right")[:, 2:-2], right, atol=1e-12) and np.allclose(grid_of(faces, "face_left")[:, 2:-2], left, atol=1e-12)
-    assert np.allclose(schemes.weno(np.full((2, 9), 3.0))[0], 3.0)
-    a, b = np.stack([rho[0], q[0]]), np.stack([rho[1], q[1]])
-    go_left, go_right = schemes.fluctuations(a, b, ARZ)
-    jump = np.stack(ARZ.flux(*b, ARRAYS)) - np.stack(ARZ.flux(*a, ARRAYS))
-    assert np.allclose(go_left + go_right, jump, atol=1e-9)
-    pairs = spark.createDataFrame([(i, *map(float, (*a[:, i], *b[:, i]))) for i in range(12)], "i int, rho_l double, q_l double, rho_r double, q_r double")
-    got = stencils.riemann_waves(pairs, ARZ).orderBy("i").toPandas()
-    assert np.allclose(got[["left_rho", "left_q"]].to_numpy().T, go_left, atol=1e-9) and np.allclose(got[["right_rho", "right_q"]].to_numpy().T, go_right, atol=1e-9)
-
-
-def test_rollouts_advance_and_agree(spark):
-    df, rho, q = states(spark)
-    d = FAMILIES["greenshields"]
-    want = rho.copy()
-    for _ in range(7):
-        want = schemes.godunov(want, d, 5, 200)
-    final = godunov_final(as_arrays(df, KEY, ["rho"]), d, 5, 200, 7).orderBy("t_index").collect()
-    assert np.allclose([r.rho_final for r in final], want, atol=1e-13)
-    history = rollout(df, KEY, d, 5.0, 200.0, 7, "godunov").where("step = 7")
-    assert np.allclose(grid_of(history, "rho"), want, atol=1e-13)
-    smooth = SecondOrder(power_law(30, 0.15, 1.0), 5.0)
-    r, p = schemes.gaussian_start(40, 4000, smooth, 0.02, 0.08, 2000, 400)
-    rows = [("l", 0, x, float(r[x]), float(p[x])) for x in range(40)]
-    start = spark.createDataFrame(rows, "location string, t_index bigint, x_index bigint, rho double, q double")
-    for solver in ("rusanov", "high_resolution"):
-        out = rollout(start, KEY, smooth, 0.5, 100.0, 20, solver, keep_every=20)
-        end = grid_of(out.where("step = 20"), "rho", 1)[0]
-        assert np.isfinite(end).all() and (end > 0).all() and np.abs(end - r).max() > 1e-3
-        assert abs(end.sum() - r.sum()) < 0.05 * r.sum()
-    with pytest.raises(ValueError):
-        rollout(df, KEY, d, 5.0, 200.0, 7, "rusanov")
-    assert np.allclose(schemes.runge_kutta3(np.array([1.0]), 0.01, lambda u: -u), np.exp(-0.01), atol=1e-8)
-
-
-def test_filters_against_textbook_forms():
-    rng = np.random.default_rng(2)
-    x, p = rng.normal(size=5), np.eye(5) * 2 + 0.3
-    rows, y, r = np.array([1, 3]), np.array([0.5, -1.0]), np.array([0.2, 0.7])
-    h = np.eye(5)[rows]
-    gain = p @ h.T @ np.linalg.inv(h @ p @ h.T + np.diag(r))
-    mean, cov = es.kalman_update(x, p, rows, y, r)
-    assert np.allclose(mean, x + gain @ (y - h @ x)) and np.allclose(cov, (np.eye(5) - gain @ h) @ p)
-    s = es.Setting(FAMILIES["quadratic_linear"], cells=7)
-    v = rng.uniform(8, 20, 7)
-    numeric = np.stack([(es._advance(v + 1e-6 * e, s) - es._advance(v - 1e-6 * e, s)) / 2e-6 for e in np.eye(7)], 1)
-    assert np.allclose(schemes.dense(*es._bands(v, s)), numeric, atol=1e-4)
-    field, seen = rng.uniform(6, 20, (5, 7)), rng.uniform(6, 20, (5, 7))
-    weight = (rng.random((5, 7)) < 0.4).astype(float)
-    _, g = es.variational_cost(field, seen, weight, field[0] + 1, s)
-    for t, c in ((0, 0), (2, 3), (4, 6), (1, 5)):
-        e = np.zeros_like(field)
-        e[t, c] = 1e-6
-        up, down = es.variational_cost(field + e, seen, weight, field[0] + 1, s)[0], es.variational_cost(field - e, seen, weight, field[0] + 1, s)[0]
-        assert g[t, c] == pytest.approx((up - down) / 2e-6, rel=2e-3, abs=1e-3)
-
-
-def test_nudging_takes_measurements_fully_with_trust_one():
-    s = es.Setting(greenshields(10, 100), cells=4, dt=1.0, dx=10.0, start=5.0, trust=1.0)
-    speeds, _ = es.nudge({0: (np.array([0, 1, 2]), np.array([4.5, 5.5, 7.0]), np.ones(3))}, 3, s)
-    assert speeds.shape == (3, 4) and speeds[0].tolist() == [4.5, 5.5, 7.0, 5.0]
-
-
-def test_estimates_come_nearer_to_the_truth(spark):
-    rng = np.random.default_rng(4)
-    truth = 18 + 4 * np.sin(np.arange(10) / 2)
-    rows = [("l", t, int(x), int(truth[x] * 1e6), 1) for t in range(120) for x in rng.choice(10, 4, replace=False)]
-    df = spark.createDataFrame(rows, "location string, step bigint, x_index bigint, v_um bigint, n bigint")
-    for method in es.METHODS:
-        family = "zero" if method in ("ekf", "rts", "nudging", "variational") else "quadratic_linear"
-        s = es.Setting(FAMILIES[family], cells=10, window=40, warm_up=20, particles=30, iterations=150)
-        out = es.estimate(df, s, method).where("t_index between 30 and 110").toPandas()
-        assert out.groupby(["t_index", "x_index"]).size().max() == 1
-        off = np.abs(out["speed"] - truth[out["x_index"]])
-        assert off.mean() < (1.5 if family == "zero" else 4.0), method
-    with pytest.raises(ValueError):
-        es.estimate(df, es.Setting(FAMILIES["zero"]), "none")
+def test_weno_is_exact_for_quadratics(spark):
+    u = [[0.1 + 0.01 * x + 0.002 * x * x for x in range(12)], [3.0] * 12]
+    df = spark.createDataFrame([("l", t, x, u[t][x]) for t in range(2) for x in range(12)], "location string, t_index bigint, x_index bigint, rho double")
+    right, left = (grid_of(stencils.weno_faces(df, KEY, "rho"), c, 2) for c in ("face_right", "face_left"))
+    face = lambda x: 0.1 + 0.01 * x + 0.002 * (x * x - 1 / 12)  # noqa: E731  cell means of that quadratic
+    assert np.allclose(right[0, 2:-2], [face(x + 0.5) for x in range(2, 10)], atol=1e-4) and np.allclose(left[0, 2:-2], [face(x - 0.5) for x in range(2, 10)], atol=1e-4)
+    assert np.allclose(right[1, 2:-2], 3.0) and np.isnan(right[:, [0, 1, -2, -1]]).all()
+
+
+def test_waves_carry_the_jump_and_stand_still_without_one(spark):
+    _, rho, q = states(spark, n=2)
+    rows = [(i, *map(float, (rho[0, i], q[0, i], rho[1, i], q[1, i]))) for i in range(12)]
+    same = (12, 0.05, 0.05 * ARZ.q(1.0, 20.0, ARRAYS), 0.05, 0.05 * ARZ.q(1.0, 20.0, ARRAYS))
+    r, w = 0.1, 25.0  # w of the right state equal to the left's plus its own change: the two vectors fall together
+    d = float(ARZ.r_dh(np.float64(r), ARRAYS))
+    parallel = (13, 0.08, 0.08 * (w + d), r, r * w)
+    rows += [same, parallel, (14, None, 1.0, 0.1, 1.0)]
+    got = stencils.riemann_waves(spark.createDataFrame(rows, "i int, rho_l double, q_l double, rho_r double, q_r double"), ARZ).orderBy("i").toPandas()
+    for row, out in zip(rows[:14], got.itertuples()):
+        a, b = ARZ.flux(*row[1:3], ARRAYS), ARZ.flux(*row[3:5], ARRAYS)
+        assert np.allclose([out.left_rho + out.right_rho, out.left_q + out.right_q], [b[0] - a[0], b[1] - a[1]], atol=1e-9)
+        assert out.s1 <= out.s2 + 20
+    assert np.allclose(got.loc[12, ["left_rho", "right_rho", "left_q", "right_q"]].astype(float), 0)
+    assert got.loc[14, ["s1", "left_rho", "right_q"]].isna().all()
+    slow = got[(got["s1"] > 0) & (got["s2"] > 0) & (got["left_rho"] == 0)]
+    assert (slow["left_q"] == 0).all()
+
+
+def smoothed_by_pairs(rows, dt, dx, s):
+    out = {}
+    seen = [(t, x, v) for t, x, v in rows if v is not None]
+    for t, x, _ in rows:
+        mean = []
+        for wave in (s.v_cong, s.v_free):
+            near = [(max(np.exp(-abs((t - a) * dt - (x - b) * dx / wave) / s.tau - abs(x - b) * dx / s.delta), s.least), v) for a, b, v in seen if abs(t - a) <= s.reach_t and abs(x - b) <= s.reach_x]
+            mean.append(sum(w * v for w, v in near) / sum(w for w, _ in near) if near else None)
+        if mean[0] is not None:
+            w = 0.5 * (1 + np.tanh((s.v_threshold - min(mean)) / s.width))
+            out[t, x] = w * mean[0] + (1 - w) * mean[1]
+    return out
+
+
+def test_smoothing_equals_all_pairs_whatever_the_blocks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(t, x, float(rng.integers(1, 30)) if rng.random() < 0.2 and not 30 <= t < 60 else None) for t in range(90) for x in range(7) if rng.random() < 0.95]
+    df = spark.createDataFrame([("l", t, x, None if v is None else int(v * 1e6)) for t, x, v in rows], "location string, t_index bigint, x_index bigint, v bigint").withColumn("speed", F.lit("clash"))
+    for s in (fields.Smoothing(reach_t=8, reach_x=3), fields.Smoothing(reach_t=100)):
+        want = smoothed_by_pairs(rows, 60.0, 200.0, s)
+        for block in (10, 256):
+            got = {(r.t_index, r.x_index): r.speed for r in fields.adaptive_smoothing(df, 60.0, 200.0, "v", 7, s, block).collect()}
+            assert set(got) == {(t, x) for t, x, _ in rows}
+            assert all(got[k] is None if k not in want else abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert fields.adaptive_smoothing(df.limit(0), 60.0, 200.0, "v", 7).count() == 0
+
+
+def test_nearest_fill_over_a_wide_gap(spark):
+    df = spark.range(3400 * 45).select(F.lit("l").alias("location"), (F.col("id") / 45).cast("long").alias("t_index"), (F.col("id") % 45).alias("x_index"))
+    df = df.withColumn("v", F.when((F.col("t_index") < 100) | (F.col("t_index") >= 3300), F.col("t_index") * 100 + F.col("x_index")))
+    got = fields.nearest_fill(df, "v").where("t_index in (1000, 1699, 1700, 2500)").collect()
+    assert {(r.t_index, r.x_index): r.v for r in got} == {(t, x): (99 if t < 1700 else 3300) * 100 + x for t in (1000, 1699, 1700, 2500) for x in range(45)}
 
 
 def test_forward_fill_and_nearest_fill_over_blocks(spark):
@@ -182,8 +194,8 @@ def test_forward_fill_and_nearest_fill_over_blocks(spark):
     assert {(r.t_index, r.x_index): r.v for r in fields.forward_fill(df, "v", 7, block=10).collect()} == want
     known = [(t, x, v) for _, t, x, v in rows if v is not None]
     near = {(t, x): min(((t - a) ** 2 + (x - b) ** 2, a, b, v) for a, b, v in known)[3] for _, t, x, v in rows}
-    assert {(r.t_index, r.x_index): r.v for r in fields.nearest_fill(df, "v", reach=3).collect()} == near
-    none = fields.nearest_fill(df.withColumn("v", F.lit(None).cast("long")), "v", reach=4)
+    assert {(r.t_index, r.x_index): r.v for r in fields.nearest_fill(df, "v", block=7).collect()} == near
+    none = fields.nearest_fill(df.withColumn("v", F.lit(None).cast("long")), "v", block=9)
     assert none.where("v is not null").count() == 0 and none.count() == len(rows)
 
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelane.operators.grouped import time_blocks
+from tidelane.operators.grouped import map_sorted_groups, time_blocks
 from tidelane.operators.trajectory import mean_micro, micro, with_cells
-from tidelane.session import cut_lineage
 
 CELL = ["location", "t_index", "x_index"]
 
@@ -81,30 +85,34 @@ def forward_fill(grid: DataFrame, value: str, start: int, block: int = 1000) ->
     return rows.join(ends, ["location", "x_index", "_b"], "left").withColumn(value, filled).drop("_b", "_v", "_carried")
 
 
-def nearest_fill(grid: DataFrame, value: str, reach: int = 16) -> DataFrame:
+def nearest_fill(grid: DataFrame, value: str, block: int = 1000) -> DataFrame:
     """Missing cells take the value of the nearest observed cell (steps and cells count alike), ties by earlier
-    step, then lower cell.
+    step, then lower cell. Null only where a location has no observed cell at all.
 
-    Candidates meet in blocks of `reach` steps, each observation in its own and both neighbouring blocks, so a
-    nearest cell up to `reach` steps away is certain. What is left (nothing observed so near, or a farther one in
-    time might still be nearer than the best found) is searched again with four times the reach.
+    grid: a row for every cell of every step between a location's first and last. The nearest observed steps of each
+    cell, before and after, are found first: within blocks of steps, of which the ends are carried over. A missing cell then
+    looks at those of its own step's cells only, two for each, so no step is compared with another however wide a gap is.
     """
-    known = grid.where(F.col(value).isNotNull()).select("location", F.col("t_index").alias("ot"), F.col("x_index").alias("ox"), F.col(value).alias("ov"))
-    missing = grid.where(F.col(value).isNull()).select(*CELL)
-    done, size = grid.where(F.col(value).isNotNull()).select(*CELL, value), reach
-    while not missing.isEmpty():
-        near = known.withColumn("_b", F.explode(F.array(*[F.floor(F.col("ot") / size) + k for k in (-1, 0, 1)])))
-        met = missing.withColumn("_b", F.floor(F.col("t_index") / size)).join(near, ["location", "_b"], "left")
-        dt, dx = F.col("ot") - F.col("t_index"), F.col("ox") - F.col("x_index")
-        best = met.groupBy(*CELL).agg(F.min(F.when(F.col("ot").isNotNull(), F.struct((dt * dt + dx * dx).alias("d"), "ot", "ox", "ov"))).alias("m"))
-        sure = F.col("m").isNotNull() & (F.col("m.d") <= size * size)
-        best = cut_lineage(best)
-        done = done.unionByName(best.where(sure).select(*CELL, F.col("m.ov").alias(value)))
-        left = best.where(~sure).select(*CELL)
-        if size > 10_000_000:  # a location without any observation
-            return done.unionByName(left.withColumn(value, F.lit(None).cast("long")))
-        missing, size = left, size * 4
-    return done
+    of_cell, by_block = ["location", "x_index"], ["location", "x_index", "_b"]
+    seen = F.when(F.col(value).isNotNull(), F.struct(F.col("t_index").alias("t"), F.col(value).alias("v")))
+    rows = grid.select(*CELL, value).withColumn("_b", F.floor(F.col("t_index") / block)).withColumn("_s", seen)
+    up = Window.partitionBy(*by_block).orderBy("t_index").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*by_block).orderBy(F.col("t_index").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_p", F.last("_s", ignorenulls=True).over(up)).withColumn("_n", F.last("_s", ignorenulls=True).over(down))
+    ends = rows.groupBy(*by_block).agg(F.min("_s").alias("_first"), F.max("_s").alias("_last"))
+    over = Window.partitionBy(*of_cell)
+    before, after = (over.orderBy(b).rowsBetween(Window.unboundedPreceding, -1) for b in (F.col("_b").asc(), F.col("_b").desc()))
+    ends = ends.select(*by_block, F.last("_last", ignorenulls=True).over(before).alias("_pb"), F.last("_first", ignorenulls=True).over(after).alias("_nb"))
+    rows = rows.join(ends, by_block).select(*CELL, value, F.coalesce("_p", "_pb").alias("p"), F.coalesce("_n", "_nb").alias("n"))
+    steps = rows.groupBy("location", "t_index").agg(F.collect_list(F.struct(F.col("x_index").alias("x"), "p", "n")).alias("near"), F.collect_list(F.struct(F.col("x_index").alias("x"), F.col(value).alias("v"))).alias("cells"))
+    cells = steps.withColumn("c", F.explode("cells"))
+
+    def candidate(at: Column, side: str) -> Column:
+        dt, dx, s = at[side]["t"] - F.col("t_index"), at["x"] - F.col("c.x"), at[side]
+        return F.when(s.isNotNull(), F.struct((dt * dt + dx * dx).alias("d"), s["t"].alias("t"), at["x"].alias("x"), s["v"].alias("v")))
+
+    nearest = F.array_min(F.flatten(F.transform("near", lambda at: F.array(candidate(at, "p"), candidate(at, "n")))))
+    return cells.select("location", "t_index", F.col("c.x").alias("x_index"), F.when(F.col("c.v").isNotNull(), F.col("c.v")).otherwise(nearest["v"]).alias(value))
 
 
 def rolling_means(field: DataFrame, value: str, steps: int, cells: int, block: int = 2000) -> DataFrame:
@@ -130,34 +138,85 @@ def coarsen(field: DataFrame, value: str, by_t: int, by_x: int, cells: int) -> D
     )
 
 
-def kernel_weight(dt: Column, dx: Column, speed: float, tau: float, delta: float) -> Column:
-    """Anisotropic exponential kernel along a wave of the given speed, not below 1e-8."""
-    return F.greatest(F.exp(-F.abs(dt - dx / speed) / tau - F.abs(dx) / delta), F.lit(1e-8))
-
+@dataclass(frozen=True)
+class Smoothing:
+    """Kernel lengths in seconds and metres, the waves' speeds, and where and how sharply one passes into the other.
 
-def adaptive_smoothing(
-    observed: DataFrame, grid: DataFrame, dt: float, dx: float, value: str, tau: float = 60.0, delta: float = 200.0,
-    v_cong: float = -15 / 3.6, v_free: float = 70 / 3.6, v_threshold: float = 60 / 3.6, width: float = 20 / 3.6, reach_t: int = 60, reach_x: int = 10,
-) -> DataFrame:
-    """Speeds on the grid blended from a congested and a free-flow kernel mean of the observations around.
+    reach_t, reach_x: steps and cells to either side that the kernel covers; its weights are not below `least`.
+    """
 
-    Observations up to reach_t steps and reach_x cells away count. Both sides meet in blocks of reach_t steps, so
-    the join is an equi-join on (location, block) with a distance filter, not a cross join. Equal wave speeds far
-    above traffic's make the smoothing isotropic.
+    tau: float = 60.0
+    delta: float = 200.0
+    v_cong: float = -15 / 3.6
+    v_free: float = 70 / 3.6
+    v_threshold: float = 60 / 3.6
+    width: float = 20 / 3.6
+    reach_t: int = 100
+    reach_x: int = 100
+    least: float = 1e-8
+
+    def kernel(self, dt: float, dx: float, cells: int, wave: float) -> np.ndarray:
+        """Weights by steps -reach_t .. reach_t (rows) and cells -(cells - 1) .. cells - 1 (columns) from the point."""
+        t = np.arange(-self.reach_t, self.reach_t + 1)[:, None] * dt
+        steps = np.arange(-(cells - 1), cells)[None, :]
+        weight = np.maximum(np.exp(-np.abs(t - steps * dx / wave) / self.tau - np.abs(steps * dx) / self.delta), self.least)
+        return np.where(np.abs(steps) <= self.reach_x, weight, 0.0)
+
+
+def _correlated(values: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """Sum over a [steps + 2 * reach, cells] table of the kernel's weight by step and cell from each inner point."""
+    cells, reach = values.shape[1], kernel.shape[0] // 2
+    near = np.lib.stride_tricks.sliding_window_view(values, 2 * reach + 1, axis=0)  # [steps, cells, window]
+    by_shift = near.reshape(-1, 2 * reach + 1) @ kernel  # [steps * cells, shift of cells]
+    by_shift = by_shift.reshape(len(near), cells, 2 * cells - 1)
+    out = np.zeros((len(near), cells))
+    for x in range(cells):  # the cell seen at place y lies y - x cells on
+        out[:, x] = by_shift[:, np.arange(cells), np.arange(cells) - x + cells - 1].sum(1)
+    return out
+
+
+def adaptive_smoothing(field: DataFrame, dt: float, dx: float, value: str, cells: int, rules: Smoothing = Smoothing(), block: int = 256) -> DataFrame:
+    """Speeds blended from a congested and a free-flow kernel mean of the observations around, for every row of the field.
+
+    field: location, t_index, x_index (0 .. cells - 1; others are left out) and values in millionths, null where nothing was
+    observed; of repeated rows the last by value counts. speed is null where no observation lies within the kernel. Equal
+    wave speeds far above traffic's make the smoothing isotropic.
+
+    A step is one array of `cells` values; blocks of steps with reach_t steps around them are smoothed as matrices, so the
+    work grows with the steps, not with pairs of cells.
     """
-    t_step = F.col("ot") - F.col("t_index")
-    x_step = F.col("ox") - F.col("x_index")
-    near = observed.where(F.col(value).isNotNull()).select("location", F.col("t_index").alias("ot"), F.col("x_index").alias("ox"), (F.col(value) / 1e6).alias("v"))
-    near = near.withColumn("_b", F.explode(F.array(*[F.floor(F.col("ot") / reach_t) + k for k in (-1, 0, 1)])))
-    met = grid.select(*CELL).withColumn("_b", F.floor(F.col("t_index") / reach_t)).join(near, ["location", "_b"])
-    met = met.where((F.abs(t_step) <= reach_t) & (F.abs(x_step) <= reach_x))
-    # The kernel looks from the grid point back to the observation.
-    cong = kernel_weight(-t_step * dt, -x_step * dx, v_cong, tau, delta)
-    free = kernel_weight(-t_step * dt, -x_step * dx, v_free, tau, delta)
-    met = met.select(*CELL, "v", cong.alias("wc"), free.alias("wf"))
-    sums = met.groupBy(*CELL).agg((F.sum(F.col("wc") * F.col("v")) / F.sum("wc")).alias("vc"), (F.sum(F.col("wf") * F.col("v")) / F.sum("wf")).alias("vf"))
-    w = 0.5 * (1 + F.tanh((v_threshold - F.least("vc", "vf")) / width))
-    return sums.select(*CELL, (w * F.col("vc") + (1 - w) * F.col("vf")).alias("speed"))
+    if rules.reach_t > block:
+        block = rules.reach_t
+    inside = field.where(F.col("x_index").between(0, cells - 1) & F.col("t_index").isNotNull()).select(*CELL, value)
+    steps = inside.groupBy("location", "t_index").agg(F.collect_list(F.struct("x_index", value)).alias("c"))
+    steps = steps.select("location", "t_index", F.col("c.x_index").alias("x"), F.transform("c", lambda c: c[value] / F.lit(1e6)).alias("v"))
+    blocks = time_blocks(steps, F.col("t_index"), block, rules.reach_t, "_b", "_own")
+    congested, free = (rules.kernel(dt, dx, cells, wave) for wave in (rules.v_cong, rules.v_free))
+
+    def smooth(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        parts = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
+            rows = table.slice(a, b - a).combine_chunks()
+            first = rows["_b"][0].as_py() * block - rules.reach_t
+            x, v = rows["x"].combine_chunks(), rows["v"].combine_chunks()
+            at = np.repeat(rows["t_index"].to_numpy() - first, np.diff(x.offsets.to_numpy()))
+            cell, speed = x.flatten().to_numpy(), pa.compute.fill_null(v.flatten(), np.nan).to_numpy()
+            data = np.full((block + 2 * rules.reach_t, cells), np.nan)
+            order = np.argsort(speed, kind="stable")[::-1]  # an observation is written after what is missing
+            data[at[order], cell[order]] = speed[order]
+            known, filled = (~np.isnan(data)).astype(float), np.nan_to_num(data)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                slow, fast = (_correlated(filled, k) / np.where((n := _correlated(known, k)) > 0, n, np.nan) for k in (congested, free))
+            w = 0.5 * (1 + np.tanh((rules.v_threshold - np.fmin(slow, fast)) / rules.width))
+            out = w * slow + (1 - w) * fast
+            own = np.repeat(rows["_own"].to_numpy(zero_copy_only=False), np.diff(x.offsets.to_numpy()))
+            spot = np.unique(np.stack([at[own], cell[own]]), axis=1)
+            found = out[spot[0] - rules.reach_t, spot[1]]
+            names = pa.array([rows["location"][0].as_py()] * len(found), pa.string())
+            parts.append(pa.table({"location": names, "t_index": spot[0] + first, "x_index": spot[1], "speed": pa.array(found, from_pandas=True)}))
+        return pa.concat_tables(parts)
+
+    return map_sorted_groups(blocks, ["location", "_b"], ["t_index"], smooth, "location string, t_index bigint, x_index bigint, speed double", rows_per_call=1000)
 
 
 def moving_average(field: DataFrame, value: str, around: int, block: int = 2000) -> DataFrame:

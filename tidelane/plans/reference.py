@@ -48,6 +48,7 @@ _READ = """
       WHERE vehicle_id IS NOT NULL AND pass_no IS NOT NULL GROUP BY vehicle_id, pass_no, time_seconds)"""
 _MEAN = "CAST(floor(sum({c}) / CAST(count({c}) AS DOUBLE) + 0.5) AS BIGINT)"
 _UM = "CAST(floor({c} * 1e6 + 0.5e0) AS BIGINT)"
+_UMD = "floor({c} * 1e6 + 0.5e0)"
 _CELL = f"CAST(floor(time_seconds / {DT}e0) AS BIGINT) AS t_index, CAST(floor(x_meters / {DX}e0) AS BIGINT) AS x_index"
 _STEPS = f"""
     steps AS (SELECT *, CAST(floor(x_meters / {DX}e0) AS BIGINT) AS x_index FROM (
@@ -189,16 +190,17 @@ def forward_filled_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FLOW = """
     flow_field AS (SELECT location, t_index, x_index, max(CASE WHEN speed BETWEEN 0 AND 60 AND NOT (speed = 0 AND flow > 0) THEN CAST(floor(speed * 1e6 + 0.5e0) AS BIGINT) END) AS v_um,
-      greatest(coalesce(max(CASE WHEN isnan(density) THEN NULL ELSE density END), 0.02e0), 0.001e0) AS rho,
+      CASE WHEN max(CASE WHEN isnan(density) THEN NULL ELSE density END) IS NOT NULL THEN greatest(max(CASE WHEN isnan(density) THEN NULL ELSE density END), 0.001e0) END AS rho,
       max(CASE WHEN speed BETWEEN 0 AND 60 THEN speed END) AS speed FROM flow_data GROUP BY location, t_index, x_index)"""
 
 
 def _flow_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("speed")
+    """flow_data without repeated rows: null where speed or density is missing; a density of 0 counts as 0.001 vehicles a metre."""
+    s, k = F.col("speed"), F.max(F.when(~F.isnan("density"), F.col("density")))
     good = (s >= 0) & (s <= 60) & ~F.coalesce((s == 0) & (F.col("flow") > 0), F.lit(False))
     return table(spark, sf_dir, "flow_data").groupBy("location", "t_index", "x_index").agg(
         F.max(F.when(good, um(s))).alias("v_um"),
-        F.greatest(F.coalesce(F.max(F.when(~F.isnan("density"), F.col("density"))), F.lit(0.02)), F.lit(0.001)).alias("rho"),
+        F.when(k.isNotNull(), F.greatest(k, F.lit(0.001))).alias("rho"),
         F.max(F.when((s >= 0) & (s <= 60), s)).alias("speed"),
     )
 
@@ -241,7 +243,7 @@ def moving_average_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ASM = """
     met AS (SELECT g.location, g.t_index, g.x_index, o.v_um / 1e6 AS v, (g.t_index - o.t_index) * 60e0 AS a, (g.x_index - o.x_index) * 200e0 AS b
-      FROM flow_field g JOIN flow_field o ON g.location = o.location AND abs(g.t_index - o.t_index) <= 4 AND abs(g.x_index - o.x_index) <= 4 AND o.v_um IS NOT NULL),
+      FROM flow_field g JOIN flow_field o ON g.location = o.location AND abs(g.t_index - o.t_index) <= 100 AND o.v_um IS NOT NULL),
     weighted AS (SELECT location, t_index, x_index, v, greatest(exp(-abs(a - b / {c}) / 60e0 - abs(b) / 200e0), 1e-8) AS wc, greatest(exp(-abs(a - b / {f}) / 60e0 - abs(b) / 200e0), 1e-8) AS wf FROM met),
     sums AS (SELECT location, t_index, x_index, sum(wc * v) / sum(wc) AS vc, sum(wf * v) / sum(wf) AS vf FROM weighted GROUP BY location, t_index, x_index)
     SELECT location, t_index, x_index, CAST(floor((0.5e0 * (1 + tanh(({t} - least(vc, vf)) / {w})) * vc + (1 - 0.5e0 * (1 + tanh(({t} - least(vc, vf)) / {w}))) * vf) * 1e3 + 0.5e0) AS BIGINT) AS speed_milli FROM sums"""
@@ -250,7 +252,7 @@ _BLEND = dict(t=f"({60 / 3.6!r}::DOUBLE)", w=f"({20 / 3.6!r}::DOUBLE)")
 
 def _smoothed(spark: SparkSession, sf_dir: str, v_cong: float, v_free: float) -> DataFrame:
     field = _flow_field(spark, sf_dir)
-    out = fields.adaptive_smoothing(field, field, 60.0, DX, "v_um", v_cong=v_cong, v_free=v_free, reach_t=4, reach_x=4)
+    out = fields.adaptive_smoothing(field, 60.0, DX, "v_um", CELLS, fields.Smoothing(v_cong=v_cong, v_free=v_free))
     return out.select("location", "t_index", "x_index", F.floor(F.col("speed") * 1e3 + 0.5).cast("long").alias("speed_milli"))
 
 
@@ -361,15 +363,15 @@ def _milli(c: Column | None) -> Column:
 def _diagram_query(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         d, rows = diagram(name), _flow_field(spark, sf_dir)
-        r, v = F.col("rho") + 1e-7, F.coalesce("speed", F.lit(15.0)) + 1e-7
-        return rows.select(
-            "location", "t_index", "x_index", _milli(d.flow(r, M)).alias("flow_e5"),
-            _milli(d.velocity and d.velocity(r, M)).alias("velocity_e5"), _milli(d.density and d.density(v, M)).alias("density_e5"),
-        )
+        r, v = F.col("rho") + 1e-7, F.col("speed") + 1e-7
+        flow, velocity, density = _milli(d.flow(r, M)), _milli(d.velocity and d.velocity(r, M)), _milli(d.density and d.density(v, M))
+        known, seen = F.col("rho").isNotNull(), F.col("speed").isNotNull()
+        return rows.select("location", "t_index", "x_index", F.when(known, flow).alias("flow_e5"), F.when(known, velocity).alias("velocity_e5"), F.when(seen, density).alias("density_e5"))
 
     run.__name__ = f"diagram_{name}"
     q, v, r = (f"floor(({s}) * 1e5 + 0.5e0)" for s in _DIAGRAM_SQL[name])
-    query(f"WITH {_FLOW}, s AS (SELECT location, t_index, x_index, rho + 1e-7 AS r, coalesce(speed, 15e0) + 1e-7 AS v FROM flow_field) SELECT location, t_index, x_index, {q} AS flow_e5, {v} AS velocity_e5, {r} AS density_e5 FROM s")(run)
+    query(f"""WITH {_FLOW}, s AS (SELECT location, t_index, x_index, rho + 1e-7 AS r, speed + 1e-7 AS v FROM flow_field)
+        SELECT location, t_index, x_index, CASE WHEN r IS NOT NULL THEN {q} END AS flow_e5, CASE WHEN r IS NOT NULL THEN {v} END AS velocity_e5, CASE WHEN v IS NOT NULL THEN {r} END AS density_e5 FROM s""")(run)
 
 
 for _name in FAMILIES:
@@ -379,15 +381,28 @@ for _name in FAMILIES:
 # ---- one step of each scheme on the states of flow_data (a state: the 45 cells of a location and step)
 
 _GS = "30e0 * {r} * (1 - {r} / 0.2e0)"
-_ARZ_STATE = f"""{_FLOW}, st AS (SELECT location, t_index, x_index, rho, rho * (coalesce(speed, 15e0) + (30e0 - 30e0 * (1 - rho / 0.2e0))) AS q FROM flow_field),
+_ARZ_STATE = f"""{_FLOW}, st AS (SELECT location, t_index, x_index, rho, rho * (speed + (30e0 - 30e0 * (1 - rho / 0.2e0))) AS q FROM flow_field),
     fl AS (SELECT *, 30e0 - 30e0 * (1 - rho / 0.2e0) AS h, q / greatest(rho, 1e-6) AS w FROM st),
     f AS (SELECT *, q - rho * h AS f1, q * q / greatest(rho, 1e-6) - q * h AS f2, greatest(abs(w - h - rho * 150e0), abs(w - h)) AS a,
       (rho * (30e0 * (1 - rho / 0.2e0)) + rho * h - q) / 5e0 AS src FROM fl),
     n AS (SELECT *, {{sides}} FROM f WINDOW w AS (PARTITION BY location, t_index ORDER BY x_index))"""
-_EDGE = ", ".join(f"coalesce(lag({c}) OVER w, {c}) AS {c}_l, coalesce(lead({c}) OVER w, {c}) AS {c}_r" for c in ("rho", "q", "f1", "f2", "a"))
-_ARZ_OUT = """SELECT location, t_index, x_index,
-    CAST(floor((rho - 5e0 / 200e0 * ((0.5e0 * (f1 + f1_r) - 0.5e0 * {ao} * (rho_r - rho)) - (0.5e0 * (f1_l + f1) - 0.5e0 * {ai} * (rho - rho_l)))) * 1e6 + 0.5e0) AS BIGINT) AS rho_next,
-    CAST(floor((q - 5e0 / 200e0 * ((0.5e0 * (f2 + f2_r) - 0.5e0 * {ao} * (q_r - q)) - (0.5e0 * (f2_l + f2) - 0.5e0 * {ai} * (q - q_l))) + 5e0 * src) * 1e6 + 0.5e0) AS BIGINT) AS q_next FROM n"""
+
+
+def _next(c: str, f: str) -> str:
+    """A neighbour's value, the own one beyond an end; null if the neighbour's is unknown."""
+    return f"CASE WHEN {f}(x_index) OVER w IS NULL THEN {c} ELSE {f}({c}) OVER w END"
+
+
+def _known(*columns: str) -> str:
+    return " AND ".join(f"{x} IS NOT NULL" for c in columns for x in (c, f"{c}_l", f"{c}_r"))
+
+
+_EDGE = ", ".join(f"{_next(c, 'lag')} AS {c}_l, {_next(c, 'lead')} AS {c}_r" for c in ("rho", "q", "f1", "f2", "a"))
+_SIDES = f"{_next('rho', 'lag')} AS rho_l, {_next('rho', 'lead')} AS rho_r"
+_WHOLE = _known("rho")
+_ARZ_OUT = f"""SELECT location, t_index, x_index,
+    CASE WHEN {_known("rho", "q")} THEN floor((rho - 5e0 / 200e0 * ((0.5e0 * (f1 + f1_r) - 0.5e0 * {{ao}} * (rho_r - rho)) - (0.5e0 * (f1_l + f1) - 0.5e0 * {{ai}} * (rho - rho_l)))) * 1e6 + 0.5e0) END AS rho_next,
+    CASE WHEN {_known("rho", "q")} THEN floor((q - 5e0 / 200e0 * ((0.5e0 * (f2 + f2_r) - 0.5e0 * {{ao}} * (q_r - q)) - (0.5e0 * (f2_l + f2) - 0.5e0 * {{ai}} * (q - q_l))) + 5e0 * src) * 1e6 + 0.5e0) END AS q_next FROM n"""
 ARZ = SecondOrder(FAMILIES["greenshields"], 5.0)
 
 
@@ -397,42 +412,43 @@ def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _arz_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("rho")
-    return _flow_field(spark, sf_dir).select("location", "t_index", "x_index", "rho", ARZ.q(r, F.coalesce("speed", F.lit(15.0)), M).alias("q"))
+    return _flow_field(spark, sf_dir).select("location", "t_index", "x_index", "rho", ARZ.q(r, F.col("speed"), M).alias("q"))
 
 
 def _whole(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select("location", "t_index", "x_index", *[um(F.col(c)).alias(c) for c in columns])
+    """Rounded to millionths; as doubles, since some are null."""
+    return df.select("location", "t_index", "x_index", *[um(F.col(c)).cast("double").alias(c) for c in columns])
 
 
 @query(f"""WITH {_FLOW}, ds AS (SELECT *, CASE WHEN rho <= 0.1e0 THEN {_GS.format(r="rho")} ELSE 1.5e0 END AS d, CASE WHEN rho <= 0.1e0 THEN 1.5e0 ELSE {_GS.format(r="rho")} END AS s FROM flow_field),
-    n AS (SELECT *, coalesce(lead(s) OVER w, s) AS s_r, coalesce(lag(d) OVER w, d) AS d_l FROM ds WINDOW w AS (PARTITION BY location, t_index ORDER BY x_index))
-    SELECT location, t_index, x_index, {_UM.format(c="(rho - 5e0 / 200e0 * (least(d, s_r) - least(d_l, s)))")} AS rho_next FROM n""")
+    n AS (SELECT *, {_SIDES}, {_next('s', 'lead')} AS s_r, {_next('d', 'lag')} AS d_l FROM ds WINDOW w AS (PARTITION BY location, t_index ORDER BY x_index))
+    SELECT location, t_index, x_index, CASE WHEN {_WHOLE} THEN {_UMD.format(c="(rho - 5e0 / 200e0 * (least(d, s_r) - least(d_l, s)))")} END AS rho_next FROM n""")
 def godunov_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(stencils.godunov_step(_states(spark, sf_dir), STATE, FAMILIES["greenshields"], DT, DX), "rho_next")
 
 
 @query(f"""WITH {_FLOW}, ds AS (SELECT *, CASE WHEN rho <= 0.1e0 THEN {_GS.format(r="rho")} ELSE 1.5e0 END AS d, CASE WHEN rho <= 0.1e0 THEN 1.5e0 ELSE {_GS.format(r="rho")} END AS s,
       CASE WHEN rho <= 0.1e0 THEN 30e0 * (1 - 2 * rho / 0.2e0) ELSE 0 END AS dd, CASE WHEN rho <= 0.1e0 THEN 0 ELSE 30e0 * (1 - 2 * rho / 0.2e0) END AS dss FROM flow_field),
-    n AS (SELECT *, lead(s) OVER w AS sr, lag(d) OVER w AS dl, lead(dss) OVER w AS dsr, lag(dd) OVER w AS ddl FROM ds WINDOW w AS (PARTITION BY location, t_index ORDER BY x_index)),
-    k AS (SELECT *, d <= coalesce(sr, s) AS od, coalesce(dl, d) <= s AS idm FROM n)
-    SELECT location, t_index, x_index, {_UM.format(c="CASE WHEN dl IS NOT NULL AND idm THEN 0.025e0 * ddl ELSE 0e0 END")} AS sub,
-      {_UM.format(c="(1 - 0.025e0 * ((CASE WHEN od THEN dd WHEN sr IS NULL THEN dss ELSE 0 END) - (CASE WHEN NOT idm THEN dss WHEN dl IS NULL THEN dd ELSE 0 END)))")} AS diag,
-      {_UM.format(c="CASE WHEN sr IS NOT NULL AND NOT od THEN -0.025e0 * dsr ELSE 0e0 END")} AS super FROM k""")
+    n AS (SELECT *, {_SIDES}, lag(x_index) OVER w IS NULL AS first, lead(x_index) OVER w IS NULL AS last, lead(dss) OVER w AS dsr, lag(dd) OVER w AS ddl,
+      d <= ({_next('s', 'lead')}) AS od, ({_next('d', 'lag')}) <= s AS idm FROM ds WINDOW w AS (PARTITION BY location, t_index ORDER BY x_index))
+    SELECT location, t_index, x_index, CASE WHEN {_WHOLE} THEN {_UMD.format(c="CASE WHEN NOT first AND idm THEN 0.025e0 * ddl ELSE 0e0 END")} END AS sub,
+      CASE WHEN {_WHOLE} THEN {_UMD.format(c="(1 - 0.025e0 * ((CASE WHEN od THEN dd WHEN last THEN dss ELSE 0 END) - (CASE WHEN NOT idm THEN dss WHEN first THEN dd ELSE 0 END)))")} END AS diag,
+      CASE WHEN {_WHOLE} THEN {_UMD.format(c="CASE WHEN NOT last AND NOT od THEN -0.025e0 * dsr ELSE 0e0 END")} END AS super FROM n""")
 def godunov_jacobian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(stencils.godunov_jacobian(_states(spark, sf_dir), STATE, FAMILIES["greenshields"], DT, DX), "sub", "diag", "super")
 
 
-@query(f"""WITH {_FLOW}, n AS (SELECT *, {_GS.format(r="rho")} AS f, coalesce(lag(rho) OVER w, rho) AS l, coalesce(lead(rho) OVER w, rho) AS r FROM flow_field WINDOW w AS (PARTITION BY location, t_index ORDER BY x_index))
-    SELECT location, t_index, x_index, {_UM.format(c=f"(0.5e0 * (r + l) - 5e0 / 400e0 * ({_GS.format(r='r')} - {_GS.format(r='l')}))")} AS rho_next FROM n""")
+@query(f"""WITH {_FLOW}, n AS (SELECT *, {_GS.format(r="rho")} AS f, {_SIDES} FROM flow_field WINDOW w AS (PARTITION BY location, t_index ORDER BY x_index))
+    SELECT location, t_index, x_index, CASE WHEN {_WHOLE} THEN {_UMD.format(c=f"(0.5e0 * (rho_r + rho_l) - 5e0 / 400e0 * ({_GS.format(r='rho_r')} - {_GS.format(r='rho_l')}))")} END AS rho_next FROM n""")
 def lax_friedrichs_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(stencils.lax_friedrichs_step(_states(spark, sf_dir), STATE, FAMILIES["greenshields"], DT, DX), "rho_next")
 
 
 @query(f"""WITH {_FLOW}, v AS (SELECT *, sign(0.1e0 - rho) * 18e0 AS v FROM flow_field),
-    n AS (SELECT *, lag(v) OVER w AS l, lead(v) OVER w AS r FROM v WINDOW w AS (PARTITION BY location, t_index ORDER BY x_index))
-    SELECT location, t_index, x_index, {_UM.format(c="CASE WHEN l IS NULL OR r IS NULL THEN 0e0 ELSE 0.5e0 + 0.0125e0 * l END")} AS sub, {_UM.format(c="CASE WHEN l IS NULL OR r IS NULL THEN 1e0 ELSE 0e0 END")} AS diag,
-      {_UM.format(c="CASE WHEN l IS NULL OR r IS NULL THEN 0e0 ELSE 0.5e0 - 0.0125e0 * r END")} AS super,
-      {_UM.format(c="CASE WHEN l IS NULL OR r IS NULL THEN 0e0 ELSE 0.0125e0 * 0.2e0 * (least(r, 0) - least(l, 0)) END")} AS bias FROM n""")
+    n AS (SELECT *, {_SIDES}, lag(v) OVER w AS l, lead(v) OVER w AS r, lag(x_index) OVER w IS NULL OR lead(x_index) OVER w IS NULL AS edge FROM v WINDOW w AS (PARTITION BY location, t_index ORDER BY x_index))
+    SELECT location, t_index, x_index, CASE WHEN {_WHOLE} THEN {_UMD.format(c="CASE WHEN edge THEN 0e0 ELSE 0.5e0 + 0.0125e0 * l END")} END AS sub, CASE WHEN {_WHOLE} THEN {_UMD.format(c="CASE WHEN edge THEN 1e0 ELSE 0e0 END")} END AS diag,
+      CASE WHEN {_WHOLE} THEN {_UMD.format(c="CASE WHEN edge THEN 0e0 ELSE 0.5e0 - 0.0125e0 * r END")} END AS super,
+      CASE WHEN {_WHOLE} THEN {_UMD.format(c="CASE WHEN edge THEN 0e0 ELSE 0.0125e0 * 0.2e0 * (least(r, 0) - least(l, 0)) END")} END AS bias FROM n""")
 def affine_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelane.functions.diagrams import triangular
 
@@ -442,12 +458,12 @@ def affine_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VV = "({v}) * (({v}) - 30e0)"
 
 
-@query(f"""WITH {_FLOW}, ds AS (SELECT location, t_index, x_index, coalesce(speed, 15e0) AS v FROM flow_field),
+@query(f"""WITH {_FLOW}, ds AS (SELECT location, t_index, x_index, speed AS v FROM flow_field),
     f AS (SELECT *, {_VV.format(v="greatest(v, 15e0)")} AS d, {_VV.format(v="least(v, 15e0)")} AS s FROM ds),
-    n AS (SELECT *, coalesce(lead(s) OVER w, s) AS s_r, coalesce(lag(d) OVER w, d) AS d_l FROM f WINDOW w AS (PARTITION BY location, t_index ORDER BY x_index))
-    SELECT location, t_index, x_index, {_UM.format(c="(v - 5e0 / 200e0 * (greatest(d, s_r) - greatest(d_l, s)))")} AS v_next FROM n""")
+    n AS (SELECT *, {_next('s', 'lead')} AS s_r, {_next('d', 'lag')} AS d_l, {_next('v', 'lag')} AS v_l, {_next('v', 'lead')} AS v_r FROM f WINDOW w AS (PARTITION BY location, t_index ORDER BY x_index))
+    SELECT location, t_index, x_index, CASE WHEN {_known("v")} THEN {_UMD.format(c="(v - 5e0 / 200e0 * (greatest(d, s_r) - greatest(d_l, s)))")} END AS v_next FROM n""")
 def convex_speed_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _flow_field(spark, sf_dir).select("location", "t_index", "x_index", F.coalesce("speed", F.lit(15.0)).alias("v"))
+    rows = _flow_field(spark, sf_dir).select("location", "t_index", "x_index", F.col("speed").alias("v"))
     return _whole(stencils.convex_godunov_step(rows, STATE, lambda v, m: v * (v - 30.0), 15.0, DT, DX), "v_next")
 
 
@@ -468,34 +484,31 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = stencils.Cells(STATE)
     rows = _arz_states(spark, sf_dir)
     return rows.select(
-        "location", "t_index", "x_index", F.col("rho").alias("rho_l"), F.col("q").alias("q_l"), F.lead("rho").over(c.by).alias("rho_r"), F.lead("q").over(c.by).alias("q_r")
-    ).where("rho_r is not null")
+        "location", "t_index", "x_index", F.col("rho").alias("rho_l"), F.col("q").alias("q_l"), F.lead("rho").over(c.by).alias("rho_r"), F.lead("q").over(c.by).alias("q_r"), F.lead("x_index").over(c.by).alias("_next")
+    ).where("_next is not null").drop("_next")
 
 
-@query(f"""WITH {_ARZ_STATE.format(sides=_EDGE + ", lead(rho) OVER w AS nxt")}, {_PAIRS},
-    g AS (SELECT *, w - h AS v, wl - hl AS vl, greatest(abs(wl) + hl, abs(w) + h) AS reach, least(wl - hl - 150e0 * rl, w - h - 150e0 * r) AS lo, greatest(wl - hl, w - h) AS hi FROM pr)
-    SELECT location, t_index, x_index, {_UM.format(c="(0.5e0 * (fl1 + g1) - 20e0 * (r - rl))")} AS lf_rho, {_UM.format(c="(0.5e0 * (fl1 + g1) - 0.5e0 * reach * (r - rl))")} AS llf_rho,
-      {_UM.format(c="(CASE WHEN lo >= 0 THEN fl1 WHEN hi <= 0 THEN g1 ELSE (hi * fl1 - lo * g1 + lo * hi * (r - rl)) / (CASE WHEN hi - lo = 0 THEN 1 ELSE hi - lo END) END)")} AS hll_rho,
-      {_UM.format(c="(0.5e0 * (fl2 + g2) - 20e0 * (qr - ql))")} AS lf_q, {_UM.format(c="(0.5e0 * (fl2 + g2) - 0.5e0 * reach * (qr - ql))")} AS llf_q,
-      {_UM.format(c="(CASE WHEN lo >= 0 THEN fl2 WHEN hi <= 0 THEN g2 ELSE (hi * fl2 - lo * g2 + lo * hi * (qr - ql)) / (CASE WHEN hi - lo = 0 THEN 1 ELSE hi - lo END) END)")} AS hll_q FROM g""")
+@query(f"""WITH {_ARZ_STATE.format(sides=_EDGE + ", lead(x_index) OVER w AS nxt")}, {_PAIRS},
+    g AS (SELECT *, w - h AS v, wl - hl AS vl, greatest(abs(wl) + hl, abs(w) + h) AS reach, least(wl - hl - 150e0 * rl, w - h - 150e0 * r) AS lo, greatest(wl - hl, w - h) AS hi,
+      rl IS NOT NULL AND r IS NOT NULL AND ql IS NOT NULL AND qr IS NOT NULL AS known FROM pr)
+    SELECT location, t_index, x_index, CASE WHEN known THEN {_UMD.format(c="(0.5e0 * (fl1 + g1) - 20e0 * (r - rl))")} END AS lf_rho, CASE WHEN known THEN {_UMD.format(c="(0.5e0 * (fl1 + g1) - 0.5e0 * reach * (r - rl))")} END AS llf_rho,
+      CASE WHEN known THEN {_UMD.format(c="(CASE WHEN lo >= 0 THEN fl1 WHEN hi <= 0 THEN g1 ELSE (hi * fl1 - lo * g1 + lo * hi * (r - rl)) / (CASE WHEN hi - lo = 0 THEN 1 ELSE hi - lo END) END)")} END AS hll_rho,
+      CASE WHEN known THEN {_UMD.format(c="(0.5e0 * (fl2 + g2) - 20e0 * (qr - ql))")} END AS lf_q, CASE WHEN known THEN {_UMD.format(c="(0.5e0 * (fl2 + g2) - 0.5e0 * reach * (qr - ql))")} END AS llf_q,
+      CASE WHEN known THEN {_UMD.format(c="(CASE WHEN lo >= 0 THEN fl2 WHEN hi <= 0 THEN g2 ELSE (hi * fl2 - lo * g2 + lo * hi * (qr - ql)) / (CASE WHEN hi - lo = 0 THEN 1 ELSE hi - lo END) END)")} END AS hll_q FROM g""")
 def interface_fluxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(stencils.interface_fluxes(_pairs(spark, sf_dir), ARZ, DT, DX), "lf_rho", "llf_rho", "hll_rho", "lf_q", "llf_q", "hll_q")
 
 
-@query(f"""WITH {_ARZ_STATE.format(sides=_EDGE + ", lead(rho) OVER w AS nxt")}, {_PAIRS},
-    a AS (SELECT *, 150e0 * rl AS dl, 150e0 * r AS d, g1 - fl1 AS j1, g2 - fl2 AS j2 FROM pr),
-    b AS (SELECT *, wl - hl - dl <= 0 AS back, wl - hl - dl AS s1l, w - h - d AS s1r, w - h AS s2, w - wl + d AS gap FROM a),
-    c AS (SELECT *, CASE WHEN back THEN greatest(abs(gap), 1e-12) * sign(gap + 1e-12) ELSE greatest(d, 1e-12) END AS den, CASE WHEN back THEN wl ELSE w END AS e1, w + d AS e2,
-      CASE WHEN back THEN s1l WHEN s1r <= 0 THEN ((ql - qr) + r * h - rl * hl) / (greatest(abs(rl - r), 1e-12) * sign(rl - r + 1e-12)) ELSE s1r END AS s1 FROM b),
-    e AS (SELECT *, ((w + d) * j1 - j2) / den AS b1, (j2 - e1 * j1) / den AS b2 FROM c)
-    SELECT location, t_index, x_index, {_UM.format(c="s1")} AS s1, {_UM.format(c="s2")} AS s2,
-      {_UM.format(c="(CASE WHEN s1 < 0 THEN b1 ELSE 0 END + CASE WHEN s2 < 0 THEN b2 ELSE 0 END)")} AS left_rho, {_UM.format(c="(CASE WHEN s1 >= 0 THEN b1 ELSE 0 END + CASE WHEN s2 >= 0 THEN b2 ELSE 0 END)")} AS right_rho,
-      {_UM.format(c="(CASE WHEN s1 < 0 THEN b1 * e1 ELSE 0 END + CASE WHEN s2 < 0 THEN b2 * e2 ELSE 0 END)")} AS left_q, {_UM.format(c="(CASE WHEN s1 >= 0 THEN b1 * e1 ELSE 0 END + CASE WHEN s2 >= 0 THEN b2 * e2 ELSE 0 END)")} AS right_q FROM e
-    WHERE abs(gap) > 1e-6""")
+@query(f"""WITH {_ARZ_STATE.format(sides=_EDGE + ", lead(x_index) OVER w AS nxt")}, {_PAIRS},
+    a AS (SELECT *, wl - hl AS vl, w - h AS v, 150e0 * rl AS dl, 150e0 * r AS d, (rl + r) / 2e0 AS m, (ql + qr) / 2e0 AS qm FROM pr),
+    b AS (SELECT *, qm / m - (30e0 - 30e0 * (1 - m / 0.2e0)) - 150e0 * m AS s1, v AS s2, r * v - rl * vl AS j1, qr * v - ql * vl AS j2, w + d AS k, vl - dl AS lo, v - d AS hi,
+      rl IS NOT NULL AND r IS NOT NULL AND ql IS NOT NULL AND qr IS NOT NULL AS known FROM a),
+    c AS (SELECT *, CASE WHEN abs(k - wl) < 1e-9 THEN 0e0 ELSE (j2 - wl * j1) / (k - wl) END AS z, CASE WHEN lo < 0 AND hi > 0 THEN -lo / (hi - lo) WHEN s1 < 0 THEN 1e0 ELSE 0e0 END AS f, CASE WHEN s2 < 0 THEN 1e0 ELSE 0e0 END AS g FROM b)
+    SELECT location, t_index, x_index, CASE WHEN known THEN {_UMD.format(c="s1")} END AS s1, CASE WHEN known THEN {_UMD.format(c="s2")} END AS s2,
+      CASE WHEN known THEN {_UMD.format(c="(f * (j1 - z) + g * z)")} END AS left_rho, CASE WHEN known THEN {_UMD.format(c="((1 - f) * (j1 - z) + (1 - g) * z)")} END AS right_rho,
+      CASE WHEN known THEN {_UMD.format(c="(f * (j2 - z * k) + g * (z * k))")} END AS left_q, CASE WHEN known THEN {_UMD.format(c="((1 - f) * (j2 - z * k) + (1 - g) * (z * k))")} END AS right_q FROM c""")
 def riemann_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = stencils.riemann_waves(_pairs(spark, sf_dir), ARZ)
-    gap = F.col("q_r") / F.col("rho_r") - F.col("q_l") / F.col("rho_l") + ARZ.r_dh(F.col("rho_r"), M)
-    return _whole(out.where(F.abs(gap) > 1e-6), "s1", "s2", "left_rho", "right_rho", "left_q", "right_q")
+    return _whole(stencils.riemann_waves(_pairs(spark, sf_dir), ARZ), "s1", "s2", "left_rho", "right_rho", "left_q", "right_q")
 
 
 _WENO_ALL = "((A1 * (2 * {0} - 7 * {1} + 11 * {2}) / 6 + A2 * (5 * {2} - {1} + 2 * {3}) / 6 + A3 * (2 * {2} + 5 * {3} - {4}) / 6) / (A1 + A2 + A3))"
@@ -511,90 +524,16 @@ def _weno_sql(u: list[str]) -> str:
 @query(f"""WITH {_FLOW}, n AS (SELECT *, lag(rho, 2) OVER w AS a, lag(rho, 1) OVER w AS b, rho AS c, lead(rho, 1) OVER w AS d, lead(rho, 2) OVER w AS e FROM flow_field WINDOW w AS (PARTITION BY location, t_index ORDER BY x_index))
     SELECT location, t_index, x_index, {_weno_sql(list("abcde"))} AS face_right, {_weno_sql(list("edcba"))} AS face_left FROM n""")
 def weno_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _whole(stencils.weno_faces(_states(spark, sf_dir), STATE, "rho"), "face_right", "face_left")
-    return out.withColumn("face_right", F.col("face_right").cast("double")).withColumn("face_left", F.col("face_left").cast("double"))
+    return _whole(stencils.weno_faces(_states(spark, sf_dir), STATE, "rho"), "face_right", "face_left")
 
 
 @query(f"""WITH {_FLOW}, y AS (SELECT *, least(greatest(rho / 0.2e0, 1e-6), 1 - 1e-6) AS y FROM flow_field)
-    SELECT location, t_index, x_index, floor(25e0 * pow(y, 0.2e0) / pow(1 - y, 0.1e0) * 1e5 + 0.5e0) AS h_e5,
-      floor(2.5e0 * (2 - y) * pow(y, 0.2e0) / pow(1 - y, 1.1e0) * 1e5 + 0.5e0) AS rdh_e5,
-      floor(1.4976e0 * (sqrt(1 + pow(10e0 / 3, 2)) + (sqrt(1 + pow(20e0 / 3, 2)) - sqrt(1 + pow(10e0 / 3, 2))) * y - sqrt(1 + pow(10 * (y - 1e0 / 3), 2))) / y * 1e5 + 0.5e0) AS v_e5 FROM y""")
+    SELECT location, t_index, x_index, CASE WHEN rho IS NOT NULL THEN floor(25e0 * pow(y, 0.2e0) / pow(1 - y, 0.1e0) * 1e5 + 0.5e0) END AS h_e5,
+      CASE WHEN rho IS NOT NULL THEN floor(2.5e0 * (2 - y) * pow(y, 0.2e0) / pow(1 - y, 1.1e0) * 1e5 + 0.5e0) END AS rdh_e5,
+      CASE WHEN rho IS NOT NULL THEN floor(1.4976e0 * (sqrt(1 + pow(10e0 / 3, 2)) + (sqrt(1 + pow(20e0 / 3, 2)) - sqrt(1 + pow(10e0 / 3, 2))) * y - sqrt(1 + pow(10 * (y - 1e0 / 3), 2))) / y * 1e5 + 0.5e0) END AS v_e5 FROM y""")
 def modified_hesitation(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, r = ModifiedSecondOrder(rho_max=0.2), F.col("rho")
-    return _states(spark, sf_dir).select("location", "t_index", "x_index", _milli(m.h(r, M)).alias("h_e5"), _milli(m.r_dh(r, M)).alias("rdh_e5"), _milli(m.v_eq(r, M)).alias("v_e5"))
-
-
-# ---- recursions: rollouts and estimators (checked against independent numpy versions in the tests)
-
-
-def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ms.step_measurements(ms.observations(table(spark, sf_dir, "discretized_trajectories"), CELLS))
-
-
-def _estimator(method: str, family: str, **options):
-    from tidelane.operators.estimators import Setting, estimate
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return estimate(_measured(spark, sf_dir), Setting(diagram(family), **options), method)
-
-    run.__name__ = f"estimate_{method}_{family}"
-    return query()(run)
-
-
-_estimator("ekf", "zero")
-_estimator("ekf", "quadratic_linear")
-_estimator("rts", "quadratic_linear")
-_estimator("enkf", "quadratic_linear", particles=30)
-_estimator("nudging", "quadratic_linear")
-_estimator("variational", "quadratic_linear", iterations=30)
-
-
-@query()
-def godunov_rollout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidelane.operators.rollouts import as_arrays, godunov_final
-
-    states = as_arrays(_states(spark, sf_dir), STATE, ["rho"])
-    return godunov_final(states, FAMILIES["greenshields"], DT, DX, 12).select(*STATE, "rho_final")
-
-
-def _rollout(name: str, second: bool, solver: str, ramps: dict | None = None):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        from tidelane.operators.rollouts import rollout
-
-        states = _arz_states(spark, sf_dir) if second else _states(spark, sf_dir)
-        return rollout(states, STATE, ARZ if second else FAMILIES["greenshields"], 1.0, DX, 12, solver, ramps, keep_every=12)
-
-    run.__name__ = name
-    query()(run)
-
-
-_rollout("lwr_godunov_history", False, "godunov")
-_rollout("lwr_lax_friedrichs_history", False, "lax_friedrichs")
-_rollout("arz_rusanov_history", True, "rusanov")
-_rollout("arz_ramps_history", True, "rusanov", {10: 1.1, 30: 0.9})
-_rollout("arz_high_resolution_history", True, "high_resolution")
-
-
-@query()
-def method_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The experiment: every method on the probes' measurements, its error against all vehicles and against hidden ones."""
-    from tidelane.operators.estimators import Setting, estimate
-
-    rows = readings(spark, sf_dir)
-    steps = tr.discretise(rows, DT, DX, CELLS)
-    located = rows.select("vehicle_id", "pass_no", "location").distinct()
-    steps = steps.join(located, ["vehicle_id", "pass_no"])
-    probes = tr.sample_vehicles(steps, 0.3).select(F.xxhash64("vehicle_id", "pass_no", "t_index").alias("obs_id"), "location", "t_index", "x_index", "v_um")
-    measured = ms.step_measurements(probes).persist()
-    hidden = metrics.hidden_vehicles(steps, tr.sample_vehicles(steps, 0.3)).withColumn("hidden", F.lit(True))
-    seen = tr.sample_vehicles(steps, 0.3).withColumn("hidden", F.lit(False))
-    truth = hidden.unionByName(seen)
-    out = None
-    for method, family in (("ekf", "zero"), ("ekf", "quadratic_linear"), ("nudging", "quadratic_linear")):
-        field = estimate(measured, Setting(diagram(family)), method).select("location", "t_index", "x_index", um(F.col("speed")).alias("field_um"))
-        part = metrics.root_mean_square(metrics.squared_errors(truth, field), ["hidden"]).withColumn("method", F.lit(f"{method}_{family}"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _states(spark, sf_dir).select("location", "t_index", "x_index", *[F.when(r.isNotNull(), _milli(c)).alias(n) for n, c in (("h_e5", m.h(r, M)), ("rdh_e5", m.r_dh(r, M)), ("v_e5", m.v_eq(r, M)))])
 
 
 @query()

@@ -1,16 +1,12 @@
-"""Speed fields and nudged states from a stream of readings."""
+"""Speed fields and filtered levels from a stream of readings."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.functions.diagrams import ARRAYS as M
-from tidelane.functions.diagrams import Diagram
-
 
 def stream_cell_means(readings: DataFrame, late: str = "10 minutes", step: str = "60 seconds", dx: float = 200.0) -> DataFrame:
     """Count and sum of speeds (millionths) per location, window and cell; closed when the watermark has passed.
@@ -24,33 +20,37 @@ def stream_cell_means(readings: DataFrame, late: str = "10 minutes", step: str =
     return cells.select(F.col("w.start").alias("start"), "location", "x_index", "n", "sum_um")
 
 
-def stream_nudging(cells: DataFrame, d: Diagram, n_cells: int = 45, dt: float = 60.0, dx: float = 200.0, trust: float = 0.5, start: float = 25.0) -> DataFrame:
-    """Per location a speed state that every batch of cell means pulls on and the flow model carries on.
+def stream_cell_levels(cells: DataFrame, drift: float = 0.05, noise: float = 4.0) -> DataFrame:
+    """Per location and cell a level of the speed that every window's mean pulls on, as a filter without a flow model would.
 
-    The state kept between batches is one array per location. Rows out: location, x_index, speed after the batch.
+    cells: what stream_cell_means gives. The state kept between batches is three numbers for each cell: its level, the level's
+    variance, which grows by `drift` a second, and the window it is of; a mean of n readings has variance noise / n. Rows out:
+    location, x_index, start, speed and variance, for each new window. Windows at or before the state's are passed over.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    from tidelane.functions import schemes
-
-    substeps = max(1, int(np.ceil(dt * d.v_max / dx)))
-
     def run(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
         import pandas as pd
 
-        v = np.array(state.get[0], float) if state.exists else np.full(n_cells, start, float)
+        level, variance, last = state.get if state.exists else (None, 0.0, 0.0)
+        out = []
         for pdf in batches:
-            for _, g in pdf.sort_values("start").groupby("start"):
-                inside = g[(g["x_index"] >= 0) & (g["x_index"] < n_cells)]
-                at, seen = inside["x_index"].to_numpy(int), (inside["sum_um"] / inside["n"] / 1e6).to_numpy(float)
-                v[at] += trust * (np.clip(seen, 0, d.v_max) - v[at])
-                r = d.density(v, M)
-                for _ in range(substeps):
-                    r = schemes.godunov(r, d, dt / substeps, dx)
-                v = np.clip(d.velocity(r, M), 0, d.v_max)
-        state.update((v.tolist(),))
-        yield pd.DataFrame({"location": key[0], "x_index": np.arange(n_cells), "speed": v})
-
-    return cells.groupBy("location").applyInPandasWithState(
-        run, "location string, x_index long, speed double", "v array<double>", "append", GroupStateTimeout.NoTimeout
+            for start, n, total in sorted(zip(pdf["start"], pdf["n"], pdf["sum_um"])):
+                at, seen = start.timestamp(), total / n / 1e6
+                if level is None:
+                    level, variance = seen, noise / n
+                elif at > last:
+                    variance += drift * (at - last)
+                    gain = variance / (variance + noise / n)
+                    level, variance = level + gain * (seen - level), (1 - gain) * variance
+                else:
+                    continue
+                last = at
+                out.append((*key, start, level, variance))
+        if level is not None:
+            state.update((level, variance, last))
+        yield pd.DataFrame(out, columns=["location", "x_index", "start", "speed", "variance"])
+
+    return cells.groupBy("location", "x_index").applyInPandasWithState(
+        run, "location string, x_index long, start timestamp, speed double, variance double", "level double, variance double, last double", "append", GroupStateTimeout.NoTimeout
     )
