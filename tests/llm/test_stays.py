@@ -1,7 +1,8 @@
 import itertools
+import time
 
 from conftest import trajectory_rows
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -62,3 +63,17 @@ def test_repeats_nulls_and_empty(spark):
     assert [(r.first_event, r.last_event, r.n_readings) for r in got] == [(4, 6, 2)]
     assert collapse_stays(trajectory_rows(spark, [])).count() == 0
     assert collapse_stays(trajectory_rows(spark, rows).withColumn("space_index", F.lit(None).cast("long"))).count() == 0
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 4)), min_size=1, max_size=25), st.integers(1, 9))
+def test_blocks_and_their_ends_give_what_one_block_gives(spark, runs, width):
+    cells = [c for c, n in runs for _ in range(n)]
+    assert stays(spark, cells) == stays(spark, cells, block_seconds=float(width))
+
+
+def test_a_long_flickering_recorder_takes_seconds():
+    cells = [k % 2 for k in range(300_000)]
+    begin = time.time()
+    out = segment(cells, [1] * len(cells), 1.0, 0.75)
+    assert time.time() - begin < 5 and len(out) == 2
