@@ -1,7 +1,8 @@
+import pytest
 from conftest import trajectory_rows
 from pyspark.sql import functions as F
 
-from tidelane.llm.stable_sample import vehicle_sample, weighted_sample
+from tidelane.llm.stable_sample import per_second, store_weights, vehicle_sample, weighted_sample
 
 
 def chosen(df):
@@ -37,3 +38,16 @@ def test_nulls_ties_extremes_and_empty(spark):
     got = {r.vehicle_id: r.selected for r in weighted_sample(ids, "vehicle_id", "weight", 1000).collect()}
     assert got == {"a": False, "b": False, "c": True, "d": True}
     assert vehicle_sample(trajectory_rows(spark, [])).count() == 0
+
+
+def test_weights_are_kept_with_their_seed_and_constant(spark, tmp_path, small):
+    rows = spark.read.parquet(f"{small}/trajectories.parquet")
+    with pytest.raises(ValueError):
+        vehicle_sample(rows, 1e-7)
+    sample, path = vehicle_sample(rows), str(tmp_path / "weights")
+    store_weights(sample, "vehicle_id", per_second(1.0), path)
+    kept = spark.read.parquet(path)
+    assert chosen(vehicle_sample(rows, stored=kept)) == chosen(sample)
+    for options in ({"share_per_hour": 2.0}, {"seed": "s2"}):
+        with pytest.raises(ValueError):
+            vehicle_sample(rows, stored=kept, **options)

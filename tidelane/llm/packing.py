@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -11,13 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelane.session import spread
+from tidelane.session import cut_lineage, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How that public vocabulary cuts text before merging (fixed value of the vocabulary).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE_SCHEMA = "target_id bigint, bin string, position int, doc_id bigint, piece int, n_tokens bigint"
-CONTAINER_SCHEMA = "target_id bigint, capacity_tokens bigint, container_id string, position int, doc_id bigint, piece int, n_tokens bigint"
+#: Items packed online as one; their number, not the cluster's cores, says in how many slots.
+ITEMS_PER_SLOT = 10_000
 
 
 @lru_cache(maxsize=1)
@@ -31,10 +33,17 @@ def load_vocabulary(path: str):
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) of each text in tokens of a public byte-level vocabulary; null and empty texts have 0."""
+    """(doc_id, n_tokens) of each text in tokens of a public byte-level vocabulary; null and empty texts have 0.
+
+    The vocabulary's file need only lie on the driver's machine; it is sent to every executor.
+    """
+    documents.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = load_vocabulary(vocabulary)
+        from pyspark import SparkFiles
+
+        encoding = load_vocabulary(SparkFiles.get(name))
         for batch in batches:
             sizes = [len(encoding.encode_ordinary(t)) if t else 0 for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64())], names=["doc_id", "n_tokens"])
@@ -86,48 +95,53 @@ def _split(given: list | None) -> list[list]:
     return [given]
 
 
-def pack(
-    sizes: DataFrame, targets: list[tuple[int, int]], open_windows: int = 64, merge_ways: int = 32, partitions: int | None = None
-) -> DataFrame:
+def pack(sizes: DataFrame, targets: list[tuple[int, int]], open_windows: int = 64, merge_ways: int = 32, slots: int | None = None) -> DataFrame:
     """Combine items (doc_id, n_tokens) into containers of each target's capacity, with little unused space.
 
     targets: (target_id, capacity), each at least 1. Every item is whole in one container, unless it alone exceeds
     the capacity: then it is cut into full containers and a last piece, which is placed like an item. One row per
-    item and target (more for cut ones): container_id, position in it, piece number (0 for whole items).
+    item and target (more for cut ones): capacity_tokens, container_id, position in it, piece number (0 for whole items).
 
     Items of 0 tokens take no room and go to some container; null sizes count as 0; rows with the same doc_id are
     items of their own; an empty table gives no rows. Extra columns are ignored.
 
-    Items are spread over tasks by a hash of doc_id and packed there online with open_windows containers per
-    capacity. What is left open at the end (at most open_windows per task and capacity) is merged in rounds:
-    merge_ways tasks' leftovers go to one, their items are packed anew and leave at most open_windows open, until one
-    task's are left. So no task gets more than merge_ways * open_windows leftovers, whatever the input.
+    Items are spread over `slots` (unless given, one for every ITEMS_PER_SLOT items) by a hash of doc_id and packed there
+    online, in order of that hash, with open_windows containers per capacity; so the containers depend on the items alone,
+    not on cores or partitions. What is left open at the end (at most open_windows per slot and capacity) is merged in
+    rounds: merge_ways slots' leftovers go to one, their items are packed anew and leave at most open_windows open,
+    until one slot's are left. So no task gets more than merge_ways * open_windows leftovers, whatever the input.
     """
     spark = sizes.sparkSession
     for _, capacity in targets:
         if capacity < 1:
             raise ValueError("capacities must be at least 1")
+    names = "target_id, capacity_tokens, container_id, position, doc_id, piece, n_tokens".split(", ")
     if not targets:
-        return spark.createDataFrame([], PIECE_SCHEMA.replace("bin string", "container_id string"))
-    n = partitions or max(1, spark.sparkContext.defaultParallelism)
+        return spark.createDataFrame([], PIECE_SCHEMA).withColumns({"capacity_tokens": F.lit(0), "container_id": F.col("bin")}).select(*names)
+    n = slots or max(1, -(-sizes.count() // ITEMS_PER_SLOT))
     items = sizes.select(F.col("doc_id"), F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(0)).alias("n_tokens"))
-    spread = items.repartition(n, "doc_id").sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "n_tokens")
+    items = items.withColumn("_h", F.xxhash64("doc_id")).withColumn("slot", F.pmod("_h", F.lit(n)))
+    ordered = items.repartition("slot").sortWithinPartitions("slot", "_h", "doc_id", "n_tokens").select("slot", "doc_id", "n_tokens")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId()
-        windows = {t: Windows(c, open_windows) for t, c in targets}
-        closed = dict.fromkeys(windows, 0)
-        out = _Rows()
+        out, slot = _Rows(), None
+        windows, closed = {}, {}
 
         def close(target: int, containers: list[list]) -> None:
             for items in containers:
-                out.add(target, f"0-{task}-{closed[target]}", items, False)
+                out.add(target, f"0-{slot}-{closed[target]}", items, False)
                 closed[target] += 1
 
+        def finish() -> None:
+            for target, w in windows.items():
+                for k, items in enumerate(w.rest()):
+                    out.add(target, f"{slot}-{k}", items, True)
+
         for batch in batches:
-            for doc_id, size in zip(batch["doc_id"].to_pylist(), batch["n_tokens"].to_pylist()):
+            for own, doc_id, size in zip(*(batch[c].to_pylist() for c in ("slot", "doc_id", "n_tokens"))):
+                if own != slot:
+                    finish()
+                    slot, windows, closed = own, {t: Windows(c, open_windows) for t, c in targets}, dict.fromkeys((t for t, _ in targets), 0)
                 for target, capacity in targets:
                     piece, left = 0, size
                     while left > capacity:  # alone too long: full containers, then the last piece
@@ -136,12 +150,10 @@ def pack(
                         left -= capacity
                     close(target, _split(windows[target].put(left, [(doc_id, piece + 1 if piece else 0, left)])))
             yield from out.flush()
-        for target, w in windows.items():
-            for k, items in enumerate(w.rest()):
-                out.add(target, f"{task}-{k}", items, True)
+        finish()
         yield from out.flush()
 
-    packed = spread.mapInArrow(first, PIECE_SCHEMA + ", open boolean").persist()
+    packed = cut_lineage(ordered.mapInArrow(first, PIECE_SCHEMA + ", open boolean"))
     done = [packed.where("not open").drop("open")]
     left, groups, level = packed.where("open").drop("open").withColumn("slot", F.split("bin", "-")[0].cast("int")), n, 0
     while groups > 1:
@@ -150,7 +162,7 @@ def pack(
             _merger(targets, open_windows, level), PIECE_SCHEMA + ", open boolean, slot int"
         )
         if groups > 1:
-            merged = merged.persist()
+            merged = cut_lineage(merged)
             done.append(merged.where("not open").drop("open", "slot"))
             left = merged.where("open").drop("open")
         else:
@@ -159,7 +171,8 @@ def pack(
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
-    return out.withColumnRenamed("bin", "container_id")
+    capacity = F.create_map(*[F.lit(x).cast("bigint") for target in targets for x in target])
+    return out.withColumn("capacity_tokens", capacity[F.col("target_id")]).withColumnRenamed("bin", "container_id").select(*names)
 
 
 class _Rows:
@@ -218,4 +231,5 @@ def pack_documents(documents: DataFrame, targets: DataFrame, vocabulary: str = V
     if len(rows) > 1000:
         raise ValueError("too many capacities")
     settings = sorted((int(r[0]), int(r[1])) for r in rows)
-    return pack(token_counts(documents, vocabulary), settings, **options)
+    slots = max(1, -(-documents.count() // ITEMS_PER_SLOT))
+    return pack(token_counts(documents, vocabulary), settings, slots=slots, **options)

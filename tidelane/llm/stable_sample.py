@@ -23,8 +23,14 @@ def weighted_sample(weights: DataFrame, identifier: str, weight: str, per_unit:
     min(1, max_weight * per_unit / 2^32). All arithmetic is on whole numbers, so neither order nor partitioning
     of the rows matters. per_unit is a fixed parameter: taken from the data it would change as they grow.
 
-    A null identifier counts nowhere; null or negative weights count as 0 and are never selected.
+    A null identifier counts nowhere; null or negative weights count as 0 and are never selected. Kept weights of another
+    seed or constant are refused, as is a constant below 1, by which nobody could be selected.
     """
+    if per_unit < 1:
+        raise ValueError("the share for each unit of weight is too small")
+    if stored is not None and {"seed", "per_unit"} <= set(stored.columns):
+        if not stored.where(~(F.col("seed").eqNullSafe(F.lit(seed)) & F.col("per_unit").eqNullSafe(F.lit(per_unit)))).isEmpty():
+            raise ValueError("weights kept under another seed or constant")
     rows = weights.select(F.col(identifier).alias("id"), F.greatest(F.coalesce(F.col(weight).cast("bigint"), F.lit(0)), F.lit(0)).alias("w"))
     if stored is not None:
         rows = rows.unionByName(stored.select(F.col(identifier).alias("id"), F.coalesce(F.col("max_weight"), F.lit(0)).alias("w")))
@@ -35,6 +41,12 @@ def weighted_sample(weights: DataFrame, identifier: str, weight: str, per_unit:
     ).withColumn("selected", F.col("id_hash") < bound)
 
 
+def store_weights(sample: DataFrame, identifier: str, per_unit: int, path: str, seed: str = "s1") -> None:
+    """Keep the running-maximum weights of a sample, with the seed and constant they are compared under, for later runs' `stored`."""
+    kept = sample.select(identifier, "max_weight", F.lit(seed).alias("seed"), F.lit(per_unit).cast("bigint").alias("per_unit"))
+    kept.write.mode("errorifexists").parquet(path)
+
+
 def driving_weights(trajectories: DataFrame) -> DataFrame:
     """Each vehicle's whole seconds driven, summed over its passes: it never falls as readings are added.
 
@@ -50,7 +62,11 @@ def driving_weights(trajectories: DataFrame) -> DataFrame:
     return passes.groupBy("vehicle_id").agg(F.sum(seconds).cast("bigint").alias("weight"), F.count("*").alias("n_passes"))
 
 
+def per_second(share_per_hour: float) -> int:
+    """The constant for weights in seconds, so that an hour gives the probability share_per_hour."""
+    return int(share_per_hour * (1 << HASH_BITS) / 3600)
+
+
 def vehicle_sample(trajectories: DataFrame, share_per_hour: float = 1.0, seed: str = "s1", stored: DataFrame | None = None) -> DataFrame:
     """The vehicles and whether they are in the sample; an hour of driving gives the probability share_per_hour."""
-    per_unit = int(share_per_hour * (1 << HASH_BITS) / 3600)
-    return weighted_sample(driving_weights(trajectories), "vehicle_id", "weight", per_unit, seed, stored)
+    return weighted_sample(driving_weights(trajectories), "vehicle_id", "weight", per_second(share_per_hour), seed, stored)
