@@ -59,19 +59,35 @@ class DependencyTree:
         return belief / belief.sum(1, keepdims=True)
 
 
-def fit_trees(rows: DataFrame, fields: dict[str, int], group: str | None = None, groups: int = 1) -> list[DependencyTree]:
-    """The spanning tree of most mutual information over coded fields (code column: number of states), for each group.
+#: The number of states of a code column, or the ascending cuts between the states of a column of values.
+Field = int | list[float]
+
+
+def _codes(batch: pa.RecordBatch, name: str, field: Field) -> np.ndarray:
+    """States of a column, -1 for missing."""
+    if isinstance(field, int):
+        return pa.compute.fill_null(batch[name], -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    value = pa.compute.fill_null(batch[name].cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)
+    return np.where(np.isnan(value), -1, np.searchsorted(np.array(field, float), value, "right"))
+
+
+def _states(field: Field) -> int:
+    return field if isinstance(field, int) else len(field) + 1
+
+
+def fit_trees(rows: DataFrame, fields: dict[str, Field], group: str | None = None, groups: int = 1) -> list[DependencyTree]:
+    """The spanning tree of most mutual information over coded fields, for each group.
 
     group: a column 0 .. groups - 1. All rows count, for each pair those in which both are known. Every task adds up its
     own tables; what reaches the driver is groups * sum(states_i * states_j) numbers at most, whatever the input.
     """
-    names, states = list(fields), list(fields.values())
+    names, states = list(fields), [_states(f) for f in fields.values()]
     pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {p: np.zeros(groups * states[p[0]] * states[p[1]], np.int64) for p in pairs}
         for batch in batches:
-            codes = [pa.compute.fill_null(batch[n], -1).to_numpy(zero_copy_only=False).astype(np.int64) for n in names]
+            codes = [_codes(batch, n, f) for n, f in fields.items()]
             g = batch[group].to_numpy(zero_copy_only=False).astype(np.int64) if group else np.zeros(batch.num_rows, np.int64)
             for i, j in pairs:
                 both = (codes[i] >= 0) & (codes[j] >= 0)
@@ -106,16 +122,15 @@ def _spanning_tree(names: list[str], states: list[int], tables: dict[tuple[int,
     return DependencyTree(names, states, tables, edges)
 
 
-def fill_states(rows: DataFrame, trees: list[DependencyTree], target: str, keep: list[str], group: str | None = None) -> DataFrame:
+def fill_states(rows: DataFrame, fields: dict[str, Field], trees: list[DependencyTree], target: str, keep: list[str], group: str | None = None) -> DataFrame:
     """For rows whose target is missing: its likeliest state and that state's probability, beside columns `keep`."""
-    fields = trees[0].fields
-    at = fields.index(target)
+    at = list(fields).index(target)
     kept = rows.where(F.coalesce(F.col(target), F.lit(-1)) < 0).select(*dict.fromkeys([*keep, *([group] if group else []), *fields]))
     types = ", ".join(f"`{n}` {t}" for n, t in kept.select(*keep).dtypes)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = np.stack([pa.compute.fill_null(batch[f], -1).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields], axis=1)
+            codes = np.stack([_codes(batch, n, f) for n, f in fields.items()], axis=1)
             g = batch[group].to_numpy(zero_copy_only=False) if group else np.zeros(batch.num_rows, np.int64)
             state, sure = np.zeros(len(codes), np.int64), np.zeros(len(codes))
             for k, tree in enumerate(trees):
@@ -132,15 +147,15 @@ def _number(column: str) -> Column:
     return F.when(~F.isnan(F.col(column).cast("double")), F.col(column).cast("double"))
 
 
-def _bin(value: Column, cuts: list[float]) -> Column:
-    """How many of the ascending cuts lie at or below the value; null stays null."""
-    return F.when(value.isNotNull(), F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= value)) if cuts else F.lit(0)).cast("long")
+def _bin(value: Column, states: int) -> Column:
+    """Whole units, 0 .. states - 1, the ends open; null stays null."""
+    return F.when(value.isNotNull(), F.least(F.greatest(F.floor(value), F.lit(0)), F.lit(states - 1))).cast("long")
 
 
-def _quantiles(rows: DataFrame, columns: dict[str, Column], n: int = 24) -> dict[str, list[float]]:
+def _quantiles(rows: DataFrame, columns: list[str], n: int = 24) -> dict[str, list[float]]:
     """Ascending cuts between about equally many values of each column, from all rows."""
     shares = [k / n for k in range(1, n)]
-    found = rows.agg(*[F.percentile_approx(c, shares, 1000).alias(name) for name, c in columns.items()]).first()
+    found = rows.agg(*[F.percentile_approx(c, shares, 1000).alias(c) for c in columns]).first()
     return {name: sorted(set(found[name] or [])) for name in columns}
 
 
@@ -164,11 +179,6 @@ def _medians(coded: DataFrame, code: str, value: str) -> Column | None:
     return F.create_map(*[F.lit(x) for r in rows for x in (int(r[code]), float(r["m"]))]) if rows else None
 
 
-def _distinct(rows: DataFrame, key: str) -> DataFrame:
-    """One row of each key; rows without key are all kept."""
-    return rows.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(rows.where(F.col(key).isNull()))
-
-
 def fill_speeds(flow_data: DataFrame, max_speed: float = 60.0, steps_per_block: int = 1440) -> DataFrame:
     """Every missing speed of flow_data, filled from records of the same location, cell and time.
 
@@ -187,26 +197,24 @@ def fill_speeds(flow_data: DataFrame, max_speed: float = 60.0, steps_per_block:
         F.col("cell_id").alias("row_id"), "location", "t_index", "x_index",
         F.when(~F.coalesce(missing, F.lit(False)), s).alias("speed"), q.alias("flow"), k.alias("density"),
     )
-    ratio = F.try_divide("flow", "density")
-    cuts = _quantiles(rows, {"density": F.col("density"), "flow": F.col("flow"), "ratio": ratio, "cell": F.col("x_index").cast("double")}, 64)
-    known, by_metre = _labels(rows, "location"), [float(v) for v in range(1, int(max_speed) + 1)]
-    blocks = time_blocks(_distinct(rows, "row_id"), F.coalesce("t_index", F.lit(0)), steps_per_block, 1, "block", "own")
+    rows = rows.withColumn("ratio", F.try_divide("flow", "density")).withColumn("cell", F.col("x_index").cast("double"))
+    cuts = _quantiles(rows, ["density", "flow", "ratio", "cell"], 64)
+    known, speeds = _labels(rows, "location"), int(max_speed) + 1
+    blocks = time_blocks(rows, F.coalesce("t_index", F.lit(0)), steps_per_block, 1, "block", "own")
     near = Window.partitionBy("location", "x_index", "block").orderBy("t_index", "row_id")
+    blocks = blocks.withColumn("again", F.coalesce(F.lag("row_id").over(near) == F.col("row_id"), F.lit(False))).where("not again")
     beside = lambda f, step: F.when(f("t_index").over(near) == F.col("t_index") + step, f("speed").over(near))
     coded = cut_lineage(
         blocks.withColumn("before", beside(F.lag, -1)).withColumn("after", beside(F.lead, 1)).where("own").select(
-            "row_id", "speed", _bin(F.col("speed"), by_metre).alias("c_speed"), _bin(ratio, cuts["ratio"]).alias("c_ratio"),
-            _bin(F.col("density"), cuts["density"]).alias("c_density"), _bin(F.col("flow"), cuts["flow"]).alias("c_flow"),
-            _bin(F.col("before"), by_metre).alias("c_before"), _bin(F.col("after"), by_metre).alias("c_after"),
-            _label("location", known).alias("c_location"), _bin(F.col("x_index").cast("double"), cuts["cell"]).alias("c_cell"),
+            "row_id", "speed", _bin(F.col("speed"), speeds).alias("c_speed"), "ratio", "density", "flow",
+            _bin(F.col("before"), speeds).alias("c_before"), _bin(F.col("after"), speeds).alias("c_after"), _label("location", known).alias("c_location"), "cell",
         )
     )
-    speeds = len(by_metre) + 1
-    fields = {"c_speed": speeds, "c_ratio": len(cuts["ratio"]) + 1, "c_density": len(cuts["density"]) + 1, "c_flow": len(cuts["flow"]) + 1, "c_before": speeds, "c_after": speeds}
-    trees = fit_trees(coded, fields | {"c_location": len(known) + 1, "c_cell": len(cuts["cell"]) + 1})
+    fields = {"c_speed": speeds, "ratio": cuts["ratio"], "density": cuts["density"], "flow": cuts["flow"], "c_before": speeds, "c_after": speeds, "c_location": len(known) + 1, "cell": cuts["cell"]}
+    trees = fit_trees(coded, fields)
     decode = _medians(coded, "c_speed", "speed")
     value = F.lit(None).cast("double") if decode is None else F.try_element_at(decode, F.col("state").cast("int"))
-    return fill_states(coded, trees, "c_speed", ["row_id"]).select(
+    return fill_states(coded, fields, trees, "c_speed", ["row_id"]).select(
         F.lit("flow_data").alias("table_name"), "row_id", F.lit("speed").alias("field"), value.alias("value"), F.lit(True).alias("filled"), "probability"
     )
 
@@ -260,7 +268,8 @@ def fill_indices(discretized: DataFrame, cells: int = 45, step: float = 5.0, cel
     Duplicate rows (same obs_id) are one; rows without obs_id are kept; those without vehicle or pass have no neighbours.
     Empty tables give no rows; extra columns are ignored. Passes of any length are cut into blocks.
     """
-    rows = _distinct(discretized.select("obs_id", "t_index", "x_index", "vehicle_id", "pass_no", "location", _number("time_seconds").alias("time"), _number("x_meters").alias("x"), _number("velocity").alias("v")), "obs_id")
+    alone = F.when(F.col("obs_id").isNull(), F.monotonically_increasing_id())  # rows without id are all kept
+    rows = discretized.withColumn("_alone", alone).dropDuplicates(["obs_id", "_alone"]).select("obs_id", "t_index", "x_index", "vehicle_id", "pass_no", "location", _number("time_seconds").alias("time"), _number("x_meters").alias("x"), _number("velocity").alias("v"))
     t_known = F.when(F.col("t_index") >= 0, F.col("t_index"))
     x_known = F.when((F.col("x_index") >= 0) & (F.col("x_index") < cells), F.col("x_index"))
     at, place = F.coalesce("time", (t_known + 0.5) * step), F.coalesce("x", (x_known + 0.5) * cell_metres)
@@ -272,25 +281,26 @@ def fill_indices(discretized: DataFrame, cells: int = 45, step: float = 5.0, cel
     pace = F.greatest(F.coalesce("v", F.lit(15.0)), F.lit(2.0))
     pace = F.when(F.col("kind") == "t", 1.0 / pace).otherwise(pace)
     guess = F.coalesce(p["y"] + (s - p["s"]) * F.try_divide(n["y"] - p["y"], n["s"] - p["s"]), p["y"] + (s - p["s"]) * pace, n["y"] - (n["s"] - s) * pace)
-    found = found.withColumn("guess", F.when(guess.isNotNull(), F.greatest(guess, F.lit(0.0))) / F.col("width")).withColumn("gap", (n["y"] - p["y"]) / F.col("width")).drop("p", "n", "y", "s", "vehicle_id", "pass_no")
-    speeds, places = _quantiles(rows, {"v": F.col("v")})["v"], _labels(rows, "location")
+    speeds, places = _quantiles(discretized.select(_number("velocity").alias("v")), ["v"])["v"], _labels(discretized, "location")
+    found = cut_lineage(
+        found.select(
+            "row_id", "kind", "known", "own", "v", _label("location", places).alias("c_location"),
+            (F.when(guess.isNotNull(), F.greatest(guess, F.lit(0.0))) / F.col("width")).alias("guess"), ((n["y"] - p["y"]) / F.col("width")).alias("gap"),
+        )
+    )
     shown = found.withColumn("hidden", F.explode(F.when(F.col("own").isNotNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))))
     own, by_guess = F.when(~F.col("hidden"), F.col("own")), F.floor("guess")
     base = F.coalesce(own, by_guess)
-    coded = cut_lineage(
-        shown.select(
-            "row_id", (F.when(F.col("kind") == "t", 0).otherwise(2) + F.col("hidden").cast("int")).cast("long").alias("tree"),
-            base.alias("base"), (F.col("hidden") == F.col("own").isNull()).alias("as_given"), (F.col("known") - base).cast("double").alias("d"),
-            _offset(F.col("known") - base).alias("c_target"), _offset(by_guess - own).alias("c_away"),
-            F.least(F.floor((F.col("guess") - by_guess) * 8), F.lit(7)).cast("long").alias("c_part"),
-            F.when(base.isNotNull(), F.coalesce(_bin(F.col("gap"), [float(k) for k in range(1, 12)]), F.lit(12))).cast("long").alias("c_gap"),
-            _bin(F.col("v"), speeds).alias("c_v"), _label("location", places).alias("c_location"),
-        )
+    coded = shown.select(
+        "row_id", (F.when(F.col("kind") == "t", 0).otherwise(2) + F.col("hidden").cast("int")).cast("long").alias("tree"),
+        base.alias("base"), (F.col("hidden") == F.col("own").isNull()).alias("as_given"), (F.col("known") - base).cast("double").alias("d"),
+        _offset(F.col("known") - base).alias("c_target"), _offset(by_guess - own).alias("c_away"), _bin((F.col("guess") - by_guess) * 8, 8).alias("c_part"),
+        F.when(base.isNotNull(), F.coalesce(_bin(F.col("gap"), 12), F.lit(12))).cast("long").alias("c_gap"), "v", "c_location",
     )
-    fields = {"c_target": OFFSETS, "c_away": OFFSETS, "c_part": 8, "c_gap": 13, "c_v": len(speeds) + 1, "c_location": len(places) + 1}
+    fields = {"c_target": OFFSETS, "c_away": OFFSETS, "c_part": 8, "c_gap": 13, "v": speeds, "c_location": len(places) + 1}
     trees = fit_trees(coded, fields, "tree", 4)
     decode = _medians(coded.withColumn("_state", F.col("tree") * OFFSETS + F.col("c_target")), "_state", "d")
-    filled = fill_states(coded.where("as_given"), trees, "c_target", ["row_id", "base", "tree"], "tree")
+    filled = fill_states(coded.where("as_given"), fields, trees, "c_target", ["row_id", "base", "tree"], "tree")
     state = (F.col("tree") * OFFSETS + F.col("state")).cast("int")
     away = F.lit(0.0) if decode is None else F.coalesce(F.try_element_at(decode, state), F.lit(0.0))
     value = F.when(F.col("base").isNotNull(), F.greatest(F.col("base") + F.round(away), F.lit(0.0)))
