@@ -235,14 +235,18 @@ def _guesses(rows: DataFrame, blocks: dict[str, float]) -> DataFrame:
     """y and s of the nearest other rows of the same pass and kind with a lower (p) and a higher (n) s that know y.
 
     A pass is cut into blocks of s; what lies beyond a block's ends is carried over the blocks, of which only one row each
-    is brought together by pass. Rows without pass or s have neither, and no part in the windows.
+    is brought together by pass. Rows without pass or s have neither, and no part in the windows. Of repeated rows (same
+    row_id, pass and s) one is kept.
     """
     placed = F.col("vehicle_id").isNotNull() & F.col("pass_no").isNotNull() & F.col("s").isNotNull()
     width = F.when(F.col("kind") == "t", F.lit(blocks["t"])).otherwise(F.lit(blocks["x"]))
     key, by_block = ["vehicle_id", "pass_no", "kind"], ["vehicle_id", "pass_no", "kind", "_b"]
     inside = rows.where(placed).withColumn("_b", F.floor(F.col("s") / width))
     known = F.when(F.col("y").isNotNull(), F.struct("y", "s"))
-    up = Window.partitionBy(*by_block).orderBy(F.col("s").asc(), F.col("row_id").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    sorted_up = Window.partitionBy(*by_block).orderBy(F.col("s").asc(), F.col("row_id").asc())
+    again = F.coalesce(F.lag("row_id").over(sorted_up) == F.col("row_id"), F.lit(False))
+    inside = inside.withColumn("_again", again).where("not _again").drop("_again")
+    up = sorted_up.rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy(*by_block).orderBy(F.col("s").desc(), F.col("row_id").desc()).rowsBetween(Window.unboundedPreceding, -1)
     inside = inside.withColumn("p", F.last(known, ignorenulls=True).over(up)).withColumn("n", F.last(known, ignorenulls=True).over(down))
     order = F.when(F.col("y").isNotNull(), F.struct("s", "row_id"))
@@ -252,7 +256,9 @@ def _guesses(rows: DataFrame, blocks: dict[str, float]) -> DataFrame:
     ends = ends.select(*by_block, F.last("_last", ignorenulls=True).over(before).alias("_p"), F.last("_first", ignorenulls=True).over(after).alias("_n"))
     met = inside.join(ends, by_block).withColumn("p", F.coalesce("p", "_p")).withColumn("n", F.coalesce("n", "_n")).drop("_b", "_p", "_n")
     none = F.lit(None).cast("struct<y: double, s: double>")
-    return met.unionByName(rows.where(~F.coalesce(placed, F.lit(False))).withColumn("p", none).withColumn("n", none))
+    alone = F.when(F.col("row_id").isNull(), F.monotonically_increasing_id())  # rows without id are all kept
+    others = rows.where(~F.coalesce(placed, F.lit(False))).withColumn("_alone", alone).dropDuplicates(["row_id", "kind", "_alone"]).drop("_alone")
+    return met.unionByName(others.withColumn("p", none).withColumn("n", none))
 
 
 def fill_indices(discretized: DataFrame, cells: int = 45, step: float = 5.0, cell_metres: float = 200.0) -> DataFrame:
@@ -268,8 +274,7 @@ def fill_indices(discretized: DataFrame, cells: int = 45, step: float = 5.0, cel
     Duplicate rows (same obs_id) are one; rows without obs_id are kept; those without vehicle or pass have no neighbours.
     Empty tables give no rows; extra columns are ignored. Passes of any length are cut into blocks.
     """
-    alone = F.when(F.col("obs_id").isNull(), F.monotonically_increasing_id())  # rows without id are all kept
-    rows = discretized.withColumn("_alone", alone).dropDuplicates(["obs_id", "_alone"]).select("obs_id", "t_index", "x_index", "vehicle_id", "pass_no", "location", _number("time_seconds").alias("time"), _number("x_meters").alias("x"), _number("velocity").alias("v"))
+    rows = discretized.select("obs_id", "t_index", "x_index", "vehicle_id", "pass_no", "location", _number("time_seconds").alias("time"), _number("x_meters").alias("x"), _number("velocity").alias("v"))
     t_known = F.when(F.col("t_index") >= 0, F.col("t_index"))
     x_known = F.when((F.col("x_index") >= 0) & (F.col("x_index") < cells), F.col("x_index"))
     at, place = F.coalesce("time", (t_known + 0.5) * step), F.coalesce("x", (x_known + 0.5) * cell_metres)
