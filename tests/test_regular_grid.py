@@ -47,3 +47,8 @@ def test_polynomial_falls_back_where_times_coincide():
     sums = np.array([[2.0, 0.0], [1.0, 0.0], [0.5, 0.0]])  # two points at u = 0.5; none at all
     got = local_polynomial(sums, np.array([[8.0, 0.0], [4.0, 0.0]]), 1)
     assert got[0] == 4.0 and np.isnan(got[1])
+
+
+def test_infinite_times_are_left_out(spark):
+    rows = [(1, "a", 0, 1.0, 5.0, 2.0, 1.0, 1.0, 0), (2, "a", 0, float("inf"), 6.0, 2.0, 1.0, 1.0, 0), (3, "a", 0, float("-inf"), 6.0, 2.0, 1.0, 1.0, 0), (4, "a", 0, 8.0, 7.0, 2.0, 1.0, 1.0, 0)]
+    assert [r.t_index for r in regular_grid(trajectory_rows(spark, rows)).orderBy("t_index").collect()] == [0, 1]

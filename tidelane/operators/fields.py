@@ -23,7 +23,8 @@ def valid_headways(rows: DataFrame) -> DataFrame:
     return rows.where((F.col("space_headway") > 0) & (F.col("time_headway") <= 9999))
 
 
-def _per_vehicle(rows: DataFrame, columns: list[str], dt: float, dx: float) -> DataFrame:
+def per_vehicle(rows: DataFrame, columns: list[str], dt: float, dx: float) -> DataFrame:
+    """Mean of each vehicle in each cell (millionths), over its readings that have all the columns."""
     good = F.lit(True)
     for c in columns:
         good = good & F.col(c).isNotNull() & ~F.isnan(c)
@@ -33,7 +34,7 @@ def _per_vehicle(rows: DataFrame, columns: list[str], dt: float, dx: float) -> D
 
 def cell_means(rows: DataFrame, columns: list[str], dt: float, dx: float) -> DataFrame:
     """Mean per cell of the vehicles' means (millionths), so a vehicle reporting often counts once."""
-    per = _per_vehicle(rows, columns, dt, dx)
+    per = per_vehicle(rows, columns, dt, dx)
     return per.groupBy(*CELL).agg(*[mean_micro(F.col(c)).alias(f"mean_{c}_um") for c in columns], F.count("*").alias("n_vehicles"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,6 +19,19 @@ def squared_errors(steps: DataFrame, field: DataFrame) -> DataFrame:
     return met.withColumn("squared", gap * gap)
 
 
+def squared_errors_in_cell(per_vehicle: DataFrame) -> DataFrame:
+    """Each vehicle's mean in a cell with its squared distance from the mean over the cell's vehicles."""
+    cell = Window.partitionBy("location", "t_index", "x_index")
+    mean = F.floor(F.sum("v_um").over(cell) / F.count("v_um").over(cell).cast("double") + 0.5).cast("long")
+    gap = (F.col("v_um") - mean).cast("double") / 1e6
+    return per_vehicle.where("t_index >= 0 and x_index >= 0").withColumn("squared", gap * gap)
+
+
+def variances(rows: DataFrame, by: str, field: Column, estimate: Column) -> DataFrame:
+    """Population variances of a field and of what an estimate leaves of it, over rows that have both (n of them)."""
+    return rows.groupBy(by).agg(F.count(field - estimate).alias("n"), F.var_pop(field - estimate).alias("residual"), F.var_pop(field).alias("field"))
+
+
 def root_mean_square(errors: DataFrame, by: list[str]) -> DataFrame:
     """n, and the root mean square error in km/h (thousandths, whole): sums of whole numbers don't depend on order."""
     whole = F.floor(F.col("squared") * 1e6 + 0.5).cast("long")
@@ -56,11 +69,42 @@ def negative_log_likelihood(truth: DataFrame, predicted: DataFrame, key: list[st
     return parts.groupBy(*key).agg((F.sum("nll") / F.nullif(steps, F.lit(0))).alias("mean_nll"), steps.alias("n_steps"), F.sum("cells").alias("n_cells"))
 
 
-def run_report(runs: DataFrame) -> DataFrame:
-    """Runs per model and probe share as a table of counts; runs without a share are left out."""
-    shares = [0.05, 0.1, 0.2, 0.3]
+def run_report(runs: DataFrame, shares: list[float]) -> DataFrame:
+    """Runs per model as a table of counts by probe share, with a column for all other shares; runs without a share are left out."""
     rows = runs.select("model", F.col("data.probe_fraction").alias("share")).where("share is not null")
-    return rows.groupBy("model").pivot("share", shares).count().select("model", *[F.coalesce(F.col(f"`{s}`"), F.lit(0)).alias(f"share_{int(s * 100):02d}") for s in shares])
+    names = {s: f"share_{int(round(s * 100)):02d}" for s in shares}
+    shown = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("share")), F.lit("share_other"))
+    counts = rows.withColumn("_shown", shown).groupBy("model").pivot("_shown", [*names.values(), "share_other"]).count()
+    return counts.select("model", *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in (*names.values(), "share_other")])
+
+
+def runs_where(runs: DataFrame, **values: list) -> DataFrame:
+    """Runs whose columns have one of the given values."""
+    for name, allowed in values.items():
+        runs = runs.where(F.col(name).isin(allowed))
+    return runs
+
+
+def settings_as_columns(runs: DataFrame, structs: list[str], errors: list[str], names: list[str]) -> DataFrame:
+    """Fields of the structs as columns <struct>_<field>, and the known errors, in order, as columns of their own."""
+    fields = [F.col(f"{s}.{f}").alias(f"{s}_{f}") for s in structs for f in runs.schema[s].dataType.names]
+    known = F.filter(F.array(*[F.col(e) for e in errors]), lambda e: e.isNotNull() & ~F.isnan(e))
+    return runs.select("run_id", *fields, known.alias("_e")).select("*", *[F.get("_e", F.lit(k)).alias(n) for k, n in enumerate(names)]).drop("_e")
+
+
+def sweep_coverage(runs: DataFrame, limit: int = 1000) -> DataFrame:
+    """Every combination of the values in use of each column, with the number of runs made of it.
+
+    The values are settings, not data: more than `limit` of a column are refused. Null values make no combination.
+    """
+    names, grid = runs.columns, None
+    for name in names:
+        values = runs.select(name).where(F.col(name).isNotNull()).distinct()
+        if values.limit(limit + 1).count() > limit:
+            raise ValueError(f"too many values of {name}")
+        grid = values if grid is None else grid.crossJoin(values)
+    made = runs.groupBy(*names).agg(F.count("*").alias("n_runs"))
+    return grid.join(made, names, "left").withColumn("n_runs", F.coalesce("n_runs", F.lit(0)))
 
 
 def run_statistics(runs: DataFrame, labels: dict[str, str], worst: float = 30.0) -> DataFrame:

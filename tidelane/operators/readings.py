@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 
 def usable_rows(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows that belong to a pass and have a time, reduced to the needed columns (so the scan reads no others)."""
+    """Rows that belong to a pass and have a finite time, reduced to the needed columns (so the scan reads no others)."""
     t = F.col("time_seconds")
-    return df.where(F.col("vehicle_id").isNotNull() & F.col("pass_no").isNotNull() & t.isNotNull() & ~F.isnan(t)).select(
+    return df.where(F.col("vehicle_id").isNotNull() & F.col("pass_no").isNotNull() & (F.abs(t) < float("inf"))).select(
         "vehicle_id", "pass_no", "time_seconds", "event_id", *columns
     )
 

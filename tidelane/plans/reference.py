@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.functions.diagrams import COLUMNS as M
-from tidelane.functions.diagrams import FAMILIES, ModifiedSecondOrder, SecondOrder, diagram
+from tidelane.functions.diagrams import DEFAULTS, FAMILIES, ModifiedSecondOrder, SecondOrder, diagram
 from tidelane.operators import fields, metrics, stencils
 from tidelane.operators import measurements as ms
 from tidelane.operators import trajectory as tr
@@ -274,6 +274,19 @@ def field_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {_FLOW}, first AS (SELECT location, t_index, x_index, v_um, CAST(floor(sum(v_um) OVER w / CAST(count(v_um) OVER w AS DOUBLE) + 0.5e0) AS BIGINT) AS m FROM flow_field
+      WINDOW w AS (PARTITION BY location, x_index ORDER BY t_index RANGE BETWEEN 5 PRECEDING AND CURRENT ROW)),
+    smooth AS (SELECT location, t_index, x_index, v_um, floor(sum(m) OVER w / CAST(count(m) OVER w AS DOUBLE) + 0.5e0) AS s FROM first WINDOW w AS (PARTITION BY location, t_index ORDER BY x_index RANGE BETWEEN 2 PRECEDING AND CURRENT ROW))
+    SELECT location, count(v_um - s) AS n, CAST(floor(var_pop((v_um - s) / 1e6) * 1e3 + 0.5e0) AS BIGINT) AS variance_milli, CAST(floor(var_pop(v_um / 1e6) * 1e3 + 0.5e0) AS BIGINT) AS field_variance_milli FROM smooth GROUP BY location""")
+def residual_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of a field's variance is left beside an estimate of it (here the rolling mean)."""
+    field = _flow_field(spark, sf_dir).select("location", "t_index", "x_index", "v_um")
+    met = field.join(fields.rolling_means(field, "v_um", 6, 3), fields.CELL)
+    out = metrics.variances(met, "location", F.col("v_um") / 1e6, F.col("smooth_um") / 1e6)
+    milli = lambda c: F.floor(F.col(c) * 1e3 + 0.5).cast("long")
+    return out.select("location", "n", milli("residual").alias("variance_milli"), milli("field").alias("field_variance_milli"))
+
+
 @query(f"""WITH {_READ}, {_STEPS}, observed AS (SELECT DISTINCT vehicle_id FROM steps WHERE {_SHARE.format(seed=0)} < 858993459)
     SELECT vehicle_id, pass_no, t_index, v_um FROM steps WHERE vehicle_id NOT IN (SELECT vehicle_id FROM observed)""")
 def hidden_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,9 +298,9 @@ def hidden_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     sq AS (SELECT location, CAST(floor(((v_um - field_um)::DOUBLE / 1e6) * ((v_um - field_um)::DOUBLE / 1e6) * 1e6 + 0.5e0) AS BIGINT) AS s FROM joined)
     SELECT location, count(*) AS n, CAST(floor(sqrt(sum(s)::BIGINT / 1e6 / count(*)) * 3600 + 0.5e0) AS BIGINT) AS rmse_kmh_milli FROM sq GROUP BY location""")
 def trajectory_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = fields._per_vehicle(readings(spark, sf_dir), ["velocity"], DT, DX).withColumnRenamed("velocity", "v_um")
-    errors = metrics.squared_errors(per, _means(spark, sf_dir).withColumnRenamed("mean_velocity_um", "field_um"))
-    return metrics.root_mean_square(errors, ["location"])
+    """Each vehicle's mean against its cell's, as a window over the cell (the per-vehicle means are made once)."""
+    per = fields.per_vehicle(readings(spark, sf_dir), ["velocity"], DT, DX).withColumnRenamed("velocity", "v_um")
+    return metrics.root_mean_square(metrics.squared_errors_in_cell(per), ["location"])
 
 
 _OBSERVED = """
@@ -315,9 +328,31 @@ def clipped_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT model, count(*) FILTER (WHERE data.probe_fraction = 0.05) AS share_05, count(*) FILTER (WHERE data.probe_fraction = 0.1) AS share_10,
-    count(*) FILTER (WHERE data.probe_fraction = 0.2) AS share_20, count(*) FILTER (WHERE data.probe_fraction = 0.3) AS share_30 FROM experiment_runs WHERE data.probe_fraction IS NOT NULL GROUP BY model""")
+    count(*) FILTER (WHERE data.probe_fraction = 0.2) AS share_20, count(*) FILTER (WHERE data.probe_fraction = 0.3) AS share_30,
+    count(*) FILTER (WHERE data.probe_fraction NOT IN (0.05, 0.1, 0.2, 0.3)) AS share_other FROM experiment_runs WHERE data.probe_fraction IS NOT NULL GROUP BY model""")
 def run_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.run_report(table(spark, sf_dir, "experiment_runs"))
+    return metrics.run_report(table(spark, sf_dir, "experiment_runs"), [0.05, 0.1, 0.2, 0.3])
+
+
+@query("""
+    WITH m AS (SELECT DISTINCT model FROM experiment_runs WHERE model IS NOT NULL), f AS (SELECT DISTINCT data.probe_fraction AS share FROM experiment_runs WHERE data.probe_fraction IS NOT NULL),
+    s AS (SELECT DISTINCT seed FROM experiment_runs WHERE seed IS NOT NULL), done AS (SELECT model, data.probe_fraction AS share, seed, count(*) AS n FROM experiment_runs GROUP BY ALL)
+    SELECT model, share, seed, coalesce(n, 0) AS n_runs FROM m CROSS JOIN f CROSS JOIN s LEFT JOIN done USING (model, share, seed)
+""")
+def sweep_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every combination of the models, probe shares and seeds in use, with the number of runs made of it."""
+    return metrics.sweep_coverage(table(spark, sf_dir, "experiment_runs").select("model", F.col("data.probe_fraction").alias("share"), "seed"))
+
+
+@query("""SELECT run_id, kalman.q AS kalman_q, kalman.n_particles::DOUBLE AS kalman_n_particles, fourdvar.n_windows::DOUBLE AS fourdvar_n_windows, fourdvar.iterations::DOUBLE AS fourdvar_iterations,
+    CASE WHEN len(e) > 0 THEN e[1] END AS first_error, CASE WHEN len(e) > 1 THEN e[2] END AS second_error, CASE WHEN len(e) > 2 THEN e[3] END AS third_error
+    FROM (SELECT *, list_filter([rmse, grid_rmse, hidden_rmse], lambda x: x IS NOT NULL AND NOT isnan(x)) AS e FROM experiment_runs)
+    WHERE model = 'ekf' OR model = 'lwr_ekf'""")
+def run_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings and errors of the filters' runs as columns: fields of structs, and places of a list that may be shorter."""
+    runs = metrics.runs_where(table(spark, sf_dir, "experiment_runs"), model=["ekf", "lwr_ekf"])
+    out = metrics.settings_as_columns(runs, ["kalman", "fourdvar"], ["rmse", "grid_rmse", "hidden_rmse"], ["first_error", "second_error", "third_error"])
+    return out.select("run_id", *[F.col(c).cast("double").alias(c) for c in out.columns if c != "run_id"])
 
 
 @query("""
@@ -378,6 +413,38 @@ for _name in FAMILIES:
     _diagram_query(_name)
 
 
+# Each named parameter set as SQL: flow of r, speed of r, density of v (constants of the sets; the families' formulas).
+def _greenshields_sql(v: str, j: str) -> tuple[str, str, str]:
+    return f"{v} * r * (1 - r / {j})", f"{v} * (1 - r / {j})", f"{j} * (1 - v / {v})"
+
+
+def _triangular_sql(c: str, q: str, j: str, free: str | None = None) -> tuple[str, str, str]:
+    back = f"({q} / ({j} - {c}))"
+    return (
+        f"CASE WHEN r <= {c} THEN {q} / {c} * r ELSE {back} * ({j} - r) END", f"CASE WHEN r <= {c} THEN {q} / {c} ELSE {back} * ({j} / r - 1) END",
+        f"CASE WHEN v <= {q} / {c} THEN {j} / (1 + v / {back}) ELSE {free or f'({c} / 2)'} END",
+    )
+
+
+def _quadratic_linear_sql(v: str, j: str, c: str) -> tuple[str, str, str]:
+    q = f"({v} * {c})"
+    return (
+        f"CASE WHEN r < {c} THEN {v} * r * (1 - r / {j}) ELSE {q} * (1 - r / {j}) END",
+        f"CASE WHEN r < {c} THEN {v} * (1 - r / {j}) ELSE {q} * (1 / r - 1 / {j}) END",
+        f"CASE WHEN v > {v} * (1 - {c} / {j}) THEN {j} * (1 - v / {v}) ELSE {j} / (1 + v / ({q} / {j})) END",
+    )
+
+
+_DIAGRAM_SQL |= {
+    "ngsim_greenshields": _greenshields_sql("32.9e0", "0.0611e0"), "ngsim_triangular": _triangular_sql("0.038e0", "0.493e0", "0.096e0"),
+    "ngsim_quadratic_linear": _quadratic_linear_sql("32.9e0", "0.096e0", "0.038e0"), "mobile_triangular_low": _triangular_sql("0.0186e0", "0.56e0", "0.127e0"),
+    "mobile_triangular": _triangular_sql("0.022e0", "0.63e0", "0.094e0", "0.018e0"), "mobile_quadratic_linear": _quadratic_linear_sql("29.05e0", "0.094e0", "0.022e0"),
+    "mobile_greenshields": _greenshields_sql("29.05e0", "0.094e0"),
+}
+for _name in DEFAULTS:
+    _diagram_query(_name)
+
+
 # ---- one step of each scheme on the states of flow_data (a state: the 45 cells of a location and step)
 
 _GS = "30e0 * {r} * (1 - {r} / 0.2e0)"
@@ -472,6 +539,20 @@ def rusanov_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(stencils.second_order_step(_arz_states(spark, sf_dir), STATE, ARZ, DT, DX), "rho_next", "q_next")
 
 
+_RAMPED = "CASE x_index WHEN 10 THEN 1.1e0 WHEN 30 THEN 0.9e0 END"
+_FACE = "(0.5e0 * (f1_l + f1) - 0.5e0 * greatest(a_l, a) * (rho - rho_l))"
+
+
+@query(f"""WITH {_ARZ_STATE.format(sides=_EDGE + f", {_RAMPED} AS ratio")},
+    o AS (SELECT *, coalesce({_FACE} * ratio, {_FACE}) AS i1, coalesce({_FACE} * ratio * (q_l / greatest(rho_l, 1e-6)), 0.5e0 * (f2_l + f2) - 0.5e0 * greatest(a_l, a) * (q - q_l)) AS i2 FROM n)
+    SELECT location, t_index, x_index, CASE WHEN {_known("rho", "q")} THEN floor((rho - 5e0 / 200e0 * ((0.5e0 * (f1 + f1_r) - 0.5e0 * greatest(a, a_r) * (rho_r - rho)) - i1)) * 1e6 + 0.5e0) END AS rho_next,
+      CASE WHEN {_known("rho", "q")} THEN floor((q - 5e0 / 200e0 * ((0.5e0 * (f2 + f2_r) - 0.5e0 * greatest(a, a_r) * (q_r - q)) - i2) + 5e0 * src) * 1e6 + 0.5e0) END AS q_next FROM o""")
+def ramps_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step with an on-ramp at cell 10 and an off-ramp at cell 30."""
+    ramps = spark.createDataFrame([(10, 1.1), (30, 0.9)], "x_index bigint, ratio double")
+    return _whole(stencils.second_order_step(_arz_states(spark, sf_dir), STATE, ARZ, DT, DX, ramps=ramps), "rho_next", "q_next")
+
+
 @query(f"WITH {_ARZ_STATE.format(sides=_EDGE)} {_ARZ_OUT.format(ao='40e0', ai='40e0')}")
 def second_order_lax_friedrichs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(stencils.second_order_step(_arz_states(spark, sf_dir), STATE, ARZ, DT, DX, "lax_friedrichs"), "rho_next", "q_next")
@@ -536,7 +617,12 @@ def modified_hesitation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _states(spark, sf_dir).select("location", "t_index", "x_index", *[F.when(r.isNotNull(), _milli(c)).alias(n) for n, c in (("h_e5", m.h(r, M)), ("rdh_e5", m.r_dh(r, M)), ("v_e5", m.v_eq(r, M)))])
 
 
-@query()
+_PAIRED = """paired AS (SELECT location, a.t_index, (a.v_um - b.v_um) / 1e6 AS gap FROM flow_field a JOIN flow_field b USING (location, x_index)
+      WHERE a.t_index = b.t_index + 1 AND x_index BETWEEN 0 AND 44 AND a.v_um IS NOT NULL AND b.v_um IS NOT NULL)"""
+
+
+@query(f"""WITH {_FLOW}, {_PAIRED}, scored AS (SELECT location, t_index, sum(0.5e0 * (gap * gap / 9e0 + ln(2 * pi() * 9e0))) AS nll, count(*) AS c FROM paired GROUP BY location, t_index)
+    SELECT location, floor(avg(nll) * 1e4 + 0.5e0) / 1e4 AS mean_nll, count(*) AS n_steps, CAST(sum(c) AS BIGINT) AS n_cells FROM scored GROUP BY location""")
 def step_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean negative log-likelihood of each corridor's speeds under a normal model of the step before: A12 on real states.
 
@@ -549,4 +635,4 @@ def step_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda j: F.when(i == j, 9.0).otherwise(0.0)))
     before = arrays.select("location", (F.col("t_index") + 1).alias("t_index"), F.col("v").alias("mean"), unit.alias("covariance"))
     out = metrics.negative_log_likelihood(arrays.withColumnRenamed("v", "values"), before, ["location"])
-    return out.select("location", F.round("mean_nll", 6).alias("mean_nll"), "n_steps", "n_cells")
+    return out.select("location", (F.floor(F.col("mean_nll") * 1e4 + 0.5) / 1e4).alias("mean_nll"), "n_steps", "n_cells")
