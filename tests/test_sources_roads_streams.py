@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidelane.operators import roads
 from tidelane.operators.roads import albers
-from tidelane.sources.traffic import append_runs, camera_trajectories, read_graphml, read_table, read_vehicle_files
+from tidelane.sources.traffic import append_runs, camera_trajectories, load_dataset, read_graphml, read_table, read_vehicle_files
 from tidelane.streaming.grid import stream_cell_levels, stream_cell_means
 
 GRAPH = """<?xml version='1.0' encoding='utf-8'?>
@@ -137,3 +137,42 @@ def test_camera_load_of_every_site_and_lane(spark, small):
     assert count(got) == count(rows) and {k[0] for k in count(got)} == set(limits) and max(k[1] for k in count(got)) > 3
     known = ["global_ms", "x_meters", "velocity", "lane_id"]
     assert reference.camera_load(spark, small).select(*known).exceptAll(got.where("location = 'us-101'").select(*known)).count() == 0
+
+
+def test_long_chains_and_many_parts_are_labelled(spark):
+    edges = [(f"{k:04d}", f"{k + 1:04d}") for k in range(200) if k % 67] + [("a3", "a1"), ("a2", "a3"), ("a2", "a2")]
+    nodes = sorted({n for e in edges for n in e} | {"alone"})
+    want = {n: n for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            want[a] = want[b] = min(want[a], want[b])
+    got = roads.components(spark.createDataFrame([(n,) for n in nodes], "node_id string"), spark.createDataFrame(edges, "source string, target string"))
+    assert {r.node_id: r.component for r in got.collect()} == want
+
+
+def test_places_along_a_line_and_ranks(spark):
+    line = spark.createDataFrame([("r", [(0.0, 0.0), (30.0, 40.0), (30.0, 100.0)])], "component string, points array<struct<x: double, y: double>>")
+    starts = spark.createDataFrame([("a", "r", 30.0, 70.0), ("b", "r", 0.0, 0.0), ("c", "r", 34.0, 37.0), ("d", "r", 30.0, 500.0), ("e", "none", 1.0, 1.0), ("f", "r", 0.0, 0.0)], "edge_id string, component string, x double, y double")
+    placed = roads.along(starts, line)
+    assert {r.edge_id: r.x_meters and round(r.x_meters, 6) for r in placed.collect()} == {"a": 80.0, "b": 0.0, "c": 50.0, "d": 110.0, "e": None, "f": 0.0}
+    for width in (10.0, 1e6):
+        cells = roads.ranked(placed.where("x_meters is not null"), "x_meters", "component", width=width)
+        assert {r.edge_id: r.cell for r in cells.collect()} == {"b": 0, "f": 1, "c": 2, "a": 3, "d": 4}
+        back = roads.ranked(placed.where("x_meters is not null"), "x_meters", "component", southbound=True, width=width)
+        assert {r.edge_id: r.cell for r in back.collect()} == {"d": 0, "a": 1, "c": 2, "b": 3, "f": 4}
+
+
+def test_cleaned_graph_keeps_whole_edges_and_their_nodes(spark, graph):
+    nodes, edges = roads.categorise(*graph)
+    n, e = roads.clean_graph(nodes.where("node_id <> '1'"), edges)
+    assert {r.edge_id for r in e.collect()} == {"1", "2", "3", "4", "6"} and {r.node_id for r in n.collect()} == {"2", "3", "4", "5", "6", "11", "12"}
+    assert {r.edge_id for r in roads.clean_graph(nodes, edges, extended=True)[1].collect()} == {"0", "1", "2", "3", "4", "5", "6"}
+    ways = roads.directions(*graph, roads.components(*graph))
+    assert roads.main_component(ways).first()[0] == "1" and roads.main_component(ways, north=False).first()[0] == "11"
+
+
+def test_data_sets_by_name(spark, tmp_path, small):
+    path = f"{small}/ngsim_raw.parquet"
+    assert load_dataset(spark, "us-101", path, [1, 2, 3]).count() == camera_trajectories(spark.read.parquet(path), "us-101", [1, 2, 3]).count()
+    with pytest.raises(ValueError):
+        load_dataset(spark, "a86", path)

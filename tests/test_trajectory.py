@@ -1,8 +1,10 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from tidelane.functions.diagrams import ARRAYS, ConvexSpeed
 from tidelane.operators import fields
-from tidelane.operators.trajectory import clip, sample_vehicles, thin_out, unique_trips
+from tidelane.operators.trajectory import clip, prepare_probe_data, sample_vehicles, thin_out, unique_trips, within, without_last_edge
 
 
 def test_trips_over_many_blocks(spark):
@@ -42,3 +44,33 @@ def test_moving_average_repeats_the_ends(spark):
     want = [int(np.floor(padded[k : k + 5].mean() + 0.5)) for k in range(len(values))]
     for block in (3, 1000):
         assert [r.smooth_um for r in fields.moving_average(df, "v", 2, block).orderBy("t_index").collect()] == want
+
+
+def test_strict_window_counts_from_its_first_row_and_refuses_none(spark):
+    df = spark.createDataFrame([(float(t), 10.0 * t) for t in range(6)] + [(None, 1.0)], "time_seconds double, x_meters double")
+    got = within(df, 1.0, 4.0)
+    assert sorted((r.time_seconds, r.x_meters) for r in got.collect()) == [(0.0, 20.0), (1.0, 30.0)]
+    assert [(r.time_seconds, r.x_meters) for r in without_last_edge(got).collect()] == [(0.0, 20.0)]
+    for start, end in ((1.0, 2.0), (50.0, 60.0)):
+        with pytest.raises(ValueError):
+            within(df, start, end)
+    assert without_last_edge(df.limit(0)).count() == 0
+
+
+def test_prepared_data_has_a_whole_grid(spark):
+    rows = [(10 * v + k, f"v{v}", 0, 5.0 * k, 40.0 * k + v, 8.0, "l") for v in range(40) for k in range(1, 20)]
+    df = spark.createDataFrame(rows, "event_id long, vehicle_id string, pass_no long, time_seconds double, x_meters double, velocity double, location string")
+    data = prepare_probe_data(df, 0.0, 1e6, 0.3, 0.5, 5.0, 200.0)
+    assert data.field.count() == data.steps * data.cells == 18 * 4
+    seen = {r.vehicle_id for r in data.observations.where("not is_boundary_information").collect()}
+    assert 0 < len(seen) < 40
+
+
+@pytest.mark.parametrize("q, lines", [(2.0, ((-1.0, 0.2), (0.5, -0.3), (2.0, -1.6))), (0.1, ((-3.0, 1.0), (3.0, -1.0))), (1.0, ((-0.4, 0.0),))])
+def test_least_flow_of_a_convex_speed_law(q, lines):
+    c = ConvexSpeed(q, lines)
+    v = np.linspace(-400, 400, 400_001)
+    flow = c.flow(v, ARRAYS)
+    assert abs(v[flow.argmin()] - c.v_c) < 3e-3
+    with pytest.raises(ValueError):
+        ConvexSpeed(0.0, lines)

@@ -237,6 +237,33 @@ class ModifiedSecondOrder:
         return self.v_max / 20.0 * 1.4976 * (g0 + (g1 - g0) * y - g(y)) / y
 
 
+@dataclass(frozen=True)
+class ConvexSpeed:
+    """Flow of the speed equation, convex in the speed: q / 2 * x^2 + max(a x + b over the lines), x = v / scale."""
+
+    q: float
+    lines: tuple[tuple[float, float], ...]
+    scale: float = 40.0
+
+    def __post_init__(self):
+        if self.q <= 0 or not self.lines:
+            raise ValueError("q must be positive, and there must be a line")
+
+    def flow(self, v, m):
+        x = v / self.scale
+        top = self.lines[0][0] * x + self.lines[0][1]
+        for a, b in self.lines[1:]:
+            top = m.maximum(top, a * x + b)
+        return 0.5 * self.q * x * x + top
+
+    @property
+    def v_c(self) -> float:
+        """The speed of least flow: where one line's own parabola is least, or where two lines cross."""
+        at = [-a / self.q for a, _ in self.lines]
+        at += [(d - b) / (a - c) for a, b in self.lines for c, d in self.lines if a > c]
+        return self.scale * min(at, key=lambda x: (0.5 * self.q * x * x + max(a * x + b for a, b in self.lines), x))
+
+
 # The named parameter sets of the study areas.
 DEFAULTS = {
     "ngsim_greenshields": greenshields(32.9, 0.0611),

@@ -124,19 +124,34 @@ def split_lines(edges: DataFrame, longest: float, line: str = "points") -> DataF
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, component): weakly connected components by the smallest id that reaches each node, round by round."""
+    """(node_id, component): weakly connected components, named by the smallest id in each.
+
+    Each round a label hears of its neighbours' smallest, passes that on to the node it is named after, and then jumps to that
+    node's own label; so long chains shrink by a factor each round, and rounds grow with the logarithm of the longest path.
+    """
     both = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
-    both = cut_lineage(both.union(both.select("b", "a")).distinct())
+    both = cut_lineage(both.union(both.select("b", "a")).where("a <> b").distinct())
     labels = cut_lineage(nodes.select("node_id", F.col("node_id").alias("component")))
     while True:
         heard = both.join(labels, both["a"] == labels["node_id"]).groupBy(F.col("b").alias("node_id")).agg(F.min("component").alias("_m"))
-        new = cut_lineage(labels.join(heard, "node_id", "left").select("node_id", "component", F.least("component", F.coalesce("_m", "component")).alias("_n")))
+        met = labels.join(heard, "node_id", "left").select("node_id", "component", F.least("component", F.coalesce("_m", "component")).alias("_n"))
+        passed = met.groupBy(F.col("component").alias("node_id")).agg(F.min("_n").alias("_p"))
+        lower = met.join(passed, "node_id", "left").select("node_id", "component", F.least("_n", F.coalesce("_p", "_n")).alias("_n"))
+        named = lower.select(F.col("node_id").alias("_at"), F.col("_n").alias("_j"))
+        jumped = lower.join(named, lower["_n"] == named["_at"], "left").select("node_id", "component", F.least("_n", F.coalesce("_j", "_n")).alias("_n"))
+        new = cut_lineage(jumped)
         changed = not new.where("_n <> component").isEmpty()
         labels = new.select("node_id", F.col("_n").alias("component"))
         if not changed:
             return labels
 
 
+def main_component(ways: DataFrame, north: bool = True) -> DataFrame:
+    """Of `directions`, the component that leads furthest north (or south)."""
+    order = F.col("north").desc() if north else F.col("north").asc()
+    return ways.orderBy(order, "component").limit(1).select("component")
+
+
 def directions(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Per component the sum of its edges' (dy, dx): northbound components have a large north."""
     a = nodes.select(F.col("node_id").alias("source"), F.col("x").alias("ax"), F.col("y").alias("ay"))
@@ -151,9 +166,56 @@ def line_graph(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("edge_id").alias("a"), F.col("target").alias("_at")).join(after, "_at").drop("_at")
 
 
-def ranked(cells: DataFrame, order: str) -> DataFrame:
-    """Cells numbered from 0 along the road (a road graph is small; one window orders all of it)."""
-    return cells.withColumn("cell", F.row_number().over(Window.orderBy(order, "edge_id")) - 1)
+def along(starts: DataFrame, lines: DataFrame, by: str = "component") -> DataFrame:
+    """x_meters: where on the line of its component the point nearest to (x, y) lies, from the line's begin.
+
+    lines: one row per component with its vertices in order, points (array of x, y). A line is a road's course, of as many
+    vertices as it has bends, however much drives on it; it is compared as one array. Without a line x_meters is null.
+    """
+    p = F.col("points")
+    legs = F.arrays_zip(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))).alias("a"), F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))).alias("b"))
+    measured = lines.select(by, F.transform(legs, lambda leg: F.struct(leg["a"].alias("a"), leg["b"].alias("b"), F.hypot(leg["b"]["x"] - leg["a"]["x"], leg["b"]["y"] - leg["a"]["y"]).alias("d"))).alias("_legs"))
+    measured = measured.withColumn(
+        "_legs",
+        F.transform("_legs", lambda leg, i: leg.withField("from", F.aggregate(F.slice("_legs", 1, i), F.lit(0.0), lambda total, one: total + one["d"]))),
+    )
+
+    def nearest(leg: Column) -> Column:
+        dx, dy = leg["b"]["x"] - leg["a"]["x"], leg["b"]["y"] - leg["a"]["y"]
+        share = F.try_divide((F.col("x") - leg["a"]["x"]) * dx + (F.col("y") - leg["a"]["y"]) * dy, dx * dx + dy * dy)
+        share = F.least(F.greatest(F.coalesce(share, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+        off = F.hypot(F.col("x") - leg["a"]["x"] - share * dx, F.col("y") - leg["a"]["y"] - share * dy)
+        return F.struct(off.alias("off"), (leg["from"] + share * leg["d"]).alias("at"))
+
+    return starts.join(measured, by, "left").withColumn("x_meters", F.array_min(F.transform("_legs", nearest))["at"]).drop("_legs")
+
+
+def ranked(cells: DataFrame, order: str, by: str, southbound: bool = False, width: float = 10_000.0) -> DataFrame:
+    """Cells numbered from 0 along each road (`by`), by edge_id where they start together; the other way round southbound.
+
+    A road is cut into stretches of `width`; cells are numbered inside theirs, and the stretches' numbers of cells, one row
+    each, are added up along the road.
+    """
+    at = -F.col(order) if southbound else F.col(order)
+    rows = cells.withColumn("_at", at).withColumn("_s", F.floor(F.col("_at") / width))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(by, "_s").orderBy("_at", "edge_id")) - 1)
+    before = Window.partitionBy(by).orderBy(F.col("_s").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(by, "_s").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    counts = counts.select(F.col(by).alias("_by"), F.col("_s").alias("_k"), "_before")
+    met = rows.join(counts, rows[by].eqNullSafe(counts["_by"]) & rows["_s"].eqNullSafe(counts["_k"]))
+    return met.withColumn("cell", (F.col("_n") + F.col("_before")).cast("int")).drop("_at", "_s", "_n", "_by", "_k", "_before")
+
+
+def clean_graph(nodes: DataFrame, edges: DataFrame, extended: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges without roads of category other (and, unless `extended`, extended ramps); edges keep both their ends,
+    nodes at least one of their edges. Both come from categorise."""
+    kept = edges.where("category <> 'other'")
+    if not extended:
+        kept = kept.where("not (coalesce(is_extended_on_ramp, false) or coalesce(is_extended_off_ramp, false))")
+    for end in ("source", "target"):
+        kept = kept.join(nodes.select(F.col("node_id").alias(end)), end, "left_semi")
+    used = kept.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
+    return nodes.join(used, "node_id", "left_semi"), kept.select(*edges.columns)
 
 
 def clean_ends(cells: DataFrame, follows: DataFrame) -> DataFrame:

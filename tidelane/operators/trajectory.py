@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +48,26 @@ def clip(rows: DataFrame, x_limits: tuple[float, float] | None = None, t_limits:
     return rows
 
 
+def within(rows: DataFrame, start: float, end: float) -> DataFrame:
+    """Rows strictly after `start` and before `end` seconds, their times counted from the first that is left.
+
+    Refused if none is left. Rows without time are left out.
+    """
+    inside = rows.where((F.col("time_seconds") > start) & (F.col("time_seconds") < end))
+    first = inside.agg(F.min("time_seconds").alias("_first")).first()[0]
+    if first is None:
+        raise ValueError("no trajectories between these times")
+    return inside.withColumn("time_seconds", F.col("time_seconds") - F.lit(first))
+
+
+def without_last_edge(rows: DataFrame) -> DataFrame:
+    """Rows inside the domain that their own largest time and place span, without those on its edge (and without place or time)."""
+    x, t = rows.agg(F.max("x_meters"), F.max("time_seconds")).first()
+    if x is None or t is None:
+        return rows.limit(0)
+    return clip(rows.where("x_meters is not null and time_seconds is not null"), (0.0, x), (0.0, t))
+
+
 def share(identifier: Column, seed: int) -> Column:
     """A number in [0, 2^32) that depends on the identifier and seed alone."""
     return F.conv(F.substring(F.md5(F.concat(identifier.cast("string"), F.lit(f"#{seed}"))), 1, 8), 16, 10).cast("long")
@@ -110,3 +132,29 @@ def probe_observations(rows: DataFrame, probe_share: float, boundary_share: floa
     )
     edges = boundary_steps(sample_vehicles(steps, boundary_share, seed + 7), cells)
     return probes.unionByName(edges).dropDuplicates(["vehicle_id", "pass_no", "t_index"])
+
+
+@dataclass(frozen=True)
+class ProbeData:
+    """What an experiment starts from: all trajectories, what it may see of them, the grid and the field of all of them."""
+
+    trajectories: DataFrame
+    observations: DataFrame
+    steps: int
+    cells: int
+    field: DataFrame
+
+
+def prepare_probe_data(rows: DataFrame, start: float, end: float, probe_share: float, boundary_share: float, dt: float, dx: float, seed: int = 0) -> ProbeData:
+    """Rows of a data set, strictly between two times, cut to their domain, sampled, and gathered into a field.
+
+    Refused if no row is left. The field has every cell of every step; see cell_means and dense_grid.
+    """
+    from tidelane.operators.fields import cell_means, dense_grid
+
+    kept = without_last_edge(within(rows, start, end))
+    x, t = kept.agg(F.max("x_meters"), F.max("time_seconds")).first()
+    cells, steps = int(x // dx) + 1, int(t // dt) + 1
+    seen = probe_observations(kept, probe_share, boundary_share, dt, dx, cells, seed)
+    field = dense_grid(cell_means(kept, ["velocity"], dt, dx), cells, "mean_velocity_um")
+    return ProbeData(kept, seen, steps, cells, field)

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.functions.diagrams import COLUMNS as M
-from tidelane.functions.diagrams import DEFAULTS, FAMILIES, ModifiedSecondOrder, SecondOrder, diagram
-from tidelane.operators import fields, metrics, stencils
+from tidelane.functions.diagrams import DEFAULTS, FAMILIES, ConvexSpeed, ModifiedSecondOrder, SecondOrder, diagram
+from tidelane.operators import fields, metrics, roads, stencils
 from tidelane.operators import measurements as ms
 from tidelane.operators import trajectory as tr
 from tidelane.session import table
@@ -118,6 +118,41 @@ def probe_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vehicle_id", "pass_no", "t_index", "v_um", "x_index", "is_boundary_information")
 
 
+_WITHIN = f"""
+    inside AS (SELECT *, time_seconds - (SELECT min(time_seconds) FROM readings WHERE time_seconds > 600 AND time_seconds < 7200) AS t FROM readings WHERE time_seconds > 600 AND time_seconds < 7200)"""
+
+
+@query(f"WITH {_READ}, {_WITHIN} SELECT event_id, CAST(floor(t * 1000 + 0.5e0) AS BIGINT) AS ms FROM inside")
+def strict_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings strictly between two times, counted from the first of them; refused if there is none."""
+    return tr.within(readings(spark, sf_dir), 600.0, 7200.0).select("event_id", F.floor(F.col("time_seconds") * 1000 + 0.5).cast("long").alias("ms"))
+
+
+@query(f"""
+    WITH {_READ}, {_WITHIN}, top AS (SELECT max(x_meters) AS x, max(t) AS t FROM inside),
+    kept AS (SELECT i.*, i.t AS seconds FROM inside i, top WHERE i.x_meters > 0 AND i.x_meters < top.x AND i.t >= 0 AND i.t < top.t),
+    steps AS (SELECT *, CAST(floor(x_meters / {DX}e0) AS BIGINT) AS x_index FROM (
+      SELECT vehicle_id, pass_no, CAST(floor(seconds / {DT}e0) AS BIGINT) AS t_index, arg_max(x_meters, {{'t': seconds, 'e': event_id}}) AS x_meters, {_MEAN.format(c="v_um")} AS v_um
+      FROM (SELECT *, {_UM.format(c="velocity")} AS v_um FROM kept WHERE velocity IS NOT NULL AND NOT isnan(velocity)) GROUP BY vehicle_id, pass_no, CAST(floor(seconds / {DT}e0) AS BIGINT))),
+    size AS (SELECT CAST(floor(max(x_meters) / {DX}e0) AS BIGINT) AS last FROM kept)
+    SELECT vehicle_id, pass_no, t_index, v_um, x_index, false AS is_boundary_information FROM steps WHERE {_SHARE.format(seed=0)} < 858993459
+    UNION ALL
+    SELECT vehicle_id || '_boundary', pass_no, t_index, v_um, x_index, true FROM steps, size WHERE x_index IN (0, last) AND {_SHARE.format(seed=7)} < 2147483648
+""")
+def prepared_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an experiment over a part of the time may see: the whole preparation."""
+    data = tr.prepare_probe_data(readings(spark, sf_dir), 600.0, 7200.0, 0.2, 0.5, DT, DX)
+    return data.observations.select("vehicle_id", "pass_no", "t_index", "v_um", "x_index", "is_boundary_information")
+
+
+@query("""SELECT obs_id, CAST(row_number() OVER (PARTITION BY location ORDER BY -x_meters, obs_id) - 1 AS INTEGER) AS cell
+    FROM (SELECT DISTINCT obs_id, location, x_meters FROM discretized_trajectories WHERE x_meters IS NOT NULL AND NOT isnan(x_meters))""")
+def ranked_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations numbered along their road, the other way round."""
+    rows = table(spark, sf_dir, "discretized_trajectories").where("x_meters is not null and not isnan(x_meters)").select(F.col("obs_id").alias("edge_id"), "location", "x_meters").distinct()
+    return roads.ranked(rows, "x_meters", "location", southbound=True, width=200.0).select(F.col("edge_id").alias("obs_id"), "cell")
+
+
 _MEANS = f"""
     per AS (SELECT location, t_index, x_index, vehicle_id, {_MEAN.format(c="v_um")} AS v_um FROM (
         SELECT *, {_CELL}, {_UM.format(c="velocity")} AS v_um FROM readings WHERE velocity IS NOT NULL AND NOT isnan(velocity) AND x_meters IS NOT NULL)
@@ -157,10 +192,9 @@ def weighted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.weighted_fields(readings(spark, sf_dir), DT, DX)
 
 
-# The dense field is kept by minute: as many cells as flow_data has.
-_MINUTE = f"""
+_DENSE = f"""
     per AS (SELECT location, t_index, x_index, vehicle_id, {_MEAN.format(c="v_um")} AS v_um FROM (
-        SELECT *, CAST(floor(time_seconds / 60e0) AS BIGINT) AS t_index, CAST(floor(x_meters / {DX}e0) AS BIGINT) AS x_index, {_UM.format(c="velocity")} AS v_um FROM readings WHERE velocity IS NOT NULL AND NOT isnan(velocity) AND x_meters IS NOT NULL)
+        SELECT *, CAST(floor(time_seconds / {DT}e0) AS BIGINT) AS t_index, CAST(floor(x_meters / {DX}e0) AS BIGINT) AS x_index, {_UM.format(c="velocity")} AS v_um FROM readings WHERE velocity IS NOT NULL AND NOT isnan(velocity) AND x_meters IS NOT NULL)
       GROUP BY location, t_index, x_index, vehicle_id),
     means AS (SELECT location, t_index, x_index, {_MEAN.format(c="v_um")} AS v_um FROM per GROUP BY location, t_index, x_index),
     extent AS (SELECT location, min(t_index) AS a, max(t_index) AS b FROM means GROUP BY location),
@@ -168,20 +202,20 @@ _MINUTE = f"""
     dense AS (SELECT location, t_index, x_index, v_um FROM grid LEFT JOIN means USING (location, t_index, x_index))"""
 
 
-def _minute_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fields.cell_means(readings(spark, sf_dir), ["velocity"], 60.0, DX).select("location", "t_index", "x_index", F.col("mean_velocity_um").alias("v_um"))
+def _step_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fields.cell_means(readings(spark, sf_dir), ["velocity"], DT, DX).select("location", "t_index", "x_index", F.col("mean_velocity_um").alias("v_um"))
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fields.dense_grid(_minute_means(spark, sf_dir), CELLS, "v_um")
+    return fields.dense_grid(_step_means(spark, sf_dir), CELLS, "v_um")
 
 
-@query(f"WITH {_READ}, {_MINUTE} SELECT location, t_index, x_index, CAST(v_um AS DOUBLE) AS v_um FROM dense")
+@query(f"WITH {_READ}, {_DENSE} SELECT location, t_index, x_index, CAST(v_um AS DOUBLE) AS v_um FROM dense")
 def dense_speed_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir).withColumn("v_um", F.col("v_um").cast("double"))
 
 
-@query(f"""WITH {_READ}, {_MINUTE}
+@query(f"""WITH {_READ}, {_DENSE}
     SELECT location, t_index, x_index, coalesce(last_value(v_um IGNORE NULLS) OVER (PARTITION BY location, x_index ORDER BY t_index ROWS UNBOUNDED PRECEDING), 25000000) AS v_um FROM dense
 """)
 def forward_filled_field(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,7 +266,7 @@ def coarse_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.coarsen(_flow_field(spark, sf_dir), "v_um", 4, 2, CELLS).withColumn("v_um", F.col("v_um").cast("double"))
 
 
-@query(f"""WITH {_READ}, {_MINUTE}, filled AS (SELECT location, t_index, x_index, coalesce(last_value(v_um IGNORE NULLS) OVER (PARTITION BY location, x_index ORDER BY t_index ROWS UNBOUNDED PRECEDING), 25000000) AS v FROM dense),
+@query(f"""WITH {_READ}, {_DENSE}, filled AS (SELECT location, t_index, x_index, coalesce(last_value(v_um IGNORE NULLS) OVER (PARTITION BY location, x_index ORDER BY t_index ROWS UNBOUNDED PRECEDING), 25000000) AS v FROM dense),
     n AS (SELECT *, row_number() OVER w - 1 AS a, count(*) OVER (PARTITION BY location, x_index) - row_number() OVER w AS z, first_value(v) OVER p AS f, last_value(v) OVER p AS l,
       sum(v) OVER (PARTITION BY location, x_index ORDER BY t_index ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS s FROM filled
       WINDOW w AS (PARTITION BY location, x_index ORDER BY t_index), p AS (PARTITION BY location, x_index ORDER BY t_index ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
@@ -534,6 +568,18 @@ def convex_speed_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(stencils.convex_godunov_step(rows, STATE, lambda v, m: v * (v - 30.0), 15.0, DT, DX), "v_next")
 
 
+CONVEX = ConvexSpeed(2.0, ((-1.0, 0.2), (0.5, -0.3), (2.0, -1.6)))
+_CONVEX = "(0.5e0 * 2e0 * ({v} / 40e0) * ({v} / 40e0) + greatest(-1e0 * ({v} / 40e0) + 0.2e0, 0.5e0 * ({v} / 40e0) + -0.3e0, 2e0 * ({v} / 40e0) + -1.6e0))"
+
+
+@query(f"""WITH {_FLOW}, f AS (SELECT location, t_index, x_index, speed AS v, {_CONVEX.format(v=f"greatest(speed, {CONVEX.v_c!r}::DOUBLE)")} AS d, {_CONVEX.format(v=f"least(speed, {CONVEX.v_c!r}::DOUBLE)")} AS s FROM flow_field),
+    n AS (SELECT *, {_next('s', 'lead')} AS s_r, {_next('d', 'lag')} AS d_l, {_next('v', 'lag')} AS v_l, {_next('v', 'lead')} AS v_r FROM f WINDOW w AS (PARTITION BY location, t_index ORDER BY x_index))
+    SELECT location, t_index, x_index, CASE WHEN {_known("v")} THEN {_UMD.format(c="(v - 5e0 / 200e0 * (greatest(d, s_r) - greatest(d_l, s)))")} END AS v_next FROM n""")
+def piecewise_speed_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _flow_field(spark, sf_dir).select("location", "t_index", "x_index", F.col("speed").alias("v"))
+    return _whole(stencils.convex_godunov_step(rows, STATE, CONVEX.flow, CONVEX.v_c, DT, DX), "v_next")
+
+
 @query(f"WITH {_ARZ_STATE.format(sides=_EDGE)} {_ARZ_OUT.format(ao='greatest(a, a_r)', ai='greatest(a_l, a)')}")
 def rusanov_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole(stencils.second_order_step(_arz_states(spark, sf_dir), STATE, ARZ, DT, DX), "rho_next", "q_next")

@@ -87,6 +87,16 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def load_dataset(spark: SparkSession, name: str, path: str, lanes: list[int] | None = None, x_limits: tuple[float, float] = (0.0, float("inf"))) -> DataFrame:
+    """Trajectories of a data set by name: a camera site of SITE_LIMITS (one table), or `vehicles` (a folder of one CSV per
+    vehicle). Any other name is refused."""
+    if name in SITE_LIMITS:
+        return camera_trajectories(read_table(spark, path), name, lanes or list(range(1, 9)))
+    if name == "vehicles":
+        return read_vehicle_files(spark, path, *x_limits)
+    raise ValueError(f"no data set {name!r}")
+
+
 def append_runs(runs: DataFrame, path: str) -> None:
     """Add experiment runs (configuration structs and errors) to the runs table."""
     runs.write.mode("append").parquet(path)
