@@ -323,7 +323,8 @@ def _first_passage(item: _Item, text: _Words, shared: list[int], least: int, per
     """(words, edits, place in the text, place in the item) of the first passage around a shared seed, or None.
 
     A passage has an unbroken stretch of SPAN words, and with e edits at least per_edit * e - e (and no fewer than for `least`
-    words) words of the item within `reach` words of it; so other seeds need no closer look, or not with as many edits.
+    words) words of the item within `reach` words of it, those for `least` words from near the place in the item; so other
+    seeds need no closer look, or not with as many edits.
     """
     codes, of_item = item.encode(text), item.codes
     known = list(itertools.accumulate((c >= 0 for c in codes), initial=0))
@@ -338,6 +339,10 @@ def _first_passage(item: _Item, text: _Words, shared: list[int], least: int, per
         for i in item.places[h]:
             if p < tried.get(p - i, 0) or codes[p : p + SPAN] != of_item[i : i + SPAN]:
                 continue
+            window = set(of_item[max(0, i - near - edits) : i + near + edits])
+            if sum(map(window.__contains__, codes[max(0, p - near) : p + near])) < least - few:
+                tried[p - i] = p + SPAN
+                continue
             if got := passage(codes, of_item, p, i, least, per_edit, limit):
                 return *got, p, i
             end = p
