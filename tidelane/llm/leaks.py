@@ -289,85 +289,117 @@ def candidate_segments(documents: DataFrame, table: np.ndarray, halo: int) -> Da
     return documents.mapInArrow(search, SEGMENT_SCHEMA)
 
 
-class _Words:
-    """An item's or a segment's words and the places of its seeds."""
-
-    def __init__(self, bare: bytes, left: bytes):
-        b = np.frombuffer(bare, np.uint32)
-        f = np.frombuffer(left, np.uint32) if left else b
-        self.bare = b.tolist()
-        self.left = f.tolist() if left else self.bare
-        self.places: dict[int, list[int]] = {}
-        at, seed = seeds(b, f, np.array([0, len(b)]))
-        for p, h in zip(at.tolist(), seed.view(np.int64).tolist()):
-            self.places.setdefault(h, []).append(p)
-
-
-class _Item(_Words):
-    """Its words as small numbers, too."""
-
-    def __init__(self, bare: bytes, left: bytes):
-        super().__init__(bare, left)
-        self.by_bare, self.by_left = _codes(self.bare, self.left)
-        self.codes = [self.by_bare[b] for b in self.bare]
-
-    def encode(self, text: _Words) -> list[int]:
-        """The numbers of a text's words, -1 for words of others."""
-        by_bare, by_left = self.by_bare, self.by_left
-        if text.left is text.bare and self.left is self.bare:
-            return [by_bare.get(b, -1) for b in text.bare]
-        return [c if (c := by_bare.get(b)) is not None else by_left.get(f, -1) for b, f in zip(text.bare, text.left)]
-
-
-def _first_passage(item: _Item, text: _Words, shared: list[int], least: int, per_edit: int, edits: int, reach: int):
-    """(words, edits, place in the text, place in the item) of the first passage around a shared seed, or None.
-
-    A passage has an unbroken stretch of SPAN words, and with e edits at least per_edit * e - e (and no fewer than for `least`
-    words) words of the item within `reach` words of it, those for `least` words from near the place in the item; so other
-    seeds need no closer look, or not with as many edits.
+#: Places of one seed in a text times those in an item from which a pair is looked at by itself.
+MANY_PLACES = 10_000
+_NO_TEXT, _NO_ITEM = 1 << 40, 1 << 41
+
+
+class _Laid:
+    """Words of many texts on one axis, parted by words that equal none, and the places of their seeds by hash."""
+
+    def __init__(self, words: list[tuple[bytes, bytes]], gap: int, no_word: int):
+        bare = [np.frombuffer(b, np.uint32) for b, _ in words]
+        left = [np.frombuffer(f, np.uint32) if f else b for b, (_, f) in zip(bare, words)]
+        size = np.array([len(b) for b in bare], np.int64)
+        self.begin = gap + np.r_[0, np.cumsum(size + gap)]
+        self.bare = np.full(int(self.begin[-1]), no_word, np.int64)
+        self.left = self.bare.copy()
+        at = np.repeat(self.begin[:-1] - np.r_[0, np.cumsum(size)][:-1], size) + np.arange(size.sum())
+        flat, flat_left = (np.concatenate(x) if len(x) else np.zeros(0, np.uint32) for x in (bare, left))
+        self.bare[at], self.left[at] = flat, flat_left
+        place, seed = seeds(flat, flat_left, np.r_[0, np.cumsum(size)])
+        owner = np.repeat(np.arange(len(size)), size)[place]
+        order = np.lexsort((place, seed, owner))
+        self.owner, self.seed, self.place = owner[order], seed[order], at[place[order]]
+
+    def words(self, k: int) -> tuple[list[int], list[int]]:
+        part = slice(int(self.begin[k]), int(self.begin[k + 1]) - (int(self.begin[0])))
+        return self.bare[part].tolist(), self.left[part].tolist()
+
+    def ranges(self, owner: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last place (exclusive) of each seed in each owner."""
+        known = np.unique(np.concatenate([self.seed, seed]))
+        key = self.owner * len(known) + np.searchsorted(known, self.seed)
+        asked = owner * len(known) + np.searchsorted(known, seed)
+        return np.searchsorted(key, asked, "left"), np.searchsorted(key, asked, "right")
+
+
+def _promising(texts: _Laid, items: _Laid, text: np.ndarray, item: np.ndarray, shared: list[list[int]], least: int, per_edit: int, edits: int):
+    """(pair, place in the text, place in the item) of the stretches of SPAN words in a row from which a passage may be reached.
+
+    A passage has such a stretch, and around its begin, within `least` + `edits` words to either side, at least `least` words
+    less their edits that equal words of the item no more than `edits` places from where they would stand without edits.
     """
-    codes, of_item = item.encode(text), item.codes
-    known = list(itertools.accumulate((c >= 0 for c in codes), initial=0))
-    near, few = least + edits, least // per_edit
-    tried: dict[int, int] = {}  # diagonal: end of the unbroken stretch whose seeds have been tried
-    for p, h in sorted((p, h) for h in shared for p in text.places.get(h, ())):
-        if known[min(p + near, len(codes))] - known[max(0, p - near)] < least - few:
-            continue
-        around, limit = known[min(p + reach, len(codes))] - known[max(0, p - reach)], few
-        while limit < edits and around >= (per_edit - 1) * (limit + 1):
-            limit += 1
-        for i in item.places[h]:
-            if p < tried.get(p - i, 0) or codes[p : p + SPAN] != of_item[i : i + SPAN]:
-                continue
-            window = set(of_item[max(0, i - near - edits) : i + near + edits])
-            if sum(map(window.__contains__, codes[max(0, p - near) : p + near])) < least - few:
-                tried[p - i] = p + SPAN
-                continue
-            if got := passage(codes, of_item, p, i, least, per_edit, limit):
-                return *got, p, i
-            end = p
-            while end < len(codes) and i + end - p < len(of_item) and codes[end] == of_item[i + end - p]:
-                end += 1
-            tried[p - i] = end
+    pair = np.repeat(np.arange(len(shared)), [len(x) for x in shared])
+    seed = np.array([h for x in shared for h in x], np.int64).view(np.uint64)
+    low, high = texts.ranges(text[pair], seed)
+    item_low, item_high = items.ranges(item[pair], seed)
+    times = (high - low) * (item_high - item_low)
+    hit = np.repeat(np.arange(len(pair)), np.where(times > MANY_PLACES, 0, times))
+    nth = np.arange(len(hit)) - np.repeat(np.cumsum(np.where(times > MANY_PLACES, 0, times)) - np.where(times > MANY_PLACES, 0, times), np.where(times > MANY_PLACES, 0, times))
+    width = (item_high - item_low)[hit]
+    p, i = texts.place[low[hit] + nth // np.maximum(width, 1)], items.place[item_low[hit] + nth % np.maximum(width, 1)]
+    of = pair[hit]
+
+    def same(at: np.ndarray, ati: np.ndarray) -> np.ndarray:
+        return (texts.bare[at] == items.bare[ati]) | (texts.left[at] == items.left[ati])
+
+    begins = ~same(p - 1, i - 1)
+    for k in range(SPAN):
+        begins &= same(p + k, i + k)
+    rows = np.flatnonzero(begins)
+    found = np.unique(np.stack([of[rows], p[rows], i[rows]]), axis=1)
+    of, p, i = found
+    around = np.arange(-(least + edits), least + edits + 1)
+    count = np.zeros(len(p), np.int64)
+    for a in range(0, len(p), 4096):
+        b = slice(a, a + 4096)
+        near = np.zeros((len(p[b]), len(around)), bool)
+        for d in range(-edits, edits + 1):
+            near |= same(p[b][:, None] + around, i[b][:, None] + around + d)
+        count[b] = near.sum(1)
+    keep = count >= least - least // per_edit
+    return of[keep], p[keep], i[keep], np.unique(pair[times > MANY_PLACES])
+
+
+def _first_passage(text: tuple[list[int], list[int]], item: tuple[list[int], list[int]], starts: list[tuple[int, int]] | None, least: int, per_edit: int, edits: int):
+    """(words, edits, place in the text, place in the item) of the first passage through one of the places, or None.
+
+    Without places, through any two equal words that begin a stretch of SPAN.
+    """
+    by_bare, by_left = _codes(*item)
+    of_item = [by_bare[b] for b in item[0]]
+    codes = [c if (c := by_bare.get(b)) is not None else by_left.get(f, -1) for b, f in zip(*text)]
+    if starts is None:
+        at: dict[int, list[int]] = {}
+        for i, c in enumerate(of_item):
+            at.setdefault(c, []).append(i)
+        starts = ((p, i) for p, c in enumerate(codes) for i in at.get(c, ()) if not (p and i and codes[p - 1] == of_item[i - 1]) and codes[p : p + SPAN] == of_item[i : i + SPAN])
+    for p, i in starts:
+        if got := passage(codes, of_item, p, i, least, per_edit, edits):
+            return *got, p, i
     return None
 
 
-def verified(pairs: DataFrame, least: int, per_edit: int, edits: int, reach: int) -> DataFrame:
+def verified(pairs: DataFrame, least: int, per_edit: int, edits: int) -> DataFrame:
     """The pairs of a segment and an item (both with their words, and the seeds they share) that do hold a passage."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: dict[int, _Item] = {}
+        gap = least + 2 * edits + SPAN
         for batch in batches:
-            rows, key = [], None
-            for doc_id, segment, first, bare, left, shared, item, test_id, item_bare, item_left in zip(*(c.to_pylist() for c in batch.columns)):
-                if item not in items:
-                    if len(items) > 10_000:
-                        items.clear()
-                    items[item] = _Item(item_bare, item_left)
-                if key != (doc_id, segment, bare):
-                    key, text = (doc_id, segment, bare), _Words(bare, left)
-                if got := _first_passage(items[item], text, shared, least, per_edit, edits, reach):
-                    rows.append((doc_id, test_id, got[0], got[1], first + got[2], got[3]))
+            doc_id, segment, first, bare, left, shared, item, test_id, item_bare, item_left = (c.to_pylist() for c in batch.columns)
+            texts, items = {}, {}  # (words, their number)
+            of_text = np.array([texts.setdefault((d, s, b), (len(texts), (b, f)))[0] for d, s, b, f in zip(doc_id, segment, bare, left)], np.int64)
+            of_item = np.array([items.setdefault(k, (len(items), (b, f)))[0] for k, b, f in zip(item, item_bare, item_left)], np.int64)
+            laid, laid_items = _Laid([w for _, w in texts.values()], gap, _NO_TEXT), _Laid([w for _, w in items.values()], gap, _NO_ITEM)
+            pair, p, i, many = _promising(laid, laid_items, of_text, of_item, shared, least, per_edit, edits)
+            starts: dict[int, list[tuple[int, int]] | None] = {}
+            for k, x, y in zip(pair.tolist(), (p - laid.begin[of_text[pair]]).tolist(), (i - laid_items.begin[of_item[pair]]).tolist()):
+                starts.setdefault(k, []).append((x, y))
+            rows = []
+            for k, places in (starts | dict.fromkeys(many.tolist())).items():
+                if got := _first_passage(laid.words(of_text[k]), laid_items.words(of_item[k]), places, least, per_edit, edits):
+                    rows.append((doc_id[k], test_id[k], got[0], got[1], first[k] + got[2], got[3]))
             yield _batch(rows, FOUND_SCHEMA)
 
     columns = ("doc_id", "segment", "first", "bare", "left", "shared", "item", "test_id", "item_bare", "item_left")
@@ -405,4 +437,4 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 12, per
     met = segments.select("doc_id", "segment", salt, F.explode("seed").alias("seed")).join(places.select("*", salts), ["seed", "salt"])
     pairs = met.groupBy("doc_id", "segment", "salt", "item").agg(F.collect_set("seed").alias("shared")).where(F.size("shared") >= len(MASKS))
     full = known.select("item", "test_id", F.col("bare").alias("item_bare"), F.col("left").alias("item_left"), salts)
-    return verified(pairs.join(full, ["item", "salt"]).join(segments.drop("seed").hint("merge"), ["doc_id", "segment"]), least, per_edit, edits, span + edits)
+    return verified(pairs.join(full, ["item", "salt"]).join(segments.drop("seed").hint("merge"), ["doc_id", "segment"]), least, per_edit, edits)
