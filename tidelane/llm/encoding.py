@@ -181,16 +181,19 @@ def _decoded(piece: str, page: str) -> str | None:
         return None
 
 
-def _structural(text: str) -> list[tuple[int, int]]:
-    """Where the text is UTF-8, seen as some page, by its structure."""
+def _structural(text: str) -> list[tuple[int, int, str]]:
+    """Where the text is UTF-8, seen as some page, by its structure, and what it then is."""
     if not ANY_SEQUENCE.search(text):
         return []
-    return [m.span() for name in SEEN_AS for m in SEQUENCE[name].finditer(text) if _decoded(m.group(), name)]
+    chars = set(text)
+    pages = [name for name in SEEN_AS if not (chars.isdisjoint(LEAD[name]) or chars.isdisjoint(FOLLOW[name]))]
+    return [(*m.span(), new) for name in pages for m in SEQUENCE[name].finditer(text) if (new := _decoded(m.group(), name))]
 
 
 SENTENCE_END = re.compile(r"[.!?:]\s+|\n+|。")
 #: A control character U+0080-9F beside a letter is a byte that no mapping explains.
 LOST = re.compile(f"[^{REPLACEMENT}]?{REPLACEMENT}+.?", re.DOTALL)
+_C1 = re.compile(r"[\x80-\x84\x86-\x9f]")
 CONTROL = re.compile(r"[^\W\d_][\x80-\x84\x86-\x9f]|[\x80-\x84\x86-\x9f][^\W\d_]")
 
 
@@ -225,10 +228,10 @@ class Repairer:
         rare = np.bincount(text, n - own[text] <= self.model.rare, minlength=len(texts))
         return [
             k for k, t in enumerate(texts)
-            if not t.isascii() and (rare[k] >= 2 or REPLACEMENT in t or _structural(t) or CONTROL.search(t))
+            if not t.isascii() and (rare[k] >= 2 or REPLACEMENT in t or _structural(t) or (_C1.search(t) and CONTROL.search(t)))
         ]
 
-    def runs(self, text: str, scores: dict[int, float], whole: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    def runs(self, text: str, scores: dict[int, float], whole: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
         """Character ranges of improbable runs, widened to whole stretches beyond ASCII, merged where they touch.
 
         scores: those of the document's own pairs without its copies. Pairs inside `whole`, what is UTF-8 by its structure,
@@ -244,8 +247,8 @@ class Repairer:
         pairs = (s[: len(near)] * SYMBOLS + s[len(near) :]).tolist()
         score, common = [scores.get(p) for p in pairs], self.model.score.reshape(-1)
         score = np.array([common.item(p) if x is None else x for p, x in zip(pairs, score)])
-        spans = [m.span() for m in CONTROL.finditer(text)] + [m.span() for m in LOST.finditer(text)]
-        spans += whole
+        spans = [m.span() for m in LOST.finditer(text)] + ([m.span() for m in CONTROL.finditer(text)] if _C1.search(text) else [])
+        spans += [(a, b) for a, b, _ in whole]
         for a, b in spans:
             score[np.searchsorted(near, a) : np.searchsorted(near, max(b - 1, a + 1))] = 1.0
         out: list[tuple[int, int]] = []
@@ -281,18 +284,21 @@ class Repairer:
         a, b = before[-1:], after[:1]
         return self.model.likelihood(a + new + b, own) + bonus > self.model.likelihood(a + old + b, own)
 
+    def _fits(self, text: str, a: int, b: int, new: str, own: dict[int, float]) -> bool:
+        """Does `new`, decoded from UTF-8, fit better between a and b than what stands there?"""
+        common = all(ord(c) < 0x180 or 0x2010 <= ord(c) < 0x20C0 or c == "\u2122" for c in new)
+        return self._better(text[max(0, a - 12) : a], text[a:b], new, text[b : b + 12], own, 7.0 if common else 4.0)
+
     def _utf8(self, text: str, run: str, start: int, own: dict[int, float]) -> tuple[str, str] | None:
         """Byte sequences of UTF-8 inside the run, seen as single-byte characters."""
         best = None
-        for name in SEEN_AS if ANY_SEQUENCE.search(run) else ():
+        for name in SEEN_AS:
             changed, out, at = 0, [], 0
             for m in SEQUENCE[name].finditer(run):
                 piece, new = m.group(), _decoded(m.group(), name)
                 if new is None:
                     continue
-                before, after = text[max(0, start + m.start() - 12) : start + m.start()], text[start + m.end() : start + m.end() + 12]
-                common = all(ord(c) < 0x180 or 0x2010 <= ord(c) < 0x20C0 or c == "\u2122" for c in new)
-                if self._better(before, piece, new, after, own, 7.0 if common else 4.0):
+                if self._fits(text, start + m.start(), start + m.end(), new, own):
                     out.append(run[at : m.start()] + new)
                     at = m.end()
                     changed += len(piece)
@@ -330,8 +336,8 @@ class Repairer:
         logs = self.model.pair_logs(text, own)
         few = np.log2((self.model.rare + 0.5) / self.model.total) + 1e-5
         sums, rare = np.r_[0.0, np.cumsum(logs)], np.r_[0, np.cumsum((logs <= few) & (beyond[:-1] | beyond[1:]))]
-        whole, lost = _structural(text), REPLACEMENT in text or CONTROL.search(text)
-        if not whole and not lost and rare[-1] < 2:
+        whole, lost = _structural(text), REPLACEMENT in text or (_C1.search(text) and CONTROL.search(text))
+        if not lost and rare[-1] < 2 and not any(self._fits(text, a, b, new, own) for a, b, new in whole):
             return text, 0, 0, set(), False
         runs = self.runs(text, scores, whole)
         lost = bool(lost) and any(REPLACEMENT in text[a:b] or CONTROL.search(text, max(a - 1, 0), b + 1) for a, b in runs)
@@ -344,7 +350,7 @@ class Repairer:
                 j += 1
             end = runs[j][1]
             stretch = self._other(text, a, end, own, sums, rare)
-            pieces = [(x, y, self._utf8(text, text[x:y], x, own)) for x, y in runs[k : j + 1]]
+            pieces = [(x, y, self._utf8(text, text[x:y], x, own) if any(a < y and x < b for a, b, _ in whole) else None) for x, y in runs[k : j + 1]]
             if stretch and any(p[2] for p in pieces):  # both fit: the likelier one
                 utf8, last = [], a
                 for x, y, got in pieces:
