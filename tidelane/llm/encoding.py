@@ -214,18 +214,19 @@ class Repairer:
     def suspects(self, texts: list[str], copies: list[int]) -> list[int]:
         """The texts that may hold a case, without looking closer: no other one has a run that any mapping fits.
 
-        A mapping needs a sequence of bytes that may be UTF-8, or two rare pairs beyond ASCII (counted here as if every
-        such pair of the text were the same one); what is lost shows by U+FFFD or a control character.
+        A mapping needs a sequence of bytes that may be UTF-8, or two pairs beyond ASCII that are rare without the text and
+        its copies; what is lost shows by U+FFFD or a control character.
         """
         codes = _codes("\x00".join(texts) + "\x00")
         beyond = codes > 127
         at = np.flatnonzero(beyond[:-1] | beyond[1:])
         s = symbols(codes[np.r_[at, at + 1]]) if len(at) else np.zeros(0, np.int64)
-        n = self.model.n[s[: len(at)] * SYMBOLS + s[len(at) :]]
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        text = np.searchsorted(ends, at, "right")
-        own = np.bincount(text, minlength=len(texts)) * np.asarray(copies)
-        rare = np.bincount(text, n - own[text] <= self.model.rare, minlength=len(texts))
+        pair = s[: len(at)] * SYMBOLS + s[len(at) :]
+        text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), at, "right")
+        met, own = np.unique(text * (SYMBOLS * SYMBOLS) + pair, return_counts=True)
+        text, n = met // (SYMBOLS * SYMBOLS), self.model.n[met % (SYMBOLS * SYMBOLS)]
+        few = n - np.asarray(copies)[text] * own <= self.model.rare
+        rare = np.bincount(text, np.where(few, own, 0), minlength=len(texts))
         return [
             k for k, t in enumerate(texts)
             if not t.isascii() and (rare[k] >= 2 or REPLACEMENT in t or _structural(t) or (_C1.search(t) and CONTROL.search(t)))
