@@ -59,24 +59,27 @@ _STEPS = f"""
 _SHARE = "('0x' || substr(md5(vehicle_id || '#{seed}'), 1, 8))::BIGINT"
 
 
-@query("""
+def _camera_sql(location: str, lanes: str, low: float, high: float, shown: str) -> str:
+    return f"""
     WITH base AS (SELECT DISTINCT * FROM ngsim_raw),
     site AS (SELECT CAST(vehicle_id AS VARCHAR) AS vehicle_id, global_time AS global_ms, local_y / 3.28084e0 AS x_meters, local_x AS y_meters, v_vel / 3.28084e0 AS velocity,
         space_headway / 3.28084e0 AS space_headway, time_headway, CAST(lane_id AS INTEGER) AS lane_id
-      FROM base WHERE regexp_replace(lower(trim(location)), '[ _]+', '-', 'g') = 'us-101' AND lane_id IN (1, 2, 3)),
+      FROM base WHERE regexp_replace(lower(trim(location)), '[ _]+', '-', 'g') = '{location}' AND lane_id IN ({lanes})),
     timed AS (SELECT *, (global_ms - (SELECT min(global_ms) FROM site)) / 1000e0 AS time_seconds FROM site),
     back AS (SELECT *, CASE WHEN x_meters - lag(x_meters) OVER w < -100e0 THEN 1 ELSE 0 END AS b FROM timed WINDOW w AS (PARTITION BY vehicle_id ORDER BY global_ms, x_meters)),
     trips AS (SELECT *, vehicle_id || '_' || CAST(sum(b) OVER (PARTITION BY vehicle_id ORDER BY global_ms, x_meters ROWS UNBOUNDED PRECEDING) AS VARCHAR) AS trip FROM back)
-    SELECT trip AS vehicle_id, global_ms, x_meters - 20e0 AS x_meters, y_meters, velocity, space_headway, time_headway, lane_id, time_seconds FROM trips
-    WHERE x_meters > 20e0 AND x_meters < 620e0
-""")
+    SELECT {shown} trip AS vehicle_id, global_ms, x_meters - {low}e0 AS x_meters, y_meters, velocity, space_headway, time_headway, lane_id, time_seconds FROM trips
+    WHERE x_meters > {low}e0 AND x_meters < {high}e0"""
+
+
+@query(_camera_sql("us-101", "1, 2, 3", 20, 620, ""))
 def camera_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return camera_trajectories(table(spark, sf_dir, "ngsim_raw"), "us-101", [1, 2, 3]).select(
         "vehicle_id", "global_ms", "x_meters", "y_meters", "velocity", "space_headway", "time_headway", "lane_id", "time_seconds"
     )
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT * FROM ({_camera_sql(name, '1, 2, 3, 4, 5, 6, 7, 8', int(low), int(high), f"'{name}' AS location,")})" for name, (low, high) in SITE_LIMITS.items()))
 def camera_load_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The load of every site with study limits, lanes 1 to 8 (camera_load: one site and three lanes, as its SQL has it).
 
