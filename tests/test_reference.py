@@ -230,3 +230,13 @@ def test_step_likelihood_scores_every_pair_of_steps_with_a_common_cell(spark, sm
     pairs = field.alias("a").join(field.alias("b"), F.expr("a.location = b.location and a.x_index = b.x_index and a.t_index = b.t_index + 1"))
     want = {r.location: (r.s, r.c) for r in pairs.groupBy("a.location").agg(F.count_distinct("a.t_index").alias("s"), F.count("*").alias("c")).collect()}
     assert {r.location: (r.n_steps, r.n_cells) for r in reference.step_likelihood(spark, small).collect()} == want
+
+
+def test_upsampling_is_linear_between_centres(spark):
+    plane = lambda t, x: 2.0 * t + 5.0 * x
+    coarse = spark.createDataFrame([("l", t, x, plane(4 * t + 1.5, 2 * x + 0.5)) for t in range(3, 8) for x in range(4)], "location string, t_index bigint, x_index bigint, v double")
+    got = {(r.t_index, r.x_index): r.v for r in fields.upsample(coarse, "v", 4, 2).collect()}
+    assert set(got) == {(t, x) for t in range(12, 32) for x in range(8)}
+    assert all(abs(v - plane(min(max(t, 13.5), 29.5), min(max(x, 0.5), 6.5))) < 1e-9 for (t, x), v in got.items())
+    holed = {(r.t_index, r.x_index): r.v for r in fields.upsample(coarse.withColumn("v", F.when(F.col("t_index") != 5, F.col("v"))), "v", 4, 2).collect()}
+    assert set(holed) == set(got) and holed[12, 0] == got[12, 0] and holed[21, 0] is not None

@@ -143,7 +143,8 @@ def coarsen(field: DataFrame, value: str, by_t: int, by_x: int, cells: int) -> D
 class Smoothing:
     """Kernel lengths in seconds and metres, the waves' speeds, and where and how sharply one passes into the other.
 
-    reach_t, reach_x: steps and cells to either side that the kernel covers; its weights are not below `least`.
+    reach_t, reach_x: steps and cells to either side that the kernel covers; its weights are not below `least`. gaussian: weights
+    fall with the squares of the distances, as a normal density does, instead of exponentially.
     """
 
     tau: float = 60.0
@@ -155,12 +156,15 @@ class Smoothing:
     reach_t: int = 100
     reach_x: int = 100
     least: float = 1e-8
+    gaussian: bool = False
 
     def kernel(self, dt: float, dx: float, cells: int, wave: float) -> np.ndarray:
         """Weights by steps -reach_t .. reach_t (rows) and cells -(cells - 1) .. cells - 1 (columns) from the point."""
         t = np.arange(-self.reach_t, self.reach_t + 1)[:, None] * dt
         steps = np.arange(-(cells - 1), cells)[None, :]
-        weight = np.maximum(np.exp(-np.abs(t - steps * dx / wave) / self.tau - np.abs(steps * dx) / self.delta), self.least)
+        along, across = (t - steps * dx / wave) / self.tau, steps * dx / self.delta
+        away = 0.5 * (along * along + across * across) if self.gaussian else np.abs(along) + np.abs(across)
+        weight = np.maximum(np.exp(-away), self.least)
         return np.where(np.abs(steps) <= self.reach_x, weight, 0.0)
 
 
@@ -220,6 +224,24 @@ def adaptive_smoothing(field: DataFrame, dt: float, dx: float, value: str, cells
     return map_sorted_groups(blocks, ["location", "_b"], ["t_index"], smooth, "location string, t_index bigint, x_index bigint, speed double", rows_per_call=1000)
 
 
+def upsample(coarse: DataFrame, value: str, by_t: int, by_x: int) -> DataFrame:
+    """The cells of every coarse cell (by_t steps by by_x cells each), interpolated linearly between the coarse cells' centres.
+
+    Each coarse value reaches up to the centres of the coarse cells around it, with a weight that falls linearly; missing ones
+    don't count, so beyond the outermost centres values stay level. Null where none is known around.
+    """
+
+    def reached(index: str, by: int) -> Column:
+        return F.sequence(F.ceil((F.col(index) - 0.5) * by - 0.5 + 1e-9), F.ceil((F.col(index) + 1.5) * by - 0.5 - 1e-9) - 1)
+
+    rows = coarse.select(*CELL, F.col(value).alias("_v")).withColumn("_t", F.explode(reached("t_index", by_t))).withColumn("_x", F.explode(reached("x_index", by_x)))
+    away_t, away_x = (F.abs((F.col(fine) + 0.5) / by - 0.5 - F.col(index)) for fine, by, index in (("_t", by_t, "t_index"), ("_x", by_x, "x_index")))
+    weight = F.when(F.col("_v").isNotNull(), (1 - away_t) * (1 - away_x))
+    own = (F.floor(F.col("_t") / by_t) == F.col("t_index")) & (F.floor(F.col("_x") / by_x) == F.col("x_index"))
+    sums = rows.withColumn("_w", weight).groupBy("location", "_t", "_x").agg(F.sum(F.col("_w") * F.col("_v")).alias("_s"), F.sum("_w").alias("_n"), F.max(own).alias("_own"))
+    return sums.where("_own").select("location", F.col("_t").alias("t_index"), F.col("_x").alias("x_index"), F.try_divide("_s", "_n").alias(value))
+
+
 def moving_average(field: DataFrame, value: str, around: int, block: int = 2000) -> DataFrame:
     """Mean over `around` steps before and after in each cell; beyond a cell's ends its end value counts again."""
     blocks = time_blocks(field.select(*CELL, value), F.col("t_index"), block, around, "_b", "_own")

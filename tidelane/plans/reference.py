@@ -303,6 +303,29 @@ def isotropic_smoothed_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _smoothed(spark, sf_dir, 1e6, 1e6)
 
 
+_GAUSS = "greatest(exp(-0.5e0 * (((a - b / {w}) / 120e0) * ((a - b / {w}) / 120e0) + (b / 400e0) * (b / 400e0))), 1e-8)"
+_AWAY = "abs((t + 0.5e0) / 4 - 0.5e0 - t_index)", "abs((x + 0.5e0) / 2 - 0.5e0 - x_index)"
+
+
+@query(f"""WITH {_FLOW},
+    coarse AS (SELECT location, CAST(floor(t_index / 4.0) AS BIGINT) AS t_index, CAST(floor(x_index / 2.0) AS BIGINT) AS x_index, {_MEAN.format(c="v_um")} AS v_um FROM flow_field WHERE x_index < 44 GROUP BY ALL),
+    met AS (SELECT g.location, g.t_index, g.x_index, o.v_um / 1e6 AS v, (g.t_index - o.t_index) * 240e0 AS a, (g.x_index - o.x_index) * 400e0 AS b
+      FROM coarse g JOIN coarse o ON g.location = o.location AND abs(g.t_index - o.t_index) <= 3 AND abs(g.x_index - o.x_index) <= 3 AND o.v_um IS NOT NULL),
+    sums AS (SELECT location, t_index, x_index, sum(wc * v) / sum(wc) AS vc, sum(wf * v) / sum(wf) AS vf
+      FROM (SELECT *, {_GAUSS.format(w=f'({-15 / 3.6!r}::DOUBLE)')} AS wc, {_GAUSS.format(w=f'({70 / 3.6!r}::DOUBLE)')} AS wf FROM met) GROUP BY location, t_index, x_index),
+    smooth AS (SELECT location, t_index, x_index, 0.5e0 * (1 + tanh(({_BLEND['t']} - least(vc, vf)) / {_BLEND['w']})) * vc + (1 - 0.5e0 * (1 + tanh(({_BLEND['t']} - least(vc, vf)) / {_BLEND['w']}))) * vf AS v FROM sums),
+    placed AS (SELECT location, t_index, x_index, v FROM coarse LEFT JOIN smooth USING (location, t_index, x_index)),
+    spread AS (SELECT *, unnest(range(t_index * 4 - 4, t_index * 4 + 8)) AS t FROM placed), wide AS (SELECT *, unnest(range(x_index * 2 - 2, x_index * 2 + 4)) AS x FROM spread),
+    weighted AS (SELECT *, CASE WHEN v IS NOT NULL THEN (1 - {_AWAY[0]}) * (1 - {_AWAY[1]}) END AS w, floor(t / 4.0) = t_index AND floor(x / 2.0) = x_index AS own FROM wide WHERE {_AWAY[0]} < 1 AND {_AWAY[1]} < 1)
+    SELECT location, t AS t_index, x AS x_index, floor(sum(w * v) / sum(w) * 1e3 + 0.5e0) AS speed_milli FROM weighted GROUP BY location, t, x HAVING bool_or(own)""")
+def upsampled_smooth_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothed with a normal kernel on a coarse grid, and interpolated back onto the fine one."""
+    coarse = fields.coarsen(_flow_field(spark, sf_dir), "v_um", 4, 2, CELLS)
+    rules = fields.Smoothing(tau=120.0, delta=400.0, reach_t=3, reach_x=3, gaussian=True)
+    fine = fields.upsample(fields.adaptive_smoothing(coarse, 4 * 60.0, 2 * DX, "v_um", CELLS // 2, rules), "speed", 4, 2)
+    return fine.select("location", "t_index", "x_index", F.floor(F.col("speed") * 1e3 + 0.5).cast("double").alias("speed_milli"))
+
+
 @query(f"WITH {_FLOW} SELECT location, count(v_um) AS n, CAST(floor(var_pop(v_um / 1e6) * 1e3 + 0.5e0) AS BIGINT) AS variance_milli, CAST(floor(avg(v_um / 1e6) * 1e3 + 0.5e0) AS BIGINT) AS mean_milli FROM flow_field GROUP BY location")
 def field_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("v_um") / 1e6
