@@ -429,7 +429,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 12, per
         raise ValueError("a passage needn't hold a seed under this rule")
     span, edits = longest_needed(least, per_edit)
     texts = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("length(text) > 0"), "doc_id")
-    known = item_seeds(items, least)
+    known = cut_lineage(item_seeds(items, least))
     places = known.select("item", F.explode("seed").alias("seed"))
     segments = cut_lineage(candidate_segments(texts, seed_filter(places), span + edits + SPAN))
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
