@@ -48,12 +48,17 @@ def headway_fields(rows: DataFrame, dt: float, dx: float) -> DataFrame:
 def weighted_fields(rows: DataFrame, dt: float, dx: float) -> DataFrame:
     """Mean speed over readings weighted by 1/n of their vehicle, arrivals into the cell, readings, share of the step.
 
-    An arrival is a reading whose cell lies beyond that of the vehicle's reading before (-1 before the first).
+    An arrival is a reading whose cell lies beyond that of the vehicle's reading before (-1 before the first). Passes are cut
+    into blocks of an hour, of which the last cell is carried on. Rows without vehicle, pass, time or place are left out.
     """
     good = rows.where("vehicle_id is not null and x_meters is not null and velocity is not null and not isnan(velocity)")
     keyed = with_cells(good, dt, dx).withColumn("v_um", micro("velocity"))
-    by = Window.partitionBy("vehicle_id", "pass_no").orderBy("time_seconds", "event_id")
-    keyed = keyed.withColumn("arrival", (F.col("x_index") > F.coalesce(F.lag("x_index").over(by), F.lit(-1))).cast("long"))
+    of_pass, by_block = ["vehicle_id", "pass_no"], ["vehicle_id", "pass_no", "_b"]
+    keyed = keyed.withColumn("_b", F.floor(F.col("time_seconds") / 3600))
+    ends = keyed.groupBy(*by_block).agg(F.max_by("x_index", F.struct("time_seconds", "event_id")).alias("_last"))
+    ends = ends.select(*by_block, F.lag("_last").over(Window.partitionBy(*of_pass).orderBy("_b")).alias("_before"))
+    before = F.coalesce(F.lag("x_index").over(Window.partitionBy(*by_block).orderBy("time_seconds", "event_id")), "_before", F.lit(-1))
+    keyed = keyed.join(ends, by_block).withColumn("arrival", (F.col("x_index") > before).cast("long"))
     per = keyed.groupBy(*CELL, "vehicle_id", "pass_no").agg(mean_micro(F.col("v_um")).alias("v_um"), F.count("*").alias("n"), F.sum("arrival").alias("a"))
     cells = per.groupBy(*CELL).agg(mean_micro(F.col("v_um")).alias("mean_velocity_um"), F.sum("a").alias("arrivals"), F.sum("n").alias("n_readings"))
     step = cells.groupBy("location", "t_index").agg(F.sum("n_readings").alias("_all"))

@@ -50,14 +50,18 @@ def negative_log_likelihood(truth: DataFrame, predicted: DataFrame, key: list[st
     def score(pdf):
         import pandas as pd
 
-        total, cells = [], 0
+        total, cells, factors = [], 0, {}
         for values, mean, cov in zip(pdf["values"], pdf["mean"], pdf["covariance"]):
             gap = np.asarray(values, float) - np.asarray(mean, float)
             known = np.flatnonzero(~np.isnan(gap))
             if not len(known):
                 continue
             gap, cells = gap[known], cells + len(known)
-            chol = np.linalg.cholesky(np.stack(cov)[np.ix_(known, known)])
+            key_of = known.tobytes(), np.stack(cov).tobytes()  # steps often share a model
+            if key_of not in factors:
+                factors.clear()
+                factors[key_of] = np.linalg.cholesky(np.stack(cov)[np.ix_(known, known)])
+            chol = factors[key_of]
             z = np.linalg.solve(chol, gap)
             total.append(0.5 * (z @ z + len(gap) * np.log(2 * np.pi)) + np.log(np.diag(chol)).sum())
         return pd.DataFrame([[*(pdf[k].iloc[0] for k in key), len(total), cells, float(np.sum(total))]], columns=[*key, "n", "cells", "nll"])
