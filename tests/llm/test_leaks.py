@@ -58,9 +58,10 @@ def test_found_exactly_where_brute_force_finds_them(spark, item_words, lengths,
     assert found(spark, docs, items) == want
 
 
-def test_long_texts_are_cut_without_loss(spark, monkeypatch):
+def test_long_texts_are_cut_without_loss_and_many_items_are_joined(spark, monkeypatch):
     items, docs = planted(random.Random(5), 60, 48, (12, 24, 36), 6)
-    monkeypatch.setattr(leaks, "SEGMENT_WORDS", 9)
+    for name, value in (("SEGMENT_WORDS", 9), ("FEW_SEEDS", 0), ("FEW_BYTES", 0)):
+        monkeypatch.setattr(leaks, name, value)
     assert found(spark, docs, items) == {(n, k) for n, d in docs for k, i in items if brute(d, i)}
 
 

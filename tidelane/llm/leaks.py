@@ -27,6 +27,8 @@ SEGMENT_WORDS = 4096
 #: Bits for each seed in the filter, how many are set, and the most bits it has (32 MB): beyond that it lets more through.
 FILTER_BITS, PROBES, MOST_BITS = 32, 4, 1 << 28
 SALTS = 16
+#: Up to so many seeds, and so many bytes of words, the items' side is sent to every executor instead.
+FEW_SEEDS, FEW_BYTES = 200_000, 8_000_000
 
 _TAG = re.compile(r"<[a-zA-Z/!][^<>]*>")
 _SPACE = re.compile("[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u2013\u2014\u2026]")
@@ -235,12 +237,12 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-def seed_filter(places: DataFrame) -> np.ndarray:
-    """A few bits for each seed of the items, in a table of bounded size: where one isn't set, it is no seed of theirs.
+def seed_filter(places: DataFrame, n: int) -> np.ndarray:
+    """A few bits for each of the items' n seeds, in a table of bounded size: where one isn't set, it is no seed of theirs.
 
     Its size follows the number of seeds, up to MOST_BITS; only its words that aren't 0 reach the driver.
     """
-    n, bits = places.count(), 1 << 16
+    bits = 1 << 16
     while bits < min(FILTER_BITS * n, MOST_BITS):
         bits *= 2
     place = f"((seed & {bits - 1}L) + k * ((shiftrightunsigned(seed, 32) & {bits - 1}L) | 1L)) & {bits - 1}L"
@@ -406,6 +408,14 @@ def verified(pairs: DataFrame, least: int, per_edit: int, edits: int) -> DataFra
     return pairs.select(*columns).mapInArrow(verify, FOUND_SCHEMA)
 
 
+def _met(left: DataFrame, right: DataFrame, key: str, few: bool) -> DataFrame:
+    """left joined with right: sent to every executor if it is few rows, else with the left's keys spread over SALTS."""
+    if few:
+        return left.join(F.broadcast(right), key)
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "segment"), F.lit(SALTS)).cast("int"))
+    return salted.join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), [key, "_salt"]).drop("_salt")
+
+
 def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 12, per_edit: int = 6) -> DataFrame:
     """One row for each document (or segment of a very long one) and evaluation item where it holds a passage of the item.
 
@@ -421,9 +431,9 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 12, per
     Every passage has SPAN words in a row unaltered somewhere, if `least` and `per_edit` leave that many (else they
     are refused), so it shares a seed of each mask with its item. The documents are read once; segments with a seed
     that a bit table of the items' seeds lets through are kept in the checkpoint folder. Their seeds are joined with
-    the items' on the hash, the documents' side spread over SALTS keys and the items' repeated for them, as a seed of
-    a copied passage may be in a third of all documents. Pairs of segment and item that share a seed of each mask are then
-    verified around the seeds they share; items meet them by SALTS keys, too.
+    the items' on the hash: the items' are sent to every executor if they are counted as few, else the documents' side is spread
+    over SALTS keys and the items' repeated for them, as a seed of a copied passage may be in a third of all documents. Pairs
+    of segment and item that share a seed of each mask are then verified around the seeds they share.
     """
     if any(-(-(n - n // per_edit) // (n // per_edit + 1)) < SPAN for n in range(least, 4 * least + 4 * per_edit)):
         raise ValueError("a passage needn't hold a seed under this rule")
@@ -431,10 +441,10 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 12, per
     texts = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("length(text) > 0"), "doc_id")
     known = cut_lineage(item_seeds(items, least))
     places = known.select("item", F.explode("seed").alias("seed"))
-    segments = cut_lineage(candidate_segments(texts, seed_filter(places), span + edits + SPAN))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    salt = F.pmod(F.xxhash64("doc_id", "segment"), F.lit(SALTS)).cast("int").alias("salt")
-    met = segments.select("doc_id", "segment", salt, F.explode("seed").alias("seed")).join(places.select("*", salts), ["seed", "salt"])
-    pairs = met.groupBy("doc_id", "segment", "salt", "item").agg(F.collect_set("seed").alias("shared")).where(F.size("shared") >= len(MASKS))
-    full = known.select("item", "test_id", F.col("bare").alias("item_bare"), F.col("left").alias("item_left"), salts)
-    return verified(pairs.join(full, ["item", "salt"]).join(segments.drop("seed").hint("merge"), ["doc_id", "segment"]), least, per_edit, edits)
+    n, size = known.agg(F.coalesce(F.sum(F.size("seed")), F.lit(0)), F.coalesce(F.sum(F.length("bare") + F.length("left")), F.lit(0))).first()
+    segments = cut_lineage(candidate_segments(texts, seed_filter(places, n), span + edits + SPAN))
+    candidates = segments.select("doc_id", "segment", F.explode("seed").alias("seed"))
+    met = _met(candidates, places, "seed", n <= FEW_SEEDS)
+    pairs = met.groupBy("doc_id", "segment", "item").agg(F.collect_set("seed").alias("shared")).where(F.size("shared") >= len(MASKS))
+    full = known.select("item", "test_id", F.col("bare").alias("item_bare"), F.col("left").alias("item_left"))
+    return verified(_met(pairs, full, "item", size <= FEW_BYTES).join(segments.drop("seed").hint("merge"), ["doc_id", "segment"]), least, per_edit, edits)
