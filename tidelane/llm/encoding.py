@@ -22,11 +22,19 @@ SYMBOLS = 1536 + 64 + 544 + 1
 EDGE = SYMBOLS - 1
 
 
-def symbols(codes: np.ndarray) -> np.ndarray:
+def _symbol_table() -> np.ndarray:
     """Below U+0600 each code point for itself; symbols U+2000-27FF by 32, everything else by 2048."""
-    codes = codes.astype(np.int64)
+    codes = np.arange(0x110000)
     other = np.where((codes >= 0x2000) & (codes < 0x2800), 1536 + ((codes - 0x2000) >> 5), 1600 + (codes >> 11))
-    return np.where(codes < 1536, codes, other)
+    return np.where(codes < 1536, codes, other).astype(np.int32)
+
+
+_SYMBOL = _symbol_table()
+
+
+def symbols(codes: np.ndarray) -> np.ndarray:
+    """The symbol of each code point."""
+    return _SYMBOL[codes]
 
 
 def _codes(text: str) -> np.ndarray:
@@ -223,7 +231,7 @@ class Repairer:
         s = symbols(codes[np.r_[at, at + 1]]) if len(at) else np.zeros(0, np.int64)
         pair = s[: len(at)] * SYMBOLS + s[len(at) :]
         text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), at, "right")
-        met, own = np.unique(text * (SYMBOLS * SYMBOLS) + pair, return_counts=True)
+        met, own = np.unique(text.astype(np.int64) * (SYMBOLS * SYMBOLS) + pair, return_counts=True)
         text, n = met // (SYMBOLS * SYMBOLS), self.model.n[met % (SYMBOLS * SYMBOLS)]
         few = n - np.asarray(copies)[text] * own <= self.model.rare
         rare = np.bincount(text, np.where(few, own, 0), minlength=len(texts))
