@@ -233,19 +233,21 @@ def _flags(table: pa.Table, starts: np.ndarray, rules: SpikeRules) -> pa.Table:
     spread, drift = [n for n, _ in noise], [d for _, d in noise]
     ahead_of = filter_groups([series[f][0] for f in names], [wait] * 3, fresh, spread, drift, [False] * 3, group, groups, rules)
     stuck = {f: frozen(ahead_of[k][2], fine[f], group, time, x, fine["velocity"], rules, unit[f]) for k, f in enumerate(names)}
-    # Frozen readings tell nothing, so they are withheld, too; the fields without any keep what was found above.
+    # Frozen readings tell nothing, so they are withheld, too: groups that have any are filtered anew, the others not.
     y = [np.where(stuck[f], np.nan, series[f][0]) for f in names]
-    again = [k for k, f in enumerate(names) if stuck[f].any()]
-    ways = [(k, False) for k in again] + [(k, True) for k in range(len(names))]
-    got = filter_groups(
-        [y[k] for k, _ in ways], [wait_back if b else wait for _, b in ways], [fresh[k] for k, _ in ways],
-        [spread[k] for k, _ in ways], [drift[k] for k, _ in ways], [b for _, b in ways], group, groups, rules,
+    again = np.unique(group[np.logical_or.reduce([stuck[f] for f in names])])
+    rows = np.flatnonzero(np.isin(group, again))
+    anew = filter_groups(
+        [v[rows] for v in y], [wait[rows]] * 3, [f[rows] for f in fresh], [n[again] for n in spread], [d[again] for d in drift],
+        [False] * 3, np.searchsorted(again, group[rows]), len(again), rules,
     )
-    results = {(k, False): ahead_of[k] for k in range(len(names))} | dict(zip(ways, got))
+    for old, new in zip(ahead_of, anew):
+        old[0][rows], old[1][rows] = new[0], new[1]
+    behind_of = filter_groups(y, [wait_back] * 3, fresh, spread, drift, [True] * 3, group, groups, rules)
 
     found = []
     for k, field in enumerate(names):
-        (ahead, scale, _), (behind, scale_behind, _) = results[k, False], results[k, True]
+        (ahead, scale, _), (behind, scale_behind, _) = ahead_of[k], behind_of[k]
         z = np.where(np.sign(ahead) == np.sign(behind), np.minimum(np.abs(ahead) / scale, np.abs(behind) / scale_behind), 0.0)
         # What another field says of the same reading: where it agrees, the vehicle did do that.
         y, other, _ = series[field]
