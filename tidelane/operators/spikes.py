@@ -92,7 +92,7 @@ def kalman_innovations(y: np.ndarray, dt: np.ndarray, fresh: np.ndarray, noise:
 def filter_groups(y: list[np.ndarray], wait: list[np.ndarray], fresh: list[np.ndarray], noise: list[np.ndarray], drift: list[np.ndarray], backwards: list[bool], group: np.ndarray, groups: int, rules: SpikeRules):
     """kalman_innovations over series of rows in order of group: for each series its innovations, scales and stills by row.
 
-    noise and drift are by group. Groups of like length (within a factor of 2) are laid side by side, so that one long group
+    noise and drift are by group. Groups of like length (within a factor of 4) are laid side by side, so that one long group
     among short ones doesn't take its length times their number.
     """
     length = np.bincount(group, minlength=groups)
@@ -100,7 +100,7 @@ def filter_groups(y: list[np.ndarray], wait: list[np.ndarray], fresh: list[np.nd
     row = np.arange(len(group)) - begin[group]
     place = [length[group] - 1 - row if b else row for b in backwards]
     out = [(np.zeros(len(group)), np.ones(len(group)), np.zeros(len(group), np.int32)) for _ in y]
-    kind = np.frexp(length)[1]
+    kind = np.frexp(length)[1] // 2
     for k in np.unique(kind[length > 0]):
         members = np.flatnonzero((kind == k) & (length > 0))
         at = np.flatnonzero(kind[group] == k)
@@ -231,23 +231,23 @@ def _flags(table: pa.Table, starts: np.ndarray, rules: SpikeRules) -> pa.Table:
         noise.append(source_noise(y, time, group, groups, np.maximum(floor, 0.5 * step)))
     fresh = [np.zeros(len(time), bool), alone, alone]
     spread, drift = [n for n, _ in noise], [d for _, d in noise]
-    ahead_of = filter_groups([series[f][0] for f in names], [wait] * 3, fresh, spread, drift, [False] * 3, group, groups, rules)
-    stuck = {f: frozen(ahead_of[k][2], fine[f], group, time, x, fine["velocity"], rules, unit[f]) for k, f in enumerate(names)}
+    ways, y = [False] * 3 + [True] * 3, [series[f][0] for f in names]
+    found_by = filter_groups(y * 2, [wait] * 3 + [wait_back] * 3, fresh * 2, spread * 2, drift * 2, ways, group, groups, rules)
+    stuck = {f: frozen(found_by[k][2], fine[f], group, time, x, fine["velocity"], rules, unit[f]) for k, f in enumerate(names)}
     # Frozen readings tell nothing, so they are withheld, too: groups that have any are filtered anew, the others not.
-    y = [np.where(stuck[f], np.nan, series[f][0]) for f in names]
     again = np.unique(group[np.logical_or.reduce([stuck[f] for f in names])])
     rows = np.flatnonzero(np.isin(group, again))
+    told = [np.where(stuck[f], np.nan, v)[rows] for f, v in zip(names, y)]
     anew = filter_groups(
-        [v[rows] for v in y], [wait[rows]] * 3, [f[rows] for f in fresh], [n[again] for n in spread], [d[again] for d in drift],
-        [False] * 3, np.searchsorted(again, group[rows]), len(again), rules,
+        told * 2, [wait[rows]] * 3 + [wait_back[rows]] * 3, [f[rows] for f in fresh] * 2, [n[again] for n in spread] * 2, [d[again] for d in drift] * 2,
+        ways, np.searchsorted(again, group[rows]), len(again), rules,
     )
-    for old, new in zip(ahead_of, anew):
+    for old, new in zip(found_by, anew):
         old[0][rows], old[1][rows] = new[0], new[1]
-    behind_of = filter_groups(y, [wait_back] * 3, fresh, spread, drift, [True] * 3, group, groups, rules)
 
     found = []
     for k, field in enumerate(names):
-        (ahead, scale, _), (behind, scale_behind, _) = ahead_of[k], behind_of[k]
+        (ahead, scale, _), (behind, scale_behind, _) = found_by[k], found_by[k + 3]
         z = np.where(np.sign(ahead) == np.sign(behind), np.minimum(np.abs(ahead) / scale, np.abs(behind) / scale_behind), 0.0)
         # What another field says of the same reading: where it agrees, the vehicle did do that.
         y, other, _ = series[field]
