@@ -85,10 +85,10 @@ def test_case_accents_markup_and_damage_don_t_matter(spark):
         item.replace("r", "r\u200b"), item.replace(" ", "\u00a0"), "Le garcon tres decu repara l'etui pres du meleze avant que soeur Zoe ne rentrat tot a l'hotel ferme", item.replace("ç", "&ccedil;"),
         "<div title='" + "x" * 500 + "'>" + item.replace("garçon", "garcon").replace("tôt", "t\u00c3\u00b4t"),
     ]
-    docs = [(i, t) for i, t in enumerate(same)] + [(100, ""), (101, None), (102, "un garçon très déçu"), (103, "x " * 50_000 + item)]
+    docs = [(i, t) for i, t in enumerate(same)] + [(100, ""), (101, None), (102, "un garçon très déçu"), (103, "x " * 50_000 + item), (None, item), (0, same[0])]
     schema = "test_id bigint, text string"
     got = leaked_passages(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, item), (1, item), (2, None), (3, "trop court"), (None, item)], schema))
-    assert sorted(r.doc_id for r in got.collect()) == [*range(len(same)), 103]
+    assert sorted(r.doc_id for r in got.collect()) == [0, *range(len(same)), 103]  # a repeated document counts twice
     assert leaked_passages(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([], schema)).count() == 0
     assert leaked_passages(spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame([(1, item)], schema)).count() == 0
     with pytest.raises(ValueError):

@@ -425,7 +425,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 12, per
     found, with the fewest edits; doc_word and item_word are positions (in words) of the seed that led to it.
 
     documents: doc_id, text. items: test_id, text. Null or empty texts are never cases, nor are items of fewer
-    than `least` words; repeated documents each count; a repeated test_id counts once, unless its texts differ. Extra
+    than `least` words, nor rows without doc_id or test_id; repeated documents each count; a repeated test_id counts once, unless its texts differ. Extra
     columns are ignored.
 
     Every passage has SPAN words in a row unaltered somewhere, if `least` and `per_edit` leave that many (else they
@@ -438,7 +438,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, least: int = 12, per
     if any(-(-(n - n // per_edit) // (n // per_edit + 1)) < SPAN for n in range(least, 4 * least + 4 * per_edit)):
         raise ValueError("a passage needn't hold a seed under this rule")
     span, edits = longest_needed(least, per_edit)
-    texts = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("length(text) > 0"), "doc_id")
+    texts = spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL AND length(text) > 0"), "doc_id")
     known = cut_lineage(item_seeds(items, least))
     places = known.select("item", F.explode("seed").alias("seed"))
     n, size = known.agg(F.coalesce(F.sum(F.size("seed")), F.lit(0)), F.coalesce(F.sum(F.length("bare") + F.length("left")), F.lit(0))).first()
